@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandmill.llm import bpe, decontaminate, repetition
+from strandmill.llm import bpe, decontaminate, repetition, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_suffix_dedup": suffixes.op2_suffix_dedup,
     "op5_quality_rules": repetition.op5_quality_rules,
     "op7_bpe": bpe.op7_bpe,
     "op10_decontaminate": decontaminate.op10_decontaminate,
@@ -16,5 +17,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: The others can't be said in SQL, or not in useful time; tests/llm holds them against brute force.
 SQL: dict[str, str] = {
+    "op2_suffix_dedup": suffixes.OP2_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
 }
