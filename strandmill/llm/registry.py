@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandmill.llm import bpe, decontaminate, repetition, suffixes
+from strandmill.llm import bpe, decontaminate, jaccard, repetition, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_dedup": suffixes.op2_suffix_dedup,
     "op5_quality_rules": repetition.op5_quality_rules,
+    "op6_jaccard_join": jaccard.op6_jaccard_join,
     "op7_bpe": bpe.op7_bpe,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
@@ -18,5 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: The others can't be said in SQL, or not in useful time; tests/llm holds them against brute force.
 SQL: dict[str, str] = {
     "op2_suffix_dedup": suffixes.OP2_SQL,
+    "op6_jaccard_join": jaccard.OP6_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
 }

@@ -8,6 +8,8 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -63,3 +65,37 @@ class Tables:
 
 def partitions_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """Rows with a column `_id` that tells apart rows of one id with different texts: id * spread + variant."""
+    rows = docs.withColumn("_raw", F.col(id_col).cast("long"))
+    most = docs.groupBy(F.col(id_col).alias("i")).count().where("i IS NOT NULL AND count > 1").agg(F.max("count")).first()[0]
+    if most is None:
+        return rows.withColumnRenamed("_raw", "_id"), 1
+    variant = F.dense_rank().over(Window.partitionBy("_raw").orderBy(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))) - 1
+    return rows.withColumn("_id", F.col("_raw") * most + variant).drop("_raw"), int(most)
+
+
+def components(tables: Tables, edges: DataFrame) -> DataFrame:
+    """(node, label): the least node of each connected component, by alternating large and small stars.
+
+    edges: u, v. Nothing is gathered on the driver but a count and a checksum for each round."""
+
+    def mark(frame: DataFrame) -> tuple:
+        return tuple(frame.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+
+    now = tables.put("edges", edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    before = mark(now)
+    while True:
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        joined = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = joined.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        after = tables.put("edges", small)
+        tables.free(now)
+        now, last, before = after, before, mark(after)
+        if before == last:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
