@@ -28,22 +28,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from strandmill.llm.shared import Tables
+from strandmill.llm.packing import SCHEMA, cut_up, emit, pack, unpack
+from strandmill.llm.shared import Tables, numbered
 from strandmill.llm.textarrays import BYTE_CODE, Slice, covered, mix, prefix_hash, runs, slices, span_hash, text_arrays, window_hash
 
 THRESHOLD = 50
 GRAM = 12
 DIGIT = 32
-BUCKET_WINDOWS = 3_000_000
+BUCKET_WINDOWS = 1_000_000
 GROUP_BYTES = 6 << 20
 SAMPLE_ONE_IN = 64
-SLICE = 3 << 20
+SLICE = 2 << 20
 _PLACE_BITS = 24
 _PIECE = 1 << 23
 
@@ -131,37 +130,6 @@ def repeated_windows(data: np.ndarray, starts: np.ndarray, ids: np.ndarray, thre
     return out
 
 
-def pack(columns: list[np.ndarray], data: np.ndarray | None = None) -> bytes:
-    """Columns of whole numbers, each as differences, and bytes."""
-    parts = [np.array([len(columns), len(columns[0])], np.int64).tobytes()]
-    for c in columns:
-        step = np.diff(c, prepend=c.dtype.type(0)).astype(np.int64)
-        kind = next(k for k in (np.int8, np.int16, np.int32, np.int64) if not len(step) or np.iinfo(k).min <= step.min() and step.max() <= np.iinfo(k).max)
-        parts += [np.array([np.dtype(kind).itemsize], np.int64).tobytes(), step.astype(kind).tobytes()]
-    if data is not None:
-        parts.append(data.tobytes())
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
-
-
-def unpack(blob: bytes) -> tuple[list[np.ndarray], np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    count, n = np.frombuffer(raw, np.int64, 2)
-    at, columns = 16, []
-    for _ in range(count):
-        width = int(np.frombuffer(raw, np.int64, 1, at)[0])
-        columns.append(np.cumsum(np.frombuffer(raw, f"i{width}", n, at + 8), dtype=np.int64))
-        at += 8 + width * int(n)
-    return columns, np.frombuffer(raw, np.uint8, offset=at)
-
-
-def cut_up(keys: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """A stable order by key, and (key, low, high) of each key's part of it."""
-    order = np.argsort(keys, kind="stable")
-    ordered = keys[order]
-    at = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(keys) else np.empty(0, np.int64)
-    return order, list(zip(ordered[at].tolist(), at.tolist(), np.append(at[1:], len(keys)).tolist(), strict=True))
-
-
 def _pieces(part: Slice, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """A slice, or overlapping pieces of a long text: (bytes, offsets, place in the slice)."""
     if len(part.data) <= _PIECE:
@@ -174,12 +142,6 @@ def _pieces(part: Slice, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarra
             return
 
 
-def _emit(found: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-    for k in range(0, len(found), 512):
-        some = found[k : k + 512]
-        yield pa.record_batch([pa.array([x for x, _ in some], pa.int64()), pa.array([b for _, b in some], pa.binary())], names=["bucket", "blob"])
-
-
 def hot_grams(rows: DataFrame, threshold: int, gram: int, limit: int) -> np.ndarray:
     """Minimizers that would fill over a quarter of a bucket, judged by one document in `SAMPLE_ONE_IN`.
 
@@ -201,17 +163,6 @@ def hot_grams(rows: DataFrame, threshold: int, gram: int, limit: int) -> np.ndar
     return np.sort(np.array([r["gram"] for r in found.collect()], np.int64).view(np.uint64))
 
 
-def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """Rows with a column `_id` that tells apart rows of one id with different texts: id * spread + variant."""
-    rows = docs.withColumn("_raw", F.col(id_col).cast("long"))
-    most = docs.groupBy(F.col(id_col).alias("i")).count().where("i IS NOT NULL AND count > 1").agg(F.max("count")).first()[0]
-    if most is None:
-        return rows.withColumn("_id", F.col("_raw")), 1
-    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    variant = F.dense_rank().over(Window.partitionBy("_raw").orderBy(key)) - 1
-    return rows.withColumn("_id", F.col("_raw") * most + variant), int(most)
-
-
 def repeats(rows: DataFrame, spread: int, groups: int, *, threshold: int, gram: int, bucket_windows: int, total: int) -> DataFrame:
     """(bucket: a group of documents, blob: id, start, windows) of the repeated windows. rows: id, text."""
     buckets = max(1, -(-total // bucket_windows))
@@ -241,7 +192,7 @@ def repeats(rows: DataFrame, spread: int, groups: int, *, threshold: int, gram:
                 settled = settled[(length[head[settled]] == length[settled])]
                 settled = settled[equal_spans(data, start[settled], start[head[settled]], length[settled])]
                 if len(settled):
-                    yield from _emit([(-1 - k, b) for k, b in back(ids[settled], start[settled] + base - part.offsets[owner[settled]], count[settled])])
+                    yield from emit([(-1 - k, b) for k, b in back(ids[settled], start[settled] + base - part.offsets[owner[settled]], count[settled])])
                 rest = np.ones(len(ids), bool)
                 rest[settled] = False
                 ids, start, count, grams, length, owner = (x[rest] for x in (ids, start, count, grams, length, owner))
@@ -266,9 +217,9 @@ def repeats(rows: DataFrame, spread: int, groups: int, *, threshold: int, gram:
                     o = order[a:b]
                     found.append((k, pack([ids[o], place[o], count[o]], gather(data, start[o], length[o]))))
                     if len(found) == 512:
-                        yield from _emit(found)
+                        yield from emit(found)
                         found = []
-                yield from _emit(found)
+                yield from emit(found)
 
     def settle(key: tuple, table: pa.Table) -> pa.Table:
         blobs = table.column("blob").to_pylist()
@@ -283,18 +234,16 @@ def repeats(rows: DataFrame, spread: int, groups: int, *, threshold: int, gram:
             first = np.cumsum(count) - count
             windows = np.arange(int(count.sum())) + np.repeat(begin - first, count)
             flags = repeated_windows(data, windows, np.repeat(ids // spread, count), threshold, min(DIGIT, threshold - 1))
-            a, b = runs(flags)
+            # A run of flags ends with its string.
+            fresh = np.zeros(len(flags) + 1, bool)
+            fresh[first] = fresh[-1] = True
+            a = np.flatnonzero(flags & (fresh[:-1] | ~np.concatenate([[False], flags[:-1]])))
+            b = np.flatnonzero(flags & (fresh[1:] | ~np.concatenate([flags[1:], [False]]))) + 1
             of = np.searchsorted(first, a, "right") - 1
-            # A run of flags may go on into the next string; it is cut there.
-            while len(a) and (over := b > first[of] + count[of]).any():
-                ends = first[of] + count[of]
-                a, b = np.concatenate([a, ends[over]]), np.concatenate([np.minimum(b, ends), b[over]])
-                of = np.searchsorted(first, a, "right") - 1
             found = back(ids[of], place[of] + a - first[of], b - a) if len(a) else []
         return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([b for _, b in found], pa.binary())], names=["bucket", "blob"])
 
-    schema = "bucket long, blob binary"
-    return rows.where("id IS NOT NULL").mapInArrow(spread_out, schema).groupBy("bucket").applyInArrow(settle, schema)
+    return rows.where("id IS NOT NULL").mapInArrow(spread_out, SCHEMA).groupBy("bucket").applyInArrow(settle, SCHEMA)
 
 
 def group_of(ids: np.ndarray, groups: int) -> np.ndarray:
@@ -304,7 +253,7 @@ def group_of(ids: np.ndarray, groups: int) -> np.ndarray:
 def _cut_texts(docs: DataFrame, id_col: str, text_col: str, schema: T.StructType, make: Callable, *, threshold: int, gram: int, bucket_windows: int) -> DataFrame:
     """Applies make(rows, offsets, bytes, flags of removed bytes) to groups of documents."""
     spark = docs.sparkSession
-    rows, spread = _numbered(docs, id_col, text_col)
+    rows, spread = numbered(docs, id_col, text_col)
     total = docs.agg(F.sum(F.octet_length(F.col(text_col))).alias("b")).first()["b"] or 0
     groups = max(1, -(-total // GROUP_BYTES))
     tables = Tables(spark, "suffixes")
@@ -319,9 +268,8 @@ def _cut_texts(docs: DataFrame, id_col: str, text_col: str, schema: T.StructType
             group[missing] = np.arange(missing.sum()) % groups  # rows without an id are spread
             yield batch.append_column("_group", pa.array(group))
 
-    ready = rows.drop("_raw")
-    wide = T.StructType([*ready.schema.fields, T.StructField("_group", T.LongType())])
-    grouped = ready.mapInArrow(assign, wide)
+    wide = T.StructType([*rows.schema.fields, T.StructField("_group", T.LongType())])
+    grouped = rows.mapInArrow(assign, wide)
 
     def cut(texts: pa.Table, blobs: pa.Table) -> pa.Table:
         out = []
