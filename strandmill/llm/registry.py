@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandmill.llm import bpe, decontaminate, jaccard, repetition, suffixes
+from strandmill.llm import bpe, chat, decontaminate, jaccard, licences, repetition, suffixes, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": urls.op1_url_filter,
     "op2_suffix_dedup": suffixes.op2_suffix_dedup,
+    "op3_chat_rotation": chat.op3_chat_rotation,
+    "op4_licence_scan": licences.op4_licence_scan,
     "op5_quality_rules": repetition.op5_quality_rules,
     "op6_jaccard_join": jaccard.op6_jaccard_join,
     "op7_bpe": bpe.op7_bpe,
@@ -18,7 +21,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: The others can't be said in SQL, or not in useful time; tests/llm holds them against brute force.
 SQL: dict[str, str] = {
+    "op1_url_filter": urls.OP1_SQL,
     "op2_suffix_dedup": suffixes.OP2_SQL,
+    "op3_chat_rotation": chat.OP3_SQL,
+    "op4_licence_scan": licences.OP4_SQL,
     "op6_jaccard_join": jaccard.OP6_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
 }

@@ -59,7 +59,7 @@ class Tables:
 
     def free(self, frame: DataFrame | None) -> None:
         """Deletes a table that nothing reads any more."""
-        if frame is not None and getattr(frame, "_strandmill_path", None):
+        if frame is not None and "_strandmill_path" in frame.__dict__:
             drop(self.spark, frame._strandmill_path)
 
 
