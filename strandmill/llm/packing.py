@@ -9,22 +9,25 @@ import pyarrow as pa
 import zstandard
 
 SCHEMA = "bucket long, blob binary"
+_KINDS = [(k, np.iinfo(k).min, np.iinfo(k).max) for k in (np.int8, np.int16, np.int32)]
+_SQUEEZE, _OPEN = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def pack(columns: list[np.ndarray], data: np.ndarray | None = None) -> bytes:
     """Columns of whole numbers, each as differences, and bytes."""
     parts = [np.array([len(columns), len(columns[0])], np.int64).tobytes()]
     for c in columns:
-        step = np.diff(c, prepend=c.dtype.type(0)).astype(np.int64)
-        kind = next(k for k in (np.int8, np.int16, np.int32, np.int64) if not len(step) or np.iinfo(k).min <= step.min() and step.max() <= np.iinfo(k).max)
+        step = np.diff(c, prepend=c.dtype.type(0))
+        low, high = (int(step.min()), int(step.max())) if len(step) else (0, 0)
+        kind = next((k for k, least, most in _KINDS if least <= low and high <= most), np.int64)
         parts += [np.array([np.dtype(kind).itemsize], np.int64).tobytes(), step.astype(kind).tobytes()]
     if data is not None:
         parts.append(data.tobytes())
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+    return _SQUEEZE.compress(b"".join(parts))
 
 
 def unpack(blob: bytes) -> tuple[list[np.ndarray], np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
+    raw = _OPEN.decompress(blob)
     count, n = np.frombuffer(raw, np.int64, 2)
     at, columns = 16, []
     for _ in range(count):

@@ -98,23 +98,49 @@ def equal_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndar
     return total[ends] == total[ends - lengths]
 
 
-def repeated_windows(data: np.ndarray, starts: np.ndarray, ids: np.ndarray, threshold: int, digit: int) -> np.ndarray:
+def standing_whole(prefix: np.ndarray, data: np.ndarray, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Which strings are equal to one of a smaller id."""
+    whole = span_hash(prefix, starts, starts + lengths)
+    order = np.lexsort((ids, whole))
+    ordered = whole[order]
+    fresh = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    head = np.empty(len(order), np.int64)
+    head[order] = np.repeat(order[fresh], np.diff(np.append(fresh, len(order))))
+    found = np.flatnonzero((ids > ids[head]) & (lengths == lengths[head]))
+    out = np.zeros(len(ids), bool)
+    for k in range(0, len(found), 1 << 14):
+        some = found[k : k + (1 << 14)]
+        out[some] = equal_spans(data, starts[some], starts[head[some]], lengths[some])
+    return out
+
+
+def _tied(keys: np.ndarray) -> np.ndarray:
+    """Places of the values that are there twice or more (and perhaps a few others)."""
+    ordered = np.sort(keys)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    bits = np.uint64((1 << 22) - 1)
+    seen = np.zeros(1 << 22, bool)
+    seen[(twice & bits).astype(np.int64)] = True
+    return np.flatnonzero(seen[(keys & bits).astype(np.int64)])
+
+
+def repeated_windows(prefix: np.ndarray, data: np.ndarray, starts: np.ndarray, ids: np.ndarray, threshold: int, digit: int) -> np.ndarray:
     """Flags of the windows at `starts` that also start in a text with a smaller id."""
     out = np.zeros(len(starts), bool)
-    if not len(starts):
-        return out
-    prefix = prefix_hash(BYTE_CODE[data])
     alive = np.arange(len(starts))
     group = np.zeros(len(starts), np.uint64)
     for low, high in ((0, digit), (digit, threshold)):
-        part = window_hash(prefix, high - low)
-        group = mix(group * np.uint64(3) + part[starts[alive] + low])
+        group = mix(group * np.uint64(3) + window_hash(prefix, high - low)[starts[alive] + low])
+        some = _tied(group)
+        alive, group = alive[some], group[some]
+        if not len(alive):
+            return out
         order = np.argsort(group)
-        ordered, sorted_ids = group[order], ids[alive[order]]
-        fresh = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        size = np.diff(np.append(fresh, len(order)))
-        many = np.repeat(np.minimum.reduceat(sorted_ids, fresh) < np.maximum.reduceat(sorted_ids, fresh), size)
-        alive, group = alive[order[many]], ordered[many]
+        alive, group = alive[order], group[order]
+        fresh = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        own = ids[alive]
+        many = np.repeat(np.minimum.reduceat(own, fresh) < np.maximum.reduceat(own, fresh), np.diff(np.append(fresh, len(alive))))
+        alive, group = alive[many], group[many]
         if not len(alive):
             return out
     # Equal groups are the repeated windows; each is held against the group's member of the least id.
@@ -124,8 +150,8 @@ def repeated_windows(data: np.ndarray, starts: np.ndarray, ids: np.ndarray, thre
     head = np.repeat(alive[fresh], np.diff(np.append(fresh, len(alive))))
     later = ids[alive] > ids[head]
     a, b = alive[later], head[later]
-    for k in range(0, len(a), 1 << 17):
-        x, y = a[k : k + (1 << 17)], b[k : k + (1 << 17)]
+    for k in range(0, len(a), 1 << 14):
+        x, y = a[k : k + (1 << 14)], b[k : k + (1 << 14)]
         out[x] = equal_spans(data, starts[x], starts[y], np.full(len(x), threshold))
     return out
 
@@ -183,19 +209,11 @@ def repeats(rows: DataFrame, spread: int, groups: int, *, threshold: int, gram:
                     continue
                 ids, length = names[owner], count + threshold - 1
                 # Strings that stand whole in a text of a smaller id, in this slice.
-                whole = span_hash(prefix, start, start + length)
-                order = np.lexsort((ids, whole))
-                fresh = np.flatnonzero(np.concatenate([[True], whole[order][1:] != whole[order][:-1]]))
-                head = np.empty(len(order), np.int64)
-                head[order] = np.repeat(order[fresh], np.diff(np.append(fresh, len(order))))
-                settled = np.flatnonzero(ids // spread > ids[head] // spread)
-                settled = settled[(length[head[settled]] == length[settled])]
-                settled = settled[equal_spans(data, start[settled], start[head[settled]], length[settled])]
+                whole = standing_whole(prefix, data, ids // spread, start, length)
+                settled = np.flatnonzero(whole)
                 if len(settled):
                     yield from emit([(-1 - k, b) for k, b in back(ids[settled], start[settled] + base - part.offsets[owner[settled]], count[settled])])
-                rest = np.ones(len(ids), bool)
-                rest[settled] = False
-                ids, start, count, grams, length, owner = (x[rest] for x in (ids, start, count, grams, length, owner))
+                ids, start, count, grams, length, owner = (x[~whole] for x in (ids, start, count, grams, length, owner))
                 bucket = (mix(grams) % np.uint64(buckets)).astype(np.int64)
                 if len(warm):
                     at = np.minimum(np.searchsorted(warm, grams), len(warm) - 1)
@@ -211,15 +229,11 @@ def repeats(rows: DataFrame, spread: int, groups: int, *, threshold: int, gram:
                         count = np.concatenate([count[~is_hot], np.ones(len(each), np.int64)])
                         length = count + threshold - 1
                 order, parts = cut_up(bucket)
-                place = start + base - part.offsets[owner]
-                found = []
-                for k, a, b in parts:
-                    o = order[a:b]
-                    found.append((k, pack([ids[o], place[o], count[o]], gather(data, start[o], length[o]))))
-                    if len(found) == 512:
-                        yield from emit(found)
-                        found = []
-                yield from emit(found)
+                ids, place, start, count = ids[order], (start + base - part.offsets[owner])[order], start[order], count[order]
+                strings = gather(data, start, count + threshold - 1)
+                ends = np.concatenate([[0], np.cumsum(count + threshold - 1)])
+                for k in range(0, len(parts), 512):
+                    yield from emit([(of, pack([ids[a:b], place[a:b], count[a:b]], strings[ends[a] : ends[b]])) for of, a, b in parts[k : k + 512]])
 
     def settle(key: tuple, table: pa.Table) -> pa.Table:
         blobs = table.column("blob").to_pylist()
@@ -231,16 +245,20 @@ def repeats(rows: DataFrame, spread: int, groups: int, *, threshold: int, gram:
             data = np.concatenate([p[1] for p in parts])
             del parts
             begin = np.concatenate([[0], np.cumsum(count + threshold - 1)])[:-1]
+            prefix, own = prefix_hash(BYTE_CODE[data]), ids // spread
+            whole = standing_whole(prefix, data, own, begin, count + threshold - 1)
+            found = back(ids[whole], place[whole], count[whole])
+            ids, place, count, begin, own = (x[~whole] for x in (ids, place, count, begin, own))
             first = np.cumsum(count) - count
             windows = np.arange(int(count.sum())) + np.repeat(begin - first, count)
-            flags = repeated_windows(data, windows, np.repeat(ids // spread, count), threshold, min(DIGIT, threshold - 1))
+            flags = repeated_windows(prefix, data, windows, np.repeat(own, count), threshold, min(DIGIT, threshold - 1))
             # A run of flags ends with its string.
             fresh = np.zeros(len(flags) + 1, bool)
             fresh[first] = fresh[-1] = True
             a = np.flatnonzero(flags & (fresh[:-1] | ~np.concatenate([[False], flags[:-1]])))
             b = np.flatnonzero(flags & (fresh[1:] | ~np.concatenate([flags[1:], [False]]))) + 1
             of = np.searchsorted(first, a, "right") - 1
-            found = back(ids[of], place[of] + a - first[of], b - a) if len(a) else []
+            found += back(ids[of], place[of] + a - first[of], b - a)
         return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([b for _, b in found], pa.binary())], names=["bucket", "blob"])
 
     return rows.where("id IS NOT NULL").mapInArrow(spread_out, SCHEMA).groupBy("bucket").applyInArrow(settle, SCHEMA)
