@@ -1,19 +1,20 @@
 """N-gram Jaccard join with vertical partitioning.
 
 A document's set is its distinct 5-word shingles. All shingles stand in one global order: those that
-many documents share come last, the rest go by hash. Two sets with Jaccard of at least `threshold`
-share a shingle among the first (1 - threshold) of either, so only these prefixes are looked
-up for candidates. The order is cut into `FRAGMENTS` ranges; each document's set falls into segments, the
+many documents share come last, the rest go by hash. Two sets of n and m shingles with a Jaccard of 0.8
+or more, n >= m, share `more(n)` shingles in their prefixes of 1 - 0.8 of their size and `more` besides, so only these are looked up,
+and documents with fewer shared shingles there are done. Of the others, the rarest shared shingles make the posting
+lists, as many as a linked pair must have one of in common. The order is cut into `FRAGMENTS` ranges; each document's set falls into segments, the
 overlap of a candidate pair is counted in each fragment by itself, and the parts are summed for the pair and
 held against the threshold exactly.
 
 The result is the connected components of the links, so pairs are not expanded where a chain of links
-already joins them. Equal sets are one class. In each posting list the first document is the hub: in the
-first round every document is held against the hub it shares most prefix shingles with. Lists that
-still have several components go on, with 1, 8, 64, ... hubs a round, each against all members of other
-components; a document that has been a hub in a list has met all of it and leaves the list. The
-rounds end when no list has two components, so no link is lost, and a group of copies costs pairs in
-proportion to its size.
+already joins them. Equal sets are one class. In each posting list the first document is the hub. First
+every document is held against the hub it shares most lists with, then every list's members against its
+hub, if they are in other components. What lists still have several components fall into families that share no list. A family (or, if
+that is less work, each of its lists) is cut into blocks of bounded size, and each pair of blocks is one unit of work: the partial overlaps
+of its pairs are counted fragment by fragment as products of 0-1 matrices and summed, and only a spanning forest of the links leaves the unit.
+So no link is lost, pairs are never rows, and no task holds more than two blocks.
 
 Defined results: no words or null text: empty set, linked with nothing; fewer than five words: the whole
 sequence is the one shingle; rows of one id with different texts are different sets, and component_id is the least
@@ -40,7 +41,10 @@ PERCENT = 80
 FRAGMENTS = 8
 HEAVY_AT_LEAST = 64
 HEAVY_MOST = 1 << 19
-BUCKET_ROWS = 1_000_000
+EXTRA = 50
+BUCKET_ROWS = 1_500_000
+BLOCK_DOCS = 512
+BLOCK_SHINGLES = 500_000
 SLICE = 3 << 20
 
 
@@ -111,8 +115,17 @@ def _profile(rows: DataFrame, shingle: int) -> DataFrame:
     return rows.mapInArrow(run, "kind byte, id long, n long, a long, b long")
 
 
+def more(n):
+    """Shingles beyond the least prefix that are looked up; a linked set shares at least as many of them.
+
+    Let n >= m be the sizes of two linked sets, with an overlap of at least ceil(p n). Prefixes that leave out less than
+    the overlap by k share k shingles: n - ceil(p n) + k and m - ceil(p n) + k, which for k = more(n) are no longer than
+    the prefixes looked up, as more(n) - ceil(p n) falls with n but for 1 of rounding, and the prefixes have 1 more."""
+    return (EXTRA * n + 99) // 100
+
+
 def _postings(rows: DataFrame, order, shingle: int, percent: int, buckets: int) -> DataFrame:
-    """(sig, id, n) for each prefix shingle that two documents or more have."""
+    """(id, n, sigs): the shared shingles that make the posting lists, of each document that may be linked."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = order.value
@@ -128,29 +141,49 @@ def _postings(rows: DataFrame, order, shingle: int, percent: int, buckets: int)
             same = np.lexsort((ids, b, a, size))  # of equal sets in a slice, the least id stands for all
             first = np.ones(len(ids), bool)
             first[same[1:]] = (a[same][1:] != a[same][:-1]) | (b[same][1:] != b[same][:-1]) | (size[same][1:] != size[same][:-1])
-            prefix = size - (percent * size + 99) // 100 + 1
+            prefix = size - (percent * size + 99) // 100 + 1 + more(size)
             place = np.arange(len(hashes)) - cuts[owner]
             some = np.flatnonzero((place < prefix[owner]) & first[owner])
-            sig, of, heavy = hashes[some], owner[some], weight[some] > 0
-            key = (mix(sig) % np.uint64(buckets)).astype(np.int64)
-            # Heavy shingles are known to be shared: they need no meeting, and are spread.
-            key[heavy] = -1 - (mix(ids[of[heavy]].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            sig, of, heavy = hashes[some], owner[some], weight[some]
+            # Heavy shingles are known to be shared: they need no meeting, and go straight to their documents.
+            key = np.where(heavy > 0, -1 - (mix(ids[of].view(np.uint64)) % np.uint64(buckets)).astype(np.int64), (mix(sig) % np.uint64(buckets)).astype(np.int64))
             by = np.lexsort((sig, key))
-            sig, of, key = sig[by].view(np.int64), of[by], key[by]
+            sig, of, key, heavy = sig[by].view(np.int64), of[by], key[by], heavy[by].astype(np.int64)
             _, parts = cut_up(key)
-            yield from emit([(k, pack([sig[low:high], ids[of[low:high]], size[of[low:high]]])) for k, low, high in parts])
+            yield from emit([(k, pack([sig[low:high], ids[of[low:high]], size[of[low:high]], heavy[low:high]])) for k, low, high in parts])
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
-        sig, ids, size = unpack_all(table.column("blob").to_pylist(), 3)
+        sig, ids, size, count = unpack_all(table.column("blob").to_pylist(), 4)
         if key[0].as_py() >= 0:
             by = np.argsort(sig)
             sig, ids, size = sig[by], ids[by], size[by]
             at = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-            many = np.repeat(np.diff(np.append(at, len(sig))) > 1, np.diff(np.append(at, len(sig))))
-            sig, ids, size = sig[many], ids[many], size[many]
-        return pa.table([pa.array(sig), pa.array(ids), pa.array(size)], names=["sig", "id", "n"])
-
-    return rows.mapInArrow(spread, SCHEMA).groupBy("bucket").applyInArrow(meet, "sig long, id long, n long")
+            count = np.repeat(np.diff(np.append(at, len(sig))), np.diff(np.append(at, len(sig))))
+            sig, ids, size, count = (x[count > 1] for x in (sig, ids, size, count))
+        else:
+            count = count + (1 << 32)
+        group = (mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        by = np.lexsort((ids, group))
+        sig, ids, size, count = (x[by] for x in (sig, ids, size, count))
+        _, parts = cut_up(group[by])
+        found = [(k, pack([ids[low:high], size[low:high], sig[low:high], count[low:high]])) for k, low, high in parts]
+        return pa.table([pa.array([k for k, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["bucket", "blob"])
+
+    def choose(key: tuple, table: pa.Table) -> pa.Table:
+        ids, size, sig, count = unpack_all(table.column("blob").to_pylist(), 4)
+        by = np.lexsort((sig, count, ids))  # the rarest first
+        ids, size, sig = ids[by], size[by], sig[by]
+        at = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.empty(0, np.int64)
+        shared = np.diff(np.append(at, len(ids)))
+        use = np.maximum(shared - more(size[at]) + 1, 0)
+        place = np.arange(len(ids)) - np.repeat(at, shared)
+        keep = place < np.repeat(use, shared)
+        cuts = np.concatenate([[0], np.cumsum(use)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(sig[keep]))
+        table = pa.table([pa.array(ids[at]), pa.array(size[at]), lists], names=["id", "n", "sigs"])
+        return table.filter(pa.array(use > 0))
+
+    return rows.mapInArrow(spread, SCHEMA).groupBy("bucket").applyInArrow(meet, SCHEMA).groupBy("bucket").applyInArrow(choose, "id long, n long, sigs array<long>")
 
 
 def _segments(rows: DataFrame, order, shingle: int, fragments: int) -> DataFrame:
@@ -179,6 +212,76 @@ def _linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     return total.where(100 * F.col("both") >= percent * (F.col("un") + F.col("vn") - F.col("both"))).select("u", "v")
 
 
+def _units(tables: Tables, held: DataFrame) -> DataFrame:
+    """(g, i, j, side, id, n, comp): documents of each pair of blocks of each family or list. held: sig, id, n, comp."""
+    size = held.groupBy("sig").agg(F.count("*").alias("m"), F.min("id").alias("hub"))
+    held = tables.put("held", held.join(size, "sig"))
+    family = components(tables, held.select(F.col("id").alias("u"), F.col("hub").alias("v")).distinct())
+    of = tables.put("families", held.join(family.select(F.col("node").alias("id"), F.col("label").alias("f")), "id", "left").withColumn("f", F.coalesce("f", "id")))
+    docs = of.select("f", "id", "n", "comp").distinct()
+    work = docs.groupBy("f").agg(F.count("*").alias("M"), F.sum("n").alias("total")).join(of.groupBy("f").agg(F.sum("m").alias("lists")), "f")
+    whole = work.withColumn("whole", F.col("M") * F.col("M") <= F.col("lists"))
+    one = docs.join(whole.where("whole"), "f").select(F.col("f").alias("g"), F.lit(0).alias("kind"), "id", "n", "comp", "M", "total")
+    each = of.join(whole.where("NOT whole").select("f"), "f", "left_semi").drop("m")
+    counts = each.groupBy("sig").agg(F.count("*").alias("M"), F.sum("n").alias("total"))
+    many = each.join(counts, "sig").select(F.col("sig").alias("g"), F.lit(1).alias("kind"), "id", "n", "comp", "M", "total")
+    blocks = F.greatest(F.ceil(F.col("M") / BLOCK_DOCS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
+    cut = one.unionByName(many).withColumn("k", blocks).withColumn("c", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    spread = cut.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    return spread.select("g", "kind", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), (F.col("c") > F.col("o")).alias("side"), "id", "n", "comp")
+
+
+def _unit_links(units: DataFrame, segments: DataFrame, order, percent: int, fragments: int) -> DataFrame:
+    """(u, v): a spanning forest of the links between the documents of each unit."""
+
+    def count(key: tuple, table: pa.Table) -> pa.Table:
+        ids_all, n_all = np.asarray(table.column("id").combine_chunks()), np.asarray(table.column("n").combine_chunks())
+        ids, first, inverse = np.unique(ids_all, return_index=True, return_inverse=True)
+        n, comp, right = n_all[first], np.asarray(table.column("comp").combine_chunks())[first], np.asarray(table.column("side").combine_chunks())[first]
+        same = key[2].as_py() == key[3].as_py()
+        left_rows, right_rows = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(~right), np.flatnonzero(right))
+        none = pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+        if not len(left_rows) or not len(right_rows):
+            return none
+        place = np.empty(len(ids), np.int64)
+        place[left_rows] = np.arange(len(left_rows))
+        other = np.empty(len(ids), np.int64)
+        other[right_rows] = np.arange(len(right_rows))
+        both = np.zeros((len(left_rows), len(right_rows)), np.float32)
+        fragment = np.asarray(table.column("fragment").combine_chunks())
+        lists = table.column("segment").combine_chunks()
+        lengths = np.diff(np.asarray(lists.offsets))
+        values, owner, of = np.asarray(lists.flatten()), np.repeat(inverse, lengths), np.repeat(fragment, lengths)
+        for f in range(fragments):
+            own = owner[of == f]
+            _, column = np.unique(values[of == f], return_inverse=True)
+            wide = int(column.max()) + 1 if len(column) else 0
+            by = np.argsort(column, kind="stable")
+            own, column = own[by], column[by]
+            for low in range(0, wide, 4096):
+                a, b = np.searchsorted(column, (low, low + 4096))
+                part = np.zeros((len(ids), min(4096, wide - low)), np.float32)
+                part[own[a:b], column[a:b] - low] = 1
+                both += part[left_rows] @ part[right_rows].T
+        linked = (100 * both >= percent * (n[left_rows][:, None] + n[right_rows][None, :] - both)) & (comp[left_rows][:, None] != comp[right_rows][None, :])
+        label, rows, columns = ids.copy(), *np.nonzero(linked)
+        if not len(rows):
+            return none
+        rows, columns = left_rows[rows], right_rows[columns]
+        while True:
+            now = label.copy()
+            np.minimum.at(now, rows, label[columns])
+            np.minimum.at(now, columns, now[rows])
+            if (now == label).all():
+                break
+            label = now
+        far = label != ids
+        return pa.table({"u": pa.array(label[far]), "v": pa.array(ids[far])})
+
+    ready = units.join(segments, "id").select("g", "kind", "i", "j", "side", "id", "n", "comp", "fragment", "segment")
+    return ready.groupBy("g", "kind", "i", "j").applyInArrow(count, "u long, v long").distinct()
+
+
 def classes_and_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, fragments: int = FRAGMENTS) -> tuple[DataFrame, DataFrame | None, int, DataFrame]:
     """Each row's class, the links between classes that join all that can be joined, and (node, label)."""
     spark = docs.sparkSession
@@ -194,55 +297,49 @@ def classes_and_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     least = max(HEAVY_AT_LEAST, size // HEAVY_MOST)  # so at most HEAVY_MOST of them: a proven bound
     heavy = profile.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()
     order = spark.sparkContext.broadcast(Order(np.array([r["id"] for r in heavy], np.int64).view(np.uint64), np.array([r["n"] for r in heavy], np.int64)))
-    buckets = max(1, -(-size * (100 - percent) // 100 // BUCKET_ROWS))
+    buckets = max(1, -(-size * (100 - percent + EXTRA) // 100 // BUCKET_ROWS))
     raw = tables.put("raw", _postings(rows, order, shingle, percent, buckets))
-    lists = tables.put("lists", raw.join(members.select("id", "rep"), "id").select("sig", F.col("rep").alias("id"), "n").distinct())
+    reps = members.where("id = rep").select("id")
+    likely = tables.put("likely", raw.join(reps, "id"))
     tables.free(raw)
-    nodes = lists.select("id").distinct()
-    segments = tables.put("segments", _segments(rows.join(nodes.hint("shuffle_hash"), "id", "left_semi"), order, shingle, fragments))
+    lists = tables.put("lists", likely.select(F.explode("sigs").alias("sig"), "id", "n").withColumn("many", F.count("*").over(Window.partitionBy("sig"))).where("many > 1").drop("many"))
+    nodes = tables.put("nodes", lists.select("id").distinct())
+    tables.free(likely)
+    segments = tables.put("segments", _segments(rows.join(nodes, "id", "left_semi"), order, shingle, fragments))
     forest: DataFrame | None = None
     links: DataFrame | None = None
-    tried: DataFrame | None = None
-    hubs = 0
-    while True:
+
+    def with_components() -> DataFrame:
         if forest is None:
-            held = lists.withColumn("comp", F.col("id"))
-        else:
-            held = lists.join(forest.select(F.col("node").alias("id"), "label"), "id", "left").select("sig", "id", "n", F.coalesce("label", "id").alias("comp"))
-        alive = held.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min_by(F.struct("id", "n", "comp"), "id").alias("h")).where("c0 <> c1")
-        if hubs <= 1:
-            active = held.join(alive.select("sig", "h"), "sig")
-            met = active.select("sig", "id", "n", "comp", F.col("h.id").alias("u"), F.col("h.n").alias("un"), F.col("h.comp").alias("uc"))
-            rest = active.where("id <> h.id").select("sig", "id", "n")
-        else:
-            active = held.join(alive.select("sig"), "sig")
-            first = active.withColumn("k", F.row_number().over(Window.partitionBy("sig").orderBy("id"))).where(F.col("k") <= hubs)
-            met = active.join(first.select("sig", F.col("id").alias("u"), F.col("n").alias("un"), F.col("comp").alias("uc")), "sig")
-            rest = active.join(first.select("sig", "id"), ["sig", "id"], "left_anti").select("sig", "id", "n")
-        met = met.where((F.col("id") != F.col("u")) & (F.col("comp") != F.col("uc")) & (100 * F.least("n", "un") >= percent * F.greatest("n", "un")))
-        pair = met.select(F.least("id", "u").alias("u"), F.greatest("id", "u").alias("v"), F.when(F.col("id") < F.col("u"), F.col("n")).otherwise(F.col("un")).alias("un"), F.when(F.col("id") < F.col("u"), F.col("un")).otherwise(F.col("n")).alias("vn"))
-        pairs = pair.groupBy("u", "v", "un", "vn").agg(F.count("*").alias("shared"))
-        if hubs == 0:
-            pairs = pairs.groupBy("v", "vn").agg(F.max_by(F.struct("u", "un"), F.struct("shared", -F.col("u"))).alias("b")).select("b.u", "v", "b.un", "vn")
-            after = lists
-        else:
-            pairs = pairs.drop("shared")
-            if tried is not None:
-                pairs = pairs.join(tried, ["u", "v"], "left_anti")
-            after = tables.put("lists", rest)
-        pairs = tables.put("pairs", pairs.select("u", "v", "un", "vn"))
-        if not pairs.isEmpty():
-            new = tables.put("links", _linked(pairs, segments, percent))
+            return lists.withColumn("comp", F.col("id"))
+        return lists.join(forest.select(F.col("node").alias("id"), "label"), "id", "left").select("sig", "id", "n", F.coalesce("label", "id").alias("comp"))
+
+    def add(new: DataFrame) -> None:
+        nonlocal forest, links
+        new = tables.put("links", new)
+        if not new.isEmpty():
             links = new if links is None else links.unionByName(new)
-            now = pairs.select("u", "v")
-            tried = now if tried is None else tried.unionByName(now)
             edges = new if forest is None else new.unionByName(forest.select(F.col("node").alias("u"), F.col("label").alias("v")))
             forest = components(tables, edges)
-        if hubs:
-            lists = after
-            if lists.isEmpty():
-                break
-        hubs = 1 if hubs == 0 else hubs * 8
+
+    for every in (False, True):
+        held = with_components()
+        alive = held.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min_by(F.struct("id", "n", "comp"), "id").alias("h")).where("c0 <> c1")
+        met = held.join(alive.select(F.col("sig").alias("s"), F.col("h.id").alias("u"), F.col("h.n").alias("un"), F.col("h.comp").alias("uc")), (F.col("sig") == F.col("s")) & (F.col("comp") != F.col("uc")) & (100 * F.least("n", "un") >= percent * F.greatest("n", "un")))
+        pairs = met.groupBy("u", F.col("id").alias("v"), "un", F.col("n").alias("vn")).agg(F.count("*").alias("shared"))
+        if not every:
+            pairs = pairs.groupBy("v", "vn").agg(F.max_by(F.struct("u", "un"), F.struct("shared", -F.col("u"))).alias("b")).select("b.u", "v", "b.un", "vn")
+        pairs = tables.put("pairs", pairs.select("u", "v", "un", "vn"))
+        add(_linked(pairs, segments, percent))
+        held = with_components()
+        alive = held.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("id").alias("hub")).where("c0 <> c1").select("sig", "hub")
+        left = held.join(alive, "sig")
+        if every:
+            left = left.where("id <> hub")  # a hub has met its list
+        before, lists = lists, tables.put("lists", left.select("sig", "id", "n"))
+        tables.free(before)
+    if not lists.isEmpty():
+        add(_unit_links(_units(tables, with_components()), segments, order, percent, fragments))
     tables.free(segments)
     tables.free(profile)
     return members, links, spread, forest
