@@ -46,8 +46,10 @@ def unpack_all(blobs: list[bytes], width: int) -> list[np.ndarray]:
 def cut_up(keys: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """A stable order by key, and (key, low, high) of each key's part of it."""
     order = np.argsort(keys, kind="stable")
+    if not len(keys):
+        return order, []
     ordered = keys[order]
-    at = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(keys) else np.empty(0, np.int64)
+    at = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     return order, list(zip(ordered[at].tolist(), at.tolist(), np.append(at[1:], len(keys)).tolist(), strict=True))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandmill.llm import bpe, chat, decontaminate, jaccard, licences, repetition, suffixes, urls
+from strandmill.llm import bpe, chat, decontaminate, jaccard, language, licences, perplexity, repetition, suffixes, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": urls.op1_url_filter,
@@ -16,6 +16,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": repetition.op5_quality_rules,
     "op6_jaccard_join": jaccard.op6_jaccard_join,
     "op7_bpe": bpe.op7_bpe,
+    "op8_language_id": language.op8_language_id,
+    "op9_quality_classifier": perplexity.op9_quality_classifier,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
