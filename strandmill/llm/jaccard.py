@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 
 from strandmill.llm.packing import SCHEMA, cut_up, emit, pack, unpack_all
 from strandmill.llm.shared import Tables, components, numbered
-from strandmill.llm.textarrays import LOWER, SPACED, Slice, mix, slices, windows_of, words_of
+from strandmill.llm.textarrays import LOWER, SPACED, Slice, mix, slices, trim, windows_of, words_of
 
 SHINGLE = 5
 PERCENT = 80
@@ -151,6 +151,7 @@ def _postings(rows: DataFrame, order, shingle: int, percent: int, buckets: int)
             sig, of, key, heavy = sig[by].view(np.int64), of[by], key[by], heavy[by].astype(np.int64)
             _, parts = cut_up(key)
             yield from emit([(k, pack([sig[low:high], ids[of[low:high]], size[of[low:high]], heavy[low:high]])) for k, low, high in parts])
+        trim()
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
         sig, ids, size, count = unpack_all(table.column("blob").to_pylist(), 4)
@@ -167,6 +168,8 @@ def _postings(rows: DataFrame, order, shingle: int, percent: int, buckets: int)
         sig, ids, size, count = (x[by] for x in (sig, ids, size, count))
         _, parts = cut_up(group[by])
         found = [(k, pack([ids[low:high], size[low:high], sig[low:high], count[low:high]])) for k, low, high in parts]
+        del sig, ids, size, count, by
+        trim()
         return pa.table([pa.array([k for k, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["bucket", "blob"])
 
     def choose(key: tuple, table: pa.Table) -> pa.Table:

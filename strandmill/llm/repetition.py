@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm.textarrays import BYTE_CODE, SPACED, Slice, Words, mix, prefix_hash, slices, span_hash, sums, words_of
+from strandmill.llm.textarrays import BYTE_CODE, SPACED, Slice, Words, mix, prefix_hash, slices, span_hash, sums, trim, words_of
 
 MIN_WORDS = 10
 BASE_WINDOW = 5
@@ -151,6 +151,7 @@ def keep_clean(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col):
             yield part.rows.filter(pa.array(judge(part)["kept"]))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from strandmill.llm.packing import SCHEMA, cut_up, emit, pack, unpack
 from strandmill.llm.shared import Tables, numbered
-from strandmill.llm.textarrays import BYTE_CODE, Slice, covered, mix, prefix_hash, runs, slices, span_hash, text_arrays, window_hash
+from strandmill.llm.textarrays import BYTE_CODE, Slice, covered, mix, prefix_hash, runs, slices, span_hash, text_arrays, trim, window_hash
 
 THRESHOLD = 50
 GRAM = 12
@@ -130,7 +130,7 @@ def repeated_windows(prefix: np.ndarray, data: np.ndarray, starts: np.ndarray, i
     alive = np.arange(len(starts))
     group = np.zeros(len(starts), np.uint64)
     for low, high in ((0, digit), (digit, threshold)):
-        group = mix(group * np.uint64(3) + window_hash(prefix, high - low)[starts[alive] + low])
+        group = mix(group * np.uint64(3) + span_hash(prefix, starts[alive] + low, starts[alive] + high))
         some = _tied(group)
         alive, group = alive[some], group[some]
         if not len(alive):
@@ -234,6 +234,7 @@ def repeats(rows: DataFrame, spread: int, groups: int, *, threshold: int, gram:
                 ends = np.concatenate([[0], np.cumsum(count + threshold - 1)])
                 for k in range(0, len(parts), 512):
                     yield from emit([(of, pack([ids[a:b], place[a:b], count[a:b]], strings[ends[a] : ends[b]])) for of, a, b in parts[k : k + 512]])
+        trim()
 
     def settle(key: tuple, table: pa.Table) -> pa.Table:
         blobs = table.column("blob").to_pylist()
@@ -259,6 +260,8 @@ def repeats(rows: DataFrame, spread: int, groups: int, *, threshold: int, gram:
             b = np.flatnonzero(flags & (fresh[1:] | ~np.concatenate([flags[1:], [False]]))) + 1
             of = np.searchsorted(first, a, "right") - 1
             found += back(ids[of], place[of] + a - first[of], b - a)
+            del prefix, data, windows, flags
+            trim()
         return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([b for _, b in found], pa.binary())], names=["bucket", "blob"])
 
     return rows.where("id IS NOT NULL").mapInArrow(spread_out, SCHEMA).groupBy("bucket").applyInArrow(settle, SCHEMA)

@@ -8,12 +8,18 @@ does not depend on how many rows an Arrow batch holds. A null text is an empty t
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # not glibc: nothing to trim
+    _libc = None
+
 U64 = np.uint64
 SLICE_BYTES = 2 << 20
 
@@ -36,16 +42,25 @@ def _power(kind: str, n: int) -> np.ndarray:
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     x = x ^ (x >> U64(32))
-    x = x * U64(0xD6E8FEB86659FD93)
-    x = x ^ (x >> U64(29))
-    x = x * U64(0xD6E8FEB86659FD93)
-    return x ^ (x >> U64(32))
+    x *= U64(0xD6E8FEB86659FD93)
+    x ^= x >> U64(29)
+    x *= U64(0xD6E8FEB86659FD93)
+    x ^= x >> U64(32)
+    return x
+
+
+def trim() -> None:
+    """Gives memory that arrays have left back to the system; a worker that waits then holds little."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
 
 
 def prefix_hash(codes: np.ndarray) -> np.ndarray:
     """Running polynomial sums, from which `span_hash` takes the hash of any span."""
     out = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(codes * _power("up", len(codes)), out=out[1:])
+    np.multiply(codes, _power("up", len(codes)), out=out[1:])
+    np.cumsum(out[1:], out=out[1:])
     return out
 
 
@@ -59,7 +74,10 @@ def window_hash(prefix: np.ndarray, length: int) -> np.ndarray:
     n = len(prefix) - length
     if n <= 0:
         return np.empty(0, np.uint64)
-    return mix((prefix[length:] - prefix[:n]) * _power("down", n) + U64(length * 0xA0761D6478BD642F % 2**64))
+    out = prefix[length:] - prefix[:n]
+    out *= _power("down", n)
+    out += U64(length * 0xA0761D6478BD642F % 2**64)
+    return mix(out)
 
 
 @dataclass
