@@ -626,3 +626,58 @@ def usage_session(spark, sf_dir):
     from strandmill.streaming import usage
 
     return usage.sessions(usage.events(spark, sf_dir), "6 hours")
+
+
+# ---- note building: serial folds and ordered rules, held against plain Python in the tests
+
+
+@query()
+def graph_memory_fold(spark, sf_dir):
+    """Notes of every conversation, built turn by turn by a deterministic model."""
+    from strandmill.operators import construct
+
+    turns = _turns(spark, sf_dir)[0]
+    notes = construct.enriched(construct.build_notes(turns, construct.rule_model), turns)
+    return notes.select("sample_id", "record_id", "pos", "context", F.array_join("keywords", ",").alias("keywords"), F.array_join("tags", ",").alias("tags"), F.array_join("links", ",").alias("links"), "completions", "failures", "speaker")
+
+
+@query()
+def graph_memory_qa(spark, sf_dir):
+    """Questions over built notes: ranked, expanded by one hop, context in graph form, answered and scored."""
+    from strandmill.operators import construct
+
+    turns, _, q = _turns(spark, sf_dir)
+    notes = construct.build_notes(turns, construct.rule_model)
+    items = retrieve(q, notes.select("sample_id", "record_id", "pos", "text"), [Stage("bm25", 2)]).candidates
+    both = graph.expand(items, notes.select("sample_id", "record_id", F.posexplode("links").alias("link_pos", "target_id")), notes)
+    lines = context.graph_lines(F.lit(""), F.col("text"), F.col("context"), F.col("keywords"), F.col("tags"))
+    ctx = context.joined(both.join(notes.drop("sample_id"), "record_id"), lines)
+    return q.join(ctx, "question_id").select("question_id", "context_text", F.array_join("item_ids", ",").alias("item_ids"), F.round(metrics.f1(F.col("context_text"), F.col("reference")), 6).alias("f1"))
+
+
+@query()
+def keyword_pruning(spark, sf_dir):
+    from strandmill.functions import keywords
+
+    turns = _turns(spark, sf_dir)[0]
+    given = F.slice(F.split("text", " "), 1, 12)
+    return turns.select("turn_id", *(F.array_join(keywords.pruned(F.col("text"), given, m), ",").alias(m) for m in ("none", "simple", "nltk")))
+
+
+@query()
+def porter_stems(spark, sf_dir):
+    from strandmill.functions import keywords
+
+    words = _turns(spark, sf_dir)[0].select(F.explode(text.ascii_tokens(F.col("text"))).alias("word")).distinct()
+    return words.select("word", keywords.stemmed(F.col("word")).alias("stem"))
+
+
+@query()
+def parsed_completions(spark, sf_dir):
+    from strandmill.functions import keywords
+
+    turns = _turns(spark, sf_dir)[0]
+    reply = F.concat(F.lit("KEYWORDS: "), F.array_join(F.slice(F.split("text", " "), 1, 3), ", "), F.lit("\nCONTEXT: "), F.substring("text", 1, 40), F.lit("\nTAGS: one, two"))
+    choice = F.concat(F.lit("DECISION: "), F.element_at(F.array(F.lit("strengthen"), F.lit("NO EVOLUTION"), F.lit("maybe update")), (F.col("turn_pos") % 3 + 1).cast("int")), F.lit("\nREASON: r"))
+    out = turns.select("turn_id", keywords.analysed(reply, F.col("text")).alias("a"), keywords.decided(choice).alias("d"))
+    return out.select("turn_id", F.array_join("a.keywords", ",").alias("keywords"), "a.context", F.array_join("a.tags", ",").alias("tags"), "d.decision", "d.reason")
