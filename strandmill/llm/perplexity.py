@@ -42,6 +42,7 @@ FEWEST = 20
 SLICE = 4 << 20
 SHARD_BYTES = 16 << 20
 SALT_BYTES = 1 << 30
+FILTER_BITS = 23
 SCALE = 1024.0  # answers are whole numbers of 1/1024 nat
 _MIDDLE = np.uint64(8)
 
@@ -141,6 +142,45 @@ class Shard:
         return np.log(np.maximum(p, 1e-12))
 
 
+def _bits_of(ids: np.ndarray) -> list[np.ndarray]:
+    """Places of an id in a filter of 2**FILTER_BITS bits."""
+    mixed = mix(ids.view(np.uint64))
+    return [(mixed >> np.uint64(20 * k) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64) for k in range(3)]
+
+
+def likely(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows whose id may be among the ids: a Bloom filter of a fixed size, so the join after it shuffles few other texts."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << FILTER_BITS, bool)
+        for batch in batches:
+            for places in _bits_of(np.asarray(batch.column(0))):
+                bits[places] = True
+        for k, part in enumerate(np.packbits(bits).reshape(16, -1)):
+            if part.any():
+                yield pa.record_batch([pa.array([k]), pa.array([part.tobytes()], pa.binary())], names=["part", "bits"])
+
+    def either(key: tuple, table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(b, np.uint8) for b in table.column("bits").to_pylist()]
+        return pa.table([pa.array([key[0].as_py()]), pa.array([np.bitwise_or.reduce(parts).tobytes()], pa.binary())], names=["part", "bits"])
+
+    schema = "part long, bits binary"
+    whole = np.zeros((16, 1 << FILTER_BITS >> 7), np.uint8)
+    for r in ids.mapInArrow(mark, schema).groupBy("part").applyInArrow(either, schema).collect():
+        whole[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    known = docs.sparkSession.sparkContext.broadcast(np.unpackbits(whole.reshape(-1)).astype(bool))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(0)
+            there = np.asarray(column.is_valid())
+            for places in _bits_of(np.asarray(column.fill_null(0))):
+                there = there & known.value[places]
+            yield batch.filter(pa.array(there))
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(keep, "doc_id long, text string")
+
+
 def _packed(rows: DataFrame) -> DataFrame:
     """(slice, blob): the rows of each slice, compressed."""
 
@@ -149,7 +189,7 @@ def _packed(rows: DataFrame) -> DataFrame:
         place = (task.partitionId() if task else 0) << 32
         for k, part in enumerate(slices(batches, max_bytes=SLICE)):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, part.rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, part.rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
                 out.write_batch(part.rows)
             yield pa.record_batch([pa.array([place + k]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["slice", "blob"])
 
@@ -209,12 +249,12 @@ def _small(counts: DataFrame) -> Small:
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, lang, n_grams and perplexity of each row. trusted: rows whose texts train the model."""
+    """doc_id, lang, n_grams and perplexity of each row. trusted: rows whose `text` trains the model."""
     spark = docs.sparkSession
     tables = Tables(spark, "perplexity")
     total = docs.agg(F.sum(F.octet_length(F.col(text_col))).alias("b")).first()["b"] or 0
     shards, salts = max(1, min(4096, -(-total // SHARD_BYTES))), max(1, -(-total // SALT_BYTES))
-    counts = tables.put("counts", _count(trusted.select(F.col(text_col).alias("text")), shards))
+    counts = tables.put("counts", _count(trusted.select("text"), shards))
     small = spark.sparkContext.broadcast(_small(counts))
     packed = tables.put("packed", _packed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))))
 
@@ -265,16 +305,17 @@ def perplexities(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id",
 
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """doc_id, lang, n_grams, perplexity, limit and kept. labels: doc_id, quality, toxic; trusted are those of quality 1 that aren't toxic."""
-    ids = labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_trusted")).distinct()
-    trusted = docs.join(ids, F.col(id_col) == F.col("_trusted"), "left_semi")
-    if trusted.isEmpty():
+    ids = labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_trusted")).distinct()
+    # The same join at every size: neither side's size is bounded.
+    trusted = likely(docs, ids, id_col, text_col).join(ids.hint("merge"), F.col("doc_id") == F.col("_trusted"), "left_semi")
+    if ids.isEmpty():
         none = F.lit(None).cast("double")
         return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.lit(0).cast("long").alias("n_grams"), none.alias("perplexity"), none.alias("limit"), F.lit(True).alias("kept"))
     tables = Tables(docs.sparkSession, "classify")
     scored = tables.put("scored", perplexities(docs, trusted, id_col=id_col, text_col=text_col, lang_col=lang_col))
     known = scored.join(ids, F.col("doc_id") == F.col("_trusted"), "left_semi").where("perplexity IS NOT NULL")
     limit = F.percentile_approx("perplexity", quantile, 10000) * margin
-    by_lang = known.groupBy(F.col("lang").alias("l")).agg(limit.alias("own"), F.count("*").alias("n")).where(F.col("n") >= FEWEST).select("l", "own")
+    by_lang = tables.put("limits", known.groupBy(F.col("lang").alias("l")).agg(limit.alias("own"), F.count("*").alias("n")).where(F.col("n") >= FEWEST).select("l", "own"))
     overall = known.agg(limit.alias("all")).first()["all"]
     out = scored.join(by_lang, F.col("lang") == F.col("l"), "left")
     limits = F.coalesce("own", F.lit(overall).cast("double"))
