@@ -368,8 +368,8 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """The input's rows without those that belong to a component and aren't its least id. Rows of one id stay together;
     a row with a null id stays."""
     found = link_components(docs, id_col=id_col, text_col=text_col, **options)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, docs[id_col].cast("long") == gone["gone"], "left_anti")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

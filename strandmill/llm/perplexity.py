@@ -189,7 +189,7 @@ def _packed(rows: DataFrame) -> DataFrame:
         place = (task.partitionId() if task else 0) << 32
         for k, part in enumerate(slices(batches, max_bytes=SLICE)):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, part.rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
+            with pa.ipc.new_stream(sink, part.rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))) as out:
                 out.write_batch(part.rows)
             yield pa.record_batch([pa.array([place + k]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["slice", "blob"])
 

@@ -334,11 +334,12 @@ def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", th
 
 def cut(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, gram: int = GRAM, bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
     """The input's rows with repeats cut from their texts; characters cut in part go too, and rows that lose their whole text."""
-    names = docs.columns
+    # Columns go by place, so their names can't clash with ours.
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    place, key, width = docs.columns.index(text_col), docs.columns.index(id_col), len(docs.columns)
 
     def make(batch: pa.RecordBatch, offsets: np.ndarray, data: np.ndarray, gone: np.ndarray) -> pa.RecordBatch:
-        place = batch.schema.get_field_index(text_col)
-        rows = batch.select(list(range(len(names))))
+        rows = batch.select(list(range(width)))
         total = np.concatenate([[0], np.cumsum(gone)])
         removed = total[offsets[1:]] - total[offsets[:-1]]
         if not removed.any():
@@ -350,7 +351,8 @@ def cut(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", thre
         keep = (removed == 0) | (removed < np.diff(offsets))
         return rows.set_column(place, rows.schema.field(place), pa.array(texts, rows.schema.field(place).type)).filter(pa.array(keep))
 
-    return _cut_texts(docs, id_col, text_col, docs.schema, make, threshold=threshold, gram=gram, bucket_windows=bucket_windows)
+    out = _cut_texts(plain, f"c{key}", f"c{place}", plain.schema, make, threshold=threshold, gram=gram, bucket_windows=bucket_windows)
+    return out.toDF(*docs.columns)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
