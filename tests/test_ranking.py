@@ -43,7 +43,7 @@ def test_encoder_and_pair_stages(spark, store):
     records, questions = store
     encode = lambda t: F.array(F.length(t).cast("double"), F.lit(1.0))
     plan = retrieve(questions, records, [Stage("embedding", 2, params={"encode": encode}), Stage("cross_encoder", 1, params={"score": lambda q, t: F.length(t).cast("double")})])
-    assert [r["record_id"] for r in plan.candidates.collect()] == ["long"]
+    assert [r["record_id"] for r in plan.candidates.collect()] == ["focused"]
 
 
 def test_expansion(spark):
