@@ -33,13 +33,13 @@ from pyspark.sql import functions as F
 from strandmill.llm.language import summed
 from strandmill.llm.packing import cut_up, pack, unpack, unpack_all
 from strandmill.llm.shared import Tables
-from strandmill.llm.textarrays import Slice, mix, slices
+from strandmill.llm.textarrays import Slice, mix, slices, trim
 
 ORDER = 5
 QUANTILE = 0.99
 MARGIN = 1.5  # trusted texts trained the model, so unseen clean texts cost a little more
 FEWEST = 20
-SLICE = 4 << 20
+SLICE = 3 << 20
 SHARD_BYTES = 16 << 20
 SALT_BYTES = 1 << 30
 FILTER_BITS = 23
@@ -189,9 +189,10 @@ def _packed(rows: DataFrame) -> DataFrame:
         place = (task.partitionId() if task else 0) << 32
         for k, part in enumerate(slices(batches, max_bytes=SLICE)):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, part.rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))) as out:
+            with pa.ipc.new_stream(sink, part.rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
                 out.write_batch(part.rows)
             yield pa.record_batch([pa.array([place + k]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["slice", "blob"])
+        trim()
 
     return rows.mapInArrow(run, "slice long, blob binary")
 
@@ -220,6 +221,7 @@ def _count(trusted: DataFrame, shards: int) -> DataFrame:
                 yield from out(grams, n)
                 grams, n = grams[:0], n[:0]
         yield from out(grams, n)
+        trim()
 
     def total(key: tuple, table: pa.Table) -> pa.Table:
         grams, n = summed(*unpack_all(table.column("blob").to_pylist(), 2))
@@ -266,6 +268,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id",
                 salt = int(mix(np.array([name], np.uint64))[0] % np.uint64(salts))
                 for k, a, b in parts:
                     yield pa.record_batch([pa.array([k]), pa.array([salt]), pa.array([name], pa.int64()), pa.array([pack([codes[order[a:b]]])], pa.binary())], names=["shard", "salt", "slice", "blob"])
+        trim()
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
         names, blobs = table.column("slice").to_pylist(), table.column("blob").to_pylist()
@@ -297,6 +300,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id",
             n = np.diff(cuts)
             mean = (run[cuts[1:]] - run[cuts[:-1]]) / np.maximum(n, 1)
             out.append(pa.table([part.column("doc_id"), part.column("lang"), pa.array(n), pa.array(np.exp(mean), mask=n == 0)], names=["doc_id", "lang", "n_grams", "perplexity"]))
+        trim()
         return pa.concat_tables(out)
 
     schema = "doc_id long, lang string, n_grams long, perplexity double"
