@@ -33,7 +33,8 @@ def ranked(scored: DataFrame, k: int | None, *order: Column, by: str = "question
 def postings(records: DataFrame, keys: list[str], tokenise: Callable[[Column], Column] = tokens, text: str = "text") -> DataFrame:
     """keys, term, tf, dl: the terms of each record and its length in tokens."""
     split = records.select(*keys, tokenise(F.col(text)).alias("_t")).select(*keys, "_t", F.size("_t").alias("dl"))
-    return split.select(*keys, "dl", F.explode("_t").alias("term")).groupBy(*keys, "term", "dl").agg(F.count("*").alias("tf"))
+    # explode() would make the optimiser tokenise once more, for a filter on the array's size.
+    return split.select(*keys, "dl", F.explode_outer("_t").alias("term")).where("term IS NOT NULL").groupBy(*keys, "term", "dl").agg(F.count("*").alias("tf"))
 
 
 def bm25(questions: DataFrame, records: DataFrame, *, scope: list[str], query: str = "query", text: str = "text", tokenise: Callable[[Column], Column] = tokens, okapi: bool = False, keep_zero: bool = True) -> DataFrame:
