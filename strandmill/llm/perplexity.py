@@ -14,14 +14,15 @@ over tasks. What is gathered from the corpus grows with the trusted text; nothin
 A document is kept if its perplexity is at most the `QUANTILE` quantile of the trusted documents of its language times
 `MARGIN` (of all trusted documents, where a language has fewer than `FEWEST`).
 
-Defined results: a null text and one of fewer than 5 bytes have no perplexity and are kept (there is no evidence against
-them); without trusted text there is no model and all are kept; rows with a null id are scored and
+Defined results: a null text and one of fewer than 5 bytes have no perplexity; they and texts of fewer than `FEWEST_GRAMS` 5-grams are kept
+(there is too little against them); without trusted text there is no model and all are kept; rows with a null id are scored and
 are never trusted; repeated rows get equal results; ids repeated in the labels count once; an empty table gives no rows. Only the
 columns named are read.
 """
 
 from __future__ import annotations
 
+import bz2
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,8 @@ ORDER = 5
 QUANTILE = 0.99
 MARGIN = 1.5  # trusted texts trained the model, so unseen clean texts cost a little more
 FEWEST = 20
-SLICE = 3 << 20
+FEWEST_GRAMS = 10
+SLICE = 3600 << 10  # four blocks of bz2, which packs text best: the packed texts are most of the disk used
 SHARD_BYTES = 16 << 20
 SALT_BYTES = 1 << 30
 FILTER_BITS = 23
@@ -189,16 +191,16 @@ def _packed(rows: DataFrame) -> DataFrame:
         place = (task.partitionId() if task else 0) << 32
         for k, part in enumerate(slices(batches, max_bytes=SLICE)):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, part.rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
+            with pa.ipc.new_stream(sink, part.rows.schema) as out:
                 out.write_batch(part.rows)
-            yield pa.record_batch([pa.array([place + k]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["slice", "blob"])
+            yield pa.record_batch([pa.array([place + k]), pa.array([bz2.compress(sink.getvalue())], pa.binary())], names=["slice", "blob"])
         trim()
 
     return rows.mapInArrow(run, "slice long, blob binary")
 
 
 def _open(blob: bytes) -> Slice:
-    batch = pa.ipc.open_stream(blob).read_all().combine_chunks().to_batches()[0]
+    batch = pa.ipc.open_stream(bz2.decompress(blob)).read_all().combine_chunks().to_batches()[0]
     (part,) = slices([batch], max_bytes=1 << 40)
     return part
 
@@ -323,7 +325,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     overall = known.agg(limit.alias("all")).first()["all"]
     out = scored.join(by_lang, F.col("lang") == F.col("l"), "left")
     limits = F.coalesce("own", F.lit(overall).cast("double"))
-    return out.select("doc_id", "lang", "n_grams", "perplexity", limits.alias("limit"), F.coalesce(F.col("perplexity") <= limits, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "lang", "n_grams", "perplexity", limits.alias("limit"), F.coalesce((F.col("perplexity") <= limits) | (F.col("n_grams") < FEWEST_GRAMS), F.lit(True)).alias("kept"))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
