@@ -10,9 +10,11 @@ from __future__ import annotations
 import json
 import math
 import re
+import time
 import uuid
 from collections import Counter
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
@@ -101,6 +103,14 @@ class Fold:
         self.evolved = 0
         self.usage: list[dict[str, int]] = []
         self.failures = 0
+        self.seconds: list[tuple[str, float]] = []  # of each stage of each note; see operators.analytics.timing
+
+    @contextmanager
+    def _timed(self, stage: str) -> Iterator[None]:
+        """Seconds of a stage that ends well."""
+        began = time.perf_counter()
+        yield
+        self.seconds.append((stage, time.perf_counter() - began))
 
     def _ask(self, prompt: str, temperature: float = 0.7) -> str:
         reply = str(self.complete(prompt, temperature))
@@ -147,11 +157,14 @@ class Fold:
 
     def add(self, content: str, timestamp: str | None = None, record_id: str | None = None) -> Note:
         """Construct, connect, evolve, store. A failure after construction keeps the note with what was changed so far."""
-        note, kind = self._make(content, timestamp, record_id), parsers.DECISIONS[0]
+        with self._timed("construction"):
+            note, kind = self._make(content, timestamp, record_id), parsers.DECISIONS[0]
         try:
-            shown, places, kind = self._connect(note)
+            with self._timed("links"):
+                shown, places, kind = self._connect(note)
             if kind in ("UPDATE_NEIGHBOR", "STRENGTHEN_AND_UPDATE"):
-                self._evolve(note, shown, places)
+                with self._timed("evolution"):
+                    self._evolve(note, shown, places)
         except Exception:  # noqa: BLE001
             self.failures += 1
             kind = parsers.DECISIONS[0]
@@ -164,6 +177,24 @@ class Fold:
                 self.consolidate()
         return note
 
+    def reprocess(self, record_id: str) -> bool:
+        """Connects and evolves a note that is there already; whether it evolved. A failure leaves it as it is then."""
+        note = self.notes[record_id]
+        try:
+            shown, places, kind = self._connect(note)
+            if kind in ("UPDATE_NEIGHBOR", "STRENGTHEN_AND_UPDATE"):
+                self._evolve(note, shown, places)
+        except Exception:  # noqa: BLE001
+            self.failures += 1
+            return False
+        return kind != parsers.DECISIONS[0]
+
+    def related(self, query: str, k: int = NEIGHBOURS) -> str:
+        """The nearest notes with up to k + 1 of each one's links after it, as text."""
+        held = list(self.notes.values())
+        show = lambda n: f"talk start time:{n.timestamp}memory content: {n.content}memory context: {n.context}memory keywords: {n.keywords}memory tags: {n.tags}\n"
+        return "".join(show(held[q]) for p in self.neighbours(query, k)[1] for q in [p, *held[p].links[: k + 1]])
+
     def consolidate(self) -> None:
         """The index anew from the notes as they are."""
         self.documents = [n.document() for n in self.notes.values()]

@@ -270,6 +270,29 @@ def hybrid_minmax_topk(spark, sf_dir):
     return ranking.hybrid_topk(texts, ranking.cosine_topk(queries, records, None), 5).select("question_id", "record_id", "rank", r6("score"))
 
 
+_ENCODED = f"""x AS (SELECT q.question_id, r.record_id, [length(question)::DOUBLE, len({S.tokens('question')})::DOUBLE, 1.0::DOUBLE] AS a, [length(r.text)::DOUBLE, len({S.tokens('r.text')})::DOUBLE, 1.0::DOUBLE] AS b, question, r.text FROM questions q JOIN records r USING (sample_id))"""
+
+
+def _encode(column):
+    """A small encoder that SQL can repeat: characters, tokens and a constant."""
+    return F.array(F.length(column).cast("double"), F.size(text.tokens(column)).cast("double"), F.lit(1.0))
+
+
+@query(f"""WITH {S.TURNS}, {_ENCODED}, c AS (SELECT question_id, record_id, round(list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))), 9) AS score FROM x), t AS ({S.topk('c', 3)})
+SELECT question_id, record_id, rank, round(score, 6) AS score FROM t""")
+def embedding_stage(spark, sf_dir):
+    _, records, q = _turns(spark, sf_dir)
+    return traces(retrieve(q, records, [Stage("embedding", 3, params={"encode": _encode})])).select("question_id", "record_id", "rank", r6("score"))
+
+
+@query(f"""WITH {S.TURNS}, {_ASKED}, {S.bm25('b', 'asked', 'records', 'sample_id')}, t AS ({S.topk('b', 4)}),
+p AS (SELECT t.question_id, t.record_id, round({S.f1('q.question', 'r.text')}, 9) AS score FROM t JOIN questions q USING (question_id) JOIN records r ON r.record_id = t.record_id), u AS ({S.topk('p', 2)})
+SELECT question_id, record_id, rank, round(score, 6) AS score FROM u""")
+def cross_encoder_stage(spark, sf_dir):
+    _, records, q = _turns(spark, sf_dir)
+    return traces(retrieve(q, records, [Stage("bm25", 4), Stage("cross_encoder", 2, params={"score": metrics.f1})])).where("stage_index = 1").select("question_id", "record_id", "rank", r6("score"))
+
+
 # ---- contexts, prompts, answers, metrics
 
 

@@ -90,6 +90,16 @@ def test_fold_and_its_state():
     assert [r[1] for r in rows] == ["m0", "m1"] and rows[1][8] == ["m0"] and rows[1][7] == ["travel", "taipei"] and rows[0][9] == 4
 
 
+def test_existing_notes_and_views_of_them():
+    fold = construct.Fold(construct.rule_model("s"))
+    for k in range(4):
+        fold.add(f"word{k} shared text here", "t", f"n{k}")
+    assert {s for s, _ in fold.seconds} <= {"construction", "links", "evolution"} and len([1 for s, _ in fold.seconds if s == "construction"]) == 4
+    assert isinstance(fold.reprocess("n1"), bool) and fold.related("shared", 2).count("memory content") >= 2
+    broken = construct.Fold(construct.scripted([])).load(fold.to_json())
+    assert broken.reprocess("n1") is False and broken.failures == fold.failures + 1
+
+
 def test_failures_leave_guesses():
     fold = construct.Fold(construct.scripted([]))
     note = fold.add("Paris trip. More.", "t", "n")

@@ -58,3 +58,15 @@ def test_bm25_plan_joins_by_key_and_limits_by_group(spark, store):
     records, questions = store
     plan = retrieve(questions, records, [Stage("bm25", 2)]).candidates._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_indexes_as_tables(spark, store, tmp_path):
+    from strandmill.sources import indexes
+
+    records, _ = store
+    indexes.save_text_index(records, str(tmp_path))
+    indexes.save_vector_index(records.selectExpr("sample_id", "record_id", "array(1d) as vector"), str(tmp_path))
+    assert {(r["record_id"], r["tf"]) for r in indexes.load_index(spark, str(tmp_path), "postings").where("term = 'museum'").collect()} == {("long", 20), ("focused", 1)}
+    assert indexes.load_index(spark, str(tmp_path), "vectors").count() == 3
+    with pytest.raises(ValueError, match="pickle"):
+        indexes.load_index(spark, str(tmp_path), "pickle")

@@ -73,6 +73,11 @@ def test_sections_and_decisions():
     assert parsers.field_or_text('```json\n{"answer": 7}\n```', "answer") == "7"
 
 
+def test_objects():
+    assert parsers.outer_object('so: {"a": 1} end') == {"a": 1} and parsers.outer_object("none") == {}
+    assert parsers.empty_object({"properties": {"k": {"type": "array"}, "s": {"type": "string"}, "n": {"type": "number"}, "x": {"type": "other"}}}) == {"k": [], "s": "", "n": 0, "x": None}
+
+
 def test_pruning():
     content = "Alice says the painting exhibition in Taipei was great. Painting again today."
     given = ["Painting exhibition", "painting", "great", "Alice says", "unicorn", "Taipei"]
