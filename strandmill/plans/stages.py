@@ -102,11 +102,12 @@ def retrieve(questions: DataFrame, records: DataFrame, stages: list[Stage]) -> P
     start = start.withColumn("rank", F.row_number().over(ranking.Window.partitionBy("question_id").orderBy("pos"))).select("sample_id", "question_id", "record_id", "rank")
     plan = Plan(start, asked, [], records)
     for k, stage in enumerate(stages):
-        before = plan.candidates
         out = STAGES[stage.adapter](plan, stage)
         shown = plan.asked.select("question_id", "query") if stage.adapter == "query_transform" else _asked(plan, stage).select("question_id", "query")
         plan.traces.append(out.join(shown, "question_id").select("question_id", F.lit(k).alias("stage_index"), F.lit(stage.adapter).alias("adapter"), "query", "rank", "record_id", "score"))
-        plan.candidates = before.drop("rank").join(out.select("question_id", "record_id", "rank"), ["question_id", "record_id"]) if stage.adapter not in ("limit", "query_transform") else out.drop("score")
+        if "sample_id" not in out.columns:
+            out = out.join(asked.select("question_id", "sample_id"), "question_id")
+        plan.candidates = out.select("sample_id", "question_id", "record_id", "rank")
         plan.first = plan.first and stage.adapter == "query_transform"
     return plan
 
