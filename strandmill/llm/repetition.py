@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm.textarrays import BYTE_CODE, SPACED, Slice, Words, mix, prefix_hash, slices, span_hash, sums, trim, words_of
+from strandmill.llm.textarrays import SPACED, Slice, Words, mix, prefix_hash, slices, span_hash, sums, trim, words_of
 
 MIN_WORDS = 10
 BASE_WINDOW = 5
@@ -105,7 +105,7 @@ def _duplicate_lines(part: Slice) -> np.ndarray:
     worded = filled[stops] > filled[starts]
     starts, stops = starts[worded], stops[worded]
     owner = np.searchsorted(part.offsets, starts, "right") - 1
-    keys = mix(span_hash(prefix_hash(BYTE_CODE[part.data]), starts, stops) ^ mix(owner.astype(np.uint64) + np.uint64(1)))
+    keys = mix(span_hash(prefix_hash(part.data), starts, stops) ^ mix(owner.astype(np.uint64) + np.uint64(1)))
     order = np.argsort(keys, kind="stable")
     again = np.concatenate([[False], keys[order][1:] == keys[order][:-1]]) if len(keys) else np.empty(0, bool)
     return np.bincount(owner[order][again], minlength=len(part)).astype(np.int64)

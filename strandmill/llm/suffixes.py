@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from strandmill.llm.packing import SCHEMA, cut_up, emit, pack, unpack
 from strandmill.llm.shared import Tables, numbered
-from strandmill.llm.textarrays import BYTE_CODE, Slice, covered, mix, prefix_hash, runs, slices, span_hash, text_arrays, trim, window_hash
+from strandmill.llm.textarrays import Slice, covered, mix, prefix_hash, runs, slices, span_hash, text_arrays, trim, window_hash
 
 THRESHOLD = 50
 GRAM = 12
@@ -62,7 +62,7 @@ def least_grams(hashes: np.ndarray, width: int) -> np.ndarray:
 
 def strings_of(data: np.ndarray, offsets: np.ndarray, threshold: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, start, windows, minimizer, running hash) of the strings of windows with one minimizer."""
-    prefix = prefix_hash(BYTE_CODE[data])
+    prefix = prefix_hash(data)
     size = np.diff(offsets)
     full = np.maximum(size - threshold + 1, 0)
     none = np.empty(0, np.int64)
@@ -83,9 +83,15 @@ def strings_of(data: np.ndarray, offsets: np.ndarray, threshold: int, gram: int)
 def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The bytes of the spans, one after the other."""
     ends = np.cumsum(lengths)
-    if not len(ends):
-        return np.empty(0, np.uint8)
-    return data[np.arange(ends[-1]) + np.repeat(starts - (ends - lengths), lengths)]
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    at = 0
+    while at < len(ends):  # a part at a time: places take eight times the room of bytes
+        base = int(ends[at] - lengths[at])
+        upto = max(int(np.searchsorted(ends, base + (1 << 19), "right")), at + 1)
+        n, size = int(ends[upto - 1]) - base, lengths[at:upto]
+        out[base : base + n] = data[np.arange(n) + np.repeat(starts[at:upto] - (ends[at:upto] - size - base), size)]
+        at = upto
+    return out
 
 
 def equal_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -246,7 +252,7 @@ def repeats(rows: DataFrame, spread: int, groups: int, *, threshold: int, gram:
             data = np.concatenate([p[1] for p in parts])
             del parts
             begin = np.concatenate([[0], np.cumsum(count + threshold - 1)])[:-1]
-            prefix, own = prefix_hash(BYTE_CODE[data]), ids // spread
+            prefix, own = prefix_hash(data), ids // spread
             whole = standing_whole(prefix, data, own, begin, count + threshold - 1)
             found = back(ids[whole], place[whole], count[whole])
             ids, place, count, begin, own = (x[~whole] for x in (ids, place, count, begin, own))

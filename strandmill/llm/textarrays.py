@@ -27,16 +27,35 @@ _rng = np.random.Generator(np.random.PCG64(20240229))
 BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = U64(pow(int(_BASE), -1, 2**64))
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+_BLOCK_BITS = 16
+_BLOCK = 1 << _BLOCK_BITS
 
 
-def _power(kind: str, n: int) -> np.ndarray:
-    """The first n powers of the base (or of its inverse) modulo 2**64."""
-    if len(_powers[kind]) < n:
-        out = np.full(max(n, 1 << 16) * 5 // 4, _BASE if kind == "up" else _INVERSE, np.uint64)
+def _low_powers(base: np.uint64) -> np.ndarray:
+    out = np.full(_BLOCK, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+#: Powers modulo 2**64 of the base and of its inverse: of the places in a block, and of the blocks (grown as needed).
+_LOW = {"up": _low_powers(_BASE), "down": _low_powers(_INVERSE)}
+_high = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+
+
+def _block_powers(kind: str, blocks: int) -> np.ndarray:
+    if len(_high[kind]) < blocks:
+        out = np.full(blocks * 5 // 4 + 16, pow(int(_BASE if kind == "up" else _INVERSE), _BLOCK, 2**64), np.uint64)
         out[0] = 1
-        _powers[kind] = np.multiply.accumulate(out)
-    return _powers[kind][:n]
+        _high[kind] = np.multiply.accumulate(out)
+    return _high[kind]
+
+
+def _times_powers(kind: str, values: np.ndarray) -> None:
+    """Multiplies the values by the powers of their places."""
+    low, high = _LOW[kind], _block_powers(kind, len(values) // _BLOCK + 1)
+    for k, at in enumerate(range(0, len(values), _BLOCK)):
+        part = values[at : at + _BLOCK]
+        part *= low[: len(part)] * high[k]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -57,16 +76,26 @@ def trim() -> None:
 
 
 def prefix_hash(codes: np.ndarray) -> np.ndarray:
-    """Running polynomial sums, from which `span_hash` takes the hash of any span."""
+    """Running polynomial sums, from which `span_hash` takes the hash of any span. Bytes stand for their codes."""
     out = np.zeros(len(codes) + 1, np.uint64)
-    np.multiply(codes, _power("up", len(codes)), out=out[1:])
+    if codes.dtype == np.uint8:
+        for at in range(0, len(codes), _BLOCK):
+            out[1 + at : 1 + at + _BLOCK] = BYTE_CODE[codes[at : at + _BLOCK]]
+    else:
+        out[1:] = codes
+    _times_powers("up", out[1:])
     np.cumsum(out[1:], out=out[1:])
     return out
 
 
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Equal spans get equal values wherever they stand; their length is mixed in."""
-    return mix((prefix[end] - prefix[start]) * _power("down", len(prefix))[start] + (end - start).astype(np.uint64) * U64(0xA0761D6478BD642F))
+    high = _block_powers("down", len(prefix) // _BLOCK + 1)
+    out = prefix[end] - prefix[start]
+    out *= _LOW["down"][start & (_BLOCK - 1)]
+    out *= high[start >> _BLOCK_BITS]
+    out += (end - start).astype(np.uint64) * U64(0xA0761D6478BD642F)
+    return mix(out)
 
 
 def window_hash(prefix: np.ndarray, length: int) -> np.ndarray:
@@ -75,7 +104,7 @@ def window_hash(prefix: np.ndarray, length: int) -> np.ndarray:
     if n <= 0:
         return np.empty(0, np.uint64)
     out = prefix[length:] - prefix[:n]
-    out *= _power("down", n)
+    _times_powers("down", out)
     out += U64(length * 0xA0761D6478BD642F % 2**64)
     return mix(out)
 
@@ -171,7 +200,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, hashed: b
     final = offsets[1:][np.diff(offsets) > 0] - 1
     last[final] = inside[final]
     start, end = np.flatnonzero(edge), np.flatnonzero(last) + 1
-    hashes = span_hash(prefix_hash(BYTE_CODE[data]), start, end) if hashed and n else np.empty(0, np.uint64)
+    hashes = span_hash(prefix_hash(data), start, end) if hashed and n else np.empty(0, np.uint64)
     return Words(start, end, np.searchsorted(start, offsets), hashes)
 
 
