@@ -11,11 +11,13 @@ with their counts and answer with log probabilities, and the answers meet their
 document's perplexity is computed. Requests of a shard are salted by slice, so a frequent pair of bytes is spread
 over tasks. What is gathered from the corpus grows with the trusted text; nothing is capped.
 
-A document is kept if its perplexity is at most the `QUANTILE` quantile of the trusted documents of its language times
-`MARGIN` (of all trusted documents, where a language has fewer than `FEWEST`).
+Trusted texts are dealt into `FOLDS` by the hash of their id. Fold 0 is held out: it does not train the model, and the limits are
+quantiles over it, so they are those of unseen clean text. A document is kept if its perplexity, and its peak, the highest
+mean cost of `PEAK` successive 5-grams, are each at most the `QUANTILE` quantile of the held-out documents of its
+language (of all held-out documents, where a language has fewer than `FEWEST`). A few odd words do not move the mean; they show in the peak.
 
 Defined results: a null text and one of fewer than 5 bytes have no perplexity; they and texts of fewer than `FEWEST_GRAMS` 5-grams are kept
-(there is too little against them); without trusted text there is no model and all are kept; rows with a null id are scored and
+(there is too little against them); without trusted ids to train on or to hold out there is no limit and all are kept; rows with a null id are scored and
 are never trusted; repeated rows get equal results; ids repeated in the labels count once; an empty table gives no rows. Only the
 columns named are read.
 """
@@ -38,7 +40,8 @@ from strandmill.llm.textarrays import Slice, mix, slices, trim
 
 ORDER = 5
 QUANTILE = 0.99
-MARGIN = 1.5  # trusted texts trained the model, so unseen clean texts cost a little more
+FOLDS = 2  # fold 0 of the trusted texts sets the limits, the others train
+PEAK = 6  # 5-grams of a window: ten bytes, about a word and its edges
 FEWEST = 20
 FEWEST_GRAMS = 10
 SLICE = 3600 << 10  # four blocks of bz2, which packs text best: the packed texts are most of the disk used
@@ -252,8 +255,19 @@ def _small(counts: DataFrame) -> Small:
     return Small(keys[keys >= 0], n[keys >= 0], of)
 
 
+def peaks(run: np.ndarray, cuts: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """The highest mean of `PEAK` successive costs in each text, from their running sum; a shorter text has its mean."""
+    found = mean.copy()
+    whole = np.flatnonzero(np.diff(cuts) >= PEAK)
+    if len(whole):
+        sums = np.append(run[PEAK:] - run[:-PEAK], 0)  # one more, as the last text's end is a place of its own
+        ends = np.stack([cuts[whole], cuts[whole + 1] - PEAK + 1], axis=1).reshape(-1)
+        found[whole] = np.maximum.reduceat(sums, ends)[::2] / PEAK / SCALE
+    return found
+
+
 def perplexities(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, lang, n_grams and perplexity of each row. trusted: rows whose `text` trains the model."""
+    """doc_id, lang, n_grams, perplexity and peak (nats a byte) of each row. trusted: rows whose `text` trains the model."""
     spark = docs.sparkSession
     tables = Tables(spark, "perplexity")
     total = docs.agg(F.sum(F.octet_length(F.col(text_col))).alias("b")).first()["b"] or 0
@@ -295,37 +309,40 @@ def perplexities(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id",
             codes, cuts = codes_of(part)
             keys, inverse = np.unique(codes, return_inverse=True)
             order, parts = cut_up(shard_of(keys, shards))
-            cost = np.zeros(len(keys))
+            cost = np.zeros(len(keys), np.int64)
             for k, a, b in parts:
-                cost[order[a:b]] = np.frombuffer(by[k], np.uint16) / SCALE
+                cost[order[a:b]] = np.frombuffer(by[k], np.uint16)
             run = np.concatenate([[0], np.cumsum(cost[inverse])])
             n = np.diff(cuts)
-            mean = (run[cuts[1:]] - run[cuts[:-1]]) / np.maximum(n, 1)
-            out.append(pa.table([part.column("doc_id"), part.column("lang"), pa.array(n), pa.array(np.exp(mean), mask=n == 0)], names=["doc_id", "lang", "n_grams", "perplexity"]))
+            mean = (run[cuts[1:]] - run[cuts[:-1]]) / np.maximum(n, 1) / SCALE
+            out.append(pa.table([part.column("doc_id"), part.column("lang"), pa.array(n), pa.array(np.exp(mean), mask=n == 0), pa.array(peaks(run, cuts, mean), mask=n == 0)], names=["doc_id", "lang", "n_grams", "perplexity", "peak"]))
         trim()
         return pa.concat_tables(out)
 
-    schema = "doc_id long, lang string, n_grams long, perplexity double"
+    schema = "doc_id long, lang string, n_grams long, perplexity double, peak double"
     return packed.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(score, schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """doc_id, lang, n_grams, perplexity, limit and kept. labels: doc_id, quality, toxic; trusted are those of quality 1 that aren't toxic."""
+def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
+    """doc_id, lang, n_grams, perplexity, peak, limit, peak_limit and kept. labels: doc_id, quality, toxic; trusted are those of quality 1 that aren't toxic."""
     ids = labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_trusted")).distinct()
-    # The same join at every size: neither side's size is bounded.
-    trusted = likely(docs, ids, id_col, text_col).join(ids.hint("merge"), F.col("doc_id") == F.col("_trusted"), "left_semi")
-    if ids.isEmpty():
+    fold = F.pmod(F.xxhash64("_trusted"), F.lit(FOLDS))
+    train, held = ids.where(fold != 0), ids.where(fold == 0)
+    if train.isEmpty() or held.isEmpty():
         none = F.lit(None).cast("double")
-        return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.lit(0).cast("long").alias("n_grams"), none.alias("perplexity"), none.alias("limit"), F.lit(True).alias("kept"))
+        return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.lit(0).cast("long").alias("n_grams"), none.alias("perplexity"), none.alias("peak"), none.alias("limit"), none.alias("peak_limit"), F.lit(True).alias("kept"))
+    # The same join at every size: neither side's size is bounded.
+    trusted = likely(docs, train, id_col, text_col).join(train.hint("merge"), F.col("doc_id") == F.col("_trusted"), "left_semi")
     tables = Tables(docs.sparkSession, "classify")
     scored = tables.put("scored", perplexities(docs, trusted, id_col=id_col, text_col=text_col, lang_col=lang_col))
-    known = scored.join(ids, F.col("doc_id") == F.col("_trusted"), "left_semi").where("perplexity IS NOT NULL")
-    limit = F.percentile_approx("perplexity", quantile, 10000) * margin
-    by_lang = tables.put("limits", known.groupBy(F.col("lang").alias("l")).agg(limit.alias("own"), F.count("*").alias("n")).where(F.col("n") >= FEWEST).select("l", "own"))
-    overall = known.agg(limit.alias("all")).first()["all"]
+    known = scored.join(held, F.col("doc_id") == F.col("_trusted"), "left_semi").where("perplexity IS NOT NULL")
+    limit, peak = (F.percentile_approx(c, quantile, 10000) for c in ("perplexity", "peak"))
+    by_lang = tables.put("limits", known.groupBy(F.col("lang").alias("l")).agg(limit.alias("own"), peak.alias("own_peak"), F.count("*").alias("n")).where(F.col("n") >= FEWEST).select("l", "own", "own_peak"))
+    overall = known.agg(limit.alias("all"), peak.alias("all_peak")).first()
     out = scored.join(by_lang, F.col("lang") == F.col("l"), "left")
-    limits = F.coalesce("own", F.lit(overall).cast("double"))
-    return out.select("doc_id", "lang", "n_grams", "perplexity", limits.alias("limit"), F.coalesce((F.col("perplexity") <= limits) | (F.col("n_grams") < FEWEST_GRAMS), F.lit(True)).alias("kept"))
+    limits, tops = F.coalesce("own", F.lit(overall["all"]).cast("double")), F.coalesce("own_peak", F.lit(overall["all_peak"]).cast("double"))
+    within = (F.col("perplexity") <= limits) & (F.col("peak") <= tops)
+    return out.select("doc_id", "lang", "n_grams", "perplexity", "peak", limits.alias("limit"), tops.alias("peak_limit"), F.coalesce(within | (F.col("n_grams") < FEWEST_GRAMS), F.lit(True)).alias("kept"))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,3 +89,22 @@ def test_classifier(spark, docs, none):
     odd = spark.createDataFrame([(5, 1, 0), (5, 1, None), (None, 1, 0), (9, None, None)], "doc_id long, quality int, toxic int")
     assert perplexity.classify(docs, odd).count() == docs.count()
     assert perplexity.classify(none, odd).count() == 0
+
+
+def test_limits_reject_junk_and_a_few_toxic_words(spark):
+    place = "/root/testdata/sf0.1"
+    found = perplexity.op9_quality_classifier(spark, place).join(spark.read.parquet(f"{place}/labels.parquet"), "doc_id")
+    kept = {tuple(r[:2]): r[2] for r in found.groupBy("quality", "toxic").agg(F.avg(F.col("kept").cast("int"))).collect()}
+    assert kept[1, 0] > 0.97 and kept[0, 0] < 0.06 and kept[0, 1] < 0.06 and kept[1, 1] < 0.5
+
+
+def test_peaks_equal_plain_windows():
+    rng = np.random.default_rng(2)
+    sizes = [0, 3, 6, 7, 0, 40, 5]
+    cost, cuts = rng.integers(0, 9000, sum(sizes)), np.concatenate([[0], np.cumsum(sizes)])
+    run = np.concatenate([[0], np.cumsum(cost)])
+    mean = np.array([cost[a:b].mean() / perplexity.SCALE if b > a else 0 for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+    found, w = perplexity.peaks(run, cuts, mean), perplexity.PEAK
+    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        plain = max((cost[j : j + w].mean() / perplexity.SCALE for j in range(a, b - w + 1)), default=mean[k])
+        assert abs(found[k] - plain) < 1e-9
