@@ -5,7 +5,9 @@ benchmark gives all its windows of `n` words; one of fewer words, but not none,
 of all of them. The scan hashes every window of every document, looks it up first in a
 bitmap and then in the sorted hashes, and compares the words themselves before it counts a hit.
 It is one pass without a shuffle. The set is broadcast only while the benchmark's text is below
-`block_bytes`; a larger benchmark is split into blocks of that size and each is scanned in turn.
+`block_bytes`; a larger benchmark is split into blocks of that size and each is scanned in turn. The
+reports of the blocks are merged by id and SHA-256 of the text, and a row that stands n times comes back n times,
+so the result is the same at every size.
 
 Defined results: a null or empty text has no words and no hit; a null or empty item has no
 window; repeated items or rows count once per item id and once per row; an item with a null id
@@ -31,7 +33,7 @@ WINDOW = 10
 BLOCK_BYTES = 32 << 20
 BITMAP_BITS = 1 << 22
 
-REPORT = "doc_id long, n_words long, n_hit long, span_start array<long>, span_end array<long>, items array<string>"
+REPORT = "doc_id long, key string, n_words long, n_hit long, span_start array<long>, span_end array<long>, items array<string>"
 
 
 class WindowSet:
@@ -96,7 +98,7 @@ def _blocks(spark: SparkSession, benchmark: DataFrame, n: int, block_bytes: int,
 
 def report(docs: DataFrame, benchmark: DataFrame, *, n: int = WINDOW, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each document: its words, hit words, spans of hit words and items found."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.lit(None).cast("string").alias("key"))
     blocks = _blocks(docs.sparkSession, benchmark, n, block_bytes, item_col, item_text_col)
 
     def scan(known: Broadcast):
@@ -110,20 +112,22 @@ def report(docs: DataFrame, benchmark: DataFrame, *, n: int = WINDOW, block_byte
                 for i in range(len(part)):
                     spans.append(runs(flags[words.cuts[i] : words.cuts[i + 1]]) if n_hit[i] else ((), ()))
                 yield pa.record_batch(
-                    [part.column("doc_id"), pa.array(count, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([s for s, _ in spans], pa.list_(pa.int64())), pa.array([e for _, e in spans], pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
-                    names=["doc_id", "n_words", "n_hit", "span_start", "span_end", "items"],
+                    [part.column("doc_id"), part.column("key"), pa.array(count, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([s for s, _ in spans], pa.list_(pa.int64())), pa.array([e for _, e in spans], pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
+                    names=["doc_id", "key", "n_words", "n_hit", "span_start", "span_end", "items"],
                 )
 
         return run
 
     if len(blocks) == 1:
-        return source.mapInArrow(scan(blocks[0]), REPORT)
-    found = [source.withColumn("text", F.col("text")).mapInArrow(scan(b), REPORT).withColumn("block", F.lit(k)) for k, b in enumerate(blocks)]
+        return source.mapInArrow(scan(blocks[0]), REPORT).drop("key")
+    keyed = source.withColumn("key", F.sha2(F.col("text"), 256))
+    found = [keyed.mapInArrow(scan(b), REPORT).withColumn("block", F.lit(k)).where((F.col("block") == 0) | (F.col("n_hit") > 0)) for k, b in enumerate(blocks)]
     both = found[0]
     for x in found[1:]:
         both = both.unionByName(x)
     words = lambda spans: F.array_distinct(F.flatten(spans))
-    merged = both.withColumn("hit", F.flatten(F.transform(F.arrays_zip("span_start", "span_end"), lambda s: F.sequence(s["span_start"], s["span_end"] - 1)))).groupBy("doc_id").agg(F.max("n_words").alias("n_words"), words(F.collect_list("hit")).alias("hit"), F.array_sort(words(F.collect_list("items"))).alias("items"))
+    merged = both.withColumn("hit", F.flatten(F.transform(F.arrays_zip("span_start", "span_end"), lambda s: F.sequence(s["span_start"], s["span_end"] - 1)))).groupBy("doc_id", "key").agg(F.max("n_words").alias("n_words"), F.count_if(F.col("block") == 0).alias("times"), words(F.collect_set("hit")).alias("hit"), F.array_sort(words(F.collect_set("items"))).alias("items"))
+    merged = merged.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
     starts = F.array_sort(F.filter("hit", lambda x: ~F.array_contains("hit", x - 1)))
     ends = F.transform(F.array_sort(F.filter("hit", lambda x: ~F.array_contains("hit", x + 1))), lambda x: x + 1)
     return merged.select("doc_id", "n_words", F.size("hit").cast("long").alias("n_hit"), starts.alias("span_start"), ends.alias("span_end"), "items")

@@ -101,6 +101,16 @@ def test_hits_equal_brute_force(spark, docs, nasty_rows, block):
     assert seen == set()
 
 
+def test_blocks_report_every_row_like_one_block(docs, nasty_rows, spark):
+    passage, base = (next(r[1] for r in nasty_rows if r[0] == k) for k in (8, 5))
+    items = [(1, passage.upper()), (2, "line one"), (10, passage), (3, None), (5, "same same same"), (6, base), (None, "é")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    one, blocks = (decontaminate.report(docs, benchmark, block_bytes=b) for b in (1 << 25, 300))
+    rows = [collections.Counter(tuple(tuple(x) if isinstance(x, list) else x for x in r) for r in f.collect()) for f in (one, blocks)]
+    assert one.columns == blocks.columns and rows[0] == rows[1] and sum(rows[1].values()) == len(nasty_rows)
+    assert {k for r in rows[1] if (k := r[0]) in (12, 14, None) and r[2]} == {12, 14, None}
+
+
 def test_cleaning(spark, docs, none, nasty_rows):
     passage = next(r[1] for r in nasty_rows if r[0] == 8)
     benchmark = spark.createDataFrame([(1, passage)], "item_id long, text string")
