@@ -14,7 +14,11 @@ every document is held against the hub it shares most lists with, then every lis
 hub, if they are in other components. What lists still have several components fall into families that share no list. A family (or, if
 that is less work, each of its lists) is cut into blocks of bounded size, and each pair of blocks is one unit of work: the partial overlaps
 of its pairs are counted fragment by fragment as products of 0-1 matrices and summed, and only a spanning forest of the links leaves the unit.
-So no link is lost, pairs are never rows, and no task holds more than two blocks.
+So no link is lost to the components, pairs are never rows, and no task holds more than two blocks.
+
+`link_counts` counts all links of each distinct set instead: every posting list goes into such units, without hubs
+and whatever is joined already. In units of a family a pair stands once; in units of single lists it counts in the least
+list that the two share.
 
 Defined results: no words or null text: empty set, linked with nothing; fewer than five words: the whole
 sequence is the one shingle; rows of one id with different texts are different sets, and component_id is the least
@@ -234,8 +238,10 @@ def _units(tables: Tables, held: DataFrame) -> DataFrame:
     return spread.select("g", "kind", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), (F.col("c") > F.col("o")).alias("side"), "id", "n", "comp")
 
 
-def _unit_links(units: DataFrame, segments: DataFrame, order, percent: int, fragments: int) -> DataFrame:
-    """(u, v): a spanning forest of the links between the documents of each unit."""
+def _unit_links(units: DataFrame, segments: DataFrame, order, percent: int, fragments: int, *, totals: bool = False) -> DataFrame:
+    """(u, v): a spanning forest of the links between the documents of each unit; with totals u and how many links v it has there.
+
+    For totals the segments hold each document's lists besides, as fragment -1."""
 
     def count(key: tuple, table: pa.Table) -> pa.Table:
         ids_all, n_all = np.asarray(table.column("id").combine_chunks()), np.asarray(table.column("n").combine_chunks())
@@ -250,14 +256,16 @@ def _unit_links(units: DataFrame, segments: DataFrame, order, percent: int, frag
         place[left_rows] = np.arange(len(left_rows))
         other = np.empty(len(ids), np.int64)
         other[right_rows] = np.arange(len(right_rows))
-        both = np.zeros((len(left_rows), len(right_rows)), np.float32)
         fragment = np.asarray(table.column("fragment").combine_chunks())
         lists = table.column("segment").combine_chunks()
         lengths = np.diff(np.asarray(lists.offsets))
         values, owner, of = np.asarray(lists.flatten()), np.repeat(inverse, lengths), np.repeat(fragment, lengths)
-        for f in range(fragments):
-            own = owner[of == f]
-            _, column = np.unique(values[of == f], return_inverse=True)
+
+        def shared(some: np.ndarray) -> np.ndarray:
+            """How many of some values each left and right document share."""
+            both = np.zeros((len(left_rows), len(right_rows)), np.float32)
+            own = owner[some]
+            _, column = np.unique(values[some], return_inverse=True)
             wide = int(column.max()) + 1 if len(column) else 0
             by = np.argsort(column, kind="stable")
             own, column = own[by], column[by]
@@ -266,7 +274,18 @@ def _unit_links(units: DataFrame, segments: DataFrame, order, percent: int, frag
                 part = np.zeros((len(ids), min(4096, wide - low)), np.float32)
                 part[own[a:b], column[a:b] - low] = 1
                 both += part[left_rows] @ part[right_rows].T
+            return both
+
+        both = sum(shared(of == f) for f in range(fragments))
         linked = (100 * both >= percent * (n[left_rows][:, None] + n[right_rows][None, :] - both)) & (comp[left_rows][:, None] != comp[right_rows][None, :])
+        if totals:
+            if key[1].as_py():
+                linked &= shared((of < 0) & (values < key[0].as_py())) == 0
+            found = np.zeros(len(ids), np.int64)
+            found[left_rows] += linked.sum(1)
+            if not same:
+                found[right_rows] += linked.sum(0)
+            return pa.table({"u": pa.array(ids[found > 0]), "v": pa.array(found[found > 0])})
         label, rows, columns = ids.copy(), *np.nonzero(linked)
         if not len(rows):
             return none
@@ -282,13 +301,15 @@ def _unit_links(units: DataFrame, segments: DataFrame, order, percent: int, frag
         return pa.table({"u": pa.array(label[far]), "v": pa.array(ids[far])})
 
     ready = units.join(segments, "id").select("g", "kind", "i", "j", "side", "id", "n", "comp", "fragment", "segment")
-    return ready.groupBy("g", "kind", "i", "j").applyInArrow(count, "u long, v long").distinct()
+    if totals:
+        ready = ready.where("kind = 1 OR fragment >= 0")
+    found = ready.groupBy("g", "kind", "i", "j").applyInArrow(count, "u long, v long")
+    return found if totals else found.distinct()
 
 
-def classes_and_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, fragments: int = FRAGMENTS) -> tuple[DataFrame, DataFrame | None, int, DataFrame]:
-    """Each row's class, the links between classes that join all that can be joined, and (node, label)."""
+def _candidates(tables: Tables, docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, fragments: int) -> tuple:
+    """Each row's class, how ids are spread, the order, the posting lists of the classes, and the segments of those in lists."""
     spark = docs.sparkSession
-    tables = Tables(spark, "jaccard")
     rows, spread = numbered(docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("text")), id_col, "text")
     rows = rows.where("_id IS NOT NULL").select(F.col("_id").alias("id"), "text")
     profile = tables.put("profile", _profile(rows, shingle))
@@ -309,6 +330,14 @@ def classes_and_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     nodes = tables.put("nodes", lists.select("id").distinct())
     tables.free(likely)
     segments = tables.put("segments", _segments(rows.join(nodes, "id", "left_semi"), order, shingle, fragments))
+    tables.free(profile)
+    return members, spread, order, lists, segments
+
+
+def classes_and_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, fragments: int = FRAGMENTS) -> tuple[DataFrame, DataFrame | None, int, DataFrame]:
+    """Each row's class, the links between classes that join all that can be joined, and (node, label)."""
+    tables = Tables(docs.sparkSession, "jaccard")
+    members, spread, order, lists, segments = _candidates(tables, docs, id_col, text_col, shingle, percent, fragments)
     forest: DataFrame | None = None
     links: DataFrame | None = None
 
@@ -344,26 +373,50 @@ def classes_and_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     if not lists.isEmpty():
         add(_unit_links(_units(tables, with_components()), segments, order, percent, fragments))
     tables.free(segments)
-    tables.free(profile)
     return members, links, spread, forest
 
 
 def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(doc_id, n_shingles, component_id, rep) for each row; rep is the least id with the same set."""
     members, _, spread, forest = classes_and_links(docs, id_col=id_col, text_col=text_col, **options)
-    whole = lambda c: F.floor(F.col(c) / spread).cast("long") if spread > 1 else F.col(c)
     out = members
     if forest is not None:
         out = out.join(forest.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     else:
         out = out.withColumn("label", F.col("rep"))
+    whole = _whole(spread)
     out = out.select("id", whole("id").alias("doc_id"), F.col("n").alias("n_shingles"), whole("label").alias("component_id"), whole("rep").alias("rep"))
+    return _each_row(docs, out, spread, id_col, text_col)
+
+
+def _whole(spread: int):
+    return lambda c: F.floor(F.col(c) / spread).cast("long") if spread > 1 else F.col(c)
+
+
+def _each_row(docs: DataFrame, out: DataFrame, spread: int, id_col: str, text_col: str) -> DataFrame:
+    """The rows of out, by id, for each row of the input; repeated ids and texts as often as they stand."""
     if spread == 1:
         return out.drop("id")
     rows, _ = numbered(docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("text")), id_col, "text")
     return rows.select(F.col("_id").alias("id")).join(out, "id").drop("id")
 
 
+def link_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, fragments: int = FRAGMENTS) -> DataFrame:
+    """(doc_id, n_shingles, rep, is_rep, n_links) for each row with an id: n_links is with how many other distinct sets its set is
+    linked, so the links between distinct sets are half the sum of n_links where is_rep. Of repeated rows each is_rep."""
+    tables = Tables(docs.sparkSession, "jaccard")
+    members, spread, order, lists, segments = _candidates(tables, docs, id_col, text_col, shingle, percent, fragments)
+    own = lists.groupBy("id").agg(F.collect_set("sig").alias("segment")).select("id", F.lit(-1).alias("fragment"), "segment")
+    units = _units(tables, lists.withColumn("comp", F.col("id")))
+    parts = _unit_links(units, segments.unionByName(own), order, percent, fragments, totals=True)
+    counts = tables.put("counts", parts.groupBy("u").agg(F.sum("v").alias("n_links")))
+    tables.free(segments)
+    out = members.join(counts.withColumnRenamed("u", "rep"), "rep", "left")
+    whole = _whole(spread)
+    out = out.select("id", whole("id").alias("doc_id"), F.col("n").alias("n_shingles"), whole("rep").alias("rep"), (F.col("id") == F.col("rep")).alias("is_rep"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return _each_row(docs, out, spread, id_col, text_col)
+
+
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The input's rows without those that belong to a component and aren't its least id. Rows of one id stay together;
     a row with a null id stays."""
@@ -378,6 +431,13 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.unionByName(docs.where("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
 
 
+def jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beside op6_jaccard_join, whose columns are those of its SQL: each document's class and its number of links."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    none = F.lit(None).cast("long")
+    return link_counts(docs).unionByName(docs.where("doc_id IS NULL").select("doc_id", none.alias("n_shingles"), none.alias("rep"), F.lit(None).cast("boolean").alias("is_rep"), none.alias("n_links")))
+
+
 OP6_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents

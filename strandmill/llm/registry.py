@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_licence_scan": licences.op4_licence_scan,
     "op5_quality_rules": repetition.op5_quality_rules,
     "op6_jaccard_join": jaccard.op6_jaccard_join,
+    "jaccard_links": jaccard.jaccard_links,
     "op7_bpe": bpe.op7_bpe,
     "op8_language_id": language.op8_language_id,
     "op9_quality_classifier": perplexity.op9_quality_classifier,

@@ -60,6 +60,40 @@ def test_families_around_the_threshold(spark, monkeypatch, seed, blocks):
     check(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rows)
 
 
+@pytest.mark.parametrize(("seed", "blocks"), [(3, 512), (4, 5)])
+def test_every_link_is_counted(spark, docs, nasty_rows, monkeypatch, seed, blocks):
+    """Families, chains and a shared line: each link between distinct sets once, joined already or not."""
+    monkeypatch.setattr(jaccard, "BLOCK_DOCS", blocks)
+    monkeypatch.setattr(jaccard, "HEAVY_AT_LEAST", 6)
+    rng, texts = random.Random(seed), []
+    base, line, chain = prose(rng, 100).split(), prose(rng, 12), prose(rng, 900).split()
+    for _ in range(40):
+        words = list(base)
+        for k in rng.sample(range(100), rng.randint(1, 3)):
+            words[k] = f"w{rng.randint(0, 9)}"
+        texts.append(" ".join(words))
+    texts += [f"{line} {prose(rng, rng.randint(1, 4))}" for _ in range(20)] + [line, line.upper(), texts[0], "a b c"]
+    texts += [" ".join(chain[k : k + 60]) for k in range(0, 800, 4)]
+    rng.shuffle(texts)
+    units, kinds = jaccard._units, set()
+
+    def noted(*args):
+        out = units(*args)
+        kinds.update(r["kind"] for r in out.select("kind").distinct().collect())
+        return out
+
+    monkeypatch.setattr(jaccard, "_units", noted)
+    own = list(enumerate(texts))
+    for frame, rows in ((spark.createDataFrame(own, "doc_id long, text string").repartition(4), own), (docs, [(r[0], r[1]) for r in nasty_rows])):
+        sets = {shingles(t) for i, t in rows if i is not None}
+        links = {x: sum(x != y and 100 * len(x & y) >= 80 * len(x | y) for y in sets if x and y) for x in sets}
+        found = jaccard.link_counts(frame).collect()
+        assert sorted((r["doc_id"], r["n_shingles"], r["n_links"]) for r in found) == sorted((i, len(shingles(t)), links[shingles(t)]) for i, t in rows if i is not None)
+        if frame is not docs:
+            assert sum(r["n_links"] for r in found if r["is_rep"]) == sum(links.values()) > 2 * len(sets)
+    assert kinds == {0, 1}  # families and single lists
+
+
 def test_the_bound_on_shared_shingles():
     """Linked sets of n >= m share more(n) of the shingles looked up, whatever the order."""
     for n in range(1, 300):
