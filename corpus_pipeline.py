@@ -5,7 +5,8 @@ Parquet in the shared folder and reads it again for the next. All stages but the
 documents; the last returns doc_id, n_tokens and ids.
 
 Defined results: empty tables stay empty; null or empty texts go in the first stage, as do those of few words;
-of repeated rows of one id the rules judge each; a text that is cut keeps its row, and n_chars is counted anew.
+of repeated rows of one id the rules judge each; a text that is cut keeps its row, and n_chars is counted anew;
+a text that loses every byte in stage 3 (it stands whole in earlier documents) loses its row too.
 """
 
 from __future__ import annotations
