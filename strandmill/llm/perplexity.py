@@ -68,6 +68,11 @@ def codes_of(part: Slice) -> tuple[np.ndarray, np.ndarray]:
     return code[at], cuts
 
 
+def shards_of(size: int) -> int:
+    """Shards for so many bytes of text. Their number is not bounded, but only 65 536 pairs of bytes can fill them."""
+    return max(1, -(-size // SHARD_BYTES))
+
+
 def shard_of(codes: np.ndarray, shards: int) -> np.ndarray:
     return (mix(((codes >> 8) & 0xFFFF).astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
 
@@ -271,7 +276,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id",
     spark = docs.sparkSession
     tables = Tables(spark, "perplexity")
     total = docs.agg(F.sum(F.octet_length(F.col(text_col))).alias("b")).first()["b"] or 0
-    shards, salts = max(1, min(4096, -(-total // SHARD_BYTES))), max(1, -(-total // SALT_BYTES))
+    shards, salts = shards_of(total), max(1, -(-total // SALT_BYTES))
     counts = tables.put("counts", _count(trusted.select("text"), shards))
     small = spark.sparkContext.broadcast(_small(counts))
     packed = tables.put("packed", _packed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))))

@@ -98,6 +98,10 @@ def test_limits_reject_junk_and_a_few_toxic_words(spark):
     assert kept[1, 0] > 0.97 and kept[0, 0] < 0.06 and kept[0, 1] < 0.06 and kept[1, 1] < 0.5
 
 
+def test_shards_grow_with_the_text():
+    assert [perplexity.shards_of(n) for n in (0, 1, 1 << 24, 1 << 38)] == [1, 1, 1, 1 << 14]
+
+
 def test_peaks_equal_plain_windows():
     rng = np.random.default_rng(2)
     sizes = [0, 3, 6, 7, 0, 40, 5]
