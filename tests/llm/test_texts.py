@@ -148,12 +148,49 @@ def test_places_and_labels(spark, docs, none):
     rows = [(1, "Under the MIT License, mit license."), (2, "Licensed under the Apache License, Version 2.0"), (3, "licensed by cc by by cc by"), (4, "smit license"), (5, None), (6, "é Released under the MIT  LICENSE"), (7, "PERMISSION is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files")]
     found = {r["doc_id"]: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert (found[1]["n_base"], found[1]["first_word"], found[1]["last_word"], found[1]["base_labels"]) == (2, 2, 4, ["mit"])
-    assert found[2]["labels"] == ["apache", "apache-2.0"] and found[3]["n_base"] == 2 and (found[3]["first_word"], found[3]["last_word"]) == (2, 5)
+    assert found[2]["labels"] == ["apache", "apache-2.0"] and [(p["label"], p["word"], p["share"]) for p in found[2]["places"]] == [("apache-2.0", 0, 1.0)] and found[3]["n_base"] == 2 and (found[3]["first_word"], found[3]["last_word"]) == (2, 5)
     assert found[4]["n_base"] == 0 and found[4]["first_word"] is None and found[5]["n_words"] == 0 and found[5]["score"] == 0
     assert found[6]["n_words"] == 6 and found[6]["labels"] == ["mit"] and found[7]["labels"] == ["mit-text"] and found[7]["score"] == 1
     assert licences.scan(docs).count() == docs.count() and licences.scan(none).count() == 0
 
 
+def brute_labels(text):
+    """Labels by the definition: every template at every place."""
+    words, out = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(text)), set()
+    for label, notice, keys in licences.TEMPLATES:
+        own = licences.words_in(notice)
+        fits = [sum(0 <= a + k < len(words) and words[a + k] == w for k, w in enumerate(own)) for a in range(-len(own), len(words))]
+        if any(100 * f >= 80 * len(own) for f in fits) and all(f" {k} " in f" {' '.join(words)} " for k in keys):
+            out.add(label)
+    return out
+
+
+def test_every_notice_is_found_with_a_fifth_of_its_words_changed(spark):
+    """Whatever words are changed, and where they stand besides; the frequencies of the words change the index, not the result."""
+    import random
+
+    rng, texts = random.Random(4), []
+    for _, notice, keys in licences.TEMPLATES:
+        words = licences.words_in(notice)
+        needed = {w for k in keys for w in k.split()}
+        spare = [k for k, w in enumerate(words) if w not in needed]
+        for share in (5, 4):  # a fifth, and a fourth, which is too many
+            gone = rng.sample(spare, min(len(spare), len(words) // share))
+            changed = [f"odd{k}" if k in gone else w for k, w in enumerate(words)]
+            texts.append(" ".join(["some text before", *changed, "and after", *(words[k] for k in gone)]))
+    mit = licences.words_in(next(n for label, n, _ in licences.TEMPLATES if label == "mit-text"))
+    texts += ["and a " + " ".join("odd" if w in ("and", "a") else w for w in mit) + " and a", " ".join(mit[1:]), " ".join(mit * 3)]
+    texts += ["Licensed under the BSD 3-Clause License", "license " * 3000, "the of and a " * 900, "released under the the mit license"]
+    plain = list(enumerate(texts))
+    common = [(1000 + k, f"{w} {w}") for k, w in enumerate(sorted({w for _, n, _ in licences.TEMPLATES for w in licences.words_in(n)})[::3])]
+    found = [{r["doc_id"]: set(r["labels"]) - {"gpl", "apache", "cc-by"} for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()} for rows in (plain, plain + common)]
+    for k, t in plain:
+        expected = brute_labels(t) | ({"mit"} if "mit license" in low(t) else set())
+        assert found[0][k] == found[1][k] == expected - {"gpl", "apache", "cc-by"}, t
+    own = [x[0] for x in licences.TEMPLATES]
+    assert sum(own[k] in found[0][2 * k] for k in range(len(own))) >= len(own) - 2 and len(set(own)) >= 30
+
+
 # ---- chat
 
 
