@@ -34,7 +34,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from strandmill.llm.packing import SCHEMA, cut_up, emit, pack, unpack_all
 from strandmill.llm.shared import Tables, components, numbered
@@ -308,10 +307,9 @@ def _unit_links(units: DataFrame, segments: DataFrame, order, percent: int, frag
 
 
 def _candidates(tables: Tables, docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, fragments: int) -> tuple:
-    """Each row's class, how ids are spread, the order, the posting lists of the classes, and the segments of those in lists."""
+    """The numbered rows and their ids, each number's class, the order, the posting lists of the classes, and the segments of those in lists."""
     spark = docs.sparkSession
-    rows, spread = numbered(docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("text")), id_col, "text")
-    rows = rows.where("_id IS NOT NULL").select(F.col("_id").alias("id"), "text")
+    rows, back = numbered(tables, docs, id_col, text_col)
     profile = tables.put("profile", _profile(rows, shingle))
     one = profile.where("kind = 0").drop("kind")
     rep = one.where("n > 0").groupBy("n", "a", "b").agg(F.min("id").alias("rep"))
@@ -326,18 +324,20 @@ def _candidates(tables: Tables, docs: DataFrame, id_col: str, text_col: str, shi
     reps = members.where("id = rep").select("id")
     likely = tables.put("likely", raw.join(reps, "id"))
     tables.free(raw)
-    lists = tables.put("lists", likely.select(F.explode("sigs").alias("sig"), "id", "n").withColumn("many", F.count("*").over(Window.partitionBy("sig"))).where("many > 1").drop("many"))
+    each = likely.select(F.explode("sigs").alias("sig"), "id", "n")
+    lists = tables.put("lists", each.join(each.groupBy("sig").count().where("count > 1").select("sig"), "sig", "left_semi"))
     nodes = tables.put("nodes", lists.select("id").distinct())
     tables.free(likely)
     segments = tables.put("segments", _segments(rows.join(nodes, "id", "left_semi"), order, shingle, fragments))
     tables.free(profile)
-    return members, spread, order, lists, segments
+    tables.free(nodes)
+    return (rows, back), members, order, lists, segments
 
 
-def classes_and_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, fragments: int = FRAGMENTS) -> tuple[DataFrame, DataFrame | None, int, DataFrame]:
-    """Each row's class, the links between classes that join all that can be joined, and (node, label)."""
+def classes_and_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, fragments: int = FRAGMENTS) -> tuple[tuple, DataFrame, DataFrame | None, DataFrame | None]:
+    """The numbered rows, each number's class, the links between classes that join all that can be joined, and (node, label)."""
     tables = Tables(docs.sparkSession, "jaccard")
-    members, spread, order, lists, segments = _candidates(tables, docs, id_col, text_col, shingle, percent, fragments)
+    own, members, order, lists, segments = _candidates(tables, docs, id_col, text_col, shingle, percent, fragments)
     forest: DataFrame | None = None
     links: DataFrame | None = None
 
@@ -363,6 +363,7 @@ def classes_and_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             pairs = pairs.groupBy("v", "vn").agg(F.max_by(F.struct("u", "un"), F.struct("shared", -F.col("u"))).alias("b")).select("b.u", "v", "b.un", "vn")
         pairs = tables.put("pairs", pairs.select("u", "v", "un", "vn"))
         add(_linked(pairs, segments, percent))
+        tables.free(pairs)
         held = with_components()
         alive = held.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("id").alias("hub")).where("c0 <> c1").select("sig", "hub")
         left = held.join(alive, "sig")
@@ -373,48 +374,44 @@ def classes_and_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     if not lists.isEmpty():
         add(_unit_links(_units(tables, with_components()), segments, order, percent, fragments))
     tables.free(segments)
-    return members, links, spread, forest
+    return own, members, links, forest
 
 
 def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(doc_id, n_shingles, component_id, rep) for each row; rep is the least id with the same set."""
-    members, _, spread, forest = classes_and_links(docs, id_col=id_col, text_col=text_col, **options)
+    own, members, _, forest = classes_and_links(docs, id_col=id_col, text_col=text_col, **options)
     out = members
     if forest is not None:
         out = out.join(forest.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     else:
         out = out.withColumn("label", F.col("rep"))
-    whole = _whole(spread)
-    out = out.select("id", whole("id").alias("doc_id"), F.col("n").alias("n_shingles"), whole("label").alias("component_id"), whole("rep").alias("rep"))
-    return _each_row(docs, out, spread, id_col, text_col)
+    return _each_row(own, out.select("id", F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("label").alias("component_id"), "rep"), "doc_id", "component_id", "rep")
 
 
-def _whole(spread: int):
-    return lambda c: F.floor(F.col(c) / spread).cast("long") if spread > 1 else F.col(c)
-
-
-def _each_row(docs: DataFrame, out: DataFrame, spread: int, id_col: str, text_col: str) -> DataFrame:
-    """The rows of out, by id, for each row of the input; repeated ids and texts as often as they stand."""
-    if spread == 1:
+def _each_row(own: tuple, out: DataFrame, *named: str) -> DataFrame:
+    """The rows of out, by number, for each row of the input, repeated ones as often as they stand; the named columns hold ids again."""
+    rows, back = own
+    if back is None:
         return out.drop("id")
-    rows, _ = numbered(docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("text")), id_col, "text")
-    return rows.select(F.col("_id").alias("id")).join(out, "id").drop("id")
+    for c in named:
+        ids = back.select(F.col("id").alias(c), F.col("doc_id").alias("_own"))
+        out = out.join(ids, c).drop(c).withColumnRenamed("_own", c)
+    return rows.select("id").join(out, "id").drop("id")
 
 
 def link_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, fragments: int = FRAGMENTS) -> DataFrame:
     """(doc_id, n_shingles, rep, is_rep, n_links) for each row with an id: n_links is with how many other distinct sets its set is
     linked, so the links between distinct sets are half the sum of n_links where is_rep. Of repeated rows each is_rep."""
     tables = Tables(docs.sparkSession, "jaccard")
-    members, spread, order, lists, segments = _candidates(tables, docs, id_col, text_col, shingle, percent, fragments)
-    own = lists.groupBy("id").agg(F.collect_set("sig").alias("segment")).select("id", F.lit(-1).alias("fragment"), "segment")
+    own, members, order, lists, segments = _candidates(tables, docs, id_col, text_col, shingle, percent, fragments)
+    lines = lists.groupBy("id").agg(F.collect_set("sig").alias("segment")).select("id", F.lit(-1).alias("fragment"), "segment")
     units = _units(tables, lists.withColumn("comp", F.col("id")))
-    parts = _unit_links(units, segments.unionByName(own), order, percent, fragments, totals=True)
+    parts = _unit_links(units, segments.unionByName(lines), order, percent, fragments, totals=True)
     counts = tables.put("counts", parts.groupBy("u").agg(F.sum("v").alias("n_links")))
     tables.free(segments)
     out = members.join(counts.withColumnRenamed("u", "rep"), "rep", "left")
-    whole = _whole(spread)
-    out = out.select("id", whole("id").alias("doc_id"), F.col("n").alias("n_shingles"), whole("rep").alias("rep"), (F.col("id") == F.col("rep")).alias("is_rep"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    return _each_row(docs, out, spread, id_col, text_col)
+    out = out.select("id", F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "rep", (F.col("id") == F.col("rep")).alias("is_rep"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return _each_row(own, out, "doc_id", "rep")
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

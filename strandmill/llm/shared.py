@@ -46,11 +46,28 @@ def shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_CLEAN, before)
 
 
+#: Folders of tables that were made since each open `scratch` began.
+_scratch: list[set[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Operators' tables that are made inside go at its end; what is needed later has to be written before, with kept=True."""
+    _scratch.append(set())
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            drop(spark, path)
+
+
 class Tables:
     """Parquet tables in the shared folder: each cuts the lineage and survives lost executors."""
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, kept: bool = False):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        if _scratch and not kept:
+            _scratch[-1].add(self.root)
 
     def put(self, name: str, frame: DataFrame) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
@@ -70,14 +87,30 @@ def partitions_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """Rows with a column `_id` that tells apart rows of one id with different texts: id * spread + variant."""
-    rows = docs.withColumn("_raw", F.col(id_col).cast("long"))
-    most = docs.groupBy(F.col(id_col).alias("i")).count().where("i IS NOT NULL AND count > 1").agg(F.max("count")).first()[0]
-    if most is None:
-        return rows.withColumnRenamed("_raw", "_id"), 1
-    variant = F.dense_rank().over(Window.partitionBy("_raw").orderBy(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))) - 1
-    return rows.withColumn("_id", F.col("_raw") * most + variant).drop("_raw"), int(most)
+def has_repeated_ids(docs: DataFrame, id_col: str) -> bool:
+    return not docs.groupBy(F.col(id_col).cast("long").alias("i")).count().where("i IS NOT NULL AND count > 1").isEmpty()
+
+
+def numbered(tables: Tables, docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """(id, text) with a number for each distinct id and text, in the order of the ids, and (id, doc_id) to go back.
+
+    Where no id is repeated the ids are the numbers and there is nothing to go back to. Otherwise the distinct pairs are
+    sorted by ranges and counted, so any long may be an id and no id is a key of a task. Rows without an id are left out."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
+    if not has_repeated_ids(docs, id_col):
+        return rows, None
+    keyed = rows.withColumnRenamed("id", "doc_id").withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    ranges = keyed.select("doc_id", "h").distinct().repartitionByRange(partitions_of(docs.sparkSession), "doc_id", "h")
+    sorted_ = tables.put("pairs", ranges.sortWithinPartitions("doc_id", "h").withColumn("p", F.spark_partition_id()))
+    before, at = [], 0
+    for r in sorted_.groupBy("p").count().orderBy("p").collect():
+        before.append((r["p"], at))
+        at += r["count"]
+    offsets = F.create_map(*(F.lit(x) for pair in before for x in pair)) if before else F.create_map(F.lit(0), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("p").orderBy("doc_id", "h")) - 1
+    numbers = tables.put("numbers", sorted_.select("doc_id", "h", (place + F.element_at(offsets, F.col("p"))).cast("long").alias("id")))
+    tables.free(sorted_)
+    return tables.put("numbered", keyed.join(numbers, ["doc_id", "h"]).select("id", "text")), numbers.select("id", "doc_id")
 
 
 def components(tables: Tables, edges: DataFrame) -> DataFrame:

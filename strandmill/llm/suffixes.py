@@ -2,23 +2,25 @@
 
 A byte goes if a string of `THRESHOLD` bytes that covers it also starts in a document
 with a smaller id. Only the first `THRESHOLD` bytes of each suffix matter, so suffixes are ordered
-by at most that depth, digit by digit, and a group that has one document left is not looked at again.
+by at most that depth, digit by digit; equal groups are exactly the repeated windows, and a group that has one
+document left is not looked at again.
 
-1. First digit, between tasks: a window's minimizer, the least hash of its `GRAM`-byte
-   substrings. Equal windows have equal minimizers, so all that are equal meet in one bucket.
-   Neighbouring windows with the same minimizer travel as one string. A string that also
+1. Between tasks, suffixes are dealt into buckets by a window's minimizer, the least hash of its `GRAM`-byte
+   substrings. Equal windows have equal minimizers, so all that are equal meet in one bucket, and
+   neighbouring windows with the same minimizer travel as one string. A string that also
    stands whole in a document with a smaller id of the same slice is settled there and does not travel, so a hot
-   passage costs a bucket one string for each slice. Minimizers that a sample shows to be hot are spread over
-   many buckets by the window itself; the sample decides the routing only.
-2. Further digits, in a bucket: the first `DIGIT` bytes, then the rest. Digits are compared as 64-bit
-   fingerprints, so the order is not alphabetical, but the groups are the same; the bytes of
-   each group that is left are compared with its first member before a window counts as repeated.
+   passage costs a bucket one string for each slice. Minimizers that a sample shows to be hot are dealt
+   by the window itself, and first in `salts` parts, which send on only the windows they can't settle, so a
+   window that stands in every document meets in parts of bounded size too. The sample decides the routing only.
+2. In a bucket the suffixes are sorted by radix passes over their bytes, the most significant digit first. A digit is as many
+   bytes as fit in 64 bits beside the number of the suffix's group, so each pass is one sort of whole numbers
+   and the order is that of the bytes. Nothing is left to compare after the last pass.
 3. Repeated windows go back to their documents, whose bytes are cut.
 
 A bucket holds about `BUCKET_WINDOWS` windows whatever the size of the corpus: their number grows with it.
 
 Defined results: a null text is empty; texts of fewer than 50 bytes lose nothing; rows of one id don't
-cut each other, and rows that are repeated get the same result; rows with a null id are neither
+cut each other, and rows that are repeated get the same result; ids may be any long; rows with a null id are neither
 cut nor a source; an empty table gives no rows. Other columns pass through `cut` under any name.
 """
 
@@ -28,24 +30,28 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandmill.llm.packing import SCHEMA, cut_up, emit, pack, unpack
-from strandmill.llm.shared import Tables, numbered
+from strandmill.llm.packing import cut_up, pack, unpack
+from strandmill.llm.shared import Tables, has_repeated_ids
 from strandmill.llm.textarrays import Slice, covered, mix, prefix_hash, runs, slices, span_hash, text_arrays, trim, window_hash
 
 THRESHOLD = 50
 GRAM = 12
-DIGIT = 32
 BUCKET_WINDOWS = 1_000_000
 GROUP_BYTES = 6 << 20
 SAMPLE_ONE_IN = 64
+SALT_BYTES = 4 << 30
 SLICE = 2 << 20
 _PLACE_BITS = 24
 _PIECE = 1 << 23
 
+DEALT = "bucket long, salt long, blob binary"  # salt -1: settled, the bucket is a group of documents
+SETTLED = "done boolean, bucket long, blob binary"
+
 
 def least_grams(hashes: np.ndarray, width: int) -> np.ndarray:
     """Place of the first least hash in each window of `width` places."""
@@ -130,35 +136,52 @@ def _tied(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(seen[(keys & bits).astype(np.int64)])
 
 
-def repeated_windows(prefix: np.ndarray, data: np.ndarray, starts: np.ndarray, ids: np.ndarray, threshold: int, digit: int) -> np.ndarray:
+def big_endian(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as a number, most significant first; zeros beyond the end."""
+    out = data.astype(np.uint64)
+    for step in (1, 2, 4):
+        after = np.concatenate([out[step:], np.zeros(min(step, len(out)), np.uint64)])
+        out <<= np.uint64(8 * step)
+        out |= after
+    return out
+
+
+def equal_groups(data: np.ndarray, starts: np.ndarray, ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Radix passes over the suffixes at `starts`, the most significant digit first, down to `depth` bytes.
+
+    Returns the suffixes (as places in `starts`) that are equal to one of another id to that depth, in the order of their bytes, and where
+    each group of equal ones begins. Groups with one id are dropped after the pass that shows it."""
+    words = big_endian(data)
+    alive, group, groups, at = np.arange(len(starts)), np.zeros(len(starts), np.uint64), 1, 0
+    cuts = np.zeros(0, np.int64)
+    while at < depth and len(alive):
+        width = min(8 - (max(groups - 1, 0).bit_length() + 7) // 8, depth - at)
+        digit = words[starts[alive] + at] >> np.uint64(64 - 8 * width)
+        key = digit if groups == 1 else group << np.uint64(8 * width) | digit
+        some = _tied(key)
+        alive, key = alive[some], key[some]
+        order = np.argsort(key)
+        alive, key = alive[order], key[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+        cuts, own = np.flatnonzero(new), ids[alive]
+        if not len(cuts):
+            break
+        size = np.diff(np.append(cuts, len(alive)))
+        several = np.minimum.reduceat(own, cuts) < np.maximum.reduceat(own, cuts)
+        alive, groups = alive[np.repeat(several, size)], int(several.sum())
+        group = np.repeat(np.arange(groups, dtype=np.uint64), size[several])
+        cuts = np.concatenate([[0], np.cumsum(size[several])])[:-1]
+        at += width
+    return alive, cuts
+
+
+def repeated_windows(data: np.ndarray, starts: np.ndarray, ids: np.ndarray, threshold: int) -> np.ndarray:
     """Flags of the windows at `starts` that also start in a text with a smaller id."""
     out = np.zeros(len(starts), bool)
-    alive = np.arange(len(starts))
-    group = np.zeros(len(starts), np.uint64)
-    for low, high in ((0, digit), (digit, threshold)):
-        group = mix(group * np.uint64(3) + span_hash(prefix, starts[alive] + low, starts[alive] + high))
-        some = _tied(group)
-        alive, group = alive[some], group[some]
-        if not len(alive):
-            return out
-        order = np.argsort(group)
-        alive, group = alive[order], group[order]
-        fresh = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    alive, cuts = equal_groups(data, starts, ids, threshold)
+    if len(alive):
         own = ids[alive]
-        many = np.repeat(np.minimum.reduceat(own, fresh) < np.maximum.reduceat(own, fresh), np.diff(np.append(fresh, len(alive))))
-        alive, group = alive[many], group[many]
-        if not len(alive):
-            return out
-    # Equal groups are the repeated windows; each is held against the group's member of the least id.
-    by = np.lexsort((ids[alive], group))
-    alive, group = alive[by], group[by]
-    fresh = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    head = np.repeat(alive[fresh], np.diff(np.append(fresh, len(alive))))
-    later = ids[alive] > ids[head]
-    a, b = alive[later], head[later]
-    for k in range(0, len(a), 1 << 14):
-        x, y = a[k : k + (1 << 14)], b[k : k + (1 << 14)]
-        out[x] = equal_spans(data, starts[x], starts[y], np.full(len(x), threshold))
+        out[alive] = own > np.repeat(np.minimum.reduceat(own, cuts), np.diff(np.append(cuts, len(alive))))
     return out
 
 
@@ -195,32 +218,41 @@ def hot_grams(rows: DataFrame, threshold: int, gram: int, limit: int) -> np.ndar
     return np.sort(np.array([r["gram"] for r in found.collect()], np.int64).view(np.uint64))
 
 
-def repeats(rows: DataFrame, spread: int, groups: int, *, threshold: int, gram: int, bucket_windows: int, total: int) -> DataFrame:
-    """(bucket: a group of documents, blob: id, start, windows) of the repeated windows. rows: id, text."""
+def _emit(found: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(found), 512):
+        some = found[k : k + 512]
+        yield pa.record_batch([pa.array([x[0] for x in some], pa.int64()), pa.array([x[1] for x in some], pa.int64()), pa.array([x[2] for x in some], pa.binary())], names=["bucket", "salt", "blob"])
+
+
+def repeats(tables: Tables, rows: DataFrame, groups: int, *, threshold: int, gram: int, bucket_windows: int, total: int, salts: int) -> DataFrame:
+    """(bucket: a group of documents, blob: id, variant, start, windows) of the repeated windows. rows: id, variant, text."""
     buckets = max(1, -(-total // bucket_windows))
     hot = hot_grams(rows, threshold, gram, bucket_windows) if buckets > 1 else np.empty(0, np.uint64)
     known = rows.sparkSession.sparkContext.broadcast(hot)
 
-    def back(ids: np.ndarray, start: np.ndarray, count: np.ndarray) -> list[tuple[int, bytes]]:
-        order, parts = cut_up(group_of(ids, groups))
-        return [(k, pack([ids[o], start[o], count[o]])) for k, a, b in parts for o in [order[a:b]]]
+    def back(ids: np.ndarray, variant: np.ndarray, start: np.ndarray, count: np.ndarray) -> list[tuple[int, bytes]]:
+        order, parts = cut_up(group_of(ids, variant, groups))
+        return [(k, pack([ids[o], variant[o], start[o], count[o]])) for k, a, b in parts for o in [order[a:b]]]
 
     def spread_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        warm = known.value
+        warm, task = known.value, TaskContext.get()
+        salt = 1 + (task.partitionId() if task else 0) % salts
         for part in slices(batches, max_bytes=SLICE):
-            names = np.asarray(part.column("id"))
+            names, kinds = np.asarray(part.column("id")), np.asarray(part.column("variant"))
             for data, offsets, base in _pieces(part, threshold):
                 owner, start, count, grams, prefix = strings_of(data, offsets, threshold, gram)
                 if not len(owner):
                     continue
-                ids, length = names[owner], count + threshold - 1
+                length = count + threshold - 1
                 # Strings that stand whole in a text of a smaller id, in this slice.
-                whole = standing_whole(prefix, data, ids // spread, start, length)
+                whole = standing_whole(prefix, data, names[owner], start, length)
                 settled = np.flatnonzero(whole)
                 if len(settled):
-                    yield from emit([(-1 - k, b) for k, b in back(ids[settled], start[settled] + base - part.offsets[owner[settled]], count[settled])])
-                ids, start, count, grams, length, owner = (x[~whole] for x in (ids, start, count, grams, length, owner))
+                    of = owner[settled]
+                    yield from _emit([(k, -1, b) for k, b in back(names[of], kinds[of], start[settled] + base - part.offsets[of], count[settled])])
+                start, count, grams, length, owner = (x[~whole] for x in (start, count, grams, length, owner))
                 bucket = (mix(grams) % np.uint64(buckets)).astype(np.int64)
+                cold = len(owner)
                 if len(warm):
                     at = np.minimum(np.searchsorted(warm, grams), len(warm) - 1)
                     is_hot = warm[at] == grams
@@ -228,70 +260,90 @@ def repeats(rows: DataFrame, spread: int, groups: int, *, threshold: int, gram:
                         n = count[is_hot]
                         each = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[is_hot], n)
                         alone = (mix(span_hash(prefix, each, each + threshold)) % np.uint64(buckets)).astype(np.int64)
-                        ids = np.concatenate([ids[~is_hot], np.repeat(ids[is_hot], n)])
                         owner = np.concatenate([owner[~is_hot], np.repeat(owner[is_hot], n)])
-                        bucket = np.concatenate([bucket[~is_hot], alone])
+                        bucket = np.concatenate([bucket[~is_hot], alone + buckets])
                         start = np.concatenate([start[~is_hot], each])
                         count = np.concatenate([count[~is_hot], np.ones(len(each), np.int64)])
-                        length = count + threshold - 1
                 order, parts = cut_up(bucket)
-                ids, place, start, count = ids[order], (start + base - part.offsets[owner])[order], start[order], count[order]
+                owner, start, count = owner[order], start[order], count[order]
+                ids, variant, place = names[owner], kinds[owner], start + base - part.offsets[owner]
                 strings = gather(data, start, count + threshold - 1)
                 ends = np.concatenate([[0], np.cumsum(count + threshold - 1)])
                 for k in range(0, len(parts), 512):
-                    yield from emit([(of, pack([ids[a:b], place[a:b], count[a:b]], strings[ends[a] : ends[b]])) for of, a, b in parts[k : k + 512]])
+                    yield from _emit([(of, salt if of >= buckets else 0, pack([ids[a:b], variant[a:b], place[a:b], count[a:b]], strings[ends[a] : ends[b]])) for of, a, b in parts[k : k + 512]])
         trim()
 
-    def settle(key: tuple, table: pa.Table) -> pa.Table:
-        blobs = table.column("blob").to_pylist()
-        if key[0].as_py() < 0:
-            found = [(-1 - key[0].as_py(), b) for b in blobs]
+    def settle(key: tuple, table: pa.Table, last: bool) -> pa.Table:
+        blobs, left = table.column("blob").to_pylist(), []
+        if key[1].as_py() < 0:
+            found = [(key[0].as_py(), b) for b in blobs]
         else:
             parts = [unpack(b) for b in blobs]
-            ids, place, count = (np.concatenate([p[0][k] for p in parts]) for k in range(3))
+            ids, variant, place, count = (np.concatenate([p[0][k] for p in parts]) for k in range(4))
             data = np.concatenate([p[1] for p in parts])
             del parts
-            begin = np.concatenate([[0], np.cumsum(count + threshold - 1)])[:-1]
-            prefix, own = prefix_hash(data), ids // spread
-            whole = standing_whole(prefix, data, own, begin, count + threshold - 1)
-            found = back(ids[whole], place[whole], count[whole])
-            ids, place, count, begin, own = (x[~whole] for x in (ids, place, count, begin, own))
+            length = count + threshold - 1
+            begin = np.cumsum(length) - length
+            whole = standing_whole(prefix_hash(data), data, ids, begin, length)
+            found = back(ids[whole], variant[whole], place[whole], count[whole])
+            ids, variant, place, count, begin = (x[~whole] for x in (ids, variant, place, count, begin))
             first = np.cumsum(count) - count
             windows = np.arange(int(count.sum())) + np.repeat(begin - first, count)
-            flags = repeated_windows(prefix, data, windows, np.repeat(own, count), threshold, min(DIGIT, threshold - 1))
+            flags = repeated_windows(data, windows, np.repeat(ids, count), threshold)
             # A run of flags ends with its string.
             fresh = np.zeros(len(flags) + 1, bool)
             fresh[first] = fresh[-1] = True
             a = np.flatnonzero(flags & (fresh[:-1] | ~np.concatenate([[False], flags[:-1]])))
             b = np.flatnonzero(flags & (fresh[1:] | ~np.concatenate([flags[1:], [False]]))) + 1
             of = np.searchsorted(first, a, "right") - 1
-            found += back(ids[of], place[of] + a - first[of], b - a)
-            del prefix, data, windows, flags
+            found += back(ids[of], variant[of], place[of] + a - first[of], b - a)
+            if not last and key[1].as_py() > 0:  # a part of a hot bucket, whose strings are one window each
+                open_ = np.flatnonzero(~flags)
+                left = [(key[0].as_py(), pack([ids[open_], variant[open_], place[open_], count[open_]], gather(data, begin[open_], count[open_] + threshold - 1)))]
+            del data, windows, flags
             trim()
-        return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([b for _, b in found], pa.binary())], names=["bucket", "blob"])
+        rows = [(True, *x) for x in found] + [(False, *x) for x in left]
+        return pa.table([pa.array([x[0] for x in rows], pa.bool_()), pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.binary())], names=["done", "bucket", "blob"])
+
+    dealt = rows.where("id IS NOT NULL").mapInArrow(spread_out, DEALT).groupBy("bucket", "salt")
+    if salts == 1:
+        return dealt.applyInArrow(lambda key, table: settle(key, table, True), SETTLED).drop("done")
+    first = tables.put("settled", dealt.applyInArrow(lambda key, table: settle(key, table, False), SETTLED))
+    again = first.where("NOT done").withColumn("salt", F.lit(0).cast("long")).drop("done").groupBy("bucket", "salt")
+    return first.where("done").drop("done").unionByName(again.applyInArrow(lambda key, table: settle(key, table, True), SETTLED).drop("done"))
 
-    return rows.where("id IS NOT NULL").mapInArrow(spread_out, SCHEMA).groupBy("bucket").applyInArrow(settle, SCHEMA)
 
+def group_of(ids: np.ndarray, variant: np.ndarray, groups: int) -> np.ndarray:
+    return (mix(mix(ids.astype(np.int64).view(np.uint64)) ^ variant.astype(np.int64).view(np.uint64)) % np.uint64(groups)).astype(np.int64)
 
-def group_of(ids: np.ndarray, groups: int) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(groups)).astype(np.int64)
 
+def _codes(*pairs: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """Numbers for pairs of numbers, equal where the pairs are, for each of the given lists."""
+    a, b = (np.concatenate([p[k] for p in pairs]) for k in range(2))
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    code = np.empty(len(order), np.int64)
+    code[order] = np.cumsum(np.concatenate([[0], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(order) else 0
+    return np.split(code, np.cumsum([len(p[0]) for p in pairs])[:-1])
 
-def _cut_texts(docs: DataFrame, id_col: str, text_col: str, schema: T.StructType, make: Callable, *, threshold: int, gram: int, bucket_windows: int) -> DataFrame:
+
+def _cut_texts(docs: DataFrame, id_col: str, text_col: str, schema: T.StructType, make: Callable, *, threshold: int, gram: int, bucket_windows: int, salts: int | None) -> DataFrame:
     """Applies make(rows, offsets, bytes, flags of removed bytes) to groups of documents."""
     spark = docs.sparkSession
-    rows, spread = numbered(docs, id_col, text_col)
+    # Rows of one id with different texts are told apart by a hash of the text, if there are any.
+    variant = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) if has_repeated_ids(docs, id_col) else F.lit(0).cast("long")
+    rows = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_variant", variant)
     total = docs.agg(F.sum(F.octet_length(F.col(text_col))).alias("b")).first()["b"] or 0
-    groups = max(1, -(-total // GROUP_BYTES))
+    groups, salts = max(1, -(-total // GROUP_BYTES)), salts or max(1, -(-total // SALT_BYTES))
     tables = Tables(spark, "suffixes")
-    narrow = rows.select(F.col("_id").alias("id"), F.col(text_col).alias("text"))
-    found = tables.put("repeats", repeats(narrow, spread, groups, threshold=threshold, gram=gram, bucket_windows=bucket_windows, total=total))
+    narrow = rows.select(F.col("_id").alias("id"), F.col("_variant").alias("variant"), F.col(text_col).alias("text"))
+    found = tables.put("repeats", repeats(tables, narrow, groups, threshold=threshold, gram=gram, bucket_windows=bucket_windows, total=total, salts=salts))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(batch.num_columns - 1)
+            column = batch.column(batch.num_columns - 2)
             missing = ~np.asarray(column.is_valid())
-            group = group_of(np.asarray(column.fill_null(0)), groups)
+            group = group_of(np.asarray(column.fill_null(0)), np.asarray(batch.column(batch.num_columns - 1)), groups)
             group[missing] = np.arange(missing.sum()) % groups  # rows without an id are spread
             yield batch.append_column("_group", pa.array(group))
 
@@ -300,29 +352,28 @@ def _cut_texts(docs: DataFrame, id_col: str, text_col: str, schema: T.StructType
 
     def cut(texts: pa.Table, blobs: pa.Table) -> pa.Table:
         out = []
-        ids, start, count = (np.empty(0, np.int64),) * 3
+        ids, kinds, start, count = (np.empty(0, np.int64),) * 4
         if blobs.num_rows:
             parts = [unpack(b)[0] for b in blobs.column("blob").to_pylist()]
-            ids, start, count = (np.concatenate([p[k] for p in parts]) for k in range(3))
-            order = np.argsort(ids, kind="stable")
-            ids, start, count = ids[order], start[order], count[order]
+            ids, kinds, start, count = (np.concatenate([p[k] for p in parts]) for k in range(4))
         for batch in texts.combine_chunks().to_batches():
             offsets, data, _ = text_arrays(batch.column(batch.schema.get_field_index(text_col)))
             names = batch.column(batch.schema.get_field_index("_id"))
-            own = np.asarray(names.fill_null(0))
-            low, high = np.searchsorted(ids, own, "left"), np.searchsorted(ids, own, "right")
+            there, own = _codes((ids, kinds), (np.asarray(names.fill_null(0)), np.asarray(batch.column(batch.schema.get_field_index("_variant")))))
+            order = np.argsort(there, kind="stable")
+            there = there[order]
+            low, high = np.searchsorted(there, own, "left"), np.searchsorted(there, own, "right")
             high[~np.asarray(names.is_valid())] = 0
             n = np.maximum(high - low, 0)
-            at = np.arange(int(n.sum())) + np.repeat(low - (np.cumsum(n) - n), n)
+            at = order[np.arange(int(n.sum())) + np.repeat(low - (np.cumsum(n) - n), n)]
             begin = start[at] + np.repeat(offsets[:-1], n)
             out.append(make(batch, offsets, data, covered(begin, begin + count[at] + threshold - 1, len(data))))
         return pa.concat_tables([pa.Table.from_batches([x]) for x in out]) if out else pa.table({f.name: pa.array([], pa.null()) for f in schema.fields})
 
-    out = grouped.groupBy("_group").cogroup(found.withColumnRenamed("bucket", "_group").groupBy("_group")).applyInArrow(cut, schema)
-    return out
+    return grouped.groupBy("_group").cogroup(found.withColumnRenamed("bucket", "_group").groupBy("_group")).applyInArrow(cut, schema)
 
 
-def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, gram: int = GRAM, bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
+def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, gram: int = GRAM, bucket_windows: int = BUCKET_WINDOWS, salts: int | None = None) -> DataFrame:
     """doc_id, n_bytes, the removed spans [span_start, span_end) in bytes, and the bytes that are kept."""
     schema = T._parse_datatype_string("doc_id long, n_bytes long, span_start array<long>, span_end array<long>, kept binary")
 
@@ -335,10 +386,10 @@ def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", th
         return pa.record_batch([batch.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array([a for a, _ in lists], kinds), pa.array([b for _, b in lists], kinds), pa.array(texts, pa.binary())], names=schema.names)
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return _cut_texts(narrow, "doc_id", "text", schema, make, threshold=threshold, gram=gram, bucket_windows=bucket_windows)
+    return _cut_texts(narrow, "doc_id", "text", schema, make, threshold=threshold, gram=gram, bucket_windows=bucket_windows, salts=salts)
 
 
-def cut(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, gram: int = GRAM, bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
+def cut(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, gram: int = GRAM, bucket_windows: int = BUCKET_WINDOWS, salts: int | None = None) -> DataFrame:
     """The input's rows with repeats cut from their texts; characters cut in part go too, and rows that lose their whole text."""
     # Columns go by place, so their names can't clash with ours.
     plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
@@ -357,7 +408,7 @@ def cut(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", thre
         keep = (removed == 0) | (removed < np.diff(offsets))
         return rows.set_column(place, rows.schema.field(place), pa.array(texts, rows.schema.field(place).type)).filter(pa.array(keep))
 
-    out = _cut_texts(plain, f"c{key}", f"c{place}", plain.schema, make, threshold=threshold, gram=gram, bucket_windows=bucket_windows)
+    out = _cut_texts(plain, f"c{key}", f"c{place}", plain.schema, make, threshold=threshold, gram=gram, bucket_windows=bucket_windows, salts=salts)
     return out.toDF(*docs.columns)
 
 

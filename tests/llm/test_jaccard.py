@@ -40,6 +40,14 @@ def test_nasty_rows(docs, nasty_rows):
     check(docs, [(r[0], r[1]) for r in nasty_rows])
 
 
+def test_any_long_is_an_id(spark):
+    """Repeated ids near the ends of the range, with equal and with different texts."""
+    rng = random.Random(6)
+    texts = [prose(rng, 30) for _ in range(3)]
+    rows = [(2**62 + 5, texts[0]), (2**62 + 5, texts[0]), (2**62 + 5, texts[1]), (-(2**63), texts[1]), (2**63 - 1, texts[0]), (2**63 - 1, texts[2]), (0, None), (0, ""), (3, texts[2] + " more")]
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rows)
+
+
 @pytest.mark.parametrize(("seed", "blocks"), [(1, 512), (2, 5)])
 def test_families_around_the_threshold(spark, monkeypatch, seed, blocks):
     """Near copies just over and under 0.8 of one text, shared lines, short texts and chains."""

@@ -1,9 +1,12 @@
 import hashlib
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strandmill.llm import suffixes
+from tests.llm.conftest import prose
 
 
 def brute(rows, threshold):
@@ -25,9 +28,9 @@ def brute(rows, threshold):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("bucket", [1_000_000, 700, 60])
-def test_equals_brute_force(docs, nasty_rows, bucket):
-    found = suffixes.spans(docs, bucket_windows=bucket)
+@pytest.mark.parametrize(("bucket", "salts"), [(1_000_000, 1), (700, 1), (60, 3)])
+def test_equals_brute_force(docs, nasty_rows, bucket, salts):
+    found = suffixes.spans(docs, bucket_windows=bucket, salts=salts)
     removed = F.aggregate(F.zip_with("span_start", "span_end", lambda a, b: b - a), F.lit(0).cast("long"), lambda a, b: a + b)
     rows = [tuple(r) for r in found.select("doc_id", "n_bytes", removed, F.sha2("kept", 256)).collect()]
     assert sorted(rows, key=str) == brute([(r[0], r[1]) for r in nasty_rows], 50)
@@ -41,9 +44,41 @@ def test_hot_minimizers_do_not_change_results(docs, nasty_rows, monkeypatch):
     assert sorted(((a, b, d) for a, b, _, d in brute([(r[0], r[1]) for r in nasty_rows], 50)), key=str) == sorted((tuple(r) for r in found.collect()), key=str)
 
 
+def test_groups_are_those_of_the_byte_order():
+    """The passes leave the suffixes that are equal to one of another text, sorted by their bytes."""
+    rng = np.random.default_rng(1)
+    for alphabet in (2, 3, 250):
+        data = rng.integers(0, alphabet, 4000).astype(np.uint8)
+        data[2000:2200] = data[100:300]
+        data[3000:3060] = data[150:210]
+        for depth in (1, 7, 8, 9, 50):
+            starts = np.arange(len(data) - depth + 1)
+            ids = starts // 500
+            text = [data[s : s + depth].tobytes() for s in starts]
+            by = {}
+            for t, i in zip(text, ids.tolist(), strict=True):
+                by.setdefault(t, set()).add(i)
+            alive, cuts = suffixes.equal_groups(data, starts, ids, depth)
+            assert sorted(alive.tolist()) == [k for k, t in enumerate(text) if len(by[t]) > 1]
+            order = [text[k] for k in alive]
+            assert order == sorted(order) and [k for k in range(len(order)) if k == 0 or order[k] != order[k - 1]] == cuts.tolist()
+
+
+@pytest.mark.parametrize("salts", [1, 4])
+def test_a_window_in_every_document(spark, monkeypatch, salts):
+    """A hot passage, most of a hot text, large ids, and a window that stands many times in one text."""
+    monkeypatch.setattr(suffixes, "SAMPLE_ONE_IN", 1)
+    rng = random.Random(8)
+    line = prose(rng, 20)
+    rows = [(2**62 + 5 + k % 190, f"{prose(rng, 8)} {line} {prose(rng, 4)}") for k in range(200)] + [(-(2**63), line), (2**63 - 1, line * 9), (7, "ab" * 300), (8, "ab" * 60)]
+    rows += [rows[3]] * 5
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    found = suffixes.spans(frame, bucket_windows=200, salts=salts).select("doc_id", "n_bytes", F.sha2("kept", 256))
+    assert sorted((tuple(r) for r in found.collect()), key=str) == sorted(((a, b, d) for a, b, _, d in brute(rows, 50)), key=str)
+
+
 def test_a_long_text_in_pieces(docs, nasty_rows, monkeypatch):
     monkeypatch.setattr(suffixes, "_PIECE", 1 << 12)
-    import numpy as np
     import pyarrow as pa
 
     from strandmill.llm.textarrays import slices
