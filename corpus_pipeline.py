@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.llm import bpe, decontaminate, jaccard, repetition, suffixes
-from strandmill.llm.shared import Tables
+from strandmill.llm.shared import Tables, scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -61,8 +61,9 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    tables = Tables(spark, "pipeline")
+    tables = Tables(spark, "pipeline", kept=True)
     for name, stage in STAGES:
-        before, docs = docs, tables.put(name, stage(spark, docs, sf_dir))
+        with scratch(spark):
+            before, docs = docs, tables.put(name, stage(spark, docs, sf_dir))
         tables.free(before)
     return docs
