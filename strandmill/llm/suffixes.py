@@ -130,20 +130,16 @@ def _tied(keys: np.ndarray) -> np.ndarray:
     """Places of the values that are there twice or more (and perhaps a few others)."""
     ordered = np.sort(keys)
     twice = ordered[1:][ordered[1:] == ordered[:-1]]
-    bits = np.uint64((1 << 22) - 1)
+    place = lambda x: (x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(42)).astype(np.int64)
     seen = np.zeros(1 << 22, bool)
-    seen[(twice & bits).astype(np.int64)] = True
-    return np.flatnonzero(seen[(keys & bits).astype(np.int64)])
+    seen[place(twice)] = True
+    return np.flatnonzero(seen[place(keys)])
 
 
 def big_endian(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place as a number, most significant first; zeros beyond the end."""
-    out = data.astype(np.uint64)
-    for step in (1, 2, 4):
-        after = np.concatenate([out[step:], np.zeros(min(step, len(out)), np.uint64)])
-        out <<= np.uint64(8 * step)
-        out |= after
-    return out
+    """The eight bytes from each place as a number, most significant first; zeros beyond the end. A view of the bytes."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, ">u8", padded, strides=(1,))
 
 
 def equal_groups(data: np.ndarray, starts: np.ndarray, ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +152,7 @@ def equal_groups(data: np.ndarray, starts: np.ndarray, ids: np.ndarray, depth: i
     cuts = np.zeros(0, np.int64)
     while at < depth and len(alive):
         width = min(8 - (max(groups - 1, 0).bit_length() + 7) // 8, depth - at)
-        digit = words[starts[alive] + at] >> np.uint64(64 - 8 * width)
+        digit = words[starts[alive] + at].astype(np.uint64) >> np.uint64(64 - 8 * width)
         key = digit if groups == 1 else group << np.uint64(8 * width) | digit
         some = _tied(key)
         alive, key = alive[some], key[some]
