@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm.packing import pack, unpack_all
+from strandmill.llm.packing import pack, summed, unpack_all
 from strandmill.llm.shared import Tables
 from strandmill.llm.textarrays import Slice, mix, slices
 
@@ -130,16 +130,6 @@ class Languages:
         return names, np.clip(scores, 0, 1)
 
 
-def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, in order, and the sum of each one's numbers."""
-    order = np.argsort(keys)
-    keys, n = keys[order], n[order]
-    if not len(keys):
-        return keys, n
-    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[at], np.add.reduceat(n, at)
-
-
 def learn(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> Languages:
     """Counts every n-gram of every labelled text and keeps those that mark a language."""
     rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))

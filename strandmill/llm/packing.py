@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SCHEMA = "bucket long, blob binary"
+FAN = 64
 _KINDS = [(k, np.iinfo(k).min, np.iinfo(k).max) for k in (np.int8, np.int16, np.int32)]
 _SQUEEZE, _OPEN = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
@@ -57,3 +60,40 @@ def emit(found: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
     for k in range(0, len(found), 512):
         some = found[k : k + 512]
         yield pa.record_batch([pa.array([x for x, _ in some], pa.int64()), pa.array([b for _, b in some], pa.binary())], names=["bucket", "blob"])
+
+
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, in order, and the sum of each one's numbers."""
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    if not len(keys):
+        return keys, n
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[at], np.add.reduceat(n, at)
+
+
+def tree_rounds(partitions: int) -> int:
+    """Rounds in which the parts of so many tasks become one, `FAN` at a time."""
+    rounds = 1
+    while partitions > FAN:
+        partitions, rounds = -(-partitions // FAN), rounds + 1
+    return rounds
+
+
+def tree_sum(frame: DataFrame, keys: dict[str, pa.DataType], rounds: int) -> DataFrame:
+    """The sum of packed counts (blobs of keys and numbers) for each group. frame: the keys, part (the task), blob.
+
+    A task sums at most `FAN` parts at a time (the last round takes what is left), so it holds no more than
+    `FAN` times the distinct counts of a group, however many tasks have counted."""
+    names = list(keys)
+
+    def total(key: tuple, table: pa.Table) -> pa.Table:
+        counts = summed(*unpack_all(table.column("blob").to_pylist(), 2))
+        columns = [pa.array([x.as_py()], kind) for x, kind in zip(key, [*keys.values(), pa.int64()], strict=False)]
+        return pa.table([*columns, pa.array([pack(list(counts))], pa.binary())], names=[*names, "part", "blob"])
+
+    for k in range(rounds):
+        part = F.floor(F.col("part") / FAN).cast("long") if k < rounds - 1 else F.lit(0).cast("long")
+        frame = frame.withColumn("part", part)
+        frame = frame.groupBy(*names, "part").applyInArrow(total, frame.select(*names, "part", "blob").schema)
+    return frame.select(*names, "blob")

@@ -3,13 +3,14 @@
 The model is over bytes, of order `ORDER` = 5. Training counts all 5-grams of all trusted texts. Counts are
 sharded by the two middle bytes c3 c4 of (c1 c2 c3 c4 c5): every n-gram of order 3 and more that a probability needs, and
 its context, have these two bytes in one place, so a shard holds all the counts of its n-grams,
-the continuation counts of the lower orders included. Only orders 2 and 1 (65 536 numbers and 256, a fixed size) and the
+the continuation counts of the lower orders included. The parts of many tasks are summed in a tree, so a frequent pair is no
+more than a few parts in a task. Only orders 2 and 1 (65 536 numbers and 256, a fixed size) and the
 counts of counts are gathered for all.
 
 Scoring: texts are packed into slices; each asks every shard for its distinct 5-grams, the shards join these
 with their counts and answer with log probabilities, and the answers meet their slice again, where each
-document's perplexity is computed. Requests of a shard are salted by slice, so a frequent pair of bytes is spread
-over tasks. What is gathered from the corpus grows with the trusted text; nothing is capped.
+document's perplexity is computed. A shard of which a sample of the slices shows more than `SALT_CODES` requests is split by slice over as many tasks as it needs,
+and only such a shard is copied, once for each `SALT_CODES` requests, so the copies are a share of the requests; the sample decides the routing only. What is gathered from the corpus grows with the trusted text; nothing is capped.
 
 Trusted texts are dealt into `FOLDS` by the hash of their id. Fold 0 is held out: it does not train the model, and the limits are
 quantiles over it, so they are those of unseen clean text. A document is kept if its perplexity, and its peak, the highest
@@ -33,9 +34,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm.language import summed
-from strandmill.llm.packing import cut_up, pack, unpack, unpack_all
-from strandmill.llm.shared import Tables
+from strandmill.llm.packing import cut_up, pack, summed, tree_rounds, tree_sum, unpack
+from strandmill.llm.shared import Tables, partitions_of
 from strandmill.llm.textarrays import Slice, mix, slices, trim
 
 ORDER = 5
@@ -46,7 +46,8 @@ FEWEST = 20
 FEWEST_GRAMS = 10
 SLICE = 3600 << 10  # four blocks of bz2, which packs text best: the packed texts are most of the disk used
 SHARD_BYTES = 16 << 20
-SALT_BYTES = 1 << 30
+SALT_CODES = 1 << 26  # requests of a task: about as many bytes, packed
+SAMPLE_ONE_IN = 64
 FILTER_BITS = 23
 SCALE = 1024.0  # answers are whole numbers of 1/1024 nat
 _MIDDLE = np.uint64(8)
@@ -213,14 +214,17 @@ def _open(blob: bytes) -> Slice:
     return part
 
 
-def _count(trusted: DataFrame, shards: int) -> DataFrame:
+def _count(trusted: DataFrame, shards: int, tasks: int) -> DataFrame:
     """(shard, blob): 5-grams and counts of the trusted texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        part_of = task.partitionId() if task else 0
+
         def out(grams: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
             order, parts = cut_up(shard_of(grams, shards))
             for k, a, b in parts:
-                yield pa.record_batch([pa.array([k]), pa.array([pack([grams[order[a:b]], n[order[a:b]]])], pa.binary())], names=["shard", "blob"])
+                yield pa.record_batch([pa.array([k]), pa.array([part_of]), pa.array([pack([grams[order[a:b]], n[order[a:b]]])], pa.binary())], names=["shard", "part", "blob"])
 
         grams, n = np.empty(0, np.int64), np.empty(0, np.int64)
         for part in slices(batches):
@@ -233,12 +237,24 @@ def _count(trusted: DataFrame, shards: int) -> DataFrame:
         yield from out(grams, n)
         trim()
 
-    def total(key: tuple, table: pa.Table) -> pa.Table:
-        grams, n = summed(*unpack_all(table.column("blob").to_pylist(), 2))
-        return pa.table([pa.array([key[0].as_py()]), pa.array([pack([grams, n])], pa.binary())], names=["shard", "blob"])
+    return tree_sum(trusted.select("text").mapInArrow(run, "shard long, part long, blob binary"), {"shard": pa.int64()}, tree_rounds(tasks))
+
+
+def _salts(packed: DataFrame, shards: int) -> dict[int, int]:
+    """Into how many parts the requests of a shard are split, for the shards of more than one.
+
+    At most one shard for each `SALT_CODES` requests is there, and no more than the 65 536 pairs of bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(1).to_pylist():
+                _, parts = cut_up(shard_of(np.unique(codes_of(_open(blob))[0]), shards))
+                yield pa.record_batch([pa.array([k for k, _, _ in parts], pa.int64()), pa.array([b - a for _, a, b in parts], pa.int64())], names=["shard", "n"])
+        trim()
 
-    schema = "shard long, blob binary"
-    return trusted.select("text").mapInArrow(run, schema).groupBy("shard").applyInArrow(total, schema)
+    sample = packed.where(F.pmod(F.xxhash64("slice"), F.lit(SAMPLE_ONE_IN)) == 0).mapInArrow(run, "shard long, n long")
+    hot = sample.groupBy("shard").agg((F.sum("n") * SAMPLE_ONE_IN).alias("n")).where(F.col("n") > SALT_CODES).collect()
+    return {r["shard"]: -(-r["n"] // SALT_CODES) for r in hot}
 
 
 def _small(counts: DataFrame) -> Small:
@@ -276,19 +292,21 @@ def perplexities(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id",
     spark = docs.sparkSession
     tables = Tables(spark, "perplexity")
     total = docs.agg(F.sum(F.octet_length(F.col(text_col))).alias("b")).first()["b"] or 0
-    shards, salts = shards_of(total), max(1, -(-total // SALT_BYTES))
-    counts = tables.put("counts", _count(trusted.select("text"), shards))
+    shards = shards_of(total)
+    counts = tables.put("counts", _count(trusted.select("text"), shards, max(partitions_of(spark), total >> 27)))
     small = spark.sparkContext.broadcast(_small(counts))
     packed = tables.put("packed", _packed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))))
 
+    salts = _salts(packed, shards)
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 codes = np.unique(codes_of(_open(blob))[0])
                 order, parts = cut_up(shard_of(codes, shards))
-                salt = int(mix(np.array([name], np.uint64))[0] % np.uint64(salts))
+                salt = int(mix(np.array([name], np.uint64))[0] >> np.uint64(1))
                 for k, a, b in parts:
-                    yield pa.record_batch([pa.array([k]), pa.array([salt]), pa.array([name], pa.int64()), pa.array([pack([codes[order[a:b]]])], pa.binary())], names=["shard", "salt", "slice", "blob"])
+                    yield pa.record_batch([pa.array([k]), pa.array([salt % salts.get(k, 1)]), pa.array([name], pa.int64()), pa.array([pack([codes[order[a:b]]])], pa.binary())], names=["shard", "salt", "slice", "blob"])
         trim()
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
@@ -303,7 +321,14 @@ def perplexities(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id",
         return pa.table([pa.array([s for s, _ in out], pa.int64()), pa.array([key[0].as_py()] * len(out), pa.int64()), pa.array([b for _, b in out], pa.binary())], names=["slice", "shard", "blob"])
 
     asked = packed.mapInArrow(ask, "shard long, salt long, slice long, blob binary")
-    held = counts.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), F.lit(None).cast("long").alias("slice"), "blob")
+
+    def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for salt in range(salts.get(k, 1)):
+                    yield pa.record_batch([pa.array([k]), pa.array([salt]), pa.array([None], pa.int64()), pa.array([blob], pa.binary())], names=["shard", "salt", "slice", "blob"])
+
+    held = counts.mapInArrow(copies, "shard long, salt long, slice long, blob binary")
     answers = tables.put("answers", asked.unionByName(held).groupBy("shard", "salt").applyInArrow(answer, "slice long, shard long, blob binary"))
 
     def score(texts: pa.Table, replies: pa.Table) -> pa.Table:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandmill.llm import language, perplexity
+from strandmill.llm import language, packing, perplexity
 from tests.conftest import TINY
 
 
@@ -69,7 +69,18 @@ def plain_probabilities(texts, asked):
 @pytest.mark.parametrize("shard", [1 << 24, 150])
 def test_perplexity_equals_plain_counting(spark, monkeypatch, shard):
     monkeypatch.setattr(perplexity, "SHARD_BYTES", shard)
-    monkeypatch.setattr(perplexity, "SALT_BYTES", 500)
+    monkeypatch.setattr(perplexity, "SALT_CODES", 9)
+    monkeypatch.setattr(perplexity, "SAMPLE_ONE_IN", 1)
+    monkeypatch.setattr(perplexity, "SLICE", 300)
+    monkeypatch.setattr(packing, "FAN", 2)
+    split = perplexity._salts
+
+    def some_are_split(*args):
+        out = split(*args)
+        assert out and set(out.values()) != {1}
+        return out
+
+    monkeypatch.setattr(perplexity, "_salts", some_are_split)
     rng = random.Random(1)
     texts = ["".join(rng.choices("abcd e", k=rng.randint(5, 80))) for _ in range(40)]
     docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate([*texts, "abc", None, "zzzzzz"])], "doc_id long, text string, lang string").repartition(3)
@@ -91,6 +102,57 @@ def test_classifier(spark, docs, none):
     assert perplexity.classify(none, odd).count() == 0
 
 
+def test_limits_and_verdicts_equal_brute_force(spark, monkeypatch):
+    """Quantiles of held-out trusted texts by language, of all for languages with few or none, ties at the limit, short, long and repeated texts."""
+    monkeypatch.setattr(perplexity, "FEWEST", 6)
+    rng, rows = random.Random(5), []
+    for k in range(150):
+        lang = rng.choice(["en", "en", "de", "xx", None])
+        rows.append((k, " ".join("".join(rng.choices("etaoin" if lang == "en" else "ernsti", k=rng.randint(2, 6))) for _ in range(rng.randint(1, 30))), lang))
+    rows += [(200, "zq" * 40, "en"), (201, "zq", "en"), (202, None, "de"), (203, "", None), (204, rows[0][1] * 3000, "en"), rows[3], rows[3], (None, rows[4][1], "en"), (205, "qqqq zzzz", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(120)] + [(5, 1, 0), (130, 0, 0), (131, 1, 1), (999, 1, 0)], "doc_id long, quality int, toxic int")
+    found = perplexity.classify(docs, labels, quantile=0.8).collect()
+    trusted = spark.range(120).select("id", (F.pmod(F.xxhash64("id"), F.lit(perplexity.FOLDS)) == 0).alias("held"))
+    held = {r["id"] for r in trusted.collect() if r["held"]}
+    train = [t.encode() for k, t, _ in rows if k is not None and k < 120 and k not in held]
+    expected = plain_probabilities(train, [t.encode() for k, t, _ in rows[:150:30]])
+    assert all(abs(r["perplexity"] / expected[rows[r["doc_id"]][1].encode()] - 1) < 2e-3 for r in found if r["doc_id"] in range(0, 150, 30) and r["perplexity"])
+
+    def quantile(values):
+        values = sorted(values)
+        return values[max(math.ceil(0.8 * len(values)) - 1, 0)]
+
+    known = [r for r in found if r["doc_id"] in held and r["perplexity"] is not None]
+    groups = {}
+    for r in known:
+        groups.setdefault(r["lang"], []).append(r)
+    assert {lang for lang, g in groups.items() if len(g) >= 6} >= {"en", "de"} and len(found) == len(rows)
+    for r in found:
+        own = groups.get(r["lang"], []) if r["lang"] is not None and len(groups.get(r["lang"], [])) >= 6 else known
+        limit, peak = quantile([x["perplexity"] for x in own]), quantile([x["peak"] for x in own])
+        assert (r["limit"], r["peak_limit"]) == (limit, peak)
+        assert r["kept"] == (r["n_grams"] < perplexity.FEWEST_GRAMS or (r["perplexity"] <= limit and r["peak"] <= peak))
+    assert {r["kept"] for r in found} == {True, False} and any(r["kept"] and r["perplexity"] == r["limit"] for r in found)
+
+
+def test_tree_sums(spark):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    rows, plain = [], Counter()
+    for part in range(300):
+        keys = np.unique(rng.integers(0, 50, 20))
+        n = rng.integers(1, 9, len(keys))
+        group = "ab"[part % 7 == 0]
+        plain.update({(group, int(k)): int(c) for k, c in zip(keys, n, strict=True)})
+        rows.append((group, part, bytearray(packing.pack([keys, n]))))
+    frame = spark.createDataFrame(rows, "name string, part long, blob binary")
+    found = packing.tree_sum(frame, {"name": pa.string()}, packing.tree_rounds(300)).collect()
+    assert packing.tree_rounds(64) == 1 and packing.tree_rounds(65) == packing.tree_rounds(300) == 2 and packing.tree_rounds(5000) == 3
+    assert {(r["name"], int(k)): int(c) for r in found for k, c in zip(*packing.unpack(bytes(r["blob"]))[0], strict=True)} == plain
+
+
 def test_limits_reject_junk_and_a_few_toxic_words(spark):
     place = "/root/testdata/sf0.1"
     found = perplexity.op9_quality_classifier(spark, place).join(spark.read.parquet(f"{place}/labels.parquet"), "doc_id")
