@@ -2,18 +2,20 @@
 
 Texts become bytes in which ASCII letters are lower-cased and every other ASCII byte is a blank; n-grams of
 `GRAM` bytes that hold no two blanks in a row are taken. Each n-gram has `PROBES` rows in a table of `ROWS` rows, one bit for each
-language (the slices of one Bloom filter for each language, side by side), so the bitwise and of its
+language, in as many words of 64 bits as there are languages (the slices of one Bloom filter for each language, side by side), so the bitwise and of its
 rows is the set of all languages that hold it. A language holds an n-gram if it is there often enough, and
-not much rarer than in the language where it is most frequent. The hits of a language are its popcount over
-the text's n-grams, and (hits - n f) / (1 - f) corrects them for the filter's rate f of false positives.
-N-grams of many languages weigh less: the popcounts are kept apart by how many languages an n-gram has. The language with the
-highest corrected share is the prediction; the score is its share of all.
+not much rarer than in the language where it is most frequent.
 
-Learning takes every labelled row it is given: counts of n-grams by language are summed for each task, then over
-the table in shards. Only n-grams with a share of `LEAST_SHARE` or more of a language's are gathered, so at most
-1 / LEAST_SHARE for each language whatever the size of the table, and the broadcast filter has a fixed size.
+The n-grams of a text are told apart by how many languages hold them, h (`MOST_HOLDERS` and more are one class). In each class a language has a popcount, the number of
+n-grams in whose set it is, and (popcount - n f) / (1 - f) of it, if that is more than 0, are real, where n is the size of the class and f the filter's rate of
+false positives for the language. A real hit counts 1 / h. The language with the most is the prediction; the score is its share of all.
 
-Defined results: a null text or one without a letter is `und` with score 0; languages are at most 64;
+Learning takes every labelled row it is given: counts of n-grams are summed for each task and language, then over
+the table in a tree, in `SHARDS` shards (an n-gram is 32 bits, so a shard has at most 2**24 of them whatever the size of the table). Only n-grams with a share of `LEAST_SHARE` or more of a language's are gathered,
+and with many languages a larger share, so that `MOST_GRAMS` bounds them all. The broadcast filter has a bit for each row and language, and no more than `MOST_BYTES`: with over
+1024 languages it has fewer rows.
+
+Defined results: a null text or one without a letter is `und` with score 0; any number of languages is learned;
 where no language has a hit the text gets the language with most n-grams learned, with score 0; ties go to the first language in order; repeated rows are predicted alike; rows with null
 languages teach nothing; with nothing learned all are `und`; an empty table gives no rows.
 """
@@ -24,18 +26,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm.packing import pack, summed, unpack_all
-from strandmill.llm.shared import Tables
+from strandmill.llm.packing import cut_up, pack, summed, tree_rounds, tree_sum, unpack, unpack_all
+from strandmill.llm.shared import Tables, partitions_of
 from strandmill.llm.textarrays import Slice, mix, slices
 
 GRAM = 4
 ROW_BITS = 22
 ROWS = 1 << ROW_BITS
 PROBES = 2
-SHARDS = 16
+SHARDS = 256
+MOST_GRAMS = 1 << 25
+MOST_BYTES = 512 << 20
+MOST_HOLDERS = 8
 LEAST_SHARE = 2e-6
 LEAST_COUNT = 2
 RELATIVE = 0.1
@@ -63,9 +69,9 @@ def grams_of(part: Slice) -> tuple[np.ndarray, np.ndarray]:
     return mix(whole[at]), np.searchsorted(at, part.offsets)
 
 
-def rows_of(hashes: np.ndarray) -> list[np.ndarray]:
+def rows_of(hashes: np.ndarray, bits: int = ROW_BITS) -> list[np.ndarray]:
     """The rows of each n-gram, one for each probe."""
-    return [((hashes >> np.uint64(ROW_BITS * k)) & np.uint64(ROWS - 1)).astype(np.int64) for k in range(PROBES)]
+    return [((hashes >> np.uint64(bits * k)) & np.uint64((1 << bits) - 1)).astype(np.int64) for k in range(PROBES)]
 
 
 def has_letter(part: Slice) -> np.ndarray:
@@ -83,48 +89,54 @@ class Languages:
         """grams: the n-grams that each language holds; sizes: how many each was learned from."""
         self.names = sorted(grams)
         self.common = max(self.names, key=lambda x: sizes.get(x, 0), default="und")
-        if len(self.names) > 64:
-            raise ValueError("at most 64 languages")
+        words = max(1, -(-len(self.names) // 64))
         self.kind = np.uint8 if len(self.names) <= 8 else np.uint64
-        self.table = np.zeros(ROWS, self.kind)
+        self.bits = ROW_BITS
+        while (words * np.dtype(self.kind).itemsize << self.bits) > MOST_BYTES:
+            self.bits -= 1
+        self.table = np.zeros((words, 1 << self.bits), self.kind)
+        false = []
         for i, name in enumerate(self.names):
-            for rows in rows_of(grams[name]):
-                self.table[rows] |= self.kind(1 << i)
-        self.false = np.array([float(((self.table >> self.kind(i)) & self.kind(1)).mean()) ** PROBES for i in range(len(self.names))])
+            for rows in rows_of(grams[name], self.bits):
+                self.table[i // 64][rows] |= self.kind(1 << i % 64)
+        for i in range(len(self.names)):
+            false.append(float(((self.table[i // 64] >> self.kind(i % 64)) & self.kind(1)).mean()) ** PROBES)
+        self.false = np.minimum(np.array(false), 0.999)
 
     def holders(self, hashes: np.ndarray) -> np.ndarray:
-        """The set of languages of each n-gram."""
-        first, *others = rows_of(hashes)
-        out = self.table[first]
+        """The set of languages of each n-gram, in words."""
+        first, *others = rows_of(hashes, self.bits)
+        out = self.table[:, first]
         for rows in others:
-            out &= self.table[rows]
+            out &= self.table[:, rows]
         return out
 
+    def shares(self, sets: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """(language, text): corrected hits, class by class."""
+        texts = len(cuts) - 1
+        held = np.minimum(sum(np.bitwise_count(w).astype(np.int64) for w in sets), MOST_HOLDERS)
+        group = np.repeat(np.arange(texts), np.diff(cuts)) * (MOST_HOLDERS + 1) + held
+        cells = texts * (MOST_HOLDERS + 1)
+        size = np.bincount(group, minlength=cells)
+        weight = 1.0 / np.maximum(np.arange(MOST_HOLDERS + 1), 1)
+        out = []
+        for i, f in enumerate(self.false):
+            hits = np.bincount(group[(sets[i // 64] & self.kind(1 << i % 64)) != 0], minlength=cells)
+            real = np.maximum(hits - size * f, 0) / (1 - f)
+            out.append(np.minimum(real, hits).reshape(texts, -1) @ weight)
+        return np.array(out)
+
     def predict(self, part: Slice) -> tuple[list[str], np.ndarray]:
         names, scores = ["und"] * len(part), np.zeros(len(part))
         if not self.names:
             return names, scores
         hashes, cuts = grams_of(part)
-        sets = self.holders(hashes)
-        n = np.diff(cuts)
-        held = np.zeros(len(sets), np.int64)
-        flags = []
-        for i in range(len(self.names)):
-            flags.append(((sets >> self.kind(i)) & self.kind(1)).astype(np.int64))
-            held += flags[-1]
-        weight = 1.0 / np.maximum(held, 1)
-        corrected = []
-        for i, flag in enumerate(flags):
-            total = np.concatenate([[0], np.cumsum(flag * weight)])
-            noise = np.concatenate([[0], np.cumsum(weight * (held > 0))])
-            hits, base = total[cuts[1:]] - total[cuts[:-1]], noise[cuts[1:]] - noise[cuts[:-1]]
-            corrected.append(np.maximum((hits - base * self.false[i]) / (1 - self.false[i] if self.false[i] < 1 else 1), 0))
-        both = np.array(corrected)
+        both = self.shares(self.holders(hashes), cuts)
         best, total = both.argmax(axis=0), both.sum(axis=0)
         letters = has_letter(part)
-        for i in np.flatnonzero(letters & ~((n > 0) & (total > 1e-12))):
+        for i in np.flatnonzero(letters & ~(total > 1e-12)):
             names[i] = self.common
-        for i in np.flatnonzero(letters & (n > 0) & (total > 1e-12)):
+        for i in np.flatnonzero(letters & (total > 1e-12)):
             names[i] = self.names[best[i]]
             scores[i] = both[best[i], i] / total[i]
         return names, np.clip(scores, 0, 1)
@@ -144,28 +156,38 @@ def learn(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
                 own = hashes[of == k].view(np.int64)
                 before = known.get(name, (np.empty(0, np.int64), np.empty(0, np.int64)))
                 known[name] = summed(np.concatenate([before[0], own]), np.concatenate([before[1], np.ones(len(own), np.int64)]))
+        task = TaskContext.get()
+        here = task.partitionId() if task else 0
         for name, (grams, n) in known.items():
-            shard = (grams.view(np.uint64) >> np.uint64(60)).astype(np.int64)
-            for k in range(SHARDS):
-                some = shard == k
-                if some.any():
-                    yield pa.record_batch([pa.array([str(name)]), pa.array([k], pa.int32()), pa.array([int(n[some].sum())], pa.int64()), pa.array([pack([grams[some], n[some]])], pa.binary())], names=["lang", "shard", "n", "blob"])
-
-    tables = Tables(labelled.sparkSession, "language")
-    counted = tables.put("counts", rows.mapInArrow(count, "lang string, shard int, n long, blob binary"))
-    total = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+            shard = (grams.view(np.uint64) >> np.uint64(56)).astype(np.int64)
+            order, parts = cut_up(shard)
+            for k, a, b in parts:
+                yield pa.record_batch([pa.array([str(name)]), pa.array([k], pa.int32()), pa.array([here], pa.int64()), pa.array([pack([grams[order[a:b]], n[order[a:b]]])], pa.binary())], names=["lang", "shard", "part", "blob"])
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [int(unpack(b)[0][1].sum()) for b in batch.column(2).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64())], names=["lang", "n"])
+
+    spark = labelled.sparkSession
+    tables = Tables(spark, "language")
+    size = rows.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
+    counts = tree_sum(rows.mapInArrow(count, "lang string, shard int, part long, blob binary"), {"lang": pa.string(), "shard": pa.int32()}, tree_rounds(max(partitions_of(spark), size >> 27)))
+    counted = tables.put("counts", counts)
+    total = {r["lang"]: r["n"] for r in counted.mapInArrow(sizes, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    least = max(LEAST_SHARE, len(total) / MOST_GRAMS)
 
     def choose(key: tuple, table: pa.Table) -> pa.Table:
-        by: dict[str, list[bytes]] = {}
-        for lang, blob in zip(table.column("lang").to_pylist(), table.column("blob").to_pylist(), strict=True):
-            by.setdefault(lang, []).append(blob)
-        own = {lang: summed(*unpack_all(blobs, 2)) for lang, blobs in by.items()}
+        own = {lang: unpack(blob)[0] for lang, blob in zip(table.column("lang").to_pylist(), table.column("blob").to_pylist(), strict=True)}
         keys = np.unique(np.concatenate([g for g, _ in own.values()]))
-        shares = {lang: np.zeros(len(keys)) for lang in own}
+        most = np.zeros(len(keys))
+        for lang, (grams, n) in own.items():
+            at = np.searchsorted(keys, grams)
+            most[at] = np.maximum(most[at], np.where(n >= LEAST_COUNT, n / total[lang], 0))
+        kept = []
         for lang, (grams, n) in own.items():
-            shares[lang][np.searchsorted(keys, grams)] = np.where(n >= LEAST_COUNT, n / total[lang], 0)
-        most = np.max(list(shares.values()), axis=0)
-        kept = [(lang, keys[(x >= LEAST_SHARE) & (x >= RELATIVE * most)]) for lang, x in shares.items()]
+            share = np.where(n >= LEAST_COUNT, n / total[lang], 0)
+            kept.append((lang, grams[(share >= least) & (share >= RELATIVE * most[np.searchsorted(keys, grams)])]))
         return pa.table([pa.array([x for x, _ in kept]), pa.array([pack([g]) for _, g in kept], pa.binary())], names=["lang", "blob"])
 
     grams: dict[str, list[bytes]] = {}
