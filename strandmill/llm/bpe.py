@@ -8,8 +8,9 @@ token is the right side's, or until it holds both sides. Two neighbouring tokens
 encoding exactly when they do so alone, so agreement at both ends of the window makes the
 joined sequence the encoding of the whole.
 
-Texts with characters whose class may differ between versions of Unicode, and files whose ids don't
-follow the order of their merges, are left to the tokenizers library itself.
+Where a text splits depends on the classes of its characters, which may differ between versions of Unicode. Texts with such characters are split by
+the tokenizers library; their long pieces go through the tree like all others, and those without a long piece are encoded there at once. Files whose ids don't
+follow the order of their merges are left to the library.
 
 Defined results: null and empty texts have no ids and decode to an empty text; special tokens in a
 text become their ids, as in the library; repeated rows are encoded alike; an empty table gives no rows. Only the
@@ -99,22 +100,29 @@ class ByteBPE:
             level = list((pool.map if pool else map)(self.join, level[::2], level[1::2]))
         return level[0]
 
-    def plain(self, text: str, unsplit: bool, pool: ThreadPoolExecutor | None = None) -> np.ndarray:
-        """A text without special tokens and of settled characters."""
+    def split(self, text: str, wide: bool) -> Iterator[str]:
+        """The pieces of a text without special tokens; wide: by the library."""
+        if wide:
+            return (text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text))
+        return (m[0] for m in self.pieces.finditer(text))
+
+    def plain(self, text: str, unsplit: bool, wide: bool = False, pool: ThreadPoolExecutor | None = None) -> np.ndarray:
+        """A text without special tokens."""
         if not unsplit:
             return self.core.encode_to_numpy(text, disallowed_special=())
         ids: list[int] = []
-        for m in self.pieces.finditer(text):
-            ids += self.tree(m[0].encode(), pool)
+        for piece in self.split(text, wide):
+            ids += self.tree(piece.encode(), pool)
         return np.array(ids, np.uint32)
 
     def encode(self, text: str, unsplit: bool = True, wide: bool = True, pool: ThreadPoolExecutor | None = None) -> np.ndarray:
         """unsplit: it may have a long piece; wide: it may have unsettled characters."""
-        if self.core is None or wide and _SETTLED.search(text):
+        wide = wide and bool(_SETTLED.search(text))
+        if self.core is None or wide and not unsplit:
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
         if self.cut is None or not any(x in text for x in self.special):
-            return self.plain(text, unsplit, pool)
-        parts = [np.array([self.special[x]], np.uint32) if k % 2 else self.plain(x, unsplit, pool) for k, x in enumerate(self.cut.split(text))]
+            return self.plain(text, unsplit, wide, pool)
+        parts = [np.array([self.special[x]], np.uint32) if k % 2 else self.plain(x, unsplit, wide, pool) for k, x in enumerate(self.cut.split(text))]
         return np.concatenate(parts)
 
     def encode_slice(self, part: Slice, pool: ThreadPoolExecutor | None = None) -> list[np.ndarray]:

@@ -252,6 +252,38 @@ def test_round_trip_equals_the_library(docs, nasty_rows, none):
     assert bpe.encode(none).count() == 0
 
 
+def test_long_unsplit_texts_go_through_the_tree(spark, tmp_path, monkeypatch):
+    """Over a leaf without a place to split: letters of settled and unsettled classes, digits, marks, blanks, special tokens between."""
+    import random
+
+    rng, rows = random.Random(9), []
+    for alphabet in ("etaoinshr", "абвгд", "ابتثج", "कखगघङ", "🙂🙃😀", "ạḅḍẹ", "0123456789", "٠١٢٣", "-_=+*", " ", " \n\t", "数字漢字"):
+        rows.append("".join(rng.choices(alphabet, k=5000)))
+        rows.append("short text, " + "".join(rng.choices(alphabet, k=9000)) + "<|endoftext|>" + "".join(rng.choices(alphabet + "ab", k=4500)))
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    known = bpe.ByteBPE(bpe.default_path())
+    ids = {r["doc_id"]: r["ids"] for r in bpe.encode(frame).collect()}
+    calls = []
+    monkeypatch.setattr(known, "join", lambda a, b, join=known.join: calls.append(1) or join(a, b))
+    import hashlib
+
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    found = {r["doc_id"]: r for r in bpe.op7_bpe(spark, str(tmp_path)).collect()}
+    for k, text in enumerate(rows):
+        whole = known.library.encode(text, add_special_tokens=False).ids
+        assert ids[k] == whole
+        assert (found[k]["n_tokens"], found[k]["ids_sha256"], found[k]["decoded_sha256"]) == (len(whole), sha(",".join(map(str, whole))), sha(known.library.decode(whole, skip_special_tokens=False)))
+        calls.clear()
+        assert known.encode(text).tolist() == whole and calls
+
+
+def test_decoding_ignores_columns_of_any_name(spark):
+    frame = spark.createDataFrame([(1, [10, 11], "x", 5), (2, None, "y", 6), (None, [], None, None)], "doc_id long, ids array<int>, text string, n int")
+    found = bpe.decode(frame)
+    assert found.columns == ["doc_id", "text"] and {r["doc_id"]: r["text"] for r in found.collect()} == {1: "+,", 2: "", None: ""}
+
+
 @pytest.mark.parametrize("leaf", [3, 64])
 def test_tree_equals_the_whole(leaf):
     import random
