@@ -28,6 +28,7 @@ SQL: dict[str, str] = {
     "op2_suffix_dedup": suffixes.OP2_SQL,
     "op3_chat_rotation": chat.OP3_SQL,
     "op4_licence_scan": licences.OP4_SQL,
+    "op5_quality_rules": repetition.OP5_SQL,
     "op6_jaccard_join": jaccard.OP6_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
 }

@@ -157,4 +157,29 @@ def keep_clean(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return features(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("longest_repeat")
+
+
+#: By windows instead of suffixes: a word is in a repeat of at least L words if it is in a window of L words that stands twice, and the longest repeat has more than L words if a window of L + 1 does.
+OP5_SQL = rf"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), p AS (
+  SELECT r, l, k, array_to_string(ws[k : k + l - 1], ' ') AS win FROM (
+    SELECT r, ws, l, unnest(range(1, len(ws) - l + 2)) AS k FROM w, (VALUES ({BASE_WINDOW}), ({MIN_REPEAT}), ({MAX_LONGEST + 1})) AS v(l) WHERE len(ws) >= l)
+), twice AS (
+  SELECT r, l, k FROM (SELECT *, count(*) OVER (PARTITION BY r, l, win) AS n FROM p) WHERE n > 1
+), hit AS (
+  SELECT r, l, count(DISTINCT q) AS n FROM (SELECT r, l, unnest(range(k, k + l)) AS q FROM twice) GROUP BY r, l
+), f AS (
+  SELECT w.r, doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+         CAST(coalesce(a.n, 0) AS BIGINT) AS n_repeat_words, coalesce(b.n, 0) / greatest(len(ws), 1) AS covered_fraction, coalesce(c.n, 0) > 0 AS too_long
+  FROM w LEFT JOIN hit a ON a.r = w.r AND a.l = {BASE_WINDOW} LEFT JOIN hit b ON b.r = w.r AND b.l = {MIN_REPEAT} LEFT JOIN hit c ON c.r = w.r AND c.l = {MAX_LONGEST + 1}
+)
+SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_repeat_words, covered_fraction,
+       n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_BASE_PERCENT} * n_words AS base_failed,
+       NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_BASE_PERCENT} * n_words) AND covered_fraction <= {MAX_COVERED} AND NOT too_long AS kept
+FROM f
+"""

@@ -58,6 +58,30 @@ def test_suffix_array_matches(text):
     assert repetition.longest_matches(words).tolist() == brute_repeats(text.split()) + [0, 0] + brute_repeats(text.split())
 
 
+def test_repeats_equal_brute_force(spark, nasty_rows):
+    """Covered fraction, longest repeat and verdict from every pair of places."""
+    import random
+
+    rng, texts = random.Random(7), {r[1] for r in nasty_rows if r[1] is None or len(r[1]) < 4000}
+    for _ in range(40):
+        words = [f"w{rng.randint(0, 4000)}" for _ in range(rng.randint(5, 260))]
+        for n in rng.sample([9, 10, 11, 60, 100, 101, 130], 2):
+            at, to = rng.randint(0, len(words)), rng.randint(0, len(words))
+            words[to:to] = words[at : at + n]
+        texts.add(" ".join(words))
+    rows = list(enumerate(sorted(texts, key=str)))
+    found = {r["doc_id"]: r for r in repetition.features(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    for k, text in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        match = brute_repeats(words)
+        spanned = {j for i, n in enumerate(match) if n >= 10 for j in range(i, i + n)}
+        five = {j for i, n in enumerate(match) if n >= 5 for j in range(i, i + 5)}
+        fraction, longest = len(spanned) / max(len(words), 1), max(match, default=0)
+        kept = len(words) >= 10 and 100 * len(five) <= 20 * len(words) and fraction <= 0.15 and longest <= 100
+        assert (found[k]["covered_fraction"], found[k]["longest_repeat"], found[k]["kept"]) == (fraction, longest, kept)
+    assert 3 < sum(r["kept"] for r in found.values()) < len(rows) - 3
+
+
 def test_verdicts(spark, none):
     clean = " ".join(f"w{k}" for k in range(200))
     long = " ".join(f"v{k}" for k in range(110))
