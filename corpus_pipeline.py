@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes each stage's result as
 Parquet in the shared folder and reads it again for the next. All stages but the last return the columns of
-documents; the last returns doc_id, n_tokens and ids.
+their input, which are those of documents and any others; the last returns doc_id, n_tokens and ids.
 
 Defined results: empty tables stay empty; null or empty texts go in the first stage, as do those of few words;
 of repeated rows of one id the rules judge each; a text that is cut keeps its row, and n_chars is counted anew;
@@ -19,27 +19,25 @@ from pyspark.sql import functions as F
 from strandmill.llm import bpe, decontaminate, jaccard, repetition, suffixes
 from strandmill.llm.shared import Tables, scratch
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return repetition.keep_clean(docs.select(*COLUMNS))
+    return repetition.keep_clean(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least id of each group of near duplicates."""
-    return jaccard.one_of_each(docs.select(*COLUMNS))
+    return jaccard.one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 50 bytes and more that stand in an earlier document."""
-    return suffixes.cut(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
+    return suffixes.cut(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    return decontaminate.clean(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
