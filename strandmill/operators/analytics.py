@@ -59,6 +59,12 @@ def compare_order(rows: DataFrame) -> DataFrame:
     return rows.orderBy(F.coalesce("construction_run", F.lit(-1)), F.coalesce("qa_run", F.lit(-1)), "question_id")
 
 
+def result_order(rows: DataFrame) -> DataFrame:
+    """Sample and question ids order as texts, so 10 comes before 2; runs by number."""
+    runs = [c for c in ("construction_run", "qa_run") if c in rows.columns]
+    return rows.orderBy(*runs, "sample_id", "question_id")
+
+
 def trace(results: DataFrame, question_id: str, construction_run: int | None = None, qa_run: int | None = None) -> DataFrame:
     """The first row of the question, in the order of runs and rows; a run of None is no condition."""
     out = results.where(F.col("question_id") == question_id)

@@ -26,7 +26,7 @@ from strandmill.functions import parsers
 from strandmill.functions import vocabulary as V
 
 NEIGHBOURS = 5
-NOTE_SCHEMA = "sample_id string, record_id string, pos int, text string, timestamp string, context string, keywords array<string>, tags array<string>, links array<string>, completions long, prompt_tokens array<long>, completion_tokens array<long>, failures long"
+NOTE_SCHEMA = "sample_id string, record_id string, pos int, text string, timestamp string, context string, keywords array<string>, tags array<string>, links array<string>, completions long, prompt_tokens array<long>, completion_tokens array<long>, failures long, error string"
 
 Complete = Callable[[str, float], str]
 
@@ -206,7 +206,7 @@ class Fold:
         out = []
         for pos, n in enumerate(self.notes.values()):
             links = [ids[t] if isinstance(t, int) and 0 <= t < len(ids) else str(t) for t in n.links]
-            out.append((sample_id, n.record_id, pos, n.content, n.timestamp, n.context, list(map(str, n.keywords)), list(map(str, n.tags)), links, len(self.usage), *(each if pos == 0 else ([], [])), self.failures))
+            out.append((sample_id, n.record_id, pos, n.content, n.timestamp, n.context, list(map(str, n.keywords)), list(map(str, n.tags)), links, len(self.usage), *(each if pos == 0 else ([], [])), self.failures, None))
         return out
 
     def to_json(self) -> str:
@@ -236,21 +236,29 @@ def scripted(responses: Iterable[str]) -> Complete:
 def build_notes(turns: DataFrame, model: Callable[[str], Complete], **options: Any) -> DataFrame:
     """Notes of every sample. turns: sample_id, turn_id, turn_pos, text, timestamp; model: makes a sample's `complete`.
 
-    Provider calls happen inside the tasks: write the result before it is read twice."""
+    A sample that fails as a whole is one row with an error and no record_id. Provider calls happen inside the tasks: write the result before it is read twice."""
+    Fold(scripted(()), **options)  # wrong options are an error of the plan, not of each sample
+    columns = [c.split()[0] for c in NOTE_SCHEMA.split(", ")]
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         name = rows["sample_id"].iloc[0]
-        state = Fold(model(name), **options)
-        for t in rows.sort_values("turn_pos").itertuples():
-            state.add(t.text or "", t.timestamp if isinstance(t.timestamp, str) else None, t.turn_id)
-        return pd.DataFrame(state.rows(name), columns=[c.split()[0] for c in NOTE_SCHEMA.split(", ")])
+        try:
+            state = Fold(model(name), **options)
+            for t in rows.sort_values("turn_pos").itertuples():
+                state.add(t.text or "", t.timestamp if isinstance(t.timestamp, str) else None, t.turn_id)
+            found = state.rows(name)
+        except Exception as e:  # noqa: BLE001  an error is a value of its sample
+            found = [(name, *[None] * (len(columns) - 2), f"{type(e).__name__}: {e}")]
+        return pd.DataFrame(found, columns=columns).astype({"pos": "Int32", "completions": "Int64", "failures": "Int64"})
 
     return turns.select("sample_id", "turn_id", "turn_pos", "text", "timestamp").groupBy("sample_id").applyInPandas(fold, NOTE_SCHEMA)
 
 
 def enriched(notes: DataFrame, turns: DataFrame) -> DataFrame:
-    """Notes with speaker, session and evidence of their turn."""
-    return notes.join(turns.select(F.col("turn_id").alias("record_id"), "speaker", "session_id", F.array("evidence_id").alias("evidence_refs")), "record_id")
+    """Notes with speaker, session and evidence of their turn; a note without a turn is an error."""
+    of = turns.select(F.col("turn_id").alias("record_id"), "speaker", "session_id", F.array("evidence_id").alias("_refs"))
+    lost = F.raise_error(F.concat(F.lit("no turn for note "), F.col("record_id")))
+    return notes.join(of, "record_id", "left").withColumn("evidence_refs", F.when(F.col("_refs").isNull(), lost.cast("array<string>")).otherwise(F.col("_refs"))).drop("_refs")
 
 
 def rule_model(sample_id: str) -> Complete:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -40,8 +40,14 @@ def stores_of(stores: DataFrame, samples: DataFrame) -> DataFrame:
     return stores.join(samples.select("sample_id").distinct(), "sample_id", "left_semi")
 
 
-def failed_rows(questions: DataFrame, stores: DataFrame, kind: str = "FileNotFoundError", message: str = "No construction store for sample ") -> DataFrame:
+def failure(kind: Column, message: Column, question_id: str = "question_id") -> Column:
+    """An error of a question; any of them may be tried again."""
+    return F.struct(F.lit("retrieve_qa").alias("stage"), F.col("sample_id"), F.col(question_id).alias("question_id"), kind.alias("type"), message.alias("message"), F.lit(True).alias("retryable"))
+
+
+def failed_rows(questions: DataFrame, stores: DataFrame) -> DataFrame:
     """One failed row for each question whose sample has no store."""
     lost = questions.join(stores.select("sample_id").distinct(), "sample_id", "left_anti")
-    error = F.struct(F.lit("retrieve_qa").alias("stage"), F.col("sample_id"), F.col("question_id"), F.lit(kind).alias("type"), F.concat(F.lit(message), F.col("sample_id")).alias("message"), F.lit(False).alias("retryable"))
+    # Fixed value: the message.
+    error = failure(F.lit("FileNotFoundError"), F.concat(F.lit("No construction store available for sample '"), F.col("sample_id"), F.lit("'")))
     return lost.withColumn("status", F.lit("failed")).withColumn("prediction", F.lit("")).withColumn("errors", F.array(error))

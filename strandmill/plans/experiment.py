@@ -1,6 +1,6 @@
 """Runs an experiment file: load, construct, evaluate, persist. Each run is one lazy plan that ends in a written table.
 
-Errors of questions are rows, not exceptions. A finished unit (a sample's store, a question's result) with the same
+Errors of samples and questions are rows, not exceptions: a sample that fails has a failed status and no store, and its questions are failed rows. A finished unit (a sample's store, a question's result) with the same
 fingerprints is kept on resume: what is left to do is an anti join.
 """
 
@@ -13,23 +13,36 @@ from datetime import UTC, datetime
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.functions.metrics import metric_map
-from strandmill.functions.providers import client, completed
+from strandmill.functions.providers import client, completed, with_retries
 from strandmill.functions.text import strip
 from strandmill.operators import analytics, construct, context, graph, selection
 from strandmill.plans.config import fingerprint
 from strandmill.plans.registry import catalog
 from strandmill.plans.stages import Stage, retrieve, traces
-from strandmill.sources.artifacts import VERSION, Experiment, read_json, write_json
+from strandmill.sources.artifacts import STORE, VERSION, Experiment, read_json, write_json
 from strandmill.sources.conversations import records as turn_records
 
 USAGE = "struct<phase:string,component:string,provider:string,model:string,prompt_tokens:bigint,completion_tokens:bigint,total_tokens:bigint,source:string,latency_ms:double>"
 ERROR = "struct<stage:string,sample_id:string,question_id:string,type:string,message:string,retryable:boolean>"
 
 
+STORE_VERSION = "store/v1"
+PARTS = {
+    "nodes": "sample_id string, node_id string, type string, text string, layer string, properties struct<context:string,keywords:array<string>>, pos int",
+    "edges": "sample_id string, edge_id string, source_id string, target_id string, type string, link_pos int",
+    "layers": "sample_id string, name string, node_ids array<string>, edge_ids array<string>",
+}
+
+
+def _kind_and_message(why: Column) -> tuple[Column, Column]:
+    """Type and message of an error that is told as `type: message`."""
+    return F.substring_index(why, ":", 1).alias("type"), F.ltrim(F.substring(why, F.instr(why, ":") + 1, F.length(why))).alias("message")
+
+
 @dataclass(frozen=True)
 class Outcome:
     exit_code: int
@@ -38,11 +51,17 @@ class Outcome:
 
 
 def code_fingerprint() -> str:
-    """The package's sources and git revision."""
+    """The package's sources, the git revision and what differs from it."""
     base = Path(__file__).resolve().parent.parent
     parts = [p.read_bytes() for p in sorted(base.rglob("*.py")) if "llm" not in p.relative_to(base).parts]
-    found = subprocess.run(["git", "-C", str(base), "rev-parse", "HEAD"], capture_output=True, text=True, check=False)
-    return hashlib.sha256(b"\0".join([found.stdout.strip().encode(), *parts])).hexdigest()
+    git = lambda *words: subprocess.run(["git", "-C", str(base), *words], capture_output=True, check=False).stdout
+    return hashlib.sha256(b"\0".join([git("rev-parse", "HEAD").strip(), git("diff", "--binary", "HEAD", "--", "."), *parts])).hexdigest()
+
+
+def used(component: str, llm: dict[str, Any], reply: str = "_r") -> Column:
+    """The usage row of a completion."""
+    counts = (F.col(f"{reply}.{c}").alias(c) for c in ("prompt_tokens", "completion_tokens", "total_tokens", "source", "latency_ms"))
+    return F.struct(F.lit("retrieve_qa").alias("phase"), F.lit(component).alias("component"), F.lit(llm["provider"]).alias("provider"), F.lit(llm["model"]).alias("model"), *counts).cast(USAGE)
 
 
 class Runner:
@@ -73,7 +92,8 @@ class Runner:
         return Outcome(1 if fatal else 2 if partial else 0, status, self.out.root)
 
     def _data_sha(self) -> str:
-        return hashlib.sha256(Path(self.tree["pipeline"]["dataset"]["path"]).read_bytes()).hexdigest()
+        with Path(self.tree["pipeline"]["dataset"]["path"]).open("rb") as f:
+            return hashlib.file_digest(f, "sha256").hexdigest()
 
     def _manifest(self, status: str) -> None:
         taxonomy = {}
@@ -87,7 +107,8 @@ class Runner:
     # ---- construction
 
     def _construct(self) -> bool:
-        part = self.tree["pipeline"]["construction"]
+        """Whether a sample failed."""
+        part, partial = self.tree["pipeline"]["construction"], False
         chosen = part["selection"]
         samples = selection.select_samples(self.data["samples"], chosen["sample_ids"], chosen["sample_limit"])
         for run in range(part["runs"]):
@@ -96,37 +117,56 @@ class Runner:
             if self.tree["runtime"]["resume"] and self.out.has("status", run):
                 done = self.out.read(self.spark, "status", run)
                 units = selection.pending(units, done, ["sample_id"])
-                kept = {name: self.out.read(self.spark, name, run) for name in ("records", "edges", "status")}
+                kept = {name: self.out.read(self.spark, name, run) for name in (*STORE, "status")}
                 if units.isEmpty():
                     continue
             turns = self.data["turns"].join(units.select("sample_id"), "sample_id", "left_semi")
             turns = selection.first_of_each(turns, "sample_id", "turn_pos", chosen["turn_limit"])
-            stores = self._stores(part, turns)
-            stores["status"] = units.withColumn("status", F.lit("completed"))
-            for name, frame in stores.items():
-                before = kept and kept[name].join(units.select("sample_id"), "sample_id", "left_anti")
-                self.out.write(f"{name}.new", frame.unionByName(before, allowMissingColumns=True) if before is not None else frame, run)
-            for name in stores:  # what is read above is replaced only now
-                self.out.write(name, self.out.read(self.spark, f"{name}.new", run), run)
-        return False
-
-    def _stores(self, part: dict[str, Any], turns: DataFrame) -> dict[str, DataFrame]:
-        """records and edges of each sample."""
+            stores, failed = self._stores(part, turns, run)
+            state = units.join(failed, "sample_id", "left")
+            fine = F.col("error").isNull()
+            stores["stores"] = state.where(fine).select("sample_id", F.lit(STORE_VERSION).alias("schema_version"), F.create_map().cast("map<string,string>").alias("private_refs"), F.create_map(F.lit("method"), F.lit(part["adapter"])).alias("metadata"))
+            stores["status"] = state.select("sample_id", "fingerprint", "execution_fingerprint", F.when(fine, "completed").otherwise("failed").alias("status"), "error")
+            self._replace(stores, kept and {name: kept[name].join(units.select("sample_id"), "sample_id", "left_anti") for name in stores}, run)
+            status = self.out.read(self.spark, "status", run)
+            lost = status.where("error IS NOT NULL").select(F.lit("construction").alias("stage"), "sample_id", F.lit(None).cast("string").alias("question_id"), *_kind_and_message(F.col("error")), F.lit(True).alias("retryable"))
+            self.out.write("construction_errors", lost, run)
+            self.out.write("construction_usage", self.out.read(self.spark, "records", run).where("usage IS NOT NULL").select("sample_id", F.explode("usage").alias("u")).select("sample_id", "u.*"), run)
+            counts = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}
+            broken = counts.get("failed", 0)
+            write_json(self.out.root / "construction" / f"run_{run:03d}" / "status.json", {"status": "partial" if broken else "completed", "fingerprint": self.print, "execution_fingerprint": self.code, "selected_samples": sum(counts.values()), "completed_samples": counts.get("completed", 0), "failed_samples": broken})
+            partial |= broken > 0
+        return partial
+
+    def _replace(self, tables: dict[str, DataFrame], kept: dict[str, DataFrame] | None, *runs: int) -> None:
+        """Writes the tables, with the rows that are kept; what is read for them is replaced only when all are there."""
+        for name, frame in tables.items():
+            self.out.write(f"{name}.new", frame.unionByName(kept[name], allowMissingColumns=True) if kept else frame, *runs)
+        for name in tables:
+            self.out.write(name, self.out.read(self.spark, f"{name}.new", *runs), *runs)
+
+    def _stores(self, part: dict[str, Any], turns: DataFrame, run: int) -> tuple[dict[str, DataFrame], DataFrame]:
+        """records, nodes, edges and layers of each sample, and (sample_id, error) of those that failed."""
+        nothing = lambda schema: self.spark.createDataFrame([], schema)
         if part["adapter"] == "turn_rag":
             held = turn_records(turns)
             none = F.array().cast("array<string>")
             records = held.select("sample_id", "record_id", "pos", "text", "content", "timestamp", "speaker", "session_id", "evidence_refs", "keywords", F.lit("").alias("context"), none.alias("tags"), none.alias("links"), F.lit(None).cast(f"array<{USAGE}>").alias("usage"))
-            return {"records": records, "edges": self.spark.createDataFrame([], "sample_id string, edge_id string, source_id string, target_id string, type string, link_pos int")}
+            return {"records": records} | {name: nothing(schema) for name, schema in PARTS.items()}, nothing("sample_id string, error string")
         llm = part["llm"]
         params, model = part["params"], llm["model"]
         responses = llm["params"].get("responses", ())
         # Each sample starts the script anew, as each has a model of its own.
-        make = (lambda _: construct.scripted(responses)) if llm["provider"] == "fake" else (lambda _, ask=client(llm): (lambda prompt, heat: ask(prompt, heat)["text"]))
-        notes = construct.build_notes(turns, make, mode=params.get("keyword_pruning_mode", "nltk"), evolution_threshold=int(params.get("evolution_threshold", 100)))
+        make = (lambda _: construct.scripted(responses)) if llm["provider"] == "fake" else (lambda _, ask=with_retries(client(llm)): (lambda prompt, heat: ask(prompt, heat)["text"]))
+        built = construct.build_notes(turns, make, mode=params.get("keyword_pruning_mode", "nltk"), evolution_threshold=int(params.get("evolution_threshold", 100)))
+        self.out.write("notes", built, run)  # the model is asked once
+        built = self.out.read(self.spark, "notes", run)
+        notes = built.where("error IS NULL").drop("error")
         one = lambda x: F.struct(F.lit("construction").alias("phase"), F.lit("note_model").alias("component"), F.lit(llm["provider"]).alias("provider"), F.lit(model).alias("model"), x["prompt_tokens"].alias("prompt_tokens"), x["completion_tokens"].alias("completion_tokens"), (x["prompt_tokens"] + x["completion_tokens"]).alias("total_tokens"), F.lit("estimated").alias("source"), F.lit(None).cast("double").alias("latency_ms"))
         records = construct.enriched(notes, turns).withColumn("content", F.col("text")).withColumn("usage", F.transform(F.arrays_zip("prompt_tokens", "completion_tokens"), one).cast(f"array<{USAGE}>"))
-        links = notes.select("sample_id", "record_id", "pos", F.posexplode("links").alias("link_pos", "target_id"))
-        return {"records": records.drop("prompt_tokens", "completion_tokens", "completions", "failures"), "edges": graph.edges(links)}
+        edges = graph.edges(notes.select("sample_id", "record_id", "pos", F.posexplode("links").alias("link_pos", "target_id")))
+        tables = {"records": records.drop("prompt_tokens", "completion_tokens", "completions", "failures"), "nodes": graph.nodes(notes), "edges": edges, "layers": graph.layers(notes, edges)}
+        return tables, built.where("error IS NOT NULL").select("sample_id", "error")
 
     def _external(self) -> Experiment:
         """Another experiment's stores: complete, of the same data, with the runs asked for."""
@@ -161,12 +201,15 @@ class Runner:
 
     def _rewriter(self, llm: dict[str, Any]):
         def rewrite(asked: DataFrame, template: str) -> DataFrame:
-            head, _, tail = template.partition("{question}")
-            reply = completed(llm, F.concat(F.lit(head), F.col("query"), F.lit(tail)))
-            used = F.struct(F.lit("retrieve_qa").alias("phase"), F.lit("retrieval:query_transform").alias("component"), F.lit(llm["provider"]).alias("provider"), F.lit(llm["model"]).alias("model"), *(F.col(f"_r.{c}").alias(c) for c in ("prompt_tokens", "completion_tokens", "total_tokens", "source", "latency_ms")))
+            failed = F.col("_error") if "_error" in asked.columns else F.lit(None).cast("string")
+            reply = completed(llm, F.when(failed.isNull(), F.replace(F.lit(template), F.lit("{question}"), F.col("query"))))
             out = asked.withColumn("_r", reply)
             before = F.col("_usage") if "_usage" in asked.columns else F.array().cast(f"array<{USAGE}>")
-            return out.withColumn("query", strip(F.col("_r.text"))).withColumn("_usage", F.array_append(before, used.cast(USAGE))).drop("_r")
+            out = out.withColumns({"query": strip(F.col("_r.text")), "_usage": F.array_append(before, used("retrieval:query_transform", llm)), "_error": F.coalesce(failed, F.col("_r.error"))}).drop("_r")
+            name = f"rewritten.{self.rewritten}"
+            self.rewritten += 1
+            self.out.write(name, out, *self.at)  # the model is asked once, though results and traces read it
+            return self.out.read(self.spark, name, *self.at)
 
         return rewrite
 
@@ -179,18 +222,18 @@ class Runner:
         for build_run in getattr(self, "source_runs", None) or source.runs("status"):
             records = source.read(self.spark, "records", build_run)
             for run in range(part["runs"]):
-                todo, kept = questions, {}
+                todo, kept, self.at, self.rewritten = questions, {}, (build_run, run), 0
                 if self.tree["runtime"]["resume"] and self.out.has("results", build_run, run):
                     before = self.out.read(self.spark, "results", build_run, run)
                     units = questions.withColumn("fingerprint", F.lit(self.print)).withColumn("execution_fingerprint", F.lit(self.code))
                     todo = selection.pending(units, before, ["question_id"]).drop("fingerprint", "execution_fingerprint")
                     kept = {name: self.out.read(self.spark, name, build_run, run).join(todo.select("question_id"), "question_id", "left_anti") for name in ("results", "traces")}
                 fresh, trace = self._answers(part, todo, records)
-                new = {"results": fresh.withColumns({"fingerprint": F.lit(self.print), "execution_fingerprint": F.lit(self.code)}), "traces": trace}
-                for name, frame in new.items():
-                    self.out.write(f"{name}.new", frame.unionByName(kept[name]) if kept else frame, build_run, run)
-                for name in new:  # what is read above is replaced only now
-                    self.out.write(name, self.out.read(self.spark, f"{name}.new", build_run, run), build_run, run)
+                fresh = fresh.withColumns({"fingerprint": F.lit(self.print), "execution_fingerprint": F.lit(self.code)})
+                self.out.write("answers", fresh, build_run, run)  # the model is asked once
+                fresh = self.out.read(self.spark, "answers", build_run, run)
+                trace = trace.join(fresh.where("status = 'failed'").select("question_id"), "question_id", "left_anti")
+                self._replace({"results": fresh, "traces": trace}, kept, build_run, run)
                 partial |= self._summary(build_run, run)
         return partial
 
@@ -210,24 +253,24 @@ class Runner:
         shown = context.joined(items.select("question_id", "record_id", "rank").join(records, "record_id"), line)
         rows = able.join(shown, "question_id", "left").withColumn("context_text", F.coalesce("context_text", F.lit("")))
         if "_usage" in plan.asked.columns:
-            rows = rows.join(plan.asked.select("question_id", F.col("_usage").alias("usage")), "question_id")
+            rows = rows.join(plan.asked.select("question_id", F.col("_usage").alias("usage"), F.col("_error").alias("_before")), "question_id")
         else:
-            rows = rows.withColumn("usage", F.array().cast(f"array<{USAGE}>"))
+            rows = rows.withColumns({"usage": F.array().cast(f"array<{USAGE}>"), "_before": F.lit(None).cast("string")})
         qa = part["qa"]
         if qa["adapter"] == "robust":
             label = F.col("labels")["question_type"][0]
             prompt = context.qa_prompt(F.col("question_id"), F.col("question"), F.col("reference"), label, F.col("context_text"), self.tree["runtime"]["seed"])
-            rows = rows.withColumn("_r", completed(qa["llm"], prompt, context.qa_temperature(label, float(qa["params"].get("adversarial_temperature", 0.5)))))
-            used = F.struct(F.lit("retrieve_qa").alias("phase"), F.lit("qa").alias("component"), F.lit(qa["llm"]["provider"]).alias("provider"), F.lit(qa["llm"]["model"]).alias("model"), *(F.col(f"_r.{c}").alias(c) for c in ("prompt_tokens", "completion_tokens", "total_tokens", "source", "latency_ms")))
-            rows = rows.withColumn("prediction", strip(F.col("_r.text"))).withColumn("_why", F.col("_r.error")).withColumn("usage", F.array_append("usage", used.cast(USAGE)))
+            rows = rows.withColumn("_r", completed(qa["llm"], F.when(F.col("_before").isNull(), prompt), context.qa_temperature(label, float(qa["params"].get("adversarial_temperature", 0.5)))))
+            rows = rows.withColumn("prediction", strip(F.col("_r.text"))).withColumn("_why", F.col("_r.error")).withColumn("usage", F.array_append("usage", used("qa", qa["llm"])))
         else:
             fails = F.lit(False)
             if qa["adapter"] == "failing":
                 ids = qa["params"].get("question_ids")
                 fails = F.col("question_id").isin(list(ids)) if ids else F.lit(True)
             rows = rows.withColumn("prediction", context.extractive(F.col("context_text"))).withColumn("_why", F.when(fails, "RuntimeError: intentional QA failure"))
+        rows = rows.withColumn("_why", F.coalesce("_before", "_why"))
         bad = F.col("_why").isNotNull()
-        error = F.struct(F.lit("retrieve_qa").alias("stage"), F.col("sample_id"), F.col("question_id"), F.substring_index("_why", ":", 1).alias("type"), F.expr("trim(substring(_why, instr(_why, ':') + 1))").alias("message"), F.lit(False).alias("retryable"))
+        error = selection.failure(*_kind_and_message(F.col("_why")))
         scored = metric_map([m["adapter"] for m in part["metrics"]], F.col("prediction"), F.col("reference"))
         rows = rows.select(
             "question_id", "sample_id", F.when(bad, "failed").otherwise("completed").alias("status"), "question", "reference", F.when(bad, "").otherwise(F.col("prediction")).alias("prediction"), "labels", F.col("question_pos").alias("pos"),
@@ -241,10 +284,15 @@ class Runner:
         return rows.unionByName(none), traces(plan)
 
     def _summary(self, build_run: int, run: int) -> bool:
-        """Writes the run's figures; whether a question failed."""
+        """Writes the run's usage, errors, status and figures; whether a question failed."""
         results = self.out.read(self.spark, "results", build_run, run)
+        self.out.write("usage", results.select("question_id", F.explode("usage").alias("u")).select("question_id", "u.*"), build_run, run)
+        self.out.write("errors", analytics.errors(results), build_run, run)
         counts = analytics.status_counts(results).first()
         means = {r["name"]: r["mean"] for r in analytics.metric_means(results).collect()}  # one row for each metric
-        used = {r["source"]: {"calls": r["calls"], "tokens": r["total_tokens"], "latency_ms": r["latency_ms"]} for r in analytics.usage_by_source(analytics.usage_records(None, results)).collect()}
-        write_json(self.out.root / "retrieve_qa" / f"construction_{build_run:03d}" / f"run_{run:03d}" / "summary.json", {"questions": counts["questions"], "completed": counts["completed"], "failed": counts["questions"] - counts["completed"], "metrics": means, "usage": used})
+        by_source = analytics.usage_by_source(analytics.usage_records(self.out.read(self.spark, "usage", build_run, run), results)).collect()
+        place = self.out.root / "retrieve_qa" / f"construction_{build_run:03d}" / f"run_{run:03d}"
+        prints = {"fingerprint": self.print, "execution_fingerprint": self.code}
+        write_json(place / "status.json", {"status": "partial" if counts["failed"] else "completed", "questions": counts["questions"], "completed": counts["completed"], "failed": counts["failed"]} | prints)
+        write_json(place / "summary.json", {"questions": counts["questions"], "completed": counts["completed"], "failed": counts["questions"] - counts["completed"], "metrics": means, "usage": {r["source"]: {"calls": r["calls"], "tokens": r["total_tokens"], "latency_ms": r["latency_ms"]} for r in by_source}})
         return counts["failed"] > 0

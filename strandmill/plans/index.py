@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.operators import analytics
-from strandmill.sources.artifacts import Experiment, experiments, read_json
+from strandmill.sources.artifacts import STORE, Experiment, experiments, read_json
 
 
 class Index:
@@ -38,15 +38,16 @@ class Index:
         }
 
     def errors(self, name: str) -> DataFrame:
-        return analytics.errors(self.results(name))
+        """Of samples that could not be built, and of questions."""
+        held, columns = Experiment(self.root, name), ["stage", "sample_id", "question_id", "type", "message", "retryable"]
+        own = analytics.errors(self.results(name)).select(*columns)
+        return own.unionByName(held.read(self.spark, "construction_errors").select(*columns)) if held.runs("construction_errors") else own
 
     def usage(self, name: str) -> dict[str, dict[str, float]]:
         """By source, over construction and evaluation."""
         held = Experiment(self.root, name)
-        rows = analytics.usage_records(None, self.results(name))
-        if held.runs("records"):
-            built = held.read(self.spark, "records").where("usage IS NOT NULL")
-            rows = rows.unionByName(built.select(F.explode("usage").alias("u")).select("u.*"))
+        files = [held.read(self.spark, t).drop("question_id", "sample_id", "construction_run", "qa_run") for t in ("usage", "construction_usage") if held.runs(t)]
+        rows = analytics.usage_records(files[0] if len(files) == 1 else files[0].unionByName(files[1]) if files else None, self.results(name))
         return {r["source"]: {"calls": r["calls"], "total_tokens": r["total_tokens"], "latency_ms": r["latency_ms"]} for r in analytics.usage_by_source(rows).collect()}
 
     def compare(self, a: str, b: str) -> DataFrame:
@@ -62,6 +63,10 @@ class Index:
         return found.asDict(recursive=True) | {"stages": [r.asDict(recursive=True) for r in stages.collect()]}
 
     def graph(self, name: str, construction_run: int, sample_id: str) -> dict[str, DataFrame]:
-        """records and edges of one store."""
+        """All tables of one store."""
         held = Experiment(self.root, name)
-        return {t: held.read(self.spark, t, construction_run).where(F.col("sample_id") == sample_id) for t in ("records", "edges")}
+        return {t: held.read(self.spark, t, construction_run).where(F.col("sample_id") == sample_id) for t in STORE}
+
+    def in_order(self, name: str) -> DataFrame:
+        """Results by sample and question id as texts, run by run."""
+        return analytics.result_order(self.results(name))

@@ -11,7 +11,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 VERSION = "experiment/v1"
-STORE = ("records", "nodes", "edges", "layers")
+STORE = ("records", "nodes", "edges", "layers", "stores")
 
 
 def write_json(path: Path, payload: Any) -> None:
@@ -70,3 +70,18 @@ class Experiment:
 def experiments(root: str | Path) -> list[str]:
     base = Path(root)
     return sorted(p.name for p in base.iterdir() if (p / "manifest.json").exists()) if base.exists() else []
+
+
+def write_store(place: str, tables: dict[str, DataFrame]) -> None:
+    """The tables of memory stores: records, nodes, edges (also to ends that don't exist) and layers by sample, and the header `stores` with
+    schema_version, private_refs and metadata, which is written last: a store without a header isn't there."""
+    if missing := [name for name in STORE if name not in tables]:
+        raise ValueError(f"a store has {', '.join(missing)} too")
+    for name in STORE:
+        tables[name].write.mode("overwrite").parquet(f"{place}/{name}")
+
+
+def read_store(spark: SparkSession, place: str) -> dict[str, DataFrame]:
+    """The tables of written stores; an AnalysisException if there is no header."""
+    header = spark.read.parquet(f"{place}/stores")
+    return {name: spark.read.parquet(f"{place}/{name}") for name in STORE[:-1]} | {"stores": header}
