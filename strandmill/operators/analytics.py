@@ -65,9 +65,9 @@ def result_order(rows: DataFrame) -> DataFrame:
     return rows.orderBy(*runs, "sample_id", "question_id")
 
 
-def trace(results: DataFrame, question_id: str, construction_run: int | None = None, qa_run: int | None = None) -> DataFrame:
-    """The first row of the question, in the order of runs and rows; a run of None is no condition."""
-    out = results.where(F.col("question_id") == question_id)
+def trace(results: DataFrame, question_id: str | None, construction_run: int | None = None, qa_run: int | None = None) -> DataFrame:
+    """The first row of the question, in the order of runs and rows; a question or run of None is no condition."""
+    out = results if question_id is None else results.where(F.col("question_id") == question_id)
     if construction_run is not None:
         out = out.where(F.col("construction_run") == construction_run)
     if qa_run is not None:

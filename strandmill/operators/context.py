@@ -41,6 +41,19 @@ def index_document(context: Column, keywords: Column) -> Column:
     return strip(F.concat(context, F.lit(" keywords: "), F.array_join(keywords, ", ")))
 
 
+def legacy_document(kind: str, content: Column, context: Column, keywords: Column, tags: Column) -> Column:
+    """What three older indexes held of a note: `add` when it came, `rebuild` when the index was made anew, `hybrid` its keywords only."""
+    listed, spaced = F.array_join(keywords, ", "), lambda x: F.array_join(x, " ")
+    kinds = {
+        "add": lambda: F.concat(F.lit("content:"), content, F.lit(" context:"), context, F.lit(" keywords: "), listed, F.lit(" tags: "), F.array_join(tags, ", ")),
+        "rebuild": lambda: F.concat(content, F.lit(" , "), context, F.lit(" "), spaced(keywords), F.lit(" "), spaced(tags)),
+        "hybrid": lambda: listed,
+    }
+    if kind not in kinds:
+        raise ValueError(f"legacy documents are of {', '.join(kinds)}, not {kind!r}")
+    return kinds[kind]()
+
+
 def neighbour_line(index: Column, timestamp: Column, content: Column, context: Column, keywords: Column, tags: Column) -> Column:
     return F.concat(
         F.lit("memory index:"), index.cast("string"), F.lit("\t talk start time:"), timestamp, F.lit("\t memory content: "), content, F.lit("\t memory context: "), context,

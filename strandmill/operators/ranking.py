@@ -37,16 +37,20 @@ def postings(records: DataFrame, keys: list[str], tokenise: Callable[[Column], C
     return split.select(*keys, "dl", F.explode_outer("_t").alias("term")).where("term IS NOT NULL").groupBy(*keys, "term", "dl").agg(F.count("*").alias("tf"))
 
 
-def bm25(questions: DataFrame, records: DataFrame, *, scope: list[str], query: str = "query", text: str = "text", tokenise: Callable[[Column], Column] = tokens, okapi: bool = False, keep_zero: bool = True) -> DataFrame:
+def bm25(questions: DataFrame, records: DataFrame, *, scope: list[str], query: str = "query", text: str = "text", tokenise: Callable[[Column], Column] = tokens, okapi: bool = False, keep_zero: bool = True, top: int | None = None) -> DataFrame:
     """scope, question_id, record_id, score (and `pos` if the records have it).
 
     `scope` names the corpus of a record and of a question (["sample_id"], ["question_id"] for survivors of an earlier
-    stage, [] for one corpus). With keep_zero, records that share no term stay, with score 0. `okapi` is the second formula: idf
+    stage, [] for one corpus). With keep_zero, records that share no term stay, with score 0; with `top` only those of them that can be among a question's
+    first `top`, so questions and records are not paired in full. `okapi` is the second formula: idf
     ln(N - df + .5) - ln(df + .5), and a negative one becomes EPSILON times the mean idf of the vocabulary."""
     keys = [*scope, "record_id"]
     held = postings(records, keys, tokenise, text)
-    length = records.select(*keys, F.size(tokenise(F.col(text))).alias("_dl"))
-    size = length.groupBy(*scope).agg(F.count("*").alias("N"), F.avg("_dl").alias("avgdl")).withColumn("avgdl", F.when(F.col("avgdl") == 0, 1.0).otherwise(F.col("avgdl")))
+    # Texts are split once: their lengths add up to the postings' counts, and both branches read one shuffle of postings.
+    tokens_held = held.groupBy(*scope).agg(F.sum("tf").alias("_tokens"))
+    rows_held = records.groupBy(*scope).agg(F.count("*").alias("N"))
+    size = rows_held.join(tokens_held, scope, "left") if scope else rows_held.crossJoin(tokens_held)
+    size = size.withColumn("avgdl", F.when(F.coalesce("_tokens", F.lit(0)) == 0, 1.0).otherwise(F.col("_tokens") / F.col("N"))).drop("_tokens")
     asked = questions.select(*dict.fromkeys([*scope, "question_id"]), F.explode(tokenise(F.col(query))).alias("term")).groupBy(*dict.fromkeys([*scope, "question_id"]), "term").agg(F.count("*").alias("qtf"))
     if okapi:
         df = held.groupBy(*scope, "term").agg(F.count("*").alias("df"))
@@ -63,13 +67,38 @@ def bm25(questions: DataFrame, records: DataFrame, *, scope: list[str], query: s
     part = F.col("idf") * F.col("tf") * (K1 + 1.0) / (F.col("tf") + K1 * (1.0 - B + B * F.col("dl") / F.col("avgdl")))
     hits = asked.join(used.withColumn("part", part), [*scope, "term"]).groupBy(*dict.fromkeys([*scope, "question_id", "record_id"])).agg(score9(F.sum(F.col("qtf") * F.col("part"))).alias("score"))
     extra = [c for c in ("pos",) if c in records.columns]
+    if extra:
+        hits = hits.join(records.select(*keys, *extra), keys)
     if not keep_zero:
-        return hits.join(records.select(*keys, *extra), keys) if extra else hits
+        return hits
+    if top is not None:
+        return _padded(hits, questions, records.select(*keys, *extra), scope, top, "pos" if okapi else "record_id")
+    hits = hits.drop(*extra)
     every = _with(questions.select(*dict.fromkeys([*scope, "question_id"])), records.select(*keys, *extra), scope)
     joined = every.join(hits, [*dict.fromkeys([*scope, "question_id", "record_id"])], "left")
     return joined.withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
+def _padded(hits: DataFrame, questions: DataFrame, records: DataFrame, scope: list[str], top: int, order: str) -> DataFrame:
+    """Hits, and for each question with h of them the records without a common term among the first `top` + h of its scope.
+
+    All of these score 0, so no other can be among the first `top`. A question has no more of them than hits and `top` together."""
+    own = list(dict.fromkeys([*scope, "question_id"]))
+    asked = questions.select(*own).distinct()
+    counted = asked.join(hits.groupBy("question_id").agg(F.count("*").alias("_h"), F.count_if(F.col("score") > 0).alias("_p")), "question_id", "left").withColumns({"_h": F.coalesce("_h", F.lit(0)), "_p": F.coalesce("_p", F.lit(0))})
+    short = counted.where(F.col("_p") < top)
+    place = F.row_number().over(Window.partitionBy(*scope).orderBy(order))
+    if scope:
+        # No scope needs more than its questions' largest reach.
+        reach = short.groupBy(*scope).agg((F.max("_h") + top).alias("_reach"))
+        first = records.withColumn("_place", place).join(reach, scope).where(F.col("_place") <= F.col("_reach")).drop("_reach")
+        near = short.join(first, scope).where(F.col("_place") <= F.col("_h") + top)
+    else:
+        near = short.join(records.withColumn("_place", place), F.col("_place") <= F.col("_h") + top)
+    zero = near.join(hits.select("question_id", "record_id"), ["question_id", "record_id"], "left_anti").withColumn("score", F.lit(0.0))
+    return hits.select(*hits.columns).unionByName(zero.select(*hits.columns))
+
+
 def _with(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Joins by the keys; without keys the right side is one corpus' figures, or the corpus itself."""
     return left.join(right, keys) if keys else left.crossJoin(right)
@@ -77,12 +106,12 @@ def _with(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 def bm25_topk(questions: DataFrame, records: DataFrame, k: int, *, scope: list[str], **options) -> DataFrame:
     """The first k records of each question, by score and record id."""
-    return ranked(bm25(questions, records, scope=scope, **options), k, F.desc("score"), F.asc("record_id"))
+    return ranked(bm25(questions, records, scope=scope, top=k, **options), k, F.desc("score"), F.asc("record_id"))
 
 
 def okapi_topk(questions: DataFrame, records: DataFrame, k: int, *, scope: list[str], **options) -> DataFrame:
     """The second BM25 over word tokens; ties by position; k < 1 gives nothing."""
-    scored = bm25(questions, records, scope=scope, okapi=True, tokenise=words, **options)
+    scored = bm25(questions, records, scope=scope, okapi=True, tokenise=words, top=max(k, 0), **options)
     return ranked(scored, max(k, 0), F.desc("score"), F.asc("pos"))
 
 
@@ -102,6 +131,17 @@ def rerank_by_vector(candidates: DataFrame, queries: DataFrame, vectors: DataFra
     return ranked(scored.drop("query_vector", "vector"), k, F.col("score").desc_nulls_last(), F.asc("prior"))
 
 
+def rerank_pairs(candidates: DataFrame, queries: DataFrame, texts: DataFrame, score: Callable[[Column, Column], Column], k: int) -> DataFrame:
+    """Candidates with `rank` in a new order by a score of query and text; ties keep the earlier order; k < 1 gives nothing.
+
+    candidates: question_id, record_id, rank (they come back with what else they have, joined by question and earlier rank);
+    queries: question_id, query; texts: record_id, text. A candidate without a text is dropped."""
+    pairs = candidates.withColumnRenamed("rank", "prior").join(queries.select("question_id", "query"), "question_id").join(texts.select("record_id", "text"), "record_id")
+    scored = pairs.withColumn("score", score9(score(F.col("query"), F.col("text")))).select("question_id", "prior", "score")
+    order = ranked(scored, max(k, 0), F.desc("score"), F.asc("prior"))
+    return order.join(candidates.withColumnRenamed("rank", "prior"), ["question_id", "prior"])
+
+
 def min_max(scored: DataFrame, column: str, out: str, by: str = "question_id") -> DataFrame:
     """(x - min) / (max - min + 1e-6) within each question."""
     edge = scored.groupBy(by).agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))

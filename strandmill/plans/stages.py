@@ -90,6 +90,42 @@ def _pairs(plan: Plan, stage: Stage) -> DataFrame:
     return ranking.ranked(left.select("question_id", "record_id", ranking.score9(score(F.col("query"), F.col("text"))).alias("score")), stage.top_k, F.desc("score"), F.asc("record_id"))
 
 
+def build_reranker(mode: str, score: Callable | None = None) -> Callable | None:
+    """What scores a query and a text in the default plan: nothing for `off`, the given function of two text columns for `cross_encoder`."""
+    if mode not in ("off", "cross_encoder"):
+        raise ValueError(f"unsupported rerank mode: {mode}")
+    if mode == "cross_encoder" and score is None:
+        raise ValueError("cross_encoder needs a score, a function of two text columns")
+    return score if mode == "cross_encoder" else None
+
+
+def default_stages(k: int, mode: str = "embedding", *, reranker: Callable | None = None, rerank_top_n: int | None = None, encode: Callable | None = None) -> list[Stage]:
+    """Candidates by text or by vector, then the re-ranker, if there is one; it gets at least k of them."""
+    wide = max(k, rerank_top_n or k) if reranker is not None else k
+    first = Stage("bm25", wide) if mode == "bm25" else Stage("embedding", wide, params={"encode": encode})
+    return [first] + ([Stage("cross_encoder", k, query="original_question", params={"score": reranker})] if reranker is not None else [])
+
+
+def finished(plan: Plan, final_k: int) -> DataFrame:
+    """The candidates of the last stage, the first final_k of each question."""
+    if final_k < 1:
+        raise ValueError("final_k must be >= 1")
+    return plan.candidates.where(F.col("rank") <= final_k)
+
+
+def candidate_rows(plan: Plan) -> DataFrame:
+    """Each candidate as a flat record: question_id, memory_id, memory_index, text, scores and ranks by stage, source_stage and its trace in order."""
+    name = F.concat(F.col("adapter"), F.lit(":"), F.col("stage_index").cast("string"))
+    steps = traces(plan).select("question_id", "record_id", F.struct("stage_index", name.alias("stage"), "rank", "score").alias("s"))
+    by = steps.groupBy("question_id", "record_id").agg(F.array_sort(F.collect_list("s")).alias("steps"))
+    held = plan.candidates.join(by, ["question_id", "record_id"]).join(plan.records.select("record_id", F.col("pos").alias("memory_index"), "text"), "record_id")
+    scored = F.filter("steps", lambda s: s["score"].isNotNull())
+    return held.select(
+        "question_id", F.col("record_id").alias("memory_id"), "memory_index", "text", F.map_from_entries(F.transform(scored, lambda s: F.struct(s["stage"], s["score"]))).alias("scores"),
+        F.map_from_entries(F.transform("steps", lambda s: F.struct(s["stage"], s["rank"]))).alias("ranks"), F.element_at("steps", -1)["stage"].alias("source_stage"), F.transform("steps", lambda s: F.struct(s["stage"].alias("stage"), s["rank"].alias("rank"), s["score"].alias("score"))).alias("stage_trace"),
+    )
+
+
 STAGES: dict[str, Callable[[Plan, Stage], DataFrame]] = {"bm25": _bm25, "limit": _limit, "query_transform": _transform, "embedding": _vectors, "embedding_rerank": _vectors, "cross_encoder": _pairs}
 
 

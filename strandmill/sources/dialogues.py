@@ -1,7 +1,7 @@
 """Multi-session dialogues with questions, from JSON: samples, turns, questions, taxonomy.
 
 The file is an array of objects with `conversation` (session_N, session_N_date_time, speakers) and `qa`. The session
-keys vary, so a sample's conversation is read as a map and filtered by key.
+keys vary, so a sample's conversation is read as a map of JSON texts and filtered by key.
 """
 
 from __future__ import annotations
@@ -33,9 +33,15 @@ def reference_answer(category: Column, answer: Column, adversarial: Column) -> C
 
 
 def load(spark: SparkSession, path: str, dataset: str = "locomo") -> dict[str, DataFrame]:
-    """samples, turns, questions and taxonomy of the file. Raw texts are split by sample; positions are kept."""
-    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<string>")).alias("sample_pos", "j"))
-    raw = raw.select("sample_pos", F.concat(F.lit(f"{dataset}:"), F.col("sample_pos").cast("string")).alias("sample_id"), F.from_json(F.get_json_object("j", "$.conversation"), "map<string,string>").alias("c"), F.from_json(F.get_json_object("j", "$.qa"), _QA).alias("qa"))
+    """samples, turns, questions and taxonomy of a file that is an array of samples. The reader parses it sample by sample, so no row holds the whole file."""
+    rows = spark.read.schema(f"conversation map<string,string>, qa {_QA}").option("mode", "FAILFAST").json(path, multiLine=True)
+    # One file is one partition, so this counts its samples from 0.
+    return parse(spark, rows.withColumn("sample_pos", F.monotonically_increasing_id()), dataset)
+
+
+def parse(spark: SparkSession, rows: DataFrame, dataset: str = "locomo") -> dict[str, DataFrame]:
+    """samples, turns, questions and taxonomy. rows: sample_pos, conversation (the JSON text of each key), qa."""
+    raw = rows.select("sample_pos", F.concat(F.lit(f"{dataset}:"), F.col("sample_pos").cast("string")).alias("sample_id"), F.col("conversation").alias("c"), "qa")
     keyed = raw.select("sample_id", "c", F.explode(F.map_filter("c", lambda k, v: F.startswith(k, F.lit("session_")) & ~F.endswith(k, F.lit("_date_time")))).alias("key", "session"))
     placed = keyed.select("sample_id", "key", session_number(F.col("key")).alias("n"), F.get(F.split("key", "_"), F.lit(1)).alias("session_id"), F.element_at("c", F.concat("key", F.lit("_date_time"))).alias("timestamp"), F.posexplode(F.from_json("session", _TURN)).alias("k", "t"))
     evidence = F.coalesce(F.nullif(F.col("t.dia_id"), F.lit("")), F.concat(F.lit("D"), "session_id", F.lit(":"), (F.col("k") + 1).cast("string")))
