@@ -44,6 +44,9 @@ def bm25(questions: DataFrame, records: DataFrame, *, scope: list[str], query: s
     stage, [] for one corpus). With keep_zero, records that share no term stay, with score 0; with `top` only those of them that can be among a question's
     first `top`, so questions and records are not paired in full. `okapi` is the second formula: idf
     ln(N - df + .5) - ln(df + .5), and a negative one becomes EPSILON times the mean idf of the vocabulary."""
+    own_corpus = scope == ["question_id"]
+    if own_corpus and not okapi:
+        return _survivors(questions, records, query, text, tokenise, keep_zero)
     keys = [*scope, "record_id"]
     held = postings(records, keys, tokenise, text)
     # Texts are split once: their lengths add up to the postings' counts, and both branches read one shuffle of postings.
@@ -71,7 +74,7 @@ def bm25(questions: DataFrame, records: DataFrame, *, scope: list[str], query: s
         hits = hits.join(records.select(*keys, *extra), keys)
     if not keep_zero:
         return hits
-    if top is not None:
+    if top is not None and not own_corpus:
         return _padded(hits, questions, records.select(*keys, *extra), scope, top, "pos" if okapi else "record_id")
     hits = hits.drop(*extra)
     every = _with(questions.select(*dict.fromkeys([*scope, "question_id"])), records.select(*keys, *extra), scope)
@@ -79,6 +82,41 @@ def bm25(questions: DataFrame, records: DataFrame, *, scope: list[str], query: s
     return joined.withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), where the value is worked out once: an expression that a lambda names would be worked out for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _survivors(questions: DataFrame, records: DataFrame, query: str, text: str, tokenise: Callable[[Column], Column], keep_zero: bool) -> DataFrame:
+    """BM25 where each question has a corpus of its own: what an earlier stage left, so at most its top k. One group by question holds
+    it, and the statistics and scores are expressions of that row."""
+    extra = [c for c in ("pos",) if c in records.columns]
+    groups = records.select("question_id", F.struct("record_id", *extra, tokenise(F.col(text)).alias("t")).alias("d")).groupBy("question_id").agg(F.collect_list("d").alias("docs"))
+    rows = questions.select("question_id", tokenise(F.col(query)).alias("q")).join(groups, "question_id")
+    count = lambda words, w: F.size(F.filter(words, lambda x: x == w))
+    tokens_held = F.aggregate("docs", F.lit(0), lambda n, d: n + F.size(d["t"]))
+    size = F.size("docs")
+
+    def term(w: Column) -> Column:
+        df = F.size(F.filter("docs", lambda d: F.array_contains(d["t"], w)))
+        return _let(df, lambda n: F.struct(w.alias("w"), n.alias("df"), (count(F.col("q"), w) * F.log(1.0 + (size - n + 0.5) / (n + 0.5))).alias("weight")))
+
+    held = F.struct(F.filter(F.transform(F.array_distinct("q"), term), lambda x: x["df"] > 0).alias("terms"), F.when(tokens_held == 0, F.lit(1.0)).otherwise(tokens_held / size).alias("avgdl"))
+
+    def score(d: Column, known: Column) -> Column:
+        def add(acc: Column, x: Column) -> Column:
+            return acc + _let(count(d["t"], x["w"]), lambda tf: x["weight"] * tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * F.size(d["t"]) / known["avgdl"])))
+
+        return F.aggregate(known["terms"], F.lit(0.0), add)
+
+    def scores(known: Column) -> Column:
+        some = F.col("docs") if keep_zero else F.filter("docs", lambda d: F.exists(known["terms"], lambda x: F.array_contains(d["t"], x["w"])))
+        return F.transform(some, lambda d: F.struct(d["record_id"].alias("record_id"), *(d[c].alias(c) for c in extra), score9(score(d, known)).alias("score")))
+
+    scored = rows.select("question_id", F.explode(_let(held, scores)).alias("s"))
+    return scored.select("question_id", "s.record_id", "s.score", *(f"s.{c}" for c in extra))
+
+
 def _padded(hits: DataFrame, questions: DataFrame, records: DataFrame, scope: list[str], top: int, order: str) -> DataFrame:
     """Hits, and for each question with h of them the records without a common term among the first `top` + h of its scope.
 
