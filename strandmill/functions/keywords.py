@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,3 +45,15 @@ def decided(response: Column) -> Column:
         return pd.DataFrame([{k: str(v) for k, v in parsers.decision(x or "").items() if k in ("decision", "reason")} for x in r], columns=["decision", "reason"])
 
     return run(response)
+
+
+def through(kind: str, function: Callable[..., dict[str, Any]], *columns: Column) -> Column:
+    """A plain function of one or two texts (null as an empty text) over batches; its dict becomes the struct `kind`, of which it may leave fields out."""
+    names, count = [c.split()[0] for c in kind.split(", ")], len(columns)
+
+    @F.pandas_udf(kind)
+    def run(first: pd.Series, second: pd.Series) -> pd.DataFrame:
+        rows = [function(*(x or "" for x in (a, b)[:count])) for a, b in zip(first, second, strict=True)]
+        return pd.DataFrame([[r.get(n) for n in names] for r in rows], columns=names)
+
+    return run(columns[0], columns[-1])

@@ -61,11 +61,11 @@ def category_labels(spark, sf_dir):
 
 @query("""
 SELECT conv_id, key, row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(TRY_CAST(split_part(key, '_', 2) AS BIGINT), 1000000000), key) AS place
-FROM (SELECT conv_id, CASE WHEN turn = 3 THEN 'session_extra' ELSE 'session_' || (turn * 7 % 11) END AS key FROM conversations WHERE turn < 8)""")
+FROM (SELECT conv_id, CASE WHEN turn = 3 THEN 'session_extra' ELSE 'session_' || (turn * 7 % 11) END AS key FROM conversations)""")
 def session_order(spark, sf_dir):
     from strandmill.sources.dialogues import session_number
 
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("turn < 8").select("conv_id", F.when(F.col("turn") == 3, "session_extra").otherwise(F.concat(F.lit("session_"), (F.col("turn") * 7 % 11).cast("string"))).alias("key"))
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", F.when(F.col("turn") == 3, "session_extra").otherwise(F.concat(F.lit("session_"), (F.col("turn") * 7 % 11).cast("string"))).alias("key"))
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy(session_number(F.col("key")), "key")))
 
 
@@ -89,10 +89,10 @@ def reference_choice(spark, sf_dir):
 # ---- selections
 
 
-@query(f"WITH {S.TURNS}, s AS (SELECT sample_id, min(conv_id) AS p FROM (SELECT 'conv:' || conv_id AS sample_id, conv_id FROM conversations) GROUP BY sample_id) SELECT sample_id FROM s WHERE p % 2 = 0 ORDER BY p LIMIT 10")
+@query(f"WITH {S.TURNS}, s AS (SELECT sample_id, min(conv_id) AS p FROM (SELECT 'conv:' || conv_id AS sample_id, conv_id FROM conversations) GROUP BY sample_id) SELECT sample_id FROM s ORDER BY p LIMIT 10")
 def select_samples(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").agg(F.lit(1)).select(F.concat(F.lit("conv:"), F.col("conv_id").cast("string")).alias("sample_id"), F.col("conv_id").alias("sample_pos"))
-    return selection.select_samples(rows.where("sample_pos % 2 = 0"), limit=10).select("sample_id")
+    return selection.select_samples(rows, limit=10).select("sample_id")
 
 
 @query(f"WITH {S.TURNS}, c AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY question_pos) AS n FROM questions WHERE label IN ('multi_hop', 'open_domain')) SELECT sample_id, question_id FROM c WHERE n <= 2")
@@ -115,7 +115,7 @@ def resume_pending(spark, sf_dir):
     return selection.pending(units, done, ["question_id"]).select("sample_id", "question_id")
 
 
-@query(f"WITH {S.TURNS} SELECT sample_id, question_id, 'failed' AS status, '' AS prediction, 'No construction store for sample ' || sample_id AS message FROM questions WHERE split_part(sample_id, ':', 2)::BIGINT % 4 = 1")
+@query(f"WITH {S.TURNS} SELECT sample_id, question_id, 'failed' AS status, '' AS prediction, 'No construction store available for sample ''' || sample_id || '''' AS message FROM questions WHERE split_part(sample_id, ':', 2)::BIGINT % 4 = 1")
 def missing_store_failed_rows(spark, sf_dir):
     _, records, q = _turns(spark, sf_dir)
     stores = records.where(F.split("sample_id", ":")[1].cast("long") % 4 != 1).select("sample_id")
@@ -228,11 +228,12 @@ def stage_counts_query(spark, sf_dir):
 
 def _vectors(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return rows.where("vec_id < 10").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("query_vector")), rows.select(F.col("vec_id").alias("record_id"), F.col("embedding").alias("vector"))
+    # The set of queries: every row whose id is divisible by 100, against all rows.
+    return rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("query_vector")), rows.select(F.col("vec_id").alias("record_id"), F.col("embedding").alias("vector"))
 
 
 _COS = """e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
-c AS (SELECT q.vec_id AS question_id, r.vec_id AS record_id, round(list_dot_product(q.v, r.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(r.v, r.v))), 9) AS score FROM e q, e r WHERE q.vec_id < 10)"""
+c AS (SELECT q.vec_id AS question_id, r.vec_id AS record_id, round(list_dot_product(q.v, r.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(r.v, r.v))), 9) AS score FROM e q, e r WHERE q.vec_id % 100 = 0)"""
 
 
 @query(f"WITH {_COS}, t AS ({S.topk('c', 5)}) SELECT question_id, record_id, rank, round(score, 6) AS score FROM t")
@@ -248,17 +249,20 @@ def cosine_topk_late_ties(spark, sf_dir):
     return ranking.cosine_topk(queries, records, 5, descending_ties=True).select("question_id", "record_id", "rank", r6("score"))
 
 
-@query(f"""WITH {_COS}, p AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY record_id DESC) AS prior FROM c WHERE record_id % 7 = 0),
-x AS (SELECT question_id, record_id, prior, CASE WHEN record_id % 2 = 0 THEN score END AS score FROM p), t AS ({S.topk('x', 6, 'score DESC NULLS LAST, prior')})
+@query(f"""WITH {_COS}, p AS ({S.topk('c', 20)}), q AS (SELECT question_id, record_id, rank AS r FROM p UNION ALL SELECT question_id, -1 - rank, rank FROM p WHERE rank <= 2),
+x AS (SELECT q.question_id, q.record_id, row_number() OVER (PARTITION BY q.question_id ORDER BY q.r DESC, q.record_id) AS prior, c.score FROM q LEFT JOIN c USING (question_id, record_id)), t AS ({S.topk('x', 22, 'score DESC NULLS LAST, prior')})
 SELECT question_id, record_id, rank, prior, round(score, 6) AS score FROM t""")
 def embedding_rerank_prior_rank(spark, sf_dir):
+    """The nearest twenty in reverse, with two ids that have no vector, ranked anew."""
     queries, records = _vectors(spark, sf_dir)
-    cand = queries.select("question_id").crossJoin(records.where("record_id % 7 = 0").select("record_id")).withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("record_id"))))
-    return ranking.rerank_by_vector(cand, queries, records.where("record_id % 2 = 0"), 6).select("question_id", "record_id", "rank", "prior", r6("score"))
+    near = ranking.cosine_topk(queries, records, 20).select("question_id", "record_id", F.col("rank").alias("r"))
+    both = near.unionByName(near.where("r <= 2").withColumn("record_id", -1 - F.col("r")))
+    cand = both.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("r"), "record_id"))).drop("r")
+    return ranking.rerank_by_vector(cand, queries, records, 22).select("question_id", "record_id", "rank", "prior", r6("score"))
 
 
 @query(f"""WITH {_COS}, docs AS (SELECT doc_id AS record_id, text FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)),
-asked AS (SELECT doc_id AS question_id, text AS query FROM documents WHERE doc_id < 10), {S.bm25('b', 'asked', 'docs', '')},
+asked AS (SELECT doc_id AS question_id, text AS query FROM documents WHERE doc_id % 100 = 0), {S.bm25('b', 'asked', 'docs', '')},
 m AS (SELECT *, (score - min(score) OVER (PARTITION BY question_id)) / (max(score) OVER (PARTITION BY question_id) - min(score) OVER (PARTITION BY question_id) + 0.000001::DOUBLE) AS lex FROM b),
 h AS (SELECT m.question_id, m.record_id, round(0.5::DOUBLE * lex + 0.5::DOUBLE * c.score, 9) AS score FROM m JOIN c USING (question_id, record_id)), t AS ({S.topk('h', 5)})
 SELECT question_id, record_id, rank, round(score, 6) AS score FROM t""")
@@ -266,7 +270,7 @@ def hybrid_minmax_topk(spark, sf_dir):
     queries, records = _vectors(spark, sf_dir)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held = docs.join(records.select(F.col("record_id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("record_id"), "text")
-    texts = ranking.bm25(docs.where("doc_id < 10").select(F.col("doc_id").alias("question_id"), F.col("text").alias("query")), held, scope=[])
+    texts = ranking.bm25(docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("question_id"), F.col("text").alias("query")), held, scope=[])
     return ranking.hybrid_topk(texts, ranking.cosine_topk(queries, records, None), 5).select("question_id", "record_id", "rank", r6("score"))
 
 
@@ -534,8 +538,8 @@ SELECT question_id, question, construction_run, qa_run FROM rows WHERE question_
 def retrieval_trace(spark, sf_dir):
     q = _turns(spark, sf_dir)[2]
     runs = q.withColumn("construction_run", F.explode(F.array(F.lit(1), F.lit(0)))).withColumn("qa_run", F.explode(F.array(F.lit(2), F.lit(1)))).withColumn("pos", F.col("question_pos"))
-    first = q.agg(F.min("question_id").alias("q")).first()["q"]
-    return analytics.trace(runs, first, qa_run=2).select("question_id", "question", "construction_run", "qa_run")
+    first = q.agg(F.min("question_id").alias("question_id"))
+    return analytics.trace(runs.join(first, "question_id", "left_semi"), None, qa_run=2).select("question_id", "question", "construction_run", "qa_run")
 
 
 @query("""SELECT event_type AS stage, count(*) AS count, round(sum(value), 2) AS total, min(value) AS min, max(value) AS max, round(sum(value) / count(*), 6) AS avg FROM events GROUP BY event_type""")
@@ -680,10 +684,11 @@ def graph_memory_qa(spark, sf_dir):
 
 @query()
 def keyword_pruning(spark, sf_dir):
+    """All words of a turn as candidates; the modes without stems have SQL in keyword_pruning_simple."""
     from strandmill.functions import keywords
 
     turns = _turns(spark, sf_dir)[0]
-    given = F.slice(F.split("text", " "), 1, 12)
+    given = F.array_distinct(F.split("text", " "))
     return turns.select("turn_id", *(F.array_join(keywords.pruned(F.col("text"), given, m), ",").alias(m) for m in ("none", "simple", "nltk")))
 
 
@@ -695,12 +700,4 @@ def porter_stems(spark, sf_dir):
     return words.select("word", keywords.stemmed(F.col("word")).alias("stem"))
 
 
-@query()
-def parsed_completions(spark, sf_dir):
-    from strandmill.functions import keywords
-
-    turns = _turns(spark, sf_dir)[0]
-    reply = F.concat(F.lit("KEYWORDS: "), F.array_join(F.slice(F.split("text", " "), 1, 3), ", "), F.lit("\nCONTEXT: "), F.substring("text", 1, 40), F.lit("\nTAGS: one, two"))
-    choice = F.concat(F.lit("DECISION: "), F.element_at(F.array(F.lit("strengthen"), F.lit("NO EVOLUTION"), F.lit("maybe update")), (F.col("turn_pos") % 3 + 1).cast("int")), F.lit("\nREASON: r"))
-    out = turns.select("turn_id", keywords.analysed(reply, F.col("text")).alias("a"), keywords.decided(choice).alias("d"))
-    return out.select("turn_id", F.array_join("a.keywords", ",").alias("keywords"), "a.context", F.array_join("a.tags", ",").alias("tags"), "d.decision", "d.reason")
+from strandmill.plans import note_queries  # noqa: E402, F401  registers its queries too

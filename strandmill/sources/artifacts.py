@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+import uuid
 from pathlib import Path
 from typing import Any
 
@@ -38,6 +39,16 @@ def read_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in spark.checkpoint.dir; a session in one process (tests) without that setting gets one of its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="strandmill-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 class Experiment:
     """Places of an experiment's tables."""
 
