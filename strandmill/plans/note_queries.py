@@ -268,7 +268,7 @@ d AS (SELECT DISTINCT turn_id, low, known, {_KEY.format('g')} AS k FROM (SELECT
 c AS (SELECT *, regexp_extract_all(k, '[a-z0-9]+') AS parts FROM d WHERE k <> ''),
 e AS (SELECT *, list_filter(parts, lambda w: w NOT IN ({_IN(V.FILTERED)})) AS core, len(list_filter(parts, lambda w: ends_with(w, 'says') OR w IN ({_IN(V.BARRED)}))) AS barred FROM c),
 u AS (SELECT * FROM e WHERE len(core) > 0 AND barred = 0 AND NOT (len(core) = 1 AND core[1] IN ({_IN(V.GENERIC)})) AND (len(known) = 0 OR list_has_all(known, core))),
-x AS (SELECT * FROM u WHERE NOT EXISTS (SELECT 1 FROM u o WHERE o.turn_id = u.turn_id AND len(o.core) > 1 AND len(list_distinct(o.core)) > len(list_distinct(u.core)) AND list_has_all(o.core, u.core))),
+x AS (SELECT * FROM u WHERE NOT EXISTS (SELECT 1 FROM u o WHERE o.turn_id = u.turn_id AND (len(o.core) > len(u.core) OR len(o.core) = len(u.core) AND o.k < u.k) AND len(list_distinct(o.core)) > len(list_distinct(u.core)) AND list_has_all(o.core, u.core))),
 s AS (SELECT turn_id, k, list_sum(list_transform(core, lambda w: (length(low) - length(replace(low, w, ''))) / length(w))) AS n, least(len(core), 3) AS words,
 coalesce(list_min(list_filter(list_transform(core, lambda w: strpos(low, w)), lambda z: z > 0)) - 1, length(low) + 1) AS place_at FROM x),
 r AS (SELECT *, row_number() OVER (PARTITION BY turn_id ORDER BY n DESC, words DESC, place_at, k) AS place FROM s)
