@@ -16,6 +16,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandmill.functions import encoders
 from strandmill.functions.metrics import metric_map
 from strandmill.functions.providers import client, completed, with_retries
 from strandmill.functions.text import strip
@@ -66,7 +67,7 @@ def used(component: str, llm: dict[str, Any], reply: str = "_r") -> Column:
 
 class Runner:
     def __init__(self, spark: SparkSession, tree: dict[str, Any], encode=None, pair_score=None):
-        """encode, pair_score: functions of text columns for embedding and cross_encoder stages."""
+        """encode, pair_score: functions of text columns for embedding and cross_encoder stages; without them a stage's params name a model of sentence_transformers."""
         self.spark, self.tree, self.encode, self.pair_score = spark, tree, encode, pair_score
         self.print, self.code = fingerprint(tree), code_fingerprint()
         self.out = Experiment(tree["runtime"]["artifact_root"], tree["experiment"]["id"])
@@ -193,9 +194,9 @@ class Runner:
         for s in part["retrieval"]["stages"]:
             params = dict(s["params"])
             if s["adapter"].startswith("embedding"):
-                params["encode"] = self.encode
+                params["encode"] = self.encode or encoders.sentence_encoder(**{k: params[k] for k in ("model",) if k in params})
             if s["adapter"] == "cross_encoder":
-                params["score"] = self.pair_score
+                params["score"] = self.pair_score or encoders.cross_encoder(**{k: params[k] for k in ("model",) if k in params})
             out.append(Stage(s["adapter"], s["top_k"], s["query"], params, self._rewriter(s["llm"]) if s["llm"] else None))
         return out
 
