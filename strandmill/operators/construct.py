@@ -26,7 +26,7 @@ from strandmill.functions import parsers
 from strandmill.functions import vocabulary as V
 
 NEIGHBOURS = 5
-NOTE_SCHEMA = "sample_id string, record_id string, pos int, text string, timestamp string, context string, keywords array<string>, tags array<string>, links array<string>, completions long, prompt_tokens array<long>, completion_tokens array<long>, failures long, error string"
+NOTE_SCHEMA = "sample_id string, record_id string, pos int, text string, timestamp string, context string, keywords array<string>, tags array<string>, links array<string>, completions long, prompt_tokens array<long>, completion_tokens array<long>, failures long, stages array<string>, seconds array<double>, error string"
 
 Complete = Callable[[str, float], str]
 
@@ -203,10 +203,11 @@ class Fold:
     def rows(self, sample_id: str) -> list[tuple]:
         ids = list(self.notes)
         each = [[u[k] for u in self.usage] for k in ("prompt_tokens", "completion_tokens")]
+        timed = [[t[k] for t in self.seconds] for k in (0, 1)]
         out = []
         for pos, n in enumerate(self.notes.values()):
             links = [ids[t] if isinstance(t, int) and 0 <= t < len(ids) else str(t) for t in n.links]
-            out.append((sample_id, n.record_id, pos, n.content, n.timestamp, n.context, list(map(str, n.keywords)), list(map(str, n.tags)), links, len(self.usage), *(each if pos == 0 else ([], [])), self.failures, None))
+            out.append((sample_id, n.record_id, pos, n.content, n.timestamp, n.context, list(map(str, n.keywords)), list(map(str, n.tags)), links, len(self.usage), *(each if pos == 0 else ([], [])), self.failures, *(timed if pos == 0 else ([], [])), None))
         return out
 
     def to_json(self) -> str:

@@ -162,7 +162,9 @@ class Runner:
         built = construct.build_notes(turns, make, mode=params.get("keyword_pruning_mode", "nltk"), evolution_threshold=int(params.get("evolution_threshold", 100)))
         self.out.write("notes", built, run)  # the model is asked once
         built = self.out.read(self.spark, "notes", run)
-        notes = built.where("error IS NULL").drop("error")
+        spent = built.select(F.explode(F.arrays_zip("stages", "seconds")).alias("t")).select(F.col("t.stages").alias("stage"), F.col("t.seconds").alias("seconds"))
+        self.out.write("timings", analytics.timing(spent), run)
+        notes = built.where("error IS NULL").drop("error", "stages", "seconds")
         one = lambda x: F.struct(F.lit("construction").alias("phase"), F.lit("note_model").alias("component"), F.lit(llm["provider"]).alias("provider"), F.lit(model).alias("model"), x["prompt_tokens"].alias("prompt_tokens"), x["completion_tokens"].alias("completion_tokens"), (x["prompt_tokens"] + x["completion_tokens"]).alias("total_tokens"), F.lit("estimated").alias("source"), F.lit(None).cast("double").alias("latency_ms"))
         records = construct.enriched(notes, turns).withColumn("content", F.col("text")).withColumn("usage", F.transform(F.arrays_zip("prompt_tokens", "completion_tokens"), one).cast(f"array<{USAGE}>"))
         edges = graph.edges(notes.select("sample_id", "record_id", "pos", F.posexplode("links").alias("link_pos", "target_id")))

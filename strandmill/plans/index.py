@@ -67,6 +67,13 @@ class Index:
         held = Experiment(self.root, name)
         return {t: held.read(self.spark, t, construction_run).where(F.col("sample_id") == sample_id) for t in STORE}
 
+    def timings(self, name: str) -> DataFrame:
+        """Seconds of note building by stage, over all construction runs; without such runs there are none."""
+        held = Experiment(self.root, name)
+        if not held.runs("timings"):
+            return self.spark.createDataFrame([], "stage string, count long, total double, min double, max double, avg double")
+        return analytics.merge_timings(held.read(self.spark, "timings"))
+
     def in_order(self, name: str) -> DataFrame:
         """Results by sample and question id as texts, run by run."""
         return analytics.result_order(self.results(name))

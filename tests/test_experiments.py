@@ -71,6 +71,9 @@ def test_note_experiment(spark, tmp_path):
     assert [r["edge_id"] for r in index.graph("notes", 0, "locomo:0")["edges"].collect()] == ["locomo:0:turn:D1:2->locomo:0:turn:D1:1"]
     assert [len(r["item_ids"]) for r in index.results("notes").orderBy("question_id").collect()] == [2] * 4
     assert index.overview("notes")["metrics"]["exact_match"] == 0.5
+    spent = {r["stage"]: r for r in index.timings("notes").collect()}
+    assert spent["construction"]["count"] == 4 and spent["links"]["count"] == 4 and all(0 <= r["min"] <= r["avg"] <= r["max"] <= r["total"] for r in spent.values())
+    assert index.timings("none").count() == 0
 
 
 def test_missing_store_gives_failed_rows(spark, tmp_path):
