@@ -1,4 +1,4 @@
-"""Runs an experiment file: load, construct, evaluate, persist. Each run is one lazy plan that ends in a written table.
+"""Runs an experiment file: load, construct, evaluate, persist. Each step of a run (stores, each retrieval stage, answers) is a lazy plan that ends in a written table.
 
 Errors of samples and questions are rows, not exceptions: a sample that fails has a failed status and no store, and its questions are failed rows. A finished unit (a sample's store, a question's result) with the same
 fingerprints is kept on resume: what is left to do is an anti join.
@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import subprocess
+import time
 from dataclasses import dataclass
 from datetime import UTC, datetime
 from pathlib import Path
@@ -230,7 +231,11 @@ class Runner:
                     before = self.out.read(self.spark, "results", build_run, run)
                     units = questions.withColumn("fingerprint", F.lit(self.print)).withColumn("execution_fingerprint", F.lit(self.code))
                     todo = selection.pending(units, before, ["question_id"]).drop("fingerprint", "execution_fingerprint")
-                    kept = {name: self.out.read(self.spark, name, build_run, run).join(todo.select("question_id"), "question_id", "left_anti") for name in ("results", "traces")}
+                    kept = {name: self.out.read(self.spark, name, build_run, run) for name in ("results", "traces")}
+                # Every stage reads the questions; from a table, a plan does not hold the parsing of the file each time.
+                self.out.write("questions", todo, build_run, run)
+                todo = self.out.read(self.spark, "questions", build_run, run)
+                kept = {name: frame.join(todo.select("question_id"), "question_id", "left_anti") for name, frame in kept.items()}
                 fresh, trace = self._answers(part, todo, records)
                 fresh = fresh.withColumns({"fingerprint": F.lit(self.print), "execution_fingerprint": F.lit(self.code)})
                 self.out.write("answers", fresh, build_run, run)  # the model is asked once
@@ -245,7 +250,18 @@ class Runner:
         held = records.select("sample_id").distinct()
         lost = selection.failed_rows(questions, held)
         able = questions.join(held, "sample_id", "left_semi")
-        plan = retrieve(able, records.select("sample_id", "record_id", "pos", "text"), self._stages(part))
+        seconds = []
+
+        def keep(found: DataFrame, k: int) -> DataFrame:
+            """A stage's result as a table: candidates of the questions, which the next stage, the trace and the answers read."""
+            began = time.perf_counter()
+            self.out.write(f"stage.{k}", found, *self.at)
+            seconds.append((k, stages[k].adapter, time.perf_counter() - began))
+            return self.out.read(self.spark, f"stage.{k}", *self.at)
+
+        stages = self._stages(part)
+        plan = retrieve(able, records.select("sample_id", "record_id", "pos", "text"), stages, keep)
+        self.out.write("stage_timings", self.spark.createDataFrame(seconds, "stage_index int, adapter string, seconds double"), *self.at)  # one row for each stage
         items = plan.candidates
         notes = part["context"]["adapter"] == "amem"
         if notes:

@@ -129,8 +129,10 @@ def candidate_rows(plan: Plan) -> DataFrame:
 STAGES: dict[str, Callable[[Plan, Stage], DataFrame]] = {"bm25": _bm25, "limit": _limit, "query_transform": _transform, "embedding": _vectors, "embedding_rerank": _vectors, "cross_encoder": _pairs}
 
 
-def retrieve(questions: DataFrame, records: DataFrame, stages: list[Stage]) -> Plan:
-    """questions: sample_id, question_id, question; records: sample_id, record_id, pos, text."""
+def retrieve(questions: DataFrame, records: DataFrame, stages: list[Stage], keep: Callable[[DataFrame, int], DataFrame] | None = None) -> Plan:
+    """questions: sample_id, question_id, question; records: sample_id, record_id, pos, text.
+
+    keep(rows, stage index) may write a stage's result and read it again: then later stages, traces and answers share one computation of it."""
     if not stages:
         raise ValueError("at least one stage")
     asked = questions.select("sample_id", "question_id", F.col("question").alias("original"), F.col("question").alias("query"))
@@ -139,6 +141,7 @@ def retrieve(questions: DataFrame, records: DataFrame, stages: list[Stage]) -> P
     plan = Plan(start, asked, [], records)
     for k, stage in enumerate(stages):
         out = STAGES[stage.adapter](plan, stage)
+        out = keep(out, k) if keep is not None else out
         shown = plan.asked.select("question_id", "query") if stage.adapter == "query_transform" else _asked(plan, stage).select("question_id", "query")
         plan.traces.append(out.join(shown, "question_id").select("question_id", F.lit(k).alias("stage_index"), F.lit(stage.adapter).alias("adapter"), "query", "rank", "record_id", "score"))
         if "sample_id" not in out.columns:

@@ -40,6 +40,8 @@ def test_dialogue_source(spark, tmp_path):
 def test_run_resume_and_views(spark, tmp_path):
     t = config.validated(tree(tmp_path, resume=True))
     assert Runner(spark, t).run().exit_code == 0
+    timed = Runner(spark, t).out.read(spark, "stage_timings", 0, 0).collect()
+    assert [(r["stage_index"], r["adapter"]) for r in timed] == [(0, "bm25")] and timed[0]["seconds"] > 0
     index = Index(spark, tmp_path / "out")
     seen = index.overview("a")
     assert seen["questions"] == 4 and seen["failed_questions"] == 0 and seen["metrics"]["exact_match"] == 0 and seen["taxonomy_breakdown"] == {"question_type": {"multi_hop": 4}}
