@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandmill.llm import bpe, chat, decontaminate, jaccard, language, licences, perplexity, repetition, suffixes, urls
+from strandmill.llm import alignment, bpe, chat, decontaminate, jaccard, language, licences, perplexity, repetition, suffixes, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": urls.op1_url_filter,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": language.op8_language_id,
     "op9_quality_classifier": perplexity.op9_quality_classifier,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op12_tokenizer_alignment": alignment.op12_tokenizer_alignment,
 }
 
 #: The others can't be said in SQL, or not in useful time; tests/llm holds them against brute force.
