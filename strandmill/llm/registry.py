@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandmill.llm import alignment, bpe, chat, decontaminate, jaccard, language, licences, perplexity, repetition, suffixes, urls
+from strandmill.llm import alignment, bpe, chat, codebooks, decontaminate, jaccard, language, licences, perplexity, pivots, repetition, suffixes, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": urls.op1_url_filter,
@@ -20,7 +20,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": language.op8_language_id,
     "op9_quality_classifier": perplexity.op9_quality_classifier,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_pivot_dedup": pivots.op11_pivot_dedup,
     "op12_tokenizer_alignment": alignment.op12_tokenizer_alignment,
+    "op13_heap_lloyd": codebooks.op13_heap_lloyd,
 }
 
 #: The others can't be said in SQL, or not in useful time; tests/llm holds them against brute force.
@@ -32,4 +34,6 @@ SQL: dict[str, str] = {
     "op5_quality_rules": repetition.OP5_SQL,
     "op6_jaccard_join": jaccard.OP6_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
+    "op11_pivot_dedup": pivots.OP11_SQL,
+    "op13_heap_lloyd": codebooks.OP13_SQL,
 }
