@@ -2,7 +2,7 @@
 
 A label may have several templates. Key phrases are words as the scan takes them: lower case, one blank between."""
 
-#: Fixed values.
+#: Our own choice.
 TEMPLATES = (
     ("0bsd", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", ("with or without fee is hereby granted",)),
     ("afl-3.0", "Licensed under the Academic Free License version 3.0", ("academic free license version 3 0",)),

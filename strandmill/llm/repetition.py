@@ -4,7 +4,8 @@ Words are `[^\\x20\\x09-\\x0D]+`. The suffixes of all texts of a slice are sorte
 prefix doubling, with the text as the first key, so suffixes of different texts never
 meet; only groups that are still tied are sorted again. The longest common prefix of neighbours
 comes from the ranks of each doubling. A suffix's longest match is the larger of its two
-neighbours' values; the spans these matches cover, unioned, are the maximal repeated substrings.
+neighbours' values; the spans these matches cover, unioned, are the maximal repeated substrings. Words and lines are told apart by
+their bytes: hashes only sort them, and equal hashes of different bytes are found and set right.
 
 A text is rejected if it fails a base rule (fewer than `MIN_WORDS` words, or more than 20 % of its
 words in repeated 5-word windows), if repeats of at least `MIN_REPEAT` words cover more than
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm.textarrays import SPACED, Slice, Words, mix, prefix_hash, slices, span_hash, sums, trim, words_of
+from strandmill.llm.textarrays import SPACED, Slice, Words, equal_spans, mix, prefix_hash, slices, span_hash, sums, trim, words_of
 
 MIN_WORDS = 10
 BASE_WINDOW = 5
@@ -40,6 +41,26 @@ _CONTINUES = (np.arange(256) & 0xC0) == 0x80
 FEATURES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, covered_fraction double, longest_repeat long, base_failed boolean, kept boolean"
 
 
+def told_apart(data: np.ndarray, start: np.ndarray, end: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The keys, where those of different spans are made different: spans of one key are held against the first of them."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    again = np.flatnonzero(np.concatenate([[False], ordered[1:] == ordered[:-1]])) if len(keys) else np.empty(0, np.int64)
+    first = np.maximum.accumulate(np.where(np.concatenate([[True], ordered[1:] != ordered[:-1]]), np.arange(len(keys)), 0))[again] if len(keys) else again
+    a, b = order[first], order[again]
+    length = end - start
+    same = length[a] == length[b]
+    same[same] = equal_spans(data, start[a][same], start[b][same], length[a][same])
+    if same.all():
+        return keys
+    out = keys.copy()
+    wrong = np.isin(keys, keys[b[~same]])
+    number: dict[bytes, int] = {}
+    for k in np.flatnonzero(wrong).tolist():
+        out[k] = mix(keys[k : k + 1] + np.uint64(number.setdefault(data[start[k] : end[k]].tobytes(), len(number) + 1)))[0]
+    return out
+
+
 def longest_matches(words: Words) -> np.ndarray:
     """For each word, the longest run of words from it that also starts elsewhere in its text."""
     n = len(words.start)
@@ -105,7 +126,8 @@ def _duplicate_lines(part: Slice) -> np.ndarray:
     worded = filled[stops] > filled[starts]
     starts, stops = starts[worded], stops[worded]
     owner = np.searchsorted(part.offsets, starts, "right") - 1
-    keys = mix(span_hash(prefix_hash(part.data), starts, stops) ^ mix(owner.astype(np.uint64) + np.uint64(1)))
+    hashes = told_apart(part.data, starts, stops, span_hash(prefix_hash(part.data), starts, stops))
+    keys = mix(hashes ^ mix(owner.astype(np.uint64) + np.uint64(1)))
     order = np.argsort(keys, kind="stable")
     again = np.concatenate([[False], keys[order][1:] == keys[order][:-1]]) if len(keys) else np.empty(0, bool)
     return np.bincount(owner[order][again], minlength=len(part)).astype(np.int64)
@@ -113,6 +135,7 @@ def _duplicate_lines(part: Slice) -> np.ndarray:
 
 def judge(part: Slice) -> dict[str, np.ndarray]:
     words = words_of(part.data, part.offsets, SPACED)
+    words.hashes = told_apart(part.data, words.start, words.end, words.hashes)
     count = np.diff(words.cuts)
     match = longest_matches(words)
     n = len(match)

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 try:
     _libc = ctypes.CDLL("libc.so.6")
@@ -22,6 +23,8 @@ except OSError:  # not glibc: nothing to trim
 
 U64 = np.uint64
 SLICE_BYTES = 2 << 20
+#: Sums modulo 2**64 are equal for some different strings from a few hundred bytes on, whatever the base; longer words are hashed otherwise.
+LONG_WORD = 64
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -89,7 +92,8 @@ def prefix_hash(codes: np.ndarray) -> np.ndarray:
 
 
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Equal spans get equal values wherever they stand; their length is mixed in."""
+    """Equal spans get equal values wherever they stand; their length is mixed in. Different long spans may be built to get equal values
+    too (`LONG_WORD`): callers compare the bytes, or take other hashes for these."""
     high = _block_powers("down", len(prefix) // _BLOCK + 1)
     out = prefix[end] - prefix[start]
     out *= _LOW["down"][start & (_BLOCK - 1)]
@@ -201,9 +205,26 @@ def words_of(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, hashed: b
     last[final] = inside[final]
     start, end = np.flatnonzero(edge), np.flatnonzero(last) + 1
     hashes = span_hash(prefix_hash(data), start, end) if hashed and n else np.empty(0, np.uint64)
+    if hashed and n:
+        for k in np.flatnonzero(end - start > LONG_WORD).tolist():
+            hashes[k] = xxhash.xxh3_64_intdigest(data[start[k] : end[k]].tobytes())
     return Words(start, end, np.searchsorted(start, offsets), hashes)
 
 
+def equal_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray, most: int = SLICE_BYTES) -> np.ndarray:
+    """Whether the bytes of each two spans of one length are the same; at most about `most` bytes are held against each other at a time."""
+    out = np.ones(len(a), bool)
+    ends, at = np.cumsum(length), 0
+    while at < len(a):
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] - length[at] + most, "right")))
+        n = length[at:stop]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        other = data[np.repeat(a[at:stop], n) + step] != data[np.repeat(b[at:stop], n) + step]
+        out[at + np.repeat(np.arange(stop - at), n)[other]] = False
+        at = stop
+    return out
+
+
 def windows_of(words: Words, length: int, short_whole: bool) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all windows of `length` words that lie in one text, and the first word of each.
 

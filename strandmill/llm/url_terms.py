@@ -2,7 +2,7 @@
 
 LIMIT = 4
 
-#: Fixed values.
+#: Our own choice.
 WEIGHTS = {
     4: (
         "adult-x adult-video adult-chat bestporn bukkake camgirl camgirls camsex cheap-pills cheap-viagra cialis cumshot cybersex escort-service escorts "
