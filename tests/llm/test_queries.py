@@ -13,6 +13,7 @@ def test_query_equals_sql(spark, same_rows, name):
 
 @pytest.mark.parametrize(("name", "columns"), [
     ("op5_quality_rules", "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept"), ("op7_bpe", "doc_id n_tokens ids_sha256 decoded_sha256"),
+    ("op12_tokenizer_alignment", "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256"),
     ("op8_language_id", "doc_id held_out lang_pred score"), ("op9_quality_classifier", "doc_id perplexity kept"),
 ])
 def test_one_row_for_each_document(spark, name, columns):
@@ -22,8 +23,8 @@ def test_one_row_for_each_document(spark, name, columns):
     assert sorted(rows) == sorted(r["doc_id"] for r in spark.read.parquet(f"{TINY}/documents.parquet").select("doc_id").collect())
 
 
-def test_ten_operators_and_the_pipeline():
+def test_all_operators_and_the_pipeline():
     import __spark_entry__
 
     names = list(__spark_entry__.queries())
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14)) and "pipeline" in names
