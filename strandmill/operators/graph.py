@@ -36,12 +36,25 @@ def expand(items: DataFrame, links: DataFrame, records: DataFrame) -> DataFrame:
 
     items: sample_id, question_id, record_id, rank. Links to missing records and to selected items are dropped; of several sources of a neighbour the
     first counts; neighbours follow in the order of their sources and links. One hop."""
-    found = items.join(links, ["sample_id", "record_id"]).select("sample_id", "question_id", F.col("record_id").alias("source_id"), "rank", "link_pos", F.col("target_id").alias("record_id"))
-    found = found.join(records.select("sample_id", "record_id"), ["sample_id", "record_id"], "left_semi").join(items.select("question_id", "record_id"), ["question_id", "record_id"], "left_anti")
-    once = found.withColumn("_n", F.row_number().over(Window.partitionBy("question_id", "record_id").orderBy("rank", "link_pos"))).where("_n = 1")
-    size = items.groupBy("question_id").agg(F.max("rank").alias("_base"))
-    after = once.withColumn("_r", F.row_number().over(Window.partitionBy("question_id").orderBy("rank", "link_pos"))).join(size, "question_id").select("sample_id", "question_id", "record_id", (F.col("_base") + F.col("_r")).alias("rank"), "source_id")
-    return items.select("sample_id", "question_id", "record_id", "rank", F.lit(None).cast("string").alias("source_id")).unionByName(after)
+    # An item and its links come from one row, so the plan that ranked the items stands here once.
+    out = links.groupBy("sample_id", "record_id").agg(F.array_sort(F.collect_list(F.struct("link_pos", "target_id"))).alias("_links"))
+    own = F.struct(F.lit(0).alias("hop"), F.lit(-1).alias("link_pos"), F.col("record_id").alias("at"))
+    near = F.transform(F.coalesce("_links", F.array().cast(out.schema["_links"].dataType)), lambda x: F.struct(F.lit(1).alias("hop"), x["link_pos"].cast("int").alias("link_pos"), x["target_id"].alias("at")))
+    rows = items.select("sample_id", "question_id", "record_id", "rank").join(out, ["sample_id", "record_id"], "left")
+    rows = rows.select("sample_id", "question_id", F.col("record_id").alias("source_id"), "rank", F.explode(F.concat(F.array(own), near)).alias("x"))
+    rows = rows.select("sample_id", "question_id", "source_id", "rank", "x.hop", "x.link_pos", F.col("x.at").alias("record_id"))
+    held = records.select("sample_id", "record_id").withColumn("_held", F.lit(True))
+    rows = rows.join(held, ["sample_id", "record_id"], "left").where((F.col("hop") == 0) | F.col("_held"))
+    # Of a record's rows in a question the selected item comes first, then the first of its sources.
+    order = ["hop", "rank", "link_pos"]
+    once = rows.withColumn("_n", F.row_number().over(Window.partitionBy("question_id", "record_id").orderBy(*order))).where((F.col("hop") == 0) | (F.col("_n") == 1))
+    whole = Window.partitionBy("question_id")
+    base, items_before = F.max(F.when(F.col("hop") == 0, F.col("rank"))).over(whole), F.count(F.when(F.col("hop") == 0, True)).over(whole)
+    place = F.row_number().over(whole.orderBy(*order))
+    after = F.col("hop") == 1
+    return once.withColumns({"_r": place, "_base": base, "_items": items_before}).select(
+        "sample_id", "question_id", "record_id", F.when(after, F.col("_base") + F.col("_r") - F.col("_items")).otherwise(F.col("rank")).cast("int").alias("rank"), F.when(after, F.col("source_id")).alias("source_id"),
+    )
 
 
 def expand_capped(items: DataFrame, links: DataFrame, records: DataFrame, k: int) -> DataFrame:

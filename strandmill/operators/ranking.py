@@ -1,14 +1,16 @@
 """Text and vector ranking, set-wise: every question of every sample in one plan.
 
-BM25 joins the questions' terms with postings (sample, record, term, tf), so a record that shares no term is
-never scored. Counts over a corpus are aggregations with map-side combining joined
-back by key; nothing is gathered per sample. Sums of doubles depend on their order, so scores are rounded to
-nine digits before they rank, and ties go to the smaller record id (or position).
+BM25 reads a `Corpus`: postings (scope, record, term, tf), document frequencies, sizes and records. It comes from records in one plan, or from a written
+`sources.indexes.TextIndex` that grows. The questions' terms get their weights from the statistics and are then joined with postings, so a record that
+shares no term is never scored. Counts over a corpus are aggregations with map-side combining joined back by key; nothing is gathered
+per sample. Sums of doubles depend on their order, so scores are rounded to nine digits before they rank, and ties go to the
+smaller record id (or position).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,56 +32,80 @@ def ranked(scored: DataFrame, k: int | None, *order: Column, by: str = "question
     return out if k is None else out.where(F.col("rank") <= k)
 
 
-def postings(records: DataFrame, keys: list[str], tokenise: Callable[[Column], Column] = tokens, text: str = "text") -> DataFrame:
-    """keys, term, tf, dl: the terms of each record and its length in tokens."""
-    split = records.select(*keys, tokenise(F.col(text)).alias("_t")).select(*keys, "_t", F.size("_t").alias("dl"))
+def term_counts(rows: DataFrame, keys: list[str], tokenise: Callable[[Column], Column], text: str, count: str, length: str | None = None) -> DataFrame:
+    """keys, term and how often each term is in the row's text (and the text's length in tokens): within the row, without a shuffle.
+
+    Tokens are sorted; a term's count is the distance of its first place to the next term's."""
+    ordered = rows.select(*keys, F.array_sort(tokenise(F.col(text))).alias("_s"))
+    fresh = lambda i: (i == 1) | (F.get("_s", i - 1) != F.get("_s", i - 2))
+    placed = ordered.select(*keys, "_s", F.when(F.size("_s") > 0, F.filter(F.sequence(F.lit(1), F.size("_s")), fresh)).alias("_i"))
+    terms = F.transform("_i", lambda i, k: F.struct(F.get("_s", i - 1).alias("term"), (F.coalesce(F.get("_i", k + 1), F.size("_s") + 1) - i).cast("long").alias("n")))
     # explode() would make the optimiser tokenise once more, for a filter on the array's size.
-    return split.select(*keys, "dl", F.explode_outer("_t").alias("term")).where("term IS NOT NULL").groupBy(*keys, "term", "dl").agg(F.count("*").alias("tf"))
+    size = [F.size("_s").alias(length)] if length else []
+    return placed.select(*keys, *size, F.explode_outer(terms).alias("_t")).where("_t IS NOT NULL").select(*keys, *([length] if length else []), F.col("_t.term").alias("term"), F.col("_t.n").alias(count))
+
+
+def postings(records: DataFrame, keys: list[str], tokenise: Callable[[Column], Column] = tokens, text: str = "text") -> DataFrame:
+    """keys, dl, term, tf: the terms of each record and its length in tokens."""
+    return term_counts(records, keys, tokenise, text, "tf", "dl")
+
+
+@dataclass(frozen=True)
+class Corpus:
+    """What BM25 reads. postings: scope, record_id (pos), dl, term, tf; terms: scope, term, df; scopes: scope, N, tokens; documents: scope, record_id (pos)."""
+
+    scope: list[str]
+    postings: DataFrame
+    terms: DataFrame
+    scopes: DataFrame
+    documents: DataFrame
+
+    @property
+    def extra(self) -> list[str]:
+        return [c for c in ("pos",) if c in self.documents.columns]
+
+
+def corpus_of(records: DataFrame, scope: list[str], tokenise: Callable[[Column], Column] = tokens, text: str = "text") -> Corpus:
+    """A corpus in one plan. `scope` names the corpus of a record: ["sample_id"], ["question_id"] for survivors of an earlier stage, [] for one corpus."""
+    keys = [*scope, "record_id", *(c for c in ("pos",) if c in records.columns)]
+    held = postings(records, keys, tokenise, text)
+    sizes = records.select(*scope, F.size(tokenise(F.col(text))).alias("_n")).groupBy(*scope).agg(F.count("*").alias("N"), F.sum("_n").alias("tokens"))
+    return Corpus(scope, held, held.groupBy(*scope, "term").agg(F.count("*").alias("df")), sizes, records.select(*keys))
+
+
+def _hits(questions: DataFrame, corpus: Corpus, query: str, tokenise: Callable[[Column], Column], okapi: bool) -> DataFrame:
+    """scope, question_id, record_id (pos), score of the records that share a term with a question."""
+    scope, own = corpus.scope, list(dict.fromkeys([*corpus.scope, "question_id"]))
+    average = F.when(F.coalesce("tokens", F.lit(0)) == 0, 1.0).otherwise(F.col("tokens") / F.col("N"))
+    size = corpus.scopes.select(*scope, "N", average.alias("avgdl"))
+    raw = F.log(F.col("N") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    idf = F.log(1.0 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    if okapi:
+        size = _with(size, _with(corpus.terms, size, scope).groupBy(*scope).agg(F.avg(raw).alias("mean")), scope)
+        idf = F.when(raw < 0, EPSILON * F.col("mean")).otherwise(raw)
+    known = [c for c in size.columns if c not in scope]
+    asked = term_counts(_with(questions.select(*own, query), size, scope), [*own, *known], tokenise, query, "qtf")
+    # Only terms that are asked for get a weight, and only their postings are read.
+    weighted = asked.join(corpus.terms, [*scope, "term"]).select(*own, "term", "avgdl", (F.col("qtf") * idf).alias("weight"))
+    part = F.col("weight") * F.col("tf") * (K1 + 1.0) / (F.col("tf") + K1 * (1.0 - B + B * F.col("dl") / F.col("avgdl")))
+    return weighted.join(corpus.postings, [*scope, "term"]).groupBy(*own, "record_id", *corpus.extra).agg(score9(F.sum(part)).alias("score"))
 
 
-def bm25(questions: DataFrame, records: DataFrame, *, scope: list[str], query: str = "query", text: str = "text", tokenise: Callable[[Column], Column] = tokens, okapi: bool = False, keep_zero: bool = True, top: int | None = None) -> DataFrame:
+def bm25(questions: DataFrame, records: DataFrame | Corpus, *, scope: list[str] | None = None, query: str = "query", text: str = "text", tokenise: Callable[[Column], Column] = tokens, okapi: bool = False, keep_zero: bool = True) -> DataFrame:
     """scope, question_id, record_id, score (and `pos` if the records have it).
 
-    `scope` names the corpus of a record and of a question (["sample_id"], ["question_id"] for survivors of an earlier
-    stage, [] for one corpus). With keep_zero, records that share no term stay, with score 0; with `top` only those of them that can be among a question's
-    first `top`, so questions and records are not paired in full. `okapi` is the second formula: idf
+    With keep_zero, records that share no term stay, with score 0: all pairs of a question and a record of its scope, which is
+    what this asks for; `bm25_topk` does without. `okapi` is the second formula: idf
     ln(N - df + .5) - ln(df + .5), and a negative one becomes EPSILON times the mean idf of the vocabulary."""
-    own_corpus = scope == ["question_id"]
-    if own_corpus and not okapi:
+    if scope == ["question_id"] and not okapi and not isinstance(records, Corpus):
         return _survivors(questions, records, query, text, tokenise, keep_zero)
-    keys = [*scope, "record_id"]
-    held = postings(records, keys, tokenise, text)
-    # Texts are split once: their lengths add up to the postings' counts, and both branches read one shuffle of postings.
-    tokens_held = held.groupBy(*scope).agg(F.sum("tf").alias("_tokens"))
-    rows_held = records.groupBy(*scope).agg(F.count("*").alias("N"))
-    size = rows_held.join(tokens_held, scope, "left") if scope else rows_held.crossJoin(tokens_held)
-    size = size.withColumn("avgdl", F.when(F.coalesce("_tokens", F.lit(0)) == 0, 1.0).otherwise(F.col("_tokens") / F.col("N"))).drop("_tokens")
-    asked = questions.select(*dict.fromkeys([*scope, "question_id"]), F.explode(tokenise(F.col(query))).alias("term")).groupBy(*dict.fromkeys([*scope, "question_id"]), "term").agg(F.count("*").alias("qtf"))
-    if okapi:
-        df = held.groupBy(*scope, "term").agg(F.count("*").alias("df"))
-        df = _with(df, size, scope).withColumn("raw", F.log(F.col("N") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-        mean = df.groupBy(*scope).agg(F.avg("raw").alias("mean"))
-        df = _with(df, mean, scope).select(*scope, "term", "N", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-        used = held.join(asked.select(*scope, "term").distinct(), [*scope, "term"], "left_semi").join(df, [*scope, "term"])
-    else:
-        # Only terms that are asked for need a document frequency.
-        used = held.join(asked.select(*scope, "term").distinct(), [*scope, "term"], "left_semi")
-        df = used.groupBy(*scope, "term").agg(F.count("*").alias("df"))
-        df = _with(df, size, scope).select(*scope, "term", "N", "avgdl", F.log(1.0 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-        used = used.join(df, [*scope, "term"])
-    part = F.col("idf") * F.col("tf") * (K1 + 1.0) / (F.col("tf") + K1 * (1.0 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = asked.join(used.withColumn("part", part), [*scope, "term"]).groupBy(*dict.fromkeys([*scope, "question_id", "record_id"])).agg(score9(F.sum(F.col("qtf") * F.col("part"))).alias("score"))
-    extra = [c for c in ("pos",) if c in records.columns]
-    if extra:
-        hits = hits.join(records.select(*keys, *extra), keys)
+    corpus = records if isinstance(records, Corpus) else corpus_of(records, scope, tokenise, text)
+    hits = _hits(questions, corpus, query, tokenise, okapi)
     if not keep_zero:
         return hits
-    if top is not None and not own_corpus:
-        return _padded(hits, questions, records.select(*keys, *extra), scope, top, "pos" if okapi else "record_id")
-    hits = hits.drop(*extra)
-    every = _with(questions.select(*dict.fromkeys([*scope, "question_id"])), records.select(*keys, *extra), scope)
-    joined = every.join(hits, [*dict.fromkeys([*scope, "question_id", "record_id"])], "left")
-    return joined.withColumn("score", F.coalesce("score", F.lit(0.0)))
+    own = list(dict.fromkeys([*corpus.scope, "question_id"]))
+    every = _with(questions.select(*own), corpus.documents, corpus.scope)
+    return every.join(hits.drop(*corpus.extra), list(dict.fromkeys([*own, "record_id"])), "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -117,24 +143,46 @@ def _survivors(questions: DataFrame, records: DataFrame, query: str, text: str,
     return scored.select("question_id", "s.record_id", "s.score", *(f"s.{c}" for c in extra))
 
 
-def _padded(hits: DataFrame, questions: DataFrame, records: DataFrame, scope: list[str], top: int, order: str) -> DataFrame:
-    """Hits, and for each question with h of them the records without a common term among the first `top` + h of its scope.
-
-    All of these score 0, so no other can be among the first `top`. A question has no more of them than hits and `top` together."""
-    own = list(dict.fromkeys([*scope, "question_id"]))
+def _filled(best: DataFrame, questions: DataFrame, corpus: Corpus, k: int) -> DataFrame:
+    """The first k of each question from its ranked hits, none of them below 0, and the records that are no hits, by id: with score 0 only the first 2 k of a scope can count."""
+    own, shape = list(dict.fromkeys([*corpus.scope, "question_id"])), F.struct("record_id", *corpus.extra)
+    if corpus.scope:
+        place = F.row_number().over(Window.partitionBy(*corpus.scope).orderBy("record_id"))
+        first = corpus.documents.withColumn("_p", place).where(F.col("_p") <= 2 * k).groupBy(*corpus.scope)
+    else:
+        first = corpus.documents.orderBy("record_id").limit(2 * k).groupBy()
+    first = first.agg(F.array_sort(F.collect_list(shape)).alias("_first"))
+    held = best.groupBy("question_id").agg(F.collect_list(F.struct((-F.col("score")).alias("low"), "record_id", *corpus.extra)).alias("_hits"))
+    rows = _with(questions.select(*own), first, corpus.scope).join(held, "question_id", "left")
+    known = F.coalesce(F.transform("_hits", lambda x: x["record_id"]), F.array().cast("array<string>").cast(f"array<{dict(corpus.documents.dtypes)['record_id']}>"))
+    zero = lambda x: F.struct(F.lit(-0.0).alias("low"), x["record_id"].alias("record_id"), *(x[c].alias(c) for c in corpus.extra))
+    others = F.transform(F.filter("_first", lambda x: ~F.array_contains(known, x["record_id"])), zero)
+    ordered = F.slice(F.array_sort(F.when(F.col("_hits").isNull(), others).otherwise(F.concat("_hits", others))), 1, k)
+    out = rows.select(*own, F.posexplode(ordered).alias("_at", "_x"))
+    return out.select(*own, "_x.record_id", *(f"_x.{c}" for c in corpus.extra), F.abs("_x.low").alias("score"), (F.col("_at") + 1).alias("rank"))
+
+
+def _padded(hits: DataFrame, questions: DataFrame, corpus: Corpus, top: int) -> DataFrame:
+    """Hits of any sign, and for each question with fewer than `top` above 0 the records without a common term that can be among its first `top`: with h hits, those of
+    the first `top` + h places of its scope, by position."""
+    own, scope = list(dict.fromkeys([*corpus.scope, "question_id"])), corpus.scope
     asked = questions.select(*own).distinct()
     counted = asked.join(hits.groupBy("question_id").agg(F.count("*").alias("_h"), F.count_if(F.col("score") > 0).alias("_p")), "question_id", "left").withColumns({"_h": F.coalesce("_h", F.lit(0)), "_p": F.coalesce("_p", F.lit(0))})
     short = counted.where(F.col("_p") < top)
-    place = F.row_number().over(Window.partitionBy(*scope).orderBy(order))
     if scope:
         # No scope needs more than its questions' largest reach.
         reach = short.groupBy(*scope).agg((F.max("_h") + top).alias("_reach"))
-        first = records.withColumn("_place", place).join(reach, scope).where(F.col("_place") <= F.col("_reach")).drop("_reach")
+        first = corpus.documents.withColumn("_place", F.row_number().over(Window.partitionBy(*scope).orderBy("pos"))).join(reach, scope).where(F.col("_place") <= F.col("_reach")).drop("_reach")
         near = short.join(first, scope).where(F.col("_place") <= F.col("_h") + top)
     else:
-        near = short.join(records.withColumn("_place", place), F.col("_place") <= F.col("_h") + top)
+        # One corpus: how far any question reaches is one number, and that many records come from a global limit.
+        reach = short.agg(F.max("_h")).first()[0]
+        if reach is None:
+            return hits
+        first = corpus.documents.orderBy("pos").limit(reach + top).withColumn("_place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("pos")))
+        near = short.withColumn("_place", F.explode(F.sequence(F.lit(1), F.col("_h") + top))).join(first.withColumn("_place", F.col("_place").cast("long")), "_place")
     zero = near.join(hits.select("question_id", "record_id"), ["question_id", "record_id"], "left_anti").withColumn("score", F.lit(0.0))
-    return hits.select(*hits.columns).unionByName(zero.select(*hits.columns))
+    return hits.unionByName(zero.select(*hits.columns))
 
 
 def _with(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -142,14 +190,23 @@ def _with(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, keys) if keys else left.crossJoin(right)
 
 
-def bm25_topk(questions: DataFrame, records: DataFrame, k: int, *, scope: list[str], **options) -> DataFrame:
-    """The first k records of each question, by score and record id."""
-    return ranked(bm25(questions, records, scope=scope, top=k, **options), k, F.desc("score"), F.asc("record_id"))
+def bm25_topk(questions: DataFrame, records: DataFrame | Corpus, k: int, *, scope: list[str] | None = None, query: str = "query", text: str = "text", tokenise: Callable[[Column], Column] = tokens, keep_zero: bool = True) -> DataFrame:
+    """scope, question_id, record_id, score, rank: the first k records of each question, by score and record id; with keep_zero also records without a
+    common term, where there are fewer hits. Questions and records are not paired."""
+    if scope == ["question_id"] and not isinstance(records, Corpus):
+        return ranked(_survivors(questions, records, query, text, tokenise, keep_zero), k, F.desc("score"), F.asc("record_id"))
+    corpus = records if isinstance(records, Corpus) else corpus_of(records, scope, tokenise, text)
+    best = ranked(_hits(questions, corpus, query, tokenise, False), k, F.desc("score"), F.asc("record_id"))
+    return _filled(best, questions, corpus, k) if keep_zero else best
 
 
-def okapi_topk(questions: DataFrame, records: DataFrame, k: int, *, scope: list[str], **options) -> DataFrame:
+def okapi_topk(questions: DataFrame, records: DataFrame | Corpus, k: int, *, scope: list[str] | None = None, query: str = "query", text: str = "text") -> DataFrame:
     """The second BM25 over word tokens; ties by position; k < 1 gives nothing."""
-    scored = bm25(questions, records, scope=scope, okapi=True, tokenise=words, top=max(k, 0), **options)
+    corpus = records if isinstance(records, Corpus) else corpus_of(records, scope, words, text)
+    if corpus.scope == ["question_id"]:  # survivors of an earlier stage: few
+        scored = bm25(questions, corpus, query=query, tokenise=words, okapi=True)
+    else:
+        scored = _padded(_hits(questions, corpus, query, words, True), questions, corpus, max(k, 0))
     return ranked(scored, max(k, 0), F.desc("score"), F.asc("pos"))
 
 
