@@ -235,10 +235,11 @@ def scripted(responses: Iterable[str]) -> Complete:
 
 
 def build_notes(turns: DataFrame, model: Callable[[str], Complete], **options: Any) -> DataFrame:
-    """Notes of every sample. turns: sample_id, turn_id, turn_pos, text, timestamp; model: makes a sample's `complete`.
+    """Notes of every sample. turns: sample_id, turn_id, turn_pos, text, timestamp, and construction_run where several runs are built at once; model: makes a sample's `complete`.
 
     A sample that fails as a whole is one row with an error and no record_id. Provider calls happen inside the tasks: write the result before it is read twice."""
     Fold(scripted(()), **options)  # wrong options are an error of the plan, not of each sample
+    schema, by = ("construction_run int, " + NOTE_SCHEMA, ["construction_run", "sample_id"]) if "construction_run" in turns.columns else (NOTE_SCHEMA, ["sample_id"])
     columns = [c.split()[0] for c in NOTE_SCHEMA.split(", ")]
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
@@ -250,9 +251,10 @@ def build_notes(turns: DataFrame, model: Callable[[str], Complete], **options: A
             found = state.rows(name)
         except Exception as e:  # noqa: BLE001  an error is a value of its sample
             found = [(name, *[None] * (len(columns) - 2), f"{type(e).__name__}: {e}")]
-        return pd.DataFrame(found, columns=columns).astype({"pos": "Int32", "completions": "Int64", "failures": "Int64"})
+        out = pd.DataFrame(found, columns=columns).astype({"pos": "Int32", "completions": "Int64", "failures": "Int64"})
+        return out.assign(construction_run=int(rows["construction_run"].iloc[0]))[by[:1] + columns] if len(by) > 1 else out
 
-    return turns.select("sample_id", "turn_id", "turn_pos", "text", "timestamp").groupBy("sample_id").applyInPandas(fold, NOTE_SCHEMA)
+    return turns.select(*by, "turn_id", "turn_pos", "text", "timestamp").groupBy(*by).applyInPandas(fold, schema)
 
 
 def enriched(notes: DataFrame, turns: DataFrame) -> DataFrame:

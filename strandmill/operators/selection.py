@@ -40,14 +40,14 @@ def stores_of(stores: DataFrame, samples: DataFrame) -> DataFrame:
     return stores.join(samples.select("sample_id").distinct(), "sample_id", "left_semi")
 
 
-def failure(kind: Column, message: Column, question_id: str = "question_id") -> Column:
+def failure(kind: Column, message: Column, question_id: str = "question_id", sample_id: str = "sample_id") -> Column:
     """An error of a question; any of them may be tried again."""
-    return F.struct(F.lit("retrieve_qa").alias("stage"), F.col("sample_id"), F.col(question_id).alias("question_id"), kind.alias("type"), message.alias("message"), F.lit(True).alias("retryable"))
+    return F.struct(F.lit("retrieve_qa").alias("stage"), F.col(sample_id).alias("sample_id"), F.col(question_id).alias("question_id"), kind.alias("type"), message.alias("message"), F.lit(True).alias("retryable"))
 
 
-def failed_rows(questions: DataFrame, stores: DataFrame) -> DataFrame:
-    """One failed row for each question whose sample has no store."""
+def failed_rows(questions: DataFrame, stores: DataFrame, question_id: str = "question_id", sample_id: str = "sample_id") -> DataFrame:
+    """One failed row for each question whose sample has no store. The error names the columns question_id and sample_id, where these aren't the keys."""
     lost = questions.join(stores.select("sample_id").distinct(), "sample_id", "left_anti")
     # Fixed value: the message.
-    error = failure(F.lit("FileNotFoundError"), F.concat(F.lit("No construction store available for sample '"), F.col("sample_id"), F.lit("'")))
+    error = failure(F.lit("FileNotFoundError"), F.concat(F.lit("No construction store available for sample '"), F.col(sample_id), F.lit("'")), question_id, sample_id)
     return lost.withColumn("status", F.lit("failed")).withColumn("prediction", F.lit("")).withColumn("errors", F.array(error))

@@ -1,7 +1,10 @@
-"""Runs an experiment file: load, construct, evaluate, persist. Each step of a run (stores, each retrieval stage, answers) is a lazy plan that ends in a written table.
+"""Runs an experiment file: load, construct, evaluate, persist. Runs are a dimension: notes of all construction runs are built in one plan, and questions of
+all runs are answered together, under keys that name their runs.
 
 Errors of samples and questions are rows, not exceptions: a sample that fails has a failed status and no store, and its questions are failed rows. A finished unit (a sample's store, a question's result) with the same
-fingerprints is kept on resume: what is left to do is an anti join.
+fingerprints is kept on resume: what is left to do is an anti join. Questions are answered in buckets by their ids, some buckets at a time (a wave); a bucket's results are
+moved to their place when they are written whole, so a run that is lost goes on with the buckets that are not there.
+All tables are on the storage of the artifact root; what a wave needs in between is in its `work` folder, which goes with it.
 """
 
 from __future__ import annotations
@@ -9,6 +12,8 @@ from __future__ import annotations
 import hashlib
 import subprocess
 import time
+import uuid
+from collections.abc import Iterable
 from dataclasses import dataclass
 from datetime import UTC, datetime
 from pathlib import Path
@@ -22,11 +27,18 @@ from strandmill.functions.metrics import metric_map
 from strandmill.functions.providers import client, completed, with_retries
 from strandmill.functions.text import strip
 from strandmill.operators import analytics, construct, context, graph, selection
+from strandmill.operators.ranking import Corpus
 from strandmill.plans.config import fingerprint
 from strandmill.plans.registry import catalog
 from strandmill.plans.stages import Stage, retrieve, traces
-from strandmill.sources.artifacts import STORE, VERSION, Experiment, read_json, write_json
+from strandmill.sources.artifacts import STORE, VERSION, Experiment
 from strandmill.sources.conversations import records as turn_records
+from strandmill.sources.files import Place
+from strandmill.sources.indexes import TextIndex
+
+QUESTIONS_A_BUCKET = 4096
+BUCKETS_A_WAVE = 32
+RUN = ["construction_run", "qa_run"]
 
 USAGE = "struct<phase:string,component:string,provider:string,model:string,prompt_tokens:bigint,completion_tokens:bigint,total_tokens:bigint,source:string,latency_ms:double>"
 ERROR = "struct<stage:string,sample_id:string,question_id:string,type:string,message:string,retryable:boolean>"
@@ -49,7 +61,7 @@ def _kind_and_message(why: Column) -> tuple[Column, Column]:
 class Outcome:
     exit_code: int
     status: str
-    root: Path
+    root: Place
 
 
 def code_fingerprint() -> str:
@@ -66,6 +78,25 @@ def used(component: str, llm: dict[str, Any], reply: str = "_r") -> Column:
     return F.struct(F.lit("retrieve_qa").alias("phase"), F.lit(component).alias("component"), F.lit(llm["provider"]).alias("provider"), F.lit(llm["model"]).alias("model"), *counts).cast(USAGE)
 
 
+class Work:
+    """Tables that are needed for a while: each is written once and read again, and all go together."""
+
+    def __init__(self, place: Place):
+        self.place, self.count = place / uuid.uuid4().hex, 0
+
+    def put(self, name: str, frame: DataFrame, by: Iterable[str] = ()) -> DataFrame:
+        self.count += 1
+        path = str(self.place / f"{name}-{self.count}")
+        frame.write.partitionBy(*by).parquet(path)
+        return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+    def __enter__(self) -> Work:
+        return self
+
+    def __exit__(self, *_: Any) -> None:
+        self.place.delete()
+
+
 class Runner:
     def __init__(self, spark: SparkSession, tree: dict[str, Any], encode=None, pair_score=None):
         """encode, pair_score: functions of text columns for embedding and cross_encoder stages; without them a stage's params name a model of sentence_transformers."""
@@ -77,9 +108,11 @@ class Runner:
 
     def run(self) -> Outcome:
         data = self.tree["pipeline"]["dataset"]
-        if not Path(data["path"]).exists():
+        place = Place(data["path"], self.spark)
+        if not place.exists():
             raise FileNotFoundError(f"no such dataset: {data['path']}")
-        self.data = catalog()["dataset"].get(data["adapter"])(self.spark, str(Path(data["path"]).absolute()))
+        self.data = catalog()["dataset"].get(data["adapter"])(self.spark, str(place))
+        (self.out.root / "work").delete()  # of a run that was lost
         stages = self.tree["pipeline"]["stages"]
         source = self.out
         if "construction" not in stages:
@@ -93,15 +126,17 @@ class Runner:
         self._manifest(status)
         return Outcome(1 if fatal else 2 if partial else 0, status, self.out.root)
 
+    def _work(self) -> Work:
+        return Work(self.out.root / "work")
+
     def _data_sha(self) -> str:
-        with Path(self.tree["pipeline"]["dataset"]["path"]).open("rb") as f:
-            return hashlib.file_digest(f, "sha256").hexdigest()
+        return Place(self.tree["pipeline"]["dataset"]["path"], self.spark).sha256()
 
     def _manifest(self, status: str) -> None:
         taxonomy = {}
         for r in self.data["taxonomy"].orderBy("dimension", "ordinal").collect():  # five rows
             taxonomy.setdefault(r["dimension"], []).append(r["value"])
-        write_json(self.out.manifest_path, {
+        self.out.manifest_path.write_json({
             "schema_version": VERSION, "experiment_id": self.tree["experiment"]["id"], "fingerprint": self.print, "execution_fingerprint": self.code, "status": status, "updated_at": datetime.now(UTC).isoformat(),
             "dataset": self.tree["pipeline"]["dataset"] | {"sha256": self._data_sha()}, "config": self.tree, "taxonomy": {"dimensions": [{"name": k, "values": v} for k, v in taxonomy.items()]},
         })
@@ -110,63 +145,83 @@ class Runner:
 
     def _construct(self) -> bool:
         """Whether a sample failed."""
-        part, partial = self.tree["pipeline"]["construction"], False
-        chosen = part["selection"]
+        part = self.tree["pipeline"]["construction"]
+        chosen, runs = part["selection"], range(part["runs"])
         samples = selection.select_samples(self.data["samples"], chosen["sample_ids"], chosen["sample_limit"])
-        for run in range(part["runs"]):
-            units = samples.select("sample_id", F.lit(self.print).alias("fingerprint"), F.lit(self.code).alias("execution_fingerprint"))
-            kept = None
-            if self.tree["runtime"]["resume"] and self.out.has("status", run):
-                done = self.out.read(self.spark, "status", run)
-                units = selection.pending(units, done, ["sample_id"])
-                kept = {name: self.out.read(self.spark, name, run) for name in (*STORE, "status")}
-                if units.isEmpty():
-                    continue
-            turns = self.data["turns"].join(units.select("sample_id"), "sample_id", "left_semi")
-            turns = selection.first_of_each(turns, "sample_id", "turn_pos", chosen["turn_limit"])
-            stores, failed = self._stores(part, turns, run)
-            state = units.join(failed, "sample_id", "left")
-            fine = F.col("error").isNull()
-            stores["stores"] = state.where(fine).select("sample_id", F.lit(STORE_VERSION).alias("schema_version"), F.create_map().cast("map<string,string>").alias("private_refs"), F.create_map(F.lit("method"), F.lit(part["adapter"])).alias("metadata"))
-            stores["status"] = state.select("sample_id", "fingerprint", "execution_fingerprint", F.when(fine, "completed").otherwise("failed").alias("status"), "error")
-            self._replace(stores, kept and {name: kept[name].join(units.select("sample_id"), "sample_id", "left_anti") for name in stores}, run)
-            status = self.out.read(self.spark, "status", run)
-            lost = status.where("error IS NOT NULL").select(F.lit("construction").alias("stage"), "sample_id", F.lit(None).cast("string").alias("question_id"), *_kind_and_message(F.col("error")), F.lit(True).alias("retryable"))
-            self.out.write("construction_errors", lost, run)
-            self.out.write("construction_usage", self.out.read(self.spark, "records", run).where("usage IS NOT NULL").select("sample_id", F.explode("usage").alias("u")).select("sample_id", "u.*"), run)
-            counts = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}
-            broken = counts.get("failed", 0)
-            write_json(self.out.root / "construction" / f"run_{run:03d}" / "status.json", {"status": "partial" if broken else "completed", "fingerprint": self.print, "execution_fingerprint": self.code, "selected_samples": sum(counts.values()), "completed_samples": counts.get("completed", 0), "failed_samples": broken})
-            partial |= broken > 0
-        return partial
-
-    def _replace(self, tables: dict[str, DataFrame], kept: dict[str, DataFrame] | None, *runs: int) -> None:
-        """Writes the tables, with the rows that are kept; what is read for them is replaced only when all are there."""
-        for name, frame in tables.items():
-            self.out.write(f"{name}.new", frame.unionByName(kept[name], allowMissingColumns=True) if kept else frame, *runs)
-        for name in tables:
-            self.out.write(name, self.out.read(self.spark, f"{name}.new", *runs), *runs)
-
-    def _stores(self, part: dict[str, Any], turns: DataFrame, run: int) -> tuple[dict[str, DataFrame], DataFrame]:
+        prints = {"fingerprint": F.lit(self.print), "execution_fingerprint": F.lit(self.code)}
+        units = samples.select("sample_id", F.explode(F.array(*map(F.lit, runs))).alias("construction_run")).withColumns(prints)
+        with self._work() as work:
+            kept = [r for r in self.out.runs("status") if r in runs] if self.tree["runtime"]["resume"] else []
+            if kept:
+                units = selection.pending(units, self.out.read(self.spark, "status").where(F.col("construction_run").isin(kept)), ["construction_run", "sample_id"])
+            units = work.put("units", units)
+            todo = sorted(r["construction_run"] for r in units.select("construction_run").distinct().collect())
+            turns = self.data["turns"].join(units.select("sample_id", "construction_run"), "sample_id")
+            if chosen["turn_limit"]:
+                turns = selection.first_of_each(turns.withColumn("_unit", F.struct("construction_run", "sample_id")), "_unit", "turn_pos", chosen["turn_limit"]).drop("_unit")
+            built = self._notes(part, turns, work) if part["adapter"] != "turn_rag" and todo else None
+            for run in todo:
+                of_run = lambda frame, run=run: frame.where(F.col("construction_run") == run).drop("construction_run")
+                before = {name: self.out.read(self.spark, name, run) for name in (*STORE, "status")} if run in kept else None
+                self._store_run(part, run, of_run(units), of_run(turns), built and of_run(built), before, work)
+        return any([self._construction_summary(run) for run in runs])
+
+    def _store_run(self, part: dict[str, Any], run: int, units: DataFrame, turns: DataFrame, built: DataFrame | None, before: dict[str, DataFrame] | None, work: Work) -> None:
+        """Writes a run's tables, with the rows of units that are kept, and its index."""
+        stores, failed = self._stores(part, turns, built)
+        state = units.join(failed, "sample_id", "left")
+        fine = F.col("error").isNull()
+        stores["stores"] = state.where(fine).select("sample_id", F.lit(STORE_VERSION).alias("schema_version"), F.create_map().cast("map<string,string>").alias("private_refs"), F.create_map(F.lit("method"), F.lit(part["adapter"])).alias("metadata"))
+        stores["status"] = state.select("sample_id", "fingerprint", "execution_fingerprint", F.when(fine, "completed").otherwise("failed").alias("status"), "error")
+        new = {}
+        for name, frame in stores.items():
+            old = before[name].join(units.select("sample_id"), "sample_id", "left_anti") if before else None
+            new[name] = work.put(name, frame.unionByName(old, allowMissingColumns=True) if before else frame)
+        # Samples that were not there before are one more batch of the index; if any was, the run's index is made anew.
+        index, added = self.index(self.out, run), new["records"].join(units.select("sample_id"), "sample_id", "left_semi")
+        if before is None or not before["records"].join(units.select("sample_id"), "sample_id", "left_semi").isEmpty() or not index.batches():
+            index.place.delete()
+            added = new["records"]
+        index.append(added.select("sample_id", "record_id", "text"))
+        for name, frame in new.items():
+            self.out.write(name, frame, run)
+        lost = new["status"].where("error IS NOT NULL").select(F.lit("construction").alias("stage"), "sample_id", F.lit(None).cast("string").alias("question_id"), *_kind_and_message(F.col("error")), F.lit(True).alias("retryable"))
+        self.out.write("construction_errors", lost, run)
+        self.out.write("construction_usage", new["records"].where("usage IS NOT NULL").select("sample_id", F.explode("usage").alias("u")).select("sample_id", "u.*"), run)
+        if built is not None:
+            spent = built.select(F.explode(F.arrays_zip("stages", "seconds")).alias("t")).select(F.col("t.stages").alias("stage"), F.col("t.seconds").alias("seconds"))
+            self.out.write("timings", analytics.timing(spent), run)
+
+    def index(self, held: Experiment, run: int) -> TextIndex:
+        """The postings of a run's records, which every bm25 stage over whole samples reads."""
+        return TextIndex(held.root / "index" / f"run_{run:03d}")
+
+    def _construction_summary(self, run: int) -> bool:
+        """Writes a run's figures; whether a sample failed."""
+        counts = {r["status"]: r["count"] for r in self.out.read(self.spark, "status", run).groupBy("status").count().collect()} if self.out.has("status", run) else {}
+        broken = counts.get("failed", 0)
+        (self.out.root / "construction" / f"run_{run:03d}" / "status.json").write_json({"status": "partial" if broken else "completed", "fingerprint": self.print, "execution_fingerprint": self.code, "selected_samples": sum(counts.values()), "completed_samples": counts.get("completed", 0), "failed_samples": broken})
+        return broken > 0
+
+    def _notes(self, part: dict[str, Any], turns: DataFrame, work: Work) -> DataFrame:
+        """Notes of all samples of all runs, in one plan; from a table, as the model is asked once."""
+        llm, params = part["llm"], part["params"]
+        responses = llm["params"].get("responses", ())
+        # Each sample starts the script anew, as each has a model of its own.
+        make = (lambda _: construct.scripted(responses)) if llm["provider"] == "fake" else (lambda _, ask=with_retries(client(llm)): (lambda prompt, heat: ask(prompt, heat)["text"]))
+        return work.put("notes", construct.build_notes(turns, make, mode=params.get("keyword_pruning_mode", "nltk"), evolution_threshold=int(params.get("evolution_threshold", 100))))
+
+    def _stores(self, part: dict[str, Any], turns: DataFrame, built: DataFrame | None) -> tuple[dict[str, DataFrame], DataFrame]:
         """records, nodes, edges and layers of each sample, and (sample_id, error) of those that failed."""
         nothing = lambda schema: self.spark.createDataFrame([], schema)
-        if part["adapter"] == "turn_rag":
+        if built is None:
             held = turn_records(turns)
             none = F.array().cast("array<string>")
             records = held.select("sample_id", "record_id", "pos", "text", "content", "timestamp", "speaker", "session_id", "evidence_refs", "keywords", F.lit("").alias("context"), none.alias("tags"), none.alias("links"), F.lit(None).cast(f"array<{USAGE}>").alias("usage"))
             return {"records": records} | {name: nothing(schema) for name, schema in PARTS.items()}, nothing("sample_id string, error string")
         llm = part["llm"]
-        params, model = part["params"], llm["model"]
-        responses = llm["params"].get("responses", ())
-        # Each sample starts the script anew, as each has a model of its own.
-        make = (lambda _: construct.scripted(responses)) if llm["provider"] == "fake" else (lambda _, ask=with_retries(client(llm)): (lambda prompt, heat: ask(prompt, heat)["text"]))
-        built = construct.build_notes(turns, make, mode=params.get("keyword_pruning_mode", "nltk"), evolution_threshold=int(params.get("evolution_threshold", 100)))
-        self.out.write("notes", built, run)  # the model is asked once
-        built = self.out.read(self.spark, "notes", run)
-        spent = built.select(F.explode(F.arrays_zip("stages", "seconds")).alias("t")).select(F.col("t.stages").alias("stage"), F.col("t.seconds").alias("seconds"))
-        self.out.write("timings", analytics.timing(spent), run)
         notes = built.where("error IS NULL").drop("error", "stages", "seconds")
-        one = lambda x: F.struct(F.lit("construction").alias("phase"), F.lit("note_model").alias("component"), F.lit(llm["provider"]).alias("provider"), F.lit(model).alias("model"), x["prompt_tokens"].alias("prompt_tokens"), x["completion_tokens"].alias("completion_tokens"), (x["prompt_tokens"] + x["completion_tokens"]).alias("total_tokens"), F.lit("estimated").alias("source"), F.lit(None).cast("double").alias("latency_ms"))
+        one = lambda x: F.struct(F.lit("construction").alias("phase"), F.lit("note_model").alias("component"), F.lit(llm["provider"]).alias("provider"), F.lit(llm["model"]).alias("model"), x["prompt_tokens"].alias("prompt_tokens"), x["completion_tokens"].alias("completion_tokens"), (x["prompt_tokens"] + x["completion_tokens"]).alias("total_tokens"), F.lit("estimated").alias("source"), F.lit(None).cast("double").alias("latency_ms"))
         records = construct.enriched(notes, turns).withColumn("content", F.col("text")).withColumn("usage", F.transform(F.arrays_zip("prompt_tokens", "completion_tokens"), one).cast(f"array<{USAGE}>"))
         edges = graph.edges(notes.select("sample_id", "record_id", "pos", F.posexplode("links").alias("link_pos", "target_id")))
         tables = {"records": records.drop("prompt_tokens", "completion_tokens", "completions", "failures"), "nodes": graph.nodes(notes), "edges": edges, "layers": graph.layers(notes, edges)}
@@ -176,7 +231,7 @@ class Runner:
         """Another experiment's stores: complete, of the same data, with the runs asked for."""
         wanted = self.tree["pipeline"]["retrieve_qa"]["memory_source"]
         other = Experiment(self.tree["runtime"]["artifact_root"], wanted["experiment_id"])
-        manifest = read_json(other.manifest_path)
+        manifest = other.manifest_path.read_json()
         if manifest["dataset"]["sha256"] != self._data_sha():
             raise ValueError("dataset fingerprint mismatch between this experiment and its memory source")
         if manifest["status"] != "completed":
@@ -192,7 +247,7 @@ class Runner:
 
     # ---- evaluation
 
-    def _stages(self, part: dict[str, Any]) -> list[Stage]:
+    def _stages(self, part: dict[str, Any], work: Work) -> list[Stage]:
         out = []
         for s in part["retrieval"]["stages"]:
             params = dict(s["params"])
@@ -200,68 +255,121 @@ class Runner:
                 params["encode"] = self.encode or encoders.sentence_encoder(**{k: params[k] for k in ("model",) if k in params})
             if s["adapter"] == "cross_encoder":
                 params["score"] = self.pair_score or encoders.cross_encoder(**{k: params[k] for k in ("model",) if k in params})
-            out.append(Stage(s["adapter"], s["top_k"], s["query"], params, self._rewriter(s["llm"]) if s["llm"] else None))
+            out.append(Stage(s["adapter"], s["top_k"], s["query"], params, self._rewriter(s["llm"], work) if s["llm"] else None))
         return out
 
-    def _rewriter(self, llm: dict[str, Any]):
+    def _rewriter(self, llm: dict[str, Any], work: Work):
         def rewrite(asked: DataFrame, template: str) -> DataFrame:
             failed = F.col("_error") if "_error" in asked.columns else F.lit(None).cast("string")
             reply = completed(llm, F.when(failed.isNull(), F.replace(F.lit(template), F.lit("{question}"), F.col("query"))))
             out = asked.withColumn("_r", reply)
             before = F.col("_usage") if "_usage" in asked.columns else F.array().cast(f"array<{USAGE}>")
             out = out.withColumns({"query": strip(F.col("_r.text")), "_usage": F.array_append(before, used("retrieval:query_transform", llm)), "_error": F.coalesce(failed, F.col("_r.error"))}).drop("_r")
-            name = f"rewritten.{self.rewritten}"
-            self.rewritten += 1
-            self.out.write(name, out, *self.at)  # the model is asked once, though results and traces read it
-            return self.out.read(self.spark, name, *self.at)
+            return work.put("rewritten", out)  # the model is asked once, though results and traces read it
 
         return rewrite
 
     def _evaluate(self, source: Experiment) -> bool:
+        """Whether a question failed."""
         part = self.tree["pipeline"]["retrieve_qa"]
         chosen = part["selection"]
         samples = selection.select_samples(self.data["samples"], chosen["sample_ids"], chosen["sample_limit"])
         questions = selection.select_questions(self.data["questions"].join(samples.select("sample_id"), "sample_id", "left_semi"), chosen["question_ids"], chosen["categories"], chosen["question_limit"])
-        partial = False
-        for build_run in getattr(self, "source_runs", None) or source.runs("status"):
-            records = source.read(self.spark, "records", build_run)
-            for run in range(part["runs"]):
-                todo, kept, self.at, self.rewritten = questions, {}, (build_run, run), 0
-                if self.tree["runtime"]["resume"] and self.out.has("results", build_run, run):
-                    before = self.out.read(self.spark, "results", build_run, run)
-                    units = questions.withColumn("fingerprint", F.lit(self.print)).withColumn("execution_fingerprint", F.lit(self.code))
-                    todo = selection.pending(units, before, ["question_id"]).drop("fingerprint", "execution_fingerprint")
-                    kept = {name: self.out.read(self.spark, name, build_run, run) for name in ("results", "traces")}
-                # Every stage reads the questions; from a table, a plan does not hold the parsing of the file each time.
-                self.out.write("questions", todo, build_run, run)
-                todo = self.out.read(self.spark, "questions", build_run, run)
-                kept = {name: frame.join(todo.select("question_id"), "question_id", "left_anti") for name, frame in kept.items()}
-                fresh, trace = self._answers(part, todo, records)
-                fresh = fresh.withColumns({"fingerprint": F.lit(self.print), "execution_fingerprint": F.lit(self.code)})
-                self.out.write("answers", fresh, build_run, run)  # the model is asked once
-                fresh = self.out.read(self.spark, "answers", build_run, run)
-                trace = trace.join(fresh.where("status = 'failed'").select("question_id"), "question_id", "left_anti")
-                self._replace({"results": fresh, "traces": trace}, kept, build_run, run)
-                partial |= self._summary(build_run, run)
-        return partial
-
-    def _answers(self, part: dict[str, Any], questions: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Results of the questions, and the trace of their stages."""
+        runs = [(b, r) for b in getattr(self, "source_runs", None) or source.runs("status") for r in range(part["runs"])]
+        layout, resume = self.out.root / "retrieve_qa" / "layout.json", self.tree["runtime"]["resume"] and self.out.has("results")
+        if not resume:
+            for name in ("results", "traces", "stage_timings"):
+                self.out.table(name).delete()
+            (self.out.root / "retrieve_qa").delete()
+        with self._work() as work:
+            # Every wave reads the questions; from a table, a plan does not hold the parsing of the file each time.
+            questions = work.put("questions", questions)
+            buckets = layout.read_json()["buckets"] if resume else max(1, -(-questions.count() // QUESTIONS_A_BUCKET))
+            layout.write_json({"buckets": buckets})
+            place = F.explode(F.array(*(F.struct(F.lit(b).alias("construction_run"), F.lit(r).alias("qa_run")) for b, r in runs))).alias("_run")
+            units = questions.select("*", F.pmod(F.xxhash64("question_id"), F.lit(buckets)).cast("int").alias("bucket"), place).select("*", "_run.*").drop("_run")
+            units = units.withColumns({"fingerprint": F.lit(self.print), "execution_fingerprint": F.lit(self.code)})
+            before = {name: self.out.buckets(self.spark, name) for name in ("results", "traces")} if resume else {}
+            todo = selection.pending(units, before["results"], [*RUN, "question_id"]) if resume else units
+            todo = work.put("todo", todo, [*RUN, "bucket"])
+            counts = {tuple(r)[:3]: r["count"] for r in todo.groupBy(*RUN, "bucket").count().collect()}  # one row for each bucket
+            seconds: dict[tuple, float] = {}
+            names = sorted(counts)
+            for at in range(0, len(names), BUCKETS_A_WAVE):
+                self._wave(part, source, todo, names[at : at + BUCKETS_A_WAVE], sum(counts[n] for n in names[at : at + BUCKETS_A_WAVE]), before, seconds)
+        return any([self._summary(*run, seconds) for run in runs])
+
+    def _wave(self, part: dict[str, Any], source: Experiment, todo: DataFrame, units: list[tuple[int, int, int]], n: int, before: dict[str, DataFrame], seconds: dict[tuple, float]) -> None:
+        """Answers the questions of some buckets and commits each of these: traces are moved first, results last."""
+        wanted = F.broadcast(self.spark.createDataFrame(units, "construction_run int, qa_run int, bucket int"))
+        with self._work() as work:
+            # Keys name the runs: questions by both, samples and records by the construction run.
+            asked = todo.join(wanted, [*RUN, "bucket"]).withColumns({"asked_id": F.col("question_id"), "of_sample": F.col("sample_id")})
+            asked = work.put("asked", asked.withColumns({"question_id": F.concat_ws("/", *RUN, "question_id"), "sample_id": F.concat_ws("/", "construction_run", "sample_id")}))
+            built = sorted({b for b, _, _ in units})
+
+            def keyed(frame: DataFrame, run: int) -> DataFrame:
+                name = lambda x: F.concat(F.lit(f"{run}/"), x)
+                out = frame.withColumns({c: name(F.col(c)) for c in ("sample_id", "record_id") if c in frame.columns})
+                return out.withColumn("links", F.transform("links", name)) if "links" in frame.columns else out
+
+            every = [keyed(source.read(self.spark, "records", b), b) for b in built]
+            records = every[0]
+            for x in every[1:]:
+                records = records.unionByName(x, allowMissingColumns=True)
+            indexes = {b: self.index(source, b) for b in built}
+            corpus = None
+            if all(x.batches() for x in indexes.values()):
+                held = [(b, x.corpus(self.spark)) for b, x in indexes.items()]
+                parts = {name: [keyed(getattr(c, name), b) for b, c in held] for name in ("postings", "terms", "scopes", "documents")}
+                for name, frames in parts.items():
+                    for x in frames[1:]:
+                        frames[0] = frames[0].unionByName(x)
+                corpus = Corpus(["sample_id"], *(parts[name][0] for name in ("postings", "terms", "scopes", "documents")))
+            spent: list[tuple[int, str, float]] = []
+            fresh, trace = self._answers(part, asked, records, work, corpus, spent, keyed=True)
+            fresh = work.put("answers", fresh.withColumns({"fingerprint": F.lit(self.print), "execution_fingerprint": F.lit(self.code)}))  # the model is asked once
+            trace = trace.join(fresh.where("status = 'completed'").select(*RUN, "bucket", "question_id"), [*RUN, "question_id"])
+            # A stage answers all questions of a wave at once; each has the same part of its time.
+            each = F.element_at(F.create_map(*(F.lit(x) for k, _, s in spent for x in (k, 1000 * s / n))), F.col("stage_index")) if spent else F.lit(None).cast("double")
+            tables = {"traces": trace.withColumn("latency_ms", each), "results": fresh}
+            for name, frame in tables.items():
+                if before:
+                    old = before[name].join(wanted, [*RUN, "bucket"], "left_semi").join(asked.select(*RUN, F.col("asked_id").alias("question_id")), [*RUN, "question_id"], "left_anti")
+                    frame = frame.unionByName(old, allowMissingColumns=True)
+                frame.write.partitionBy(*RUN, "bucket").parquet(str(work.place / "done" / name))
+            figures = {tuple(r)[:3]: r for r in fresh.groupBy(*RUN, "bucket").agg(F.count("*").alias("answered"), F.count_if(F.col("status") == "failed").alias("failed")).collect()}
+            for unit in units:
+                folder = "/".join(f"{c}={v}" for c, v in zip((*RUN, "bucket"), unit, strict=True))
+                for name in tables:
+                    done, target = (Place(f"{x}/{folder}", self.spark) for x in (work.place / "done" / name, self.out.table(name)))
+                    if not done.exists():  # no question of the bucket has a trace
+                        tables[name].drop(*RUN, "bucket").limit(0).write.parquet(str(done))
+                    done.move(target)
+                Place(f"{self.out.root / 'retrieve_qa' / 'commits'}/{folder}.json", self.spark).write_json({"answered": figures[unit]["answered"], "failed": figures[unit]["failed"], "fingerprint": self.print, "execution_fingerprint": self.code})
+            for b, r in {u[:2] for u in units}:
+                for k, name, s in spent:
+                    seconds[b, r, k, name] = seconds.get((b, r, k, name), 0.0) + s
+
+    def _answers(self, part: dict[str, Any], questions: DataFrame, records: DataFrame, work: Work, corpus: Corpus | None = None, spent: list | None = None, keyed: bool = False) -> tuple[DataFrame, DataFrame]:
+        """Results of the questions, and the trace of their stages.
+
+        keyed: question_id, sample_id and the ids of records name their runs, and asked_id and of_sample are the plain ones, which the rows get back. spent: gets each stage's seconds."""
+        shown_id, shown_sample = ("asked_id", "of_sample") if keyed else ("question_id", "sample_id")
         held = records.select("sample_id").distinct()
-        lost = selection.failed_rows(questions, held)
+        lost = selection.failed_rows(questions, held, shown_id, shown_sample)
         able = questions.join(held, "sample_id", "left_semi")
-        seconds = []
 
         def keep(found: DataFrame, k: int) -> DataFrame:
             """A stage's result as a table: candidates of the questions, which the next stage, the trace and the answers read."""
             began = time.perf_counter()
-            self.out.write(f"stage.{k}", found, *self.at)
-            seconds.append((k, stages[k].adapter, time.perf_counter() - began))
-            return self.out.read(self.spark, f"stage.{k}", *self.at)
+            out = work.put(f"stage{k}", found)
+            if spent is not None:
+                spent.append((k, stages[k].adapter, time.perf_counter() - began))
+            return out
 
-        stages = self._stages(part)
-        plan = retrieve(able, records.select("sample_id", "record_id", "pos", "text"), stages, keep)
-        self.out.write("stage_timings", self.spark.createDataFrame(seconds, "stage_index int, adapter string, seconds double"), *self.at)  # one row for each stage
+        stages = self._stages(part, work)
+        plan = retrieve(able, records.select("sample_id", "record_id", "pos", "text"), stages, keep, corpus)
         items = plan.candidates
         notes = part["context"]["adapter"] == "amem"
         if notes:
@@ -278,40 +386,51 @@ class Runner:
         qa = part["qa"]
         if qa["adapter"] == "robust":
             label = F.col("labels")["question_type"][0]
-            prompt = context.qa_prompt(F.col("question_id"), F.col("question"), F.col("reference"), label, F.col("context_text"), self.tree["runtime"]["seed"])
+            prompt = context.qa_prompt(F.col(shown_id), F.col("question"), F.col("reference"), label, F.col("context_text"), self.tree["runtime"]["seed"])
             rows = rows.withColumn("_r", completed(qa["llm"], F.when(F.col("_before").isNull(), prompt), context.qa_temperature(label, float(qa["params"].get("adversarial_temperature", 0.5)))))
             rows = rows.withColumn("prediction", strip(F.col("_r.text"))).withColumn("_why", F.col("_r.error")).withColumn("usage", F.array_append("usage", used("qa", qa["llm"])))
         else:
             fails = F.lit(False)
             if qa["adapter"] == "failing":
                 ids = qa["params"].get("question_ids")
-                fails = F.col("question_id").isin(list(ids)) if ids else F.lit(True)
+                fails = F.col(shown_id).isin(list(ids)) if ids else F.lit(True)
             rows = rows.withColumn("prediction", context.extractive(F.col("context_text"))).withColumn("_why", F.when(fails, "RuntimeError: intentional QA failure"))
         rows = rows.withColumn("_why", F.coalesce("_before", "_why"))
         bad = F.col("_why").isNotNull()
-        error = selection.failure(*_kind_and_message(F.col("_why")))
+        error = selection.failure(*_kind_and_message(F.col("_why")), shown_id, shown_sample)
         scored = metric_map([m["adapter"] for m in part["metrics"]], F.col("prediction"), F.col("reference"))
+        no_ids, no_usage, no_errors = F.array().cast("array<string>"), F.array().cast(f"array<{USAGE}>"), F.array().cast(f"array<{ERROR}>")
+        found = F.coalesce("item_ids", no_ids)
+        plain = F.transform(found, lambda x: F.substr(x, F.instr(x, "/") + 1)) if keyed else found
+        ids = [F.col(shown_id).alias("question_id"), F.col(shown_sample).alias("sample_id"), *([*RUN, "bucket"] if keyed else [])]
         rows = rows.select(
-            "question_id", "sample_id", F.when(bad, "failed").otherwise("completed").alias("status"), "question", "reference", F.when(bad, "").otherwise(F.col("prediction")).alias("prediction"), "labels", F.col("question_pos").alias("pos"),
-            F.when(bad, "").otherwise(F.col("context_text")).alias("context_text"), F.when(bad, F.array().cast("array<string>")).otherwise(F.coalesce("item_ids", F.array().cast("array<string>"))).alias("item_ids"),
-            F.when(bad, F.create_map().cast("map<string,double>")).otherwise(scored).alias("metrics"), F.when(bad, F.array().cast(f"array<{USAGE}>")).otherwise(F.col("usage")).alias("usage"), F.when(bad, F.array(error.cast(ERROR))).otherwise(F.array().cast(f"array<{ERROR}>")).alias("errors"),
+            *ids, F.when(bad, "failed").otherwise("completed").alias("status"), "question", "reference", F.when(bad, "").otherwise(F.col("prediction")).alias("prediction"), "labels", F.col("question_pos").alias("pos"),
+            F.when(bad, "").otherwise(F.col("context_text")).alias("context_text"), F.when(bad, no_ids).otherwise(plain).alias("item_ids"), F.when(bad, F.create_map().cast("map<string,double>")).otherwise(scored).alias("metrics"),
+            F.when(bad, no_usage).otherwise(F.col("usage")).alias("usage"), F.when(bad, F.array(error.cast(ERROR))).otherwise(no_errors).alias("errors"),
         )
         none = lost.select(
-            "question_id", "sample_id", "status", "question", "reference", "prediction", "labels", F.col("question_pos").alias("pos"), F.lit("").alias("context_text"), F.array().cast("array<string>").alias("item_ids"),
-            F.create_map().cast("map<string,double>").alias("metrics"), F.array().cast(f"array<{USAGE}>").alias("usage"), F.col("errors").cast(f"array<{ERROR}>").alias("errors"),
+            *ids, "status", "question", "reference", "prediction", "labels", F.col("question_pos").alias("pos"), F.lit("").alias("context_text"), no_ids.alias("item_ids"),
+            F.create_map().cast("map<string,double>").alias("metrics"), no_usage.alias("usage"), F.col("errors").cast(f"array<{ERROR}>").alias("errors"),
         )
-        return rows.unionByName(none), traces(plan)
+        trace = traces(plan)
+        if keyed:
+            runs = F.split("question_id", "/", 3)
+            trace = trace.select(runs[0].cast("int").alias("construction_run"), runs[1].cast("int").alias("qa_run"), runs[2].alias("question_id"), "stage_index", "adapter", "query", "rank", F.substr("record_id", F.instr("record_id", "/") + 1).alias("record_id"), "score")
+        return rows.unionByName(none), trace
 
-    def _summary(self, build_run: int, run: int) -> bool:
+    def _summary(self, build_run: int, run: int, seconds: dict[tuple, float]) -> bool:
         """Writes the run's usage, errors, status and figures; whether a question failed."""
         results = self.out.read(self.spark, "results", build_run, run)
         self.out.write("usage", results.select("question_id", F.explode("usage").alias("u")).select("question_id", "u.*"), build_run, run)
         self.out.write("errors", analytics.errors(results), build_run, run)
+        timed = [(k, name, s) for (b, r, k, name), s in sorted(seconds.items()) if (b, r) == (build_run, run)]
+        if timed:
+            self.out.write("stage_timings", self.spark.createDataFrame(timed, "stage_index int, adapter string, seconds double"), build_run, run)  # one row for each stage
         counts = analytics.status_counts(results).first()
         means = {r["name"]: r["mean"] for r in analytics.metric_means(results).collect()}  # one row for each metric
         by_source = analytics.usage_by_source(analytics.usage_records(self.out.read(self.spark, "usage", build_run, run), results)).collect()
         place = self.out.root / "retrieve_qa" / f"construction_{build_run:03d}" / f"run_{run:03d}"
         prints = {"fingerprint": self.print, "execution_fingerprint": self.code}
-        write_json(place / "status.json", {"status": "partial" if counts["failed"] else "completed", "questions": counts["questions"], "completed": counts["completed"], "failed": counts["failed"]} | prints)
-        write_json(place / "summary.json", {"questions": counts["questions"], "completed": counts["completed"], "failed": counts["questions"] - counts["completed"], "metrics": means, "usage": {r["source"]: {"calls": r["calls"], "tokens": r["total_tokens"], "latency_ms": r["latency_ms"]} for r in by_source}})
+        (place / "status.json").write_json({"status": "partial" if counts["failed"] else "completed", "questions": counts["questions"], "completed": counts["completed"], "failed": counts["failed"]} | prints)
+        (place / "summary.json").write_json({"questions": counts["questions"], "completed": counts["completed"], "failed": counts["questions"] - counts["completed"], "metrics": means, "usage": {r["source"]: {"calls": r["calls"], "tokens": r["total_tokens"], "latency_ms": r["latency_ms"]} for r in by_source}})
         return counts["failed"] > 0

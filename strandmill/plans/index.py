@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.operators import analytics
-from strandmill.sources.artifacts import STORE, Experiment, experiments, read_json
+from strandmill.sources.artifacts import STORE, Experiment, experiments
 
 
 class Index:
@@ -20,7 +20,7 @@ class Index:
         return experiments(self.root)
 
     def manifest(self, name: str) -> dict[str, Any]:
-        return read_json(Experiment(self.root, name).manifest_path)
+        return Experiment(self.root, name).manifest_path.read_json()
 
     def results(self, name: str) -> DataFrame:
         """All runs' rows with construction_run and qa_run."""
@@ -59,7 +59,7 @@ class Index:
         if found is None:
             raise KeyError(f"no question {question_id} in experiment {name}")
         steps = Experiment(self.root, name).read(self.spark, "traces", found["construction_run"], found["qa_run"]).where(F.col("question_id") == question_id)
-        stages = steps.groupBy("stage_index", "adapter", "query").agg(F.array_sort(F.collect_list(F.struct("rank", "record_id", "score"))).alias("ranking")).orderBy("stage_index")
+        stages = steps.groupBy("stage_index", "adapter", "query").agg(F.array_sort(F.collect_list(F.struct("rank", "record_id", "score"))).alias("ranking"), F.first("latency_ms").alias("latency_ms")).orderBy("stage_index")
         return found.asDict(recursive=True) | {"stages": [r.asDict(recursive=True) for r in stages.collect()]}
 
     def graph(self, name: str, construction_run: int, sample_id: str) -> dict[str, DataFrame]:

@@ -132,11 +132,13 @@ UNION ALL SELECT question_id, 'failed', '', '', NULL, NULL, 'No construction sto
 def experiment_answers(spark, sf_dir):
     """What a run writes as results: answered questions, and failed ones of samples without a store."""
     from strandmill.plans.config import validated
-    from strandmill.plans.experiment import Runner
+    from strandmill.plans.experiment import Runner, Work
+    from strandmill.sources.files import Place
 
     _, records, q = _turns(spark, sf_dir)
     runner = Runner(spark, validated(_TREE))
-    rows, _ = runner._answers(runner.tree["pipeline"]["retrieve_qa"], q, records.where(F.split("sample_id", ":")[1].cast("long") % 4 != 1))
+    work = Work(Place(artifacts.scratch(spark, "answers"), spark))
+    rows, _ = runner._answers(runner.tree["pipeline"]["retrieve_qa"], q, records.where(F.split("sample_id", ":")[1].cast("long") % 4 != 1), work)
     return rows.select("question_id", "status", "prediction", F.array_join("item_ids", ",").alias("item_ids"), F.col("metrics")["exact_match"].alias("exact_match"), F.round(F.col("metrics")["f1"], 6).alias("f1"), F.get("errors", F.lit(0))["message"].alias("message"))
 
 

@@ -41,6 +41,7 @@ class Plan:
     traces: list[DataFrame]
     records: DataFrame
     first: bool = True
+    corpus: ranking.Corpus | None = None
 
 
 def _asked(plan: Plan, stage: Stage) -> DataFrame:
@@ -50,7 +51,9 @@ def _asked(plan: Plan, stage: Stage) -> DataFrame:
 def _bm25(plan: Plan, stage: Stage) -> DataFrame:
     asked = _asked(plan, stage)
     if plan.first:  # all records of the sample: statistics once for each sample
-        return ranking.bm25_topk(asked, plan.records.drop("pos"), stage.top_k, scope=["sample_id"])
+        if plan.corpus is None:
+            plan.corpus = ranking.corpus_of(plan.records.drop("pos"), ["sample_id"])
+        return ranking.bm25_topk(asked, plan.corpus, stage.top_k)
     left = plan.candidates.select("question_id", "record_id").join(plan.records.select("sample_id", "record_id", "text"), "record_id")
     return ranking.bm25_topk(asked, left, stage.top_k, scope=["question_id"])
 
@@ -129,8 +132,8 @@ def candidate_rows(plan: Plan) -> DataFrame:
 STAGES: dict[str, Callable[[Plan, Stage], DataFrame]] = {"bm25": _bm25, "limit": _limit, "query_transform": _transform, "embedding": _vectors, "embedding_rerank": _vectors, "cross_encoder": _pairs}
 
 
-def retrieve(questions: DataFrame, records: DataFrame, stages: list[Stage], keep: Callable[[DataFrame, int], DataFrame] | None = None) -> Plan:
-    """questions: sample_id, question_id, question; records: sample_id, record_id, pos, text.
+def retrieve(questions: DataFrame, records: DataFrame, stages: list[Stage], keep: Callable[[DataFrame, int], DataFrame] | None = None, corpus: ranking.Corpus | None = None) -> Plan:
+    """questions: sample_id, question_id, question; records: sample_id, record_id, pos, text. corpus: the records' postings, if they are written.
 
     keep(rows, stage index) may write a stage's result and read it again: then later stages, traces and answers share one computation of it."""
     if not stages:
@@ -138,7 +141,7 @@ def retrieve(questions: DataFrame, records: DataFrame, stages: list[Stage], keep
     asked = questions.select("sample_id", "question_id", F.col("question").alias("original"), F.col("question").alias("query"))
     start = asked.select("sample_id", "question_id").join(records.select("sample_id", "record_id", "pos"), "sample_id")
     start = start.withColumn("rank", F.row_number().over(ranking.Window.partitionBy("question_id").orderBy("pos"))).select("sample_id", "question_id", "record_id", "rank")
-    plan = Plan(start, asked, [], records)
+    plan = Plan(start, asked, [], records, corpus=corpus)
     for k, stage in enumerate(stages):
         out = STAGES[stage.adapter](plan, stage)
         out = keep(out, k) if keep is not None else out

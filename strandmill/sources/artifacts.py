@@ -1,40 +1,22 @@
-"""Tables of an experiment: Parquet by run, with small control files as JSON."""
+"""Tables of an experiment: Parquet by run, with small control files as JSON, on storage that the driver and all executors share."""
 
 from __future__ import annotations
 
-import json
-import os
 import tempfile
 import uuid
 from pathlib import Path
-from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandmill.sources.files import Place
+
 VERSION = "experiment/v1"
 STORE = ("records", "nodes", "edges", "layers", "stores")
 
 
-def write_json(path: Path, payload: Any) -> None:
-    """Whole or not at all: a temporary file beside it, then a rename."""
-    path.parent.mkdir(parents=True, exist_ok=True)
-    handle, name = tempfile.mkstemp(dir=path.parent)
-    with os.fdopen(handle, "w", encoding="utf-8") as f:
-        json.dump(payload, f, indent=2, sort_keys=True, ensure_ascii=False)
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(name, path)
-
-
-def read_json(path: Path) -> Any:
-    if not path.exists():
-        raise FileNotFoundError(f"no such artifact: {path}")
-    return json.loads(path.read_text(encoding="utf-8"))
-
-
 def read_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; a missing file has no rows, blank lines are skipped."""
-    if "://" not in path and not os.path.exists(path):
+    if not Place(path, spark).exists():
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
@@ -50,37 +32,40 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 class Experiment:
-    """Places of an experiment's tables."""
+    """Places of an experiment's tables. The root is a path of any file system that Spark reaches; on a cluster it has to be shared."""
 
-    def __init__(self, root: str | Path, experiment_id: str):
-        self.root = Path(root) / experiment_id
+    def __init__(self, root: str | Path | Place, experiment_id: str):
+        self.root = Place(root) / experiment_id
 
-    def table(self, name: str, construction_run: int | None = None, qa_run: int | None = None) -> str:
+    def table(self, name: str, construction_run: int | None = None, qa_run: int | None = None) -> Place:
         runs = [f"construction_run={construction_run}"] * (construction_run is not None) + [f"qa_run={qa_run}"] * (qa_run is not None)
-        return str(Path(self.root, "tables", name, *runs).absolute())
+        return Place("/".join([str(self.root), "tables", name, *runs]), self.root.spark)
 
     def has(self, name: str, *runs: int) -> bool:
-        return os.path.exists(os.path.join(self.table(name, *runs), "_SUCCESS"))
+        return self.table(name, *runs).exists()
 
     def write(self, name: str, frame: DataFrame, *runs: int) -> None:
-        frame.write.mode("overwrite").parquet(self.table(name, *runs))
+        frame.write.mode("overwrite").parquet(str(self.table(name, *runs)))
 
     def read(self, spark: SparkSession, name: str, *runs: int) -> DataFrame:
         """One run's rows, or all runs' with their run columns."""
-        return spark.read.parquet(self.table(name, *runs)) if runs else spark.read.option("basePath", self.table(name)).option("recursiveFileLookup", "false").parquet(self.table(name))
+        return self.buckets(spark, name, *runs).drop("bucket")
+
+    def buckets(self, spark: SparkSession, name: str, *runs: int) -> DataFrame:
+        """The same rows, with the bucket that each was written in, if the table has these."""
+        return spark.read.parquet(str(self.table(name, *runs)))
 
     def runs(self, name: str) -> list[int]:
-        base = Path(self.table(name))
-        return sorted(int(p.name.split("=")[1]) for p in base.glob("construction_run=*")) if base.exists() else []
+        return sorted(int(n.split("=")[1]) for n in self.table(name).children() if n.startswith("construction_run="))
 
     @property
-    def manifest_path(self) -> Path:
+    def manifest_path(self) -> Place:
         return self.root / "manifest.json"
 
 
 def experiments(root: str | Path) -> list[str]:
-    base = Path(root)
-    return sorted(p.name for p in base.iterdir() if (p / "manifest.json").exists()) if base.exists() else []
+    base = Place(root)
+    return [name for name in base.children() if (base / name / "manifest.json").exists()]
 
 
 def write_store(place: str, tables: dict[str, DataFrame]) -> None:

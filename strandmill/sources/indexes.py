@@ -1,10 +1,91 @@
-"""Retrieval indexes as tables: postings and vectors are written once and read by later runs. Never pickled."""
+"""Retrieval indexes as tables: postings and vectors are written once and read by later runs and stages. Never pickled."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Callable, Sequence
 
-from strandmill.operators.ranking import postings
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandmill.functions.text import tokens
+from strandmill.operators.ranking import Corpus, corpus_of, postings
+from strandmill.sources.files import Place
+
+PARTS = ("postings", "terms", "scopes", "documents")
+
+
+class TextIndex:
+    """A corpus for BM25 that grows: each batch of records adds its postings, records, and its own document frequencies and sizes.
+
+    A batch counts once its commit file is there, which is written last; a batch that was lost on the way is written anew, and one that is
+    committed is not added again. Statistics of several batches are sums of theirs, so an index that was appended to answers
+    as one that was built from all records. Postings are in the order of terms, dealt by ranges of term and record, so a frequent term
+    is in several files and a file is about few terms."""
+
+    def __init__(self, place: str | Place, scope: Sequence[str] = ("sample_id",), tokenise: Callable[[Column], Column] = tokens):
+        self.place, self.scope, self.tokenise = Place(place), list(scope), tokenise
+
+    def batches(self) -> list[str]:
+        return (self.place / "commits").children()
+
+    def _part(self, name: str, batch: str) -> Place:
+        return self.place / name / f"batch={batch}"
+
+    def append(self, records: DataFrame, batch: str | None = None, text: str = "text") -> str:
+        """Adds records (scope, record_id, text, and pos if they have it), none of which is there yet. Gives the batch's name."""
+        self._settle()
+        batch = batch or uuid.uuid4().hex
+        if batch in self.batches():
+            return batch
+        new = corpus_of(records, self.scope, self.tokenise, text)
+        keys = ["term", *self.scope, "record_id"]
+        new.postings.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(str(self._part("postings", batch)))
+        written = records.sparkSession.read.parquet(str(self._part("postings", batch)))
+        for name, frame in (("terms", written.groupBy(*self.scope, "term").agg(F.count("*").alias("df"))), ("scopes", new.scopes), ("documents", new.documents)):
+            frame.write.mode("overwrite").parquet(str(self._part(name, batch)))
+        (self.place / "commits" / batch).write_text("")
+        return batch
+
+    def drop(self, batch: str) -> None:
+        """Takes a batch out; its commit goes first."""
+        (self.place / "commits" / batch).delete()
+        for name in PARTS:
+            self._part(name, batch).delete()
+
+    def _settle(self) -> None:
+        """Ends a compaction that got as far as naming its batch: the others go, then it is committed like any."""
+        aside = self.place / "aside"
+        if not aside.exists():
+            return
+        new = aside.read_text()
+        for batch in self.batches():
+            if batch != new:
+                self.drop(batch)
+        (self.place / "commits" / new).write_text("")
+        aside.delete()
+
+    def compact(self) -> str:
+        """All batches as one. Readers see the old ones until the new one is written whole and named, and it alone from then on."""
+        self._settle()
+        new, held = uuid.uuid4().hex, self.corpus(self.place.spark)
+        keys = ["term", *self.scope, "record_id"]
+        for name, frame in zip(PARTS, (held.postings.repartitionByRange(*keys).sortWithinPartitions(*keys), held.terms, held.scopes, held.documents), strict=True):
+            frame.write.parquet(str(self._part(name, new)))
+        (self.place / "aside").write_text(new)
+        self._settle()
+        return new
+
+    def corpus(self, spark: SparkSession) -> Corpus:
+        aside = self.place / "aside"
+        batches = [aside.read_text()] if aside.exists() else self.batches()
+        if not batches:
+            raise FileNotFoundError(f"no index at {self.place}")
+        held = {name: spark.read.parquet(*(str(self._part(name, b)) for b in batches)) for name in PARTS}
+        if len(batches) > 1:
+            held["terms"] = held["terms"].groupBy(*self.scope, "term").agg(F.sum("df").alias("df"))
+            held["scopes"] = held["scopes"].groupBy(*self.scope).agg(F.sum("N").alias("N"), F.sum("tokens").alias("tokens"))
+        return Corpus(self.scope, held["postings"], held["terms"], held["scopes"], held["documents"])
 
 
 def save_text_index(records: DataFrame, path: str, keys: tuple[str, ...] = ("sample_id", "record_id"), **options) -> None:
