@@ -62,7 +62,7 @@ class OkapiIndex:
             return []
         terms, mean = sum(self.spread.values()), 0.0
         if terms:
-            mean = sum(c * self._idf(df) for df, c in self.spread.items() if c) / terms
+            mean = sum(c * self._idf(df) for df, c in sorted(self.spread.items()) if c) / terms
         average = sum(self.lengths) / n or 1.0
         scores = [0.0] * n
         for term in re.findall(r"\w+", query.lower()):
@@ -98,6 +98,7 @@ class Fold:
             raise ValueError(f"keyword pruning mode {mode!r}; use none, simple or nltk")
         self.complete, self.mode, self.threshold, self.now, self.search = complete, mode, evolution_threshold, now, search
         self.notes: dict[str, Note] = {}
+        self.places: list[str] = []  # record ids in the order they came
         self.documents: list[str] = []
         self.index = OkapiIndex()
         self.evolved = 0
@@ -128,12 +129,31 @@ class Fold:
             found = {"keywords": parsers.guessed_keywords(content), "context": parsers.guessed_context(content), "tags": parsers.guessed_keywords(content, 3)}
         return Note(record_id or str(uuid.uuid4()), content, timestamp or self.now, list(found["keywords"] or []), found["context"] or "General", list(found["tags"] or []))
 
+    # What a fold asks of its notes; streaming.notes keeps them elsewhere.
+
+    def count(self) -> int:
+        return len(self.places)
+
+    def at(self, place: int) -> Note:
+        return self.notes[self.places[place]]
+
+    def save(self, place: int, note: Note) -> None:
+        """After a note has changed."""
+
+    def append(self, note: Note) -> None:
+        if note.record_id not in self.notes:
+            self.places.append(note.record_id)
+        self.notes[note.record_id] = note
+        self.documents.append(note.document())
+        self.index.add(self.documents[-1])
+
     def neighbours(self, query: str, k: int = NEIGHBOURS) -> tuple[str, list[int]]:
         """The lines shown of the nearest notes, and their places."""
-        if not self.notes:
+        n = self.count()
+        if not n:
             return "", []
-        held = list(self.notes.values())
-        places = [p for p in (self.search(self.documents, query, k) if self.search else self.index.search(query, k)) if p < len(held)]
+        places = [p for p in (self.search(self.documents, query, k) if self.search else self.index.search(query, k)) if p < n]
+        held = {p: self.at(p) for p in places}
         lines = [f"memory index:{p}\t talk start time:{held[p].timestamp}\t memory content: {held[p].content}\t memory context: {held[p].context}\t memory keywords: {held[p].keywords}\t memory tags: {held[p].tags}\n" for p in places]
         return "".join(lines), places
 
@@ -150,10 +170,10 @@ class Fold:
 
     def _evolve(self, note: Note, shown: str, places: list[int]) -> None:
         reply = self._ask(V.UPDATE.format(content=note.content, context=note.context, neighbours=shown, last=len(places) - 1, count=len(places)))
-        held = list(self.notes.values())
         for place, new in zip(places, parsers.neighbour_updates(reply, len(places)), strict=False):
-            held[place].tags = new["tags"] or held[place].tags
-            held[place].context = new["context"] or held[place].context
+            near = self.at(place)
+            near.tags, near.context = new["tags"] or near.tags, new["context"] or near.context
+            self.save(place, near)
 
     def add(self, content: str, timestamp: str | None = None, record_id: str | None = None) -> Note:
         """Construct, connect, evolve, store. A failure after construction keeps the note with what was changed so far."""
@@ -168,9 +188,7 @@ class Fold:
         except Exception:  # noqa: BLE001
             self.failures += 1
             kind = parsers.DECISIONS[0]
-        self.notes[note.record_id] = note
-        self.documents.append(note.document())
-        self.index.add(self.documents[-1])
+        self.append(note)
         if kind != parsers.DECISIONS[0]:
             self.evolved += 1
             if self.evolved % self.threshold == 0:
@@ -191,7 +209,7 @@ class Fold:
 
     def related(self, query: str, k: int = NEIGHBOURS) -> str:
         """The nearest notes with up to k + 1 of each one's links after it, as text."""
-        held = list(self.notes.values())
+        held = [self.at(p) for p in range(self.count())]
         show = lambda n: f"talk start time:{n.timestamp}memory content: {n.content}memory context: {n.context}memory keywords: {n.keywords}memory tags: {n.tags}\n"
         return "".join(show(held[q]) for p in self.neighbours(query, k)[1] for q in [p, *held[p].links[: k + 1]])
 
@@ -216,6 +234,7 @@ class Fold:
     def load(self, state: str) -> Fold:
         held = json.loads(state)
         self.notes = {n["record_id"]: Note(**n) for n in held["notes"]}
+        self.places = list(self.notes)
         self.documents, self.evolved, self.usage, self.failures = held["documents"], held["evolved"], held["usage"], held["failures"]
         self.index = OkapiIndex(self.documents)
         return self

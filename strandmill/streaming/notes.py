@@ -1,28 +1,201 @@
-"""The note fold on a stream: a sample's notes are keyed state, turns arrive in any micro-batch."""
+"""The note fold on a stream, on keyed state: turns arrive in any micro-batch, and a batch reads and writes only the notes, terms and figures it touches.
+
+State of a sample, each in a map of its own: notes by place, places by record id, document frequencies by term, postings by term and block of
+`BLOCK` records, and how many terms have each document frequency; and a few totals. Adding a note writes its own entry, one block for each of its terms, and the
+neighbours that it changes. A search reads the blocks of its terms, as the ranking needs all of them, and the notes it finds. Only a consolidation
+goes over all notes. The state lives in RocksDB.
+"""
 
 from __future__ import annotations
 
+import json
+import math
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import asdict
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from strandmill.operators.construct import NOTE_SCHEMA, Complete, Fold
+from strandmill.operators.construct import NOTE_SCHEMA, Complete, Fold, Note
 
+BLOCK = 64
+_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_COLUMNS = [c.split()[0] for c in NOTE_SCHEMA.split(", ")]
 
-def build_notes_stream(turns: DataFrame, model: Callable[[str], Complete], **options: Any) -> DataFrame:
-    """The rows of a sample's notes after each batch that has turns of it (update mode). Within a batch turns go by turn_pos."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        fold = Fold(model(key[0]), **options)
-        if state.exists:
-            fold.load(state.get[0])
-        for t in pd.concat(list(frames)).sort_values("turn_pos").itertuples():
-            if t.turn_id not in fold.notes:  # a turn that comes again changes nothing
+
+class Shelf:
+    """A map of the state, with what a batch has read of it and written to it: an entry is read and written once in a batch."""
+
+    def __init__(self, state: Any):
+        self.state, self.held, self.changed = state, {}, set()
+
+    def get(self, key: Any, default: Any = None) -> Any:
+        if key not in self.held:
+            found = self.state.getValue((str(key),)) if self.state.containsKey((str(key),)) else None
+            self.held[key] = json.loads(found[0]) if found else default
+        return self.held[key]
+
+    def put(self, key: Any, value: Any) -> None:
+        self.held[key] = value
+        self.changed.add(key)
+
+    def all(self) -> dict[str, Any]:
+        """Every entry: only of maps that stay small."""
+        out = {k[0]: json.loads(v[0]) for k, v in self.state.iterator()}
+        return out | {str(k): v for k, v in self.held.items() if k in self.changed}
+
+    def clear(self) -> None:
+        self.state.clear()
+        self.held, self.changed = {}, set()
+
+    def flush(self) -> None:
+        for key in self.changed:
+            self.state.updateValue((str(key),), (json.dumps(self.held[key]),))
+        self.held, self.changed = {}, set()
+
+
+class KeptIndex:
+    """`construct.OkapiIndex` on state: the same places for the same query."""
+
+    def __init__(self, totals: Shelf, frequencies: Shelf, postings: Shelf, spread: Shelf):
+        self.totals, self.frequencies, self.postings, self.spread = totals, frequencies, postings, spread
+
+    def add(self, document: str) -> None:
+        terms = re.findall(r"\w+", document.lower())
+        n = self.totals.get("documents", 0)
+        self.totals.put("documents", n + 1)
+        self.totals.put("tokens", self.totals.get("tokens", 0) + len(terms))
+        for term, tf in Counter(terms).items():
+            df = self.frequencies.get(term, 0)
+            self.frequencies.put(term, df + 1)
+            if df:
+                self.spread.put(df, self.spread.get(df, 0) - 1)
+            self.spread.put(df + 1, self.spread.get(df + 1, 0) + 1)
+            block = f"{df // BLOCK} {term}"
+            self.postings.put(block, [*self.postings.get(block, []), [n, tf, len(terms)]])
+
+    def search(self, query: str, k: int) -> list[int]:
+        n = self.totals.get("documents", 0)
+        if k < 1 or not n:
+            return []
+        idf = lambda df: math.log(n - df + 0.5) - math.log(df + 0.5)
+        spread = sorted((int(df), c) for df, c in self.spread.all().items() if c)
+        mean = sum(c * idf(df) for df, c in spread) / sum(c for _, c in spread) if spread else 0.0
+        average = self.totals.get("tokens", 0) / n or 1.0
+        scores: dict[int, float] = {}
+        for term in re.findall(r"\w+", query.lower()):
+            df = self.frequencies.get(term, 0)
+            weight = idf(df) if df else 0.0
+            weight = 0.25 * mean if weight < 0 else weight
+            for block in range(-(-df // BLOCK)):
+                for place, tf, length in self.postings.get(f"{block} {term}", []):
+                    scores[place] = scores.get(place, 0.0) + weight * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / average))
+        ranked = sorted((-s, p) for p, s in scores.items() if s)
+        out = [p for s, p in ranked if s < 0][:k]
+        # Whatever shares no term scores 0 and needs no look: the first places that are not ranked otherwise.
+        scored = {p for _, p in ranked}
+        at = 0
+        while len(out) < k and at < n:
+            out += [at] * (at not in scored)
+            at += 1
+        return out + [p for s, p in ranked if s > 0][: k - len(out)]
+
+    def clear(self) -> None:
+        for shelf in (self.frequencies, self.postings, self.spread):
+            shelf.clear()
+        self.totals.put("documents", 0)
+        self.totals.put("tokens", 0)
+
+
+class KeptFold(Fold):
+    """A fold whose notes and index are on the state of one sample."""
+
+    def __init__(self, complete: Complete, shelves: dict[str, Shelf], **options: Any):
+        super().__init__(complete, **options)
+        if self.search is not None:
+            raise ValueError("a fold on a stream searches its own index")
+        self.shelves, self.totals = shelves, shelves["totals"]
+        self.index = KeptIndex(self.totals, shelves["frequencies"], shelves["postings"], shelves["spread"])
+        self.evolved, self.failures, self.before = self.totals.get("evolved", 0), self.totals.get("failures", 0), self.totals.get("completions", 0)
+        self.touched: set[int] = set()
+
+    def count(self) -> int:
+        return self.totals.get("notes", 0)
+
+    def at(self, place: int) -> Note:
+        return Note(**self.shelves["notes"].get(place))
+
+    def save(self, place: int, note: Note) -> None:
+        self.shelves["notes"].put(place, asdict(note))
+        self.touched.add(place)
+
+    def has(self, record_id: str) -> bool:
+        return self.shelves["places"].get(record_id) is not None
+
+    def append(self, note: Note) -> None:
+        place = self.count()
+        self.shelves["places"].put(note.record_id, place)
+        self.totals.put("notes", place + 1)
+        self.save(place, note)
+        self.index.add(note.document())
+        # A link to a place that was not there yet names its note from now on.
+        self.touched.update(self.shelves["waiting"].get(place, []))
+        for link in note.links:
+            if isinstance(link, int) and link > place:
+                self.shelves["waiting"].put(link, [*self.shelves["waiting"].get(link, []), place])
+
+    def consolidate(self) -> None:
+        self.index.clear()
+        for place in range(self.count()):
+            self.index.add(self.at(place).document())
+
+    def changed_rows(self, sample_id: str) -> list[tuple]:
+        """Rows of the notes that this batch has added or changed; the first has the batch's completions."""
+        out, n = [], self.count()
+        each = [[u[k] for u in self.usage] for k in ("prompt_tokens", "completion_tokens")]
+        timed = [[t[k] for t in self.seconds] for k in (0, 1)]
+        for place in sorted(self.touched):
+            note = self.at(place)
+            links = [self.at(t).record_id if isinstance(t, int) and 0 <= t < n else str(t) for t in note.links]
+            first = not out
+            out.append((sample_id, note.record_id, place, note.content, note.timestamp, note.context, list(map(str, note.keywords)), list(map(str, note.tags)), links, self.before + len(self.usage), *(each if first else ([], [])), self.failures, *(timed if first else ([], [])), None))
+        return out
+
+    def flush(self) -> None:
+        for name, value in (("evolved", self.evolved), ("failures", self.failures), ("completions", self.before + len(self.usage))):
+            self.totals.put(name, value)
+        for shelf in self.shelves.values():
+            shelf.flush()
+
+
+class _Notes(StatefulProcessor):
+    def __init__(self, model: Callable[[str], Complete], options: dict[str, Any]):
+        self.model, self.options = model, options
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        names = ("totals", "notes", "places", "frequencies", "postings", "spread", "waiting")
+        self.states = {name: handle.getMapState(name, "key string", "value string") for name in names}
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark's names
+        fold = KeptFold(self.model(key[0]), {name: Shelf(state) for name, state in self.states.items()}, **self.options)
+        for t in pd.concat(list(rows)).sort_values("turn_pos").itertuples():
+            if not fold.has(t.turn_id):  # a turn that comes again changes nothing
                 fold.add(t.text or "", t.timestamp if isinstance(t.timestamp, str) else None, t.turn_id)
-        state.update((fold.to_json(),))
-        yield pd.DataFrame(fold.rows(key[0]), columns=[c.split()[0] for c in NOTE_SCHEMA.split(", ")])
+        found = fold.changed_rows(key[0])
+        fold.flush()
+        yield pd.DataFrame(found, columns=_COLUMNS).astype({"pos": "Int32", "completions": "Int64", "failures": "Int64"})
+
+    def close(self) -> None:
+        """Nothing is open."""
 
-    return turns.groupBy("sample_id").applyInPandasWithState(step, NOTE_SCHEMA, "state string", "update", GroupStateTimeout.NoTimeout)
+
+def build_notes_stream(turns: DataFrame, model: Callable[[str], Complete], **options: Any) -> DataFrame:
+    """The rows of a sample's notes that a batch adds or changes (update mode): the last row of each record_id is its note, and equals that of `build_notes`
+    over the same turns in the same order. Within a batch turns go by turn_pos. Sets the session's state store to RocksDB, which this kind of state needs."""
+    turns.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
+    grouped = turns.select("sample_id", "turn_id", "turn_pos", "text", "timestamp").groupBy("sample_id")
+    return grouped.transformWithStateInPandas(_Notes(model, options), NOTE_SCHEMA, "update", "None")
