@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 
 from strandmill.functions.text import tokens, words
 from strandmill.functions.vectors import cosine
+from strandmill.operators.nearest import nearest
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -213,10 +214,12 @@ def okapi_topk(questions: DataFrame, records: DataFrame | Corpus, k: int, *, sco
 def cosine_topk(queries: DataFrame, records: DataFrame, k: int | None, *, scope: list[str] = (), order: str = "record_id", descending_ties: bool = False) -> DataFrame:
     """question_id, record_id, score, rank. queries: question_id, query_vector; records: record_id, vector.
 
-    Every query is held against every record of its scope, as the operator asks; queries are the small side, and Spark
-    broadcasts them only below its size limit. k=None keeps all."""
-    pairs = queries.join(records, list(scope)) if scope else queries.crossJoin(records)
-    scored = pairs.withColumn("score", score9(cosine(F.col("query_vector"), F.col("vector")))).drop("query_vector", "vector")
+    With a scope the records of a query are those of its scope (the survivors of an earlier stage), joined by it; without one every query is held against
+    every record, in blocks (`operators.nearest`). k=None keeps all."""
+    if scope:
+        scored = queries.join(records, list(scope)).withColumn("score", score9(cosine(F.col("query_vector"), F.col("vector")))).drop("query_vector", "vector")
+    else:
+        scored = nearest(queries, records, k, order=order, descending_ties=descending_ties)
     return ranked(scored, k, F.desc("score"), F.desc(order) if descending_ties else F.asc(order))
 
 
@@ -243,6 +246,23 @@ def min_max(scored: DataFrame, column: str, out: str, by: str = "question_id") -
     return scored.join(edge, by).withColumn(out, (F.col(column) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1e-6)).drop("_lo", "_hi")
 
 
+def hybrid_search(questions: DataFrame, corpus: Corpus, queries: DataFrame, records: DataFrame, k: int, alpha: float = 0.5) -> DataFrame:
+    """`hybrid_topk` over all records of one corpus, without scoring all pairs by text: question_id, record_id, score, rank.
+
+    questions: question_id, query; queries: question_id, query_vector; records: record_id, vector. Records without a common term all have the text score 0,
+    and a text score never lowers a record, so the first k are among those that share a term and the first k by the vectors' part alone."""
+    hits = _hits(questions, corpus, "query", tokens, False)
+    edge = hits.groupBy("question_id").agg(F.max("score").alias("_hi"), F.min("score").alias("_lo"), F.count("*").alias("_h"))
+    edge = edge.crossJoin(corpus.scopes.select("N")).withColumn("_lo", F.when(F.col("_h") < F.col("N"), 0.0).otherwise(F.col("_lo")))  # one row of figures
+    lexical = hits.join(edge, "question_id").select("question_id", "record_id", ((F.col("score") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1e-6)).alias("lexical"))
+    records = records.join(corpus.documents.select("record_id"), "record_id", "left_semi")
+    queries = queries.join(questions.select("question_id"), "question_id", "left_semi")
+    near = ranked(nearest(queries, records, k, weight=1 - alpha), k, F.desc("score"), F.asc("record_id")).select("question_id", "record_id", F.lit(0.0).alias("lexical"))
+    both = lexical.unionByName(near.join(lexical, ["question_id", "record_id"], "left_anti")).join(queries, "question_id").join(records.select("record_id", "vector"), "record_id")
+    mixed = alpha * F.col("lexical") + (1 - alpha) * score9(cosine(F.col("query_vector"), F.col("vector")))
+    return ranked(both.select("question_id", "record_id", score9(mixed).alias("score")), k, F.desc("score"), F.asc("record_id"))
+
+
 def hybrid_topk(texts: DataFrame, vectors: DataFrame, k: int, alpha: float = 0.5) -> DataFrame:
     """alpha times the scaled text score plus (1 - alpha) times the cosine. Both: question_id, record_id, score."""
     scaled = min_max(texts, "score", "lexical").select("question_id", "record_id", "lexical")

@@ -80,7 +80,10 @@ def _vectors(plan: Plan, stage: Stage) -> DataFrame:
     if encode is None:
         raise ValueError("embedding stages need params['encode'], a function of a text column")
     queries = _asked(plan, stage).select("question_id", encode(F.col("query")).alias("query_vector"))
-    left = plan.candidates.select("question_id", "record_id").join(plan.records.select("record_id", encode(F.col("text")).alias("vector")), "record_id")
+    # Of several questions' candidates each record is encoded once, and no other.
+    texts = plan.records.select("record_id", "text")
+    texts = texts if plan.first else texts.join(plan.candidates.select("record_id").distinct(), "record_id", "left_semi")
+    left = plan.candidates.select("question_id", "record_id").join(texts.select("record_id", encode(F.col("text")).alias("vector")), "record_id")
     return ranking.cosine_topk(queries, left, stage.top_k, scope=["question_id"])
 
 
