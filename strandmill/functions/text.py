@@ -12,9 +12,21 @@ WORD = r"[\p{L}\p{N}_]+"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 
+#: What full case folding makes of a lower-case character, where that is something else; from Python's tables of Unicode.
+FOLDS = {c: c.casefold() for c in map(chr, (*range(0xD800), *range(0xE000, 0x110000))) if c == c.lower() and c != c.casefold()}
+_ONE = {c: to for c, to in FOLDS.items() if len(to) == 1}
+_MORE = {c: to for c, to in FOLDS.items() if len(to) > 1}
+
+
 def fold(text: Column) -> Column:
-    """Case folding: lower case, and ss for ß."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    """Full case folding: lower case, then the characters that fold to others or to several. Texts without such characters, which are
+    nearly all, are only lower-cased."""
+    low = F.lower(text)
+    out = F.translate(low, "".join(_ONE), "".join(_ONE.values()))
+    for c, to in _MORE.items():
+        out = F.replace(out, F.lit(c), F.lit(to))
+    plain = F.replace(low, F.lit("ß"), F.lit("ss"))
+    return F.when(low.rlike(f"[{''.join(c for c in FOLDS if c != 'ß')}]"), out).otherwise(plain)
 
 
 def tokens(text: Column) -> Column:

@@ -9,11 +9,14 @@ to of in for on with at by from as into through during before after above below
 here there when where why how all both each few more most other some such no nor not only own same so than too very just because but
 and or if while about up it its i me my you your he she they we this that these those what which who whom says said speaker
 """.split()
+#: Words that are no keywords by themselves.
 GENERIC = """
 activity anything chat conversation event events experience experiences farewell goodbye happened life meeting people person session
 situation something stuff talk thing things time topic topics work
 """.split()
+#: Fillers.
 FILLERS = "awesome cool definitely glad great hey image let like looks ok okay photo really sounds thank thanks wow yeah yep".split()
+#: Times.
 TIMES = "today tomorrow yesterday tonight morning afternoon evening night week weekend month year daily".split()
 
 #: No keyword holds one of these; of its other words, those in FILTERED don't count.

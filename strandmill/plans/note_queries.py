@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.functions import keywords, metrics, parsers, text
+from strandmill.functions import keywords, metrics, parsers, text, treebank
 from strandmill.functions import vocabulary as V
 from strandmill.operators import analytics, construct, context, graph, ranking, selection
 from strandmill.plans import sqltext as S
@@ -142,13 +142,20 @@ def experiment_answers(spark, sf_dir):
     return rows.select("question_id", "status", "prediction", F.array_join("item_ids", ",").alias("item_ids"), F.col("metrics")["exact_match"].alias("exact_match"), F.round(F.col("metrics")["f1"], 6).alias("f1"), F.get("errors", F.lit(0))["message"].alias("message"))
 
 
-@query("""SELECT * FROM (VALUES ('chunker', 'turn'), ('construction', 'amem'), ('construction', 'turn_rag'), ('context', 'amem'), ('context', 'records'), ('dataset', 'locomo'), ('llm_provider', 'fake'), ('llm_provider', 'ollama'), ('llm_provider', 'openai'),
+_COMPONENTS = """VALUES ('chunker', 'turn'), ('construction', 'amem'), ('construction', 'turn_rag'), ('context', 'amem'), ('context', 'records'), ('dataset', 'locomo'), ('llm_provider', 'fake'), ('llm_provider', 'ollama'), ('llm_provider', 'openai'),
 ('llm_provider', 'sglang'), ('llm_provider', 'vllm'), ('metric', 'bleu1'), ('metric', 'exact_match'), ('metric', 'f1'), ('qa', 'extractive'), ('qa', 'robust'), ('retrieval', 'staged'), ('retrieval_stage', 'bm25'), ('retrieval_stage', 'cross_encoder'),
-('retrieval_stage', 'embedding'), ('retrieval_stage', 'embedding_rerank'), ('retrieval_stage', 'limit'), ('retrieval_stage', 'query_transform')) t(family, name)""")
+('retrieval_stage', 'embedding'), ('retrieval_stage', 'embedding_rerank'), ('retrieval_stage', 'limit'), ('retrieval_stage', 'query_transform')"""
+
+
+@query(f"""WITH c AS (SELECT * FROM ({_COMPONENTS}) t(family, name)), w AS (SELECT w, count(*) AS n FROM (SELECT unnest(list_distinct({S.tokens("coalesce(text, '')")})) AS w FROM documents) GROUP BY w)
+SELECT family, name, coalesce(n, 0)::BIGINT AS documents FROM c LEFT JOIN w ON w = name""")
 def component_names(spark, sf_dir):
+    """The names that experiment files may use, and how many documents mention each."""
     from strandmill.plans.registry import public_names
 
-    return spark.createDataFrame([(family, name) for family, names in public_names().items() for name in names], "family string, name string")
+    names = spark.createDataFrame([(family, name) for family, names in public_names().items() for name in names], "family string, name string")
+    words = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("name"))
+    return names.join(words.groupBy("name").agg(F.count("*").alias("documents")), "name", "left").select("family", "name", F.coalesce("documents", F.lit(0).cast("long")).alias("documents"))
 
 
 # ---- default plans
@@ -285,3 +292,42 @@ def keyword_pruning_simple(spark, sf_dir):
 def ascii_words_filtered(spark, sf_dir):
     found = _turns(spark, sf_dir)[0].select("turn_id", text.ascii_tokens(F.col("text")).alias("t"))
     return found.select("turn_id", F.size("t").cast("long").alias("n"), F.size(F.filter("t", lambda w: w.isin(*sorted(V.FILTERED)))).cast("long").alias("filtered"))
+
+
+# ---- tokens of the Treebank, full folding, notes by one completion
+
+
+@query(f"SELECT doc_id, len(ts)::BIGINT AS n, array_to_string(ts, '|') AS tokens FROM (SELECT doc_id, {treebank.sql('text')} AS ts FROM documents)")
+def treebank_tokens(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", treebank.tokens(F.col("text")).alias("ts"))
+    return rows.select("doc_id", F.size("ts").cast("long").alias("n"), F.array_join("ts", "|").alias("tokens"))
+
+
+#: Characters that the texts get, as the given tables have few that fold to others.
+_ODD = "ŉ ﬁn ὒΐ ſt µ ς ẛ ﬗ ǰ և"
+
+
+def _folded_sql(text: str) -> str:
+    out = f"translate(lower({text}), '{''.join(c for c, to in F_FOLDS if len(to) == 1)}', '{''.join(to for _, to in F_FOLDS if len(to) == 1)}')"
+    for c, to in F_FOLDS:
+        out = f"replace({out}, '{c}', '{to}')" if len(to) > 1 else out
+    return out
+
+
+F_FOLDS = [(c, to) for c, to in text.FOLDS.items() if c in _ODD + "ß"]
+
+
+@query(f"WITH {S.TURNS} SELECT turn_id, {_folded_sql(f"'{_ODD} ' || text")} AS folded FROM turns")
+def folded_texts(spark, sf_dir):
+    """Full case folding of turns, each with some characters before it that fold to others."""
+    return _turns(spark, sf_dir)[0].select("turn_id", text.fold(F.concat(F.lit(f"{_ODD} "), "text")).alias("folded"))
+
+
+@query()
+def schema_memory_fold(spark, sf_dir):
+    """Notes of every conversation by one object for each note, from a model that goes by rules; held against a plain version in the tests."""
+    from strandmill.operators import schema_fold
+    from strandmill.plans.standins import letter_counts, schema_model
+
+    notes = schema_fold.build_notes(_turns(spark, sf_dir)[0], schema_model, lambda: letter_counts, evolution_threshold=3)
+    return notes.select("sample_id", "record_id", "pos", "context", F.array_join("keywords", ",").alias("keywords"), F.array_join("tags", ",").alias("tags"), F.array_join("links", ",").alias("links"), "completions", "error")

@@ -10,7 +10,7 @@ from urllib.parse import parse_qs, quote, urlsplit
 
 from strandmill.plans.index import Index
 
-MOST_ROWS = 500  # of a table on a page; the views have them all
+MOST_ROWS = 500  # of a table on a page, which says how many there are; the views have them all
 
 
 def _table(rows: list[dict[str, Any]]) -> str:
@@ -25,8 +25,10 @@ def _bars(values: dict[str, float]) -> str:
     return "".join(f"<div><span style='display:inline-block;width:{300 * max(v, 0) / most:.0f}px;background:#888'>&nbsp;</span> {escape(k)} {v:.4g}</div>" for k, v in values.items())
 
 
-def _frame(frame) -> list[dict[str, Any]]:
-    return [r.asDict(recursive=True) for r in frame.limit(MOST_ROWS).collect()]
+def _frame(frame) -> str:
+    """The first rows of a view as a table; where there are more, the page says so."""
+    rows = [r.asDict(recursive=True) for r in frame.limit(MOST_ROWS + 1).collect()]
+    return _table(rows[:MOST_ROWS]) + (f"<p>the first {MOST_ROWS} of {frame.count()} rows</p>" if len(rows) > MOST_ROWS else "")
 
 
 def page(index: Index, path: str) -> str:
@@ -39,15 +41,15 @@ def page(index: Index, path: str) -> str:
         seen = index.overview(asked["name"])
         plain = [{"": k, "value": v} for k, v in seen.items() if not isinstance(v, (dict, list))]
         charts = "".join(f"<h3>{escape(k)}</h3>{_bars(v)}" for k, v in {"metrics": seen["metrics"], **seen["taxonomy_breakdown"], "tokens by source": {s: u["total_tokens"] for s, u in seen["usage"].items()}}.items())
-        return f"<h2>{escape(asked['name'])}</h2>{_table(plain)}{charts}<h3>errors</h3>{_table(_frame(index.errors(asked['name'])))}"
+        return f"<h2>{escape(asked['name'])}</h2>{_table(plain)}{charts}<h3>errors</h3>{_frame(index.errors(asked['name']))}"
     if place.path == "/compare":
-        return _table(_frame(index.compare(asked["a"], asked["b"])))
+        return _frame(index.compare(asked["a"], asked["b"]))
     if place.path == "/trace":
         found = index.trace(asked["name"], asked["question"])
         return _table([{"": k, "value": v} for k, v in found.items() if k != "stages"]) + _table(found["stages"])
     if place.path == "/graph":
         parts = index.graph(asked["name"], int(asked.get("run", 0)), asked["sample"])
-        return "".join(f"<h3>{escape(k)}</h3>{_table(_frame(v))}" for k, v in parts.items())
+        return "".join(f"<h3>{escape(k)}</h3>{_frame(v)}" for k, v in parts.items())
     raise KeyError(place.path)
 
 
