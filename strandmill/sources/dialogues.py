@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from strandmill.functions.text import strip
 from strandmill.sources.conversations import CATEGORIES, category_label
+from strandmill.sources.json_array import elements
 
 _TURN = "array<struct<speaker:string,dia_id:string,text:string,blip_caption:string>>"
 _QA = "array<struct<question:string,answer:string,adversarial_answer:string,category:string,evidence:array<string>>>"
@@ -33,10 +34,9 @@ def reference_answer(category: Column, answer: Column, adversarial: Column) -> C
 
 
 def load(spark: SparkSession, path: str, dataset: str = "locomo") -> dict[str, DataFrame]:
-    """samples, turns, questions and taxonomy of a file that is an array of samples. The reader parses it sample by sample, so no row holds the whole file."""
-    rows = spark.read.schema(f"conversation map<string,string>, qa {_QA}").option("mode", "FAILFAST").json(path, multiLine=True)
-    # One file is one partition, so this counts its samples from 0.
-    return parse(spark, rows.withColumn("sample_pos", F.monotonically_increasing_id()), dataset)
+    """samples, turns, questions and taxonomy of a file that is an array of samples. Large files are cut into blocks for many tasks; a row holds one sample."""
+    held = elements(spark, path).select(F.col("pos").alias("sample_pos"), F.from_json("text", f"conversation map<string,string>, qa {_QA}", {"mode": "FAILFAST"}).alias("s"))
+    return parse(spark, held.select("sample_pos", "s.conversation", "s.qa"), dataset)
 
 
 def parse(spark: SparkSession, rows: DataFrame, dataset: str = "locomo") -> dict[str, DataFrame]:
