@@ -44,6 +44,8 @@ GRAM = 12
 BUCKET_WINDOWS = 1_000_000
 GROUP_BYTES = 6 << 20
 SAMPLE_ONE_IN = 64
+#: Buckets of a pass; a pass knows at most four hot minimizers for each.
+PASS_BUCKETS = 1 << 20
 SALT_BYTES = 4 << 30
 SLICE = 2 << 20
 _PLACE_BITS = 24
@@ -193,18 +195,26 @@ def _pieces(part: Slice, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarra
             return
 
 
-def hot_grams(rows: DataFrame, threshold: int, gram: int, limit: int) -> np.ndarray:
-    """Minimizers that would fill over a quarter of a bucket, judged by one document in `SAMPLE_ONE_IN`.
+def in_pass(grams: np.ndarray, k: int, passes: int) -> np.ndarray:
+    """Which minimizers a pass deals with."""
+    return mix(grams ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(passes) == np.uint64(k)
 
-    At most 4 * windows / limit of them can exist, so the list is bounded by the number of buckets."""
+
+def hot_grams(rows: DataFrame, threshold: int, gram: int, limit: int, k: int = 0, passes: int = 1) -> np.ndarray:
+    """Minimizers of a pass that would fill over a quarter of a bucket, judged by one document in `SAMPLE_ONE_IN`.
+
+    At most 4 * windows / limit of them can exist, four for each bucket, and a pass has at most `PASS_BUCKETS`: 32 MB."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, max_bytes=SLICE):
             for data, offsets, _ in _pieces(part, threshold):
                 _, _, count, gram_hash, _ = strings_of(data, offsets, threshold, gram)
+                if passes > 1:
+                    own = in_pass(gram_hash, k, passes)
+                    count, gram_hash = count[own], gram_hash[own]
                 order, parts = cut_up(gram_hash.view(np.int64))
                 total = np.concatenate([[0], np.cumsum(count[order])])
-                keys, n = [k for k, _, _ in parts], [int(total[b] - total[a]) for _, a, b in parts]
+                keys, n = [x for x, _, _ in parts], [int(total[b] - total[a]) for _, a, b in parts]
                 some = np.array(n) > limit / SAMPLE_ONE_IN / 64
                 if some.any():
                     yield pa.record_batch([pa.array(np.array(keys)[some]), pa.array(np.array(n)[some])], names=["gram", "n"])
@@ -221,14 +231,27 @@ def _emit(found: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
 
 
 def repeats(tables: Tables, rows: DataFrame, groups: int, *, threshold: int, gram: int, bucket_windows: int, total: int, salts: int) -> DataFrame:
-    """(bucket: a group of documents, blob: id, variant, start, windows) of the repeated windows. rows: id, variant, text."""
+    """(bucket: a group of documents, blob: id, variant, start, windows) of the repeated windows. rows: id, variant, text.
+
+    Each pass over the texts deals with the windows of some minimizers, so that what is known of hot ones is bounded; up to 1 TB it is one pass."""
     buckets = max(1, -(-total // bucket_windows))
-    hot = hot_grams(rows, threshold, gram, bucket_windows) if buckets > 1 else np.empty(0, np.uint64)
+    passes = -(-buckets // PASS_BUCKETS)
+    parts = [_repeats(tables, rows, groups, threshold=threshold, gram=gram, bucket_windows=bucket_windows, buckets=-(-buckets // passes), salts=salts, k=k, passes=passes) for k in range(passes)]
+    if passes == 1:
+        return parts[0]
+    out, *rest = (tables.put("pass", p) for p in parts)
+    for x in rest:
+        out = out.unionByName(x)
+    return out
+
+
+def _repeats(tables: Tables, rows: DataFrame, groups: int, *, threshold: int, gram: int, bucket_windows: int, buckets: int, salts: int, k: int, passes: int) -> DataFrame:
+    hot = hot_grams(rows, threshold, gram, bucket_windows, k, passes) if buckets * passes > 1 else np.empty(0, np.uint64)
     known = rows.sparkSession.sparkContext.broadcast(hot)
 
     def back(ids: np.ndarray, variant: np.ndarray, start: np.ndarray, count: np.ndarray) -> list[tuple[int, bytes]]:
         order, parts = cut_up(group_of(ids, variant, groups))
-        return [(k, pack([ids[o], variant[o], start[o], count[o]])) for k, a, b in parts for o in [order[a:b]]]
+        return [(group, pack([ids[o], variant[o], start[o], count[o]])) for group, a, b in parts for o in [order[a:b]]]
 
     def spread_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         warm, task = known.value, TaskContext.get()
@@ -237,6 +260,9 @@ def repeats(tables: Tables, rows: DataFrame, groups: int, *, threshold: int, gra
             names, kinds = np.asarray(part.column("id")), np.asarray(part.column("variant"))
             for data, offsets, base in _pieces(part, threshold):
                 owner, start, count, grams, prefix = strings_of(data, offsets, threshold, gram)
+                if passes > 1:
+                    own = in_pass(grams, k, passes)
+                    owner, start, count, grams = owner[own], start[own], count[own], grams[own]
                 if not len(owner):
                     continue
                 length = count + threshold - 1
@@ -245,7 +271,7 @@ def repeats(tables: Tables, rows: DataFrame, groups: int, *, threshold: int, gra
                 settled = np.flatnonzero(whole)
                 if len(settled):
                     of = owner[settled]
-                    yield from _emit([(k, -1, b) for k, b in back(names[of], kinds[of], start[settled] + base - part.offsets[of], count[settled])])
+                    yield from _emit([(group, -1, b) for group, b in back(names[of], kinds[of], start[settled] + base - part.offsets[of], count[settled])])
                 start, count, grams, length, owner = (x[~whole] for x in (start, count, grams, length, owner))
                 bucket = (mix(grams) % np.uint64(buckets)).astype(np.int64)
                 cold = len(owner)
@@ -265,8 +291,8 @@ def repeats(tables: Tables, rows: DataFrame, groups: int, *, threshold: int, gra
                 ids, variant, place = names[owner], kinds[owner], start + base - part.offsets[owner]
                 strings = gather(data, start, count + threshold - 1)
                 ends = np.concatenate([[0], np.cumsum(count + threshold - 1)])
-                for k in range(0, len(parts), 512):
-                    yield from _emit([(of, salt if of >= buckets else 0, pack([ids[a:b], variant[a:b], place[a:b], count[a:b]], strings[ends[a] : ends[b]])) for of, a, b in parts[k : k + 512]])
+                for at in range(0, len(parts), 512):
+                    yield from _emit([(of, salt if of >= buckets else 0, pack([ids[a:b], variant[a:b], place[a:b], count[a:b]], strings[ends[a] : ends[b]])) for of, a, b in parts[at : at + 512]])
         trim()
 
     def settle(key: tuple, table: pa.Table, last: bool) -> pa.Table:

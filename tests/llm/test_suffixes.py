@@ -94,3 +94,12 @@ def test_cut_keeps_columns_and_drops_what_is_wholly_repeated(docs, none):
     assert found.columns == docs.columns and found.where("doc_id IS NULL").count() == 1
     assert found.where("doc_id = 6").count() == 0 and found.where("doc_id = 5").count() == 1 and found.where("doc_id = 1").count() == 1
     assert suffixes.cut(none).count() == 0 and suffixes.spans(none).count() == 0
+
+
+@pytest.mark.parametrize("salts", [1, 3])
+def test_passes_do_not_change_results(docs, nasty_rows, monkeypatch, salts):
+    """Minimizers dealt with in several passes over the texts."""
+    monkeypatch.setattr(suffixes, "SAMPLE_ONE_IN", 1)
+    monkeypatch.setattr(suffixes, "PASS_BUCKETS", 40)
+    found = suffixes.spans(docs, bucket_windows=300, salts=salts).select("doc_id", "n_bytes", F.sha2("kept", 256))
+    assert sorted(((a, b, d) for a, b, _, d in brute([(r[0], r[1]) for r in nasty_rows], 50)), key=str) == sorted((tuple(r) for r in found.collect()), key=str)
