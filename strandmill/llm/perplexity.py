@@ -33,12 +33,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strandmill.llm.packing import cut_up, pack, summed, tree_rounds, tree_sum, unpack
 from strandmill.llm.shared import Tables, partitions_of
 from strandmill.llm.textarrays import Slice, mix, slices, trim
 
 ORDER = 5
+#: Bins of a unit of the logarithm for exact quantiles, and finer bins of each.
+_BINS, _FINER = 64, 4096
 QUANTILE = 0.99
 FOLDS = 2  # fold 0 of the trusted texts sets the limits, the others train
 PEAK = 6  # 5-grams of a window: ten bytes, about a word and its edges
@@ -353,6 +356,29 @@ def perplexities(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id",
     return packed.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(score, schema)
 
 
+def exact_quantile(values: DataFrame, quantile: float) -> DataFrame:
+    """l, limit, n: of each l the least value that so large a part of its values does not exceed, at any size. values: l, v (above 0).
+
+    Values are counted in bins of their logarithm, then the bin that holds the rank in finer ones, and only the values of the last bin are ranked themselves."""
+    at = values.withColumn("_log", F.log("v") * _BINS)
+    picked: DataFrame | None = None
+    for bin_ in (F.floor("_log"), F.floor((F.col("_log") - F.floor("_log")) * _FINER), F.col("v")):
+        keyed = at.withColumn("_bin", bin_)
+        if picked is not None:
+            keyed = keyed.join(picked, "l")
+        keep = ["l"] + (["rank"] if picked is not None else [])
+        counts = keyed.groupBy(*keep, "_bin").agg(F.count("*").alias("c"))
+        whole, so_far = Window.partitionBy("l"), Window.partitionBy("l").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+        counts = counts.withColumns({"n": F.sum("c").over(whole), "upto": F.sum("c").over(so_far)})
+        rank = F.col("rank") if picked is not None else F.greatest(F.ceil(F.lit(quantile) * F.col("n")), F.lit(1))
+        found = counts.withColumn("rank", rank).where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("c") < F.col("rank")))
+        sizes = found.select("l", "n") if picked is None else sizes
+        picked = found.select("l", "_bin", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"))
+        at = keyed.drop("rank").join(picked.drop("rank"), ["l", "_bin"]).drop("_bin")
+        last, picked = picked, picked.drop("_bin")
+    return last.select("l", F.col("_bin").alias("limit")).join(sizes, "l")
+
+
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, n_grams, perplexity, peak, limit, peak_limit and kept. labels: doc_id, quality, toxic; trusted are those of quality 1 that aren't toxic."""
     ids = labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_trusted")).distinct()
@@ -365,10 +391,10 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     trusted = likely(docs, train, id_col, text_col).join(train.hint("merge"), F.col("doc_id") == F.col("_trusted"), "left_semi")
     tables = Tables(docs.sparkSession, "classify")
     scored = tables.put("scored", perplexities(docs, trusted, id_col=id_col, text_col=text_col, lang_col=lang_col))
-    known = scored.join(held, F.col("doc_id") == F.col("_trusted"), "left_semi").where("perplexity IS NOT NULL")
-    limit, peak = (F.percentile_approx(c, quantile, 10000) for c in ("perplexity", "peak"))
-    by_lang = tables.put("limits", known.groupBy(F.col("lang").alias("l")).agg(limit.alias("own"), peak.alias("own_peak"), F.count("*").alias("n")).where(F.col("n") >= FEWEST).select("l", "own", "own_peak"))
-    overall = known.agg(limit.alias("all"), peak.alias("all_peak")).first()
+    known = tables.put("known", scored.join(held, F.col("doc_id") == F.col("_trusted"), "left_semi").where("perplexity IS NOT NULL").select(F.col("lang").alias("l"), "perplexity", "peak"))
+    limit, peak = (exact_quantile(known.where("l IS NOT NULL").select("l", F.col(c).alias("v")), quantile) for c in ("perplexity", "peak"))
+    by_lang = tables.put("limits", limit.where(F.col("n") >= FEWEST).select("l", F.col("limit").alias("own")).join(peak.select("l", F.col("limit").alias("own_peak")), "l"))
+    overall = {name: (exact_quantile(known.select(F.lit("").alias("l"), F.col(c).alias("v")), quantile).first() or {"limit": None})["limit"] for name, c in (("all", "perplexity"), ("all_peak", "peak"))}
     out = scored.join(by_lang, F.col("lang") == F.col("l"), "left")
     limits, tops = F.coalesce("own", F.lit(overall["all"]).cast("double")), F.coalesce("own_peak", F.lit(overall["all_peak"]).cast("double"))
     within = (F.col("perplexity") <= limits) & (F.col("peak") <= tops)

@@ -232,3 +232,14 @@ def test_peaks_equal_plain_windows():
     for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
         plain = max((cost[j : j + w].mean() / perplexity.SCALE for j in range(a, b - w + 1)), default=mean[k])
         assert abs(found[k] - plain) < 1e-9
+
+
+def test_exact_quantiles(spark):
+    """Of many values, ties among them, spread over bins or all in one; the rank is exact whatever the size."""
+    rng = random.Random(12)
+    groups = {"a": [math.exp(rng.uniform(0, 9)) for _ in range(30_000)], "b": [3.0 + k * 1e-9 for k in range(12_000)], "c": [5.0] * 500 + [7.0], "d": [2.0], "e": [rng.choice([1.0, 1.5, 2.5]) for _ in range(999)]}
+    frame = spark.createDataFrame([(g, v) for g, values in groups.items() for v in values], "l string, v double").repartition(5)
+    for q in (0.5, 0.99, 1.0, 0.001):
+        found = {r["l"]: (r["limit"], r["n"]) for r in perplexity.exact_quantile(frame, q).collect()}
+        assert found == {g: (sorted(v)[max(math.ceil(q * len(v)) - 1, 0)], len(v)) for g, v in groups.items()}
+    assert perplexity.exact_quantile(frame.limit(0), 0.5).collect() == []
