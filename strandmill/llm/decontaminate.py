@@ -24,8 +24,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strandmill.llm.shared import Tables
 from strandmill.llm.textarrays import ALNUM, LOWER, Slice, Words, covered, runs, slices, text_arrays, windows_of, words_of
@@ -154,19 +155,19 @@ class Blocks:
 
             parts.append(tables.put("found", keyed.mapInArrow(run, FOUND).distinct()))
             block.destroy()
+        if len(parts) == 1:  # one row for each text, its spans apart
+            return parts[0]
         both = parts[0]
         for x in parts[1:]:
             both = both.unionByName(x)
-        # At most one row a block and text comes together.
-        each = both.groupBy("key").agg(F.array_sort(F.flatten(F.collect_list(F.arrays_zip(F.col("span_start").alias("a"), F.col("span_end").alias("b"))))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        nothing = F.filter("s", lambda x: F.lit(False))
-
-        def join(done: Column, x: Column) -> Column:
-            last = F.element_at(done, -1)
-            touching = (F.size(done) > 0) & (F.get(done, F.size(done) - 1)["b"] >= x["a"])
-            return F.when(touching, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], x["b"]).alias("b"))))).otherwise(F.array_append(done, x))
-
-        merged = each.withColumn("s", F.aggregate("s", nothing, join))
+        # At most one row a block and text comes together. A span is a new one if it starts behind all before it.
+        items = both.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        spans = both.select("key", F.explode(F.arrays_zip(F.col("span_start").alias("a"), F.col("span_end").alias("b"))).alias("x")).select("key", "x.a", "x.b")
+        before = Window.partitionBy("key").orderBy("a", "b")
+        spans = spans.withColumn("last", F.max("b").over(before.rowsBetween(Window.unboundedPreceding, -1)))
+        spans = spans.withColumn("n", F.count_if(F.col("last").isNull() | (F.col("a") > F.col("last"))).over(before.rowsBetween(Window.unboundedPreceding, 0)))
+        spans = spans.groupBy("key", "n").agg(F.min("a").alias("a"), F.max("b").alias("b")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("s"))
+        merged = spans.join(items, "key")
         return merged.select("key", F.transform("s", lambda x: x["a"]).alias("span_start"), F.transform("s", lambda x: x["b"]).alias("span_end"), "items")
 
 
