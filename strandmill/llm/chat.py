@@ -25,6 +25,7 @@ from pyspark.sql.window import Window
 from strandmill.llm.shared import Tables, partitions_of
 
 PART_TURNS = 256
+PARTS_TOGETHER = 64
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
@@ -52,7 +53,11 @@ def rotate(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn
     rows = turns.select(F.col(conv_col).alias("conv_id"), F.coalesce(F.col(turn_col).cast("long"), F.lit(-1)).alias("turn"), F.col(role_col).alias("role"), plain(F.coalesce(F.col(text_col), F.lit(""))).alias("text")).where("conv_id IS NOT NULL")
     parts = placed(rows).withColumn("part", F.floor(F.col("at") / part_turns).cast("long")).groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("at", "text", "role"))).alias("all"))
     speakers = rows.where("role IS NOT NULL AND role <> 'system'").select("conv_id", F.col("role").alias("speaker")).distinct()
-    both = parts.join(speakers, "conv_id")
+    # Some parts of a dialogue at a time meet its speakers, so a long dialogue is no single key.
+    size = rows.groupBy("conv_id").agg(F.count("*").alias("size"))
+    last = F.floor((F.col("size") - 1) / (part_turns * PARTS_TOGETHER)).cast("long")
+    speakers = speakers.join(size, "conv_id").select("conv_id", "speaker", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"))
+    both = parts.withColumn("block", F.floor(F.col("part") / PARTS_TOGETHER).cast("long")).join(speakers, ["conv_id", "block"])
 
     def head(t: Column) -> Column:
         name = F.when(t["role"] == F.col("speaker"), F.lit("assistant")).when(t["role"] == "system", F.lit("system")).otherwise(F.concat(F.lit("user name="), F.translate(plain(F.coalesce(t["role"], F.lit("unknown"))), "\r\n", "  ")))

@@ -28,3 +28,16 @@ def test_all_operators_and_the_pipeline():
 
     names = list(__spark_entry__.queries())
     assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14)) and "pipeline" in names
+
+
+def test_long_dialogues_meet_their_speakers_in_blocks(spark, monkeypatch):
+    """The same rows, however many parts meet the speakers together."""
+    from strandmill.llm import chat
+
+    rows = [("a", k, ["user", "assistant", "system", None][k % 4], f"t{k}") for k in range(203)] + [("b", 0, "user", "x")] * 9 + [("c", 0, "system", "only")] + [(None, 1, "user", "y")]
+    frame = spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")
+    found = []
+    for together in (1, 3, 64):
+        monkeypatch.setattr(chat, "PARTS_TOGETHER", together)
+        found.append(sorted(map(str, chat.rotate(frame, part_turns=4).collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 2 * 51 + 3
