@@ -6,10 +6,12 @@ from collections import Counter
 
 import pytest
 
-from strandmill.functions import parsers, porter
+from strandmill.functions import porter
+from strandmill.functions import vocabulary as V
 from strandmill.operators import construct
 from strandmill.plans import catalogue
 from tests.conftest import TINY
+from tests.test_notes_again import plain_prune
 
 
 def okapi_order(documents, query):
@@ -27,12 +29,21 @@ def okapi_order(documents, query):
     return sorted(range(n), key=lambda k: (-round(scores[k], 9), k))
 
 
+def plain_guess(body):
+    """Words of three letters and more that count as keywords: capitalised ones first, at most five."""
+    found = [w for w in dict.fromkeys(w.lower() for w in re.findall(r"\b[a-zA-Z]{3,}\b", body)) if w not in V.FILTERED and not w.endswith("says")]
+    written = {}
+    for w in re.findall(r"\b[a-zA-Z]{3,}\b", body):
+        written.setdefault(w.lower(), w)
+    return ([w for w in found if written[w][0].isupper()] + [w for w in found if not written[w][0].isupper()])[:5]
+
+
 def plain_fold(turns):
     """Notes of one conversation. turns: (id, text) in order. What the rule model says is worked out here, not parsed."""
     notes, documents = [], []
     for turn_id, body in turns:
         said = sorted(set(re.findall(r"[a-z]{4,}", body.lower())))[:4]
-        kept = parsers.prune(body, said, "nltk") or parsers.prune(body, parsers.guessed_keywords(body), "nltk")
+        kept = plain_prune(body, said) or plain_prune(body, plain_guess(body))
         calls = 1 + (not kept)
         note = {"id": turn_id, "text": body, "keywords": kept, "context": f"about {' '.join(said[:2])}".strip(), "tags": said[:2] or kept[:3], "links": []}
         near = okapi_order(documents, body)[:5] if notes else []
