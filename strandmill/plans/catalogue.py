@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandmill.functions import metrics, text, vectors
+from strandmill.functions import metrics, text
 from strandmill.operators import analytics, context, graph, ranking, selection
 from strandmill.plans import sqltext as S
 from strandmill.plans.stages import Stage, retrieve, stage_counts, traces
@@ -700,4 +700,4 @@ def porter_stems(spark, sf_dir):
     return words.select("word", keywords.stemmed(F.col("word")).alias("stem"))
 
 
-from strandmill.plans import note_queries  # noqa: E402, F401  registers its queries too
+from strandmill.plans import note_queries, run_queries  # noqa: E402, F401  register their queries too

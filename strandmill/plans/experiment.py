@@ -86,9 +86,11 @@ class Work:
 
     def put(self, name: str, frame: DataFrame, by: Iterable[str] = ()) -> DataFrame:
         self.count += 1
-        path = str(self.place / f"{name}-{self.count}")
-        frame.write.partitionBy(*by).parquet(path)
-        return frame.sparkSession.read.schema(frame.schema).parquet(path)
+        path = self.place / f"{name}-{self.count}"
+        frame.write.partitionBy(*by).parquet(str(path))
+        out = frame.sparkSession.read.schema(frame.schema).parquet(str(path))
+        out._place = path
+        return out
 
     def __enter__(self) -> Work:
         return self
@@ -184,7 +186,8 @@ class Runner:
             added = new["records"]
         index.append(added.select("sample_id", "record_id", "text"))
         for name, frame in new.items():
-            self.out.write(name, frame, run)
+            frame._place.move(self.out.table(name, run))
+        new = {name: self.out.read(self.spark, name, run) for name in ("status", "records")}
         lost = new["status"].where("error IS NOT NULL").select(F.lit("construction").alias("stage"), "sample_id", F.lit(None).cast("string").alias("question_id"), *_kind_and_message(F.col("error")), F.lit(True).alias("retryable"))
         self.out.write("construction_errors", lost, run)
         self.out.write("construction_usage", new["records"].where("usage IS NOT NULL").select("sample_id", F.explode("usage").alias("u")).select("sample_id", "u.*"), run)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from pathlib import Path
@@ -70,7 +71,9 @@ class Place:
         aside.move(self)
 
     def sha256(self) -> str:
-        """Of a file's bytes, read as a stream where they are."""
+        """Of a file's bytes, read as a stream where they are; of a folder, of the names and digests in it."""
+        if self.fs.getFileStatus(self.path).isDirectory():
+            return hashlib.sha256("\n".join(f"{n} {(self / n).sha256()}" for n in self.children()).encode()).hexdigest()
         stream = self.fs.open(self.path)
         try:
             return self.spark._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)

@@ -99,7 +99,7 @@ def _effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def elements(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, text) of every object in the arrays of the files of a path, numbered from 0 in the order of the files' names and their places there. A file may be one object, too.
+    """(pos, text) of every object in the arrays of the files of a path, numbered from 0 in the order of the files' names and their places there. A file may be one object, too, or several one after the other.
     A file that ends inside an element is an error; an empty one has none."""
     read = spark.read.option("lineSep", "}").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
     starts: dict[str, dict[int, tuple[bool, int, int, int]]] = {}
