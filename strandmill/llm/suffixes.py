@@ -17,7 +17,9 @@ document left is not looked at again.
    and the order is that of the bytes. Nothing is left to compare after the last pass.
 3. Repeated windows go back to their documents, whose bytes are cut.
 
-A bucket holds about `BUCKET_WINDOWS` windows whatever the size of the corpus: their number grows with it.
+A bucket holds about `BUCKET_WINDOWS` windows whatever the size of the corpus: their number grows with it. A slice sends one blob to each
+shelf, which is up to `SHELF` neighbouring buckets that one task settles one after the other: a blob for each bucket would be as many as slices
+times buckets, so that most of the time went into ever smaller blobs.
 
 Defined results: a null text is empty; texts of fewer than 50 bytes lose nothing; rows of one id don't
 cut each other, and rows that are repeated get the same result; ids may be any long; rows with a null id are neither
@@ -47,11 +49,13 @@ SAMPLE_ONE_IN = 64
 #: Buckets of a pass; a pass knows at most four hot minimizers for each.
 PASS_BUCKETS = 1 << 20
 SALT_BYTES = 4 << 30
+#: Buckets of a shelf at most, and how many shelves there are before they get wider.
+SHELF, SHELVES = 16, 64
 SLICE = 2 << 20
 _PLACE_BITS = 24
 _PIECE = 1 << 23
 
-DEALT = "bucket long, salt long, blob binary"  # salt -1: settled, the bucket is a group of documents
+DEALT = "bucket long, salt long, blob binary"  # a shelf of buckets; salt -1: settled, the bucket is a group of documents
 SETTLED = "done boolean, bucket long, blob binary"
 
 
@@ -224,6 +228,11 @@ def hot_grams(rows: DataFrame, threshold: int, gram: int, limit: int, k: int = 0
     return np.sort(np.array([r["gram"] for r in found.collect()], np.int64).view(np.uint64))
 
 
+def shelf_width(buckets: int) -> int:
+    """How many buckets travel together."""
+    return min(max(buckets // SHELVES, 1), SHELF)
+
+
 def _emit(found: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
     for k in range(0, len(found), 512):
         some = found[k : k + 512]
@@ -247,7 +256,8 @@ def repeats(tables: Tables, rows: DataFrame, groups: int, *, threshold: int, gra
 
 def _repeats(tables: Tables, rows: DataFrame, groups: int, *, threshold: int, gram: int, bucket_windows: int, buckets: int, salts: int, k: int, passes: int) -> DataFrame:
     hot = hot_grams(rows, threshold, gram, bucket_windows, k, passes) if buckets * passes > 1 else np.empty(0, np.uint64)
-    known = rows.sparkSession.sparkContext.broadcast(hot)
+    known, wide = rows.sparkSession.sparkContext.broadcast(hot), shelf_width(buckets)
+    shelves = -(-buckets // wide)
 
     def back(ids: np.ndarray, variant: np.ndarray, start: np.ndarray, count: np.ndarray) -> list[tuple[int, bytes]]:
         order, parts = cut_up(group_of(ids, variant, groups))
@@ -283,46 +293,65 @@ def _repeats(tables: Tables, rows: DataFrame, groups: int, *, threshold: int, gr
                         each = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[is_hot], n)
                         alone = (mix(span_hash(prefix, each, each + threshold)) % np.uint64(buckets)).astype(np.int64)
                         owner = np.concatenate([owner[~is_hot], np.repeat(owner[is_hot], n)])
-                        bucket = np.concatenate([bucket[~is_hot], alone + buckets])
+                        bucket = np.concatenate([bucket[~is_hot], alone + shelves * wide])
                         start = np.concatenate([start[~is_hot], each])
                         count = np.concatenate([count[~is_hot], np.ones(len(each), np.int64)])
-                order, parts = cut_up(bucket)
-                owner, start, count = owner[order], start[order], count[order]
+                order, _ = cut_up(bucket)
+                bucket, owner, start, count = bucket[order], owner[order], start[order], count[order]
+                _, parts = cut_up(bucket // wide)
                 ids, variant, place = names[owner], kinds[owner], start + base - part.offsets[owner]
                 strings = gather(data, start, count + threshold - 1)
                 ends = np.concatenate([[0], np.cumsum(count + threshold - 1)])
                 for at in range(0, len(parts), 512):
-                    yield from _emit([(of, salt if of >= buckets else 0, pack([ids[a:b], variant[a:b], place[a:b], count[a:b]], strings[ends[a] : ends[b]])) for of, a, b in parts[at : at + 512]])
+                    yield from _emit([(of, salt if of >= shelves else 0, pack([ids[a:b], variant[a:b], place[a:b], count[a:b], bucket[a:b] % wide], strings[ends[a] : ends[b]])) for of, a, b in parts[at : at + 512]])
         trim()
 
+    def in_bucket(ids: np.ndarray, variant: np.ndarray, place: np.ndarray, count: np.ndarray, data: np.ndarray, part: bool) -> tuple[list, list]:
+        """The repeated windows among a bucket's strings, as columns of `back`, and the columns and bytes of the strings that a part of a hot bucket leaves open."""
+        length = count + threshold - 1
+        begin = np.cumsum(length) - length
+        whole = standing_whole(prefix_hash(data), data, ids, begin, length)
+        found = [(ids[whole], variant[whole], place[whole], count[whole])]
+        ids, variant, place, count, begin = (x[~whole] for x in (ids, variant, place, count, begin))
+        first = np.cumsum(count) - count
+        windows = np.arange(int(count.sum())) + np.repeat(begin - first, count)
+        flags = repeated_windows(data, windows, np.repeat(ids, count), threshold)
+        # A run of flags ends with its string.
+        fresh = np.zeros(len(flags) + 1, bool)
+        fresh[first] = fresh[-1] = True
+        a = np.flatnonzero(flags & (fresh[:-1] | ~np.concatenate([[False], flags[:-1]])))
+        b = np.flatnonzero(flags & (fresh[1:] | ~np.concatenate([flags[1:], [False]]))) + 1
+        of = np.searchsorted(first, a, "right") - 1
+        found.append((ids[of], variant[of], place[of] + a - first[of], b - a))
+        if not part:
+            return found, []
+        open_ = np.flatnonzero(~flags)  # their strings are one window each
+        return found, [ids[open_], variant[open_], place[open_], count[open_], gather(data, begin[open_], count[open_] + threshold - 1)]
+
     def settle(key: tuple, table: pa.Table, last: bool) -> pa.Table:
         blobs, left = table.column("blob").to_pylist(), []
         if key[1].as_py() < 0:
             found = [(key[0].as_py(), b) for b in blobs]
         else:
+            part, repeated, open_ = not last and key[1].as_py() > 0, [], []
             parts = [unpack(b) for b in blobs]
-            ids, variant, place, count = (np.concatenate([p[0][k] for p in parts]) for k in range(4))
-            data = np.concatenate([p[1] for p in parts])
-            del parts
-            length = count + threshold - 1
-            begin = np.cumsum(length) - length
-            whole = standing_whole(prefix_hash(data), data, ids, begin, length)
-            found = back(ids[whole], variant[whole], place[whole], count[whole])
-            ids, variant, place, count, begin = (x[~whole] for x in (ids, variant, place, count, begin))
-            first = np.cumsum(count) - count
-            windows = np.arange(int(count.sum())) + np.repeat(begin - first, count)
-            flags = repeated_windows(data, windows, np.repeat(ids, count), threshold)
-            # A run of flags ends with its string.
-            fresh = np.zeros(len(flags) + 1, bool)
-            fresh[first] = fresh[-1] = True
-            a = np.flatnonzero(flags & (fresh[:-1] | ~np.concatenate([[False], flags[:-1]])))
-            b = np.flatnonzero(flags & (fresh[1:] | ~np.concatenate([flags[1:], [False]]))) + 1
-            of = np.searchsorted(first, a, "right") - 1
-            found += back(ids[of], variant[of], place[of] + a - first[of], b - a)
-            if not last and key[1].as_py() > 0:  # a part of a hot bucket, whose strings are one window each
-                open_ = np.flatnonzero(~flags)
-                left = [(key[0].as_py(), pack([ids[open_], variant[open_], place[open_], count[open_]], gather(data, begin[open_], count[open_] + threshold - 1)))]
-            del data, windows, flags
+            del blobs
+            # Strings lie in the order of their buckets within each blob, so a bucket's are one run of its columns and bytes.
+            cuts = [np.searchsorted(p[0][4], np.arange(wide + 1)) for p in parts]
+            ends = [np.concatenate([[0], np.cumsum(p[0][3] + threshold - 1)]) for p in parts]
+            for bucket in range(wide):
+                runs_ = [(p, c[bucket], c[bucket + 1], e) for p, c, e in zip(parts, cuts, ends, strict=True) if c[bucket] < c[bucket + 1]]
+                if not runs_:
+                    continue
+                columns = [np.concatenate([p[0][k][a:b] for p, a, b, _ in runs_]) for k in range(4)]
+                some, rest = in_bucket(*columns, np.concatenate([p[1][e[a] : e[b]] for p, a, b, e in runs_]), part)
+                repeated += some
+                if rest:
+                    open_.append((*rest[:4], np.full(len(rest[0]), bucket), rest[4]))
+            found = back(*(np.concatenate([x[k] for x in repeated]) for k in range(4))) if repeated else []
+            if open_:
+                left = [(key[0].as_py(), pack([np.concatenate([x[k] for x in open_]) for k in range(5)], np.concatenate([x[5] for x in open_])))]
+            del parts, cuts, ends, repeated, open_
             trim()
         rows = [(True, *x) for x in found] + [(False, *x) for x in left]
         return pa.table([pa.array([x[0] for x in rows], pa.bool_()), pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.binary())], names=["done", "bucket", "blob"])

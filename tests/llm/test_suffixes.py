@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandmill.llm import suffixes
+from strandmill.llm import shared, suffixes
 from tests.llm.conftest import prose
 
 
@@ -103,3 +103,20 @@ def test_passes_do_not_change_results(docs, nasty_rows, monkeypatch, salts):
     monkeypatch.setattr(suffixes, "PASS_BUCKETS", 40)
     found = suffixes.spans(docs, bucket_windows=300, salts=salts).select("doc_id", "n_bytes", F.sha2("kept", 256))
     assert sorted(((a, b, d) for a, b, _, d in brute([(r[0], r[1]) for r in nasty_rows], 50)), key=str) == sorted((tuple(r) for r in found.collect()), key=str)
+
+
+def test_blobs_do_not_grow_as_slices_times_buckets(spark):
+    """Neighbouring buckets travel together and are settled together: what goes back is one blob for each shelf and group of documents."""
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(list("abcdefgh"), 9)) for _ in range(400)]
+    texts = [" ".join(rng.choice(words[i % 40 * 10 : i % 40 * 10 + 20], 90)) for i in range(300)]
+    texts += [texts[i][20:300] + str(i) for i in range(0, 300, 3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").selectExpr("id", "0L AS variant", "text").repartition(4)
+    total, groups, window = sum(map(len, texts)), 3, 600
+    buckets = -(-total // window)
+    assert buckets > 4 * suffixes.SHELVES
+    with shared.scratch(spark):
+        found = suffixes.repeats(shared.Tables(spark, "suffixes"), docs, groups, threshold=50, gram=12, bucket_windows=window, total=total, salts=1)
+        n = found.where("bucket >= 0").count()
+    shelves = -(-buckets // suffixes.shelf_width(buckets))
+    assert 0 < n <= groups * (2 * shelves + 4)  # cold and hot shelves, and what the four tasks settle at once
