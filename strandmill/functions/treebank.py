@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strandmill.functions.text import let
+
 #: The script's rewritings, in its order.
 RULES = (
     (r'^"', "`` "), (r'([ (\[{<])"', r"\1 `` "),
@@ -23,12 +25,29 @@ RULES = (
 )
 
 
+#: What a text has to hold for a rule to change it, where that is quicker to look for than the rule's pattern.
+NEEDED = {
+    r'^"': '"', r'([ (\[{<])"': '"', r"\.\.\.": "...", r"([^.])(\.)([\])}>\"']*)[ \t]*$": ".", r"([^'])' ": "' ", r"'([sSmMdD]) ": "'", r" ([Cc])annot ": "annot ", r" ([Dd])'ye ": "'ye ", r" ([Gg])imme ": "imme ",
+    r" ([Gg])onna ": "onna ", r" ([Gg])otta ": "otta ", r" ([Ll])emme ": "emme ", r" ([Mm])ore'n ": "ore'n ", r" '([Tt])is ": "is ", r" '([Tt])was ": "was ", r" ([Ww])anna ": "anna ",
+}
+
+
+def _ruled(out: Column, pattern: str, to: str) -> Column:
+    if pattern in "^$":
+        return F.concat(F.lit(to), out) if pattern == "^" else F.concat(out, F.lit(to))
+    if pattern == '"' or pattern.strip("'-lreventLREVENT ") == "":  # no sign of a pattern
+        return F.replace(out, F.lit(pattern), F.lit(to))
+    # Java refers to a group by $, which is a plain sign in the script's replacements.
+    change = lambda x: F.regexp_replace(x, pattern, to.replace("$", r"\$").replace(r"\1", "$1").replace(r"\2", "$2").replace(r"\3", "$3"))
+    need = NEEDED.get(pattern)
+    return change(out) if need is None else let(out, lambda x: F.when(F.contains(x, F.lit(need)), change(x)).otherwise(x))
+
+
 def tokens(text: Column) -> Column:
     """The tokens of a text; null and blank texts have none. Line breaks are blanks."""
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\r\n]", " ")
+    out = F.translate(F.coalesce(text, F.lit("")), "\r\n", "  ")
     for pattern, to in RULES:
-        # Java refers to a group by $, which is a plain sign in the script's replacements.
-        out = F.regexp_replace(out, pattern, to.replace("$", r"\$").replace(r"\1", "$1").replace(r"\2", "$2").replace(r"\3", "$3"))
+        out = _ruled(out, pattern, to)
     return F.filter(F.split(out, "[ \t]+"), lambda x: x != "")
 
 

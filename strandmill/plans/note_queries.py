@@ -154,7 +154,9 @@ def component_names(spark, sf_dir):
     from strandmill.plans.registry import public_names
 
     names = spark.createDataFrame([(family, name) for family, names in public_names().items() for name in names], "family string, name string")
-    words = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("name"))
+    # Only words that are names leave a row, so a text's other words are neither sorted nor shuffled; explode_outer, as explode would tokenise once more.
+    known = F.array(*(F.lit(name) for name in sorted({name for found in public_names().values() for name in found})))
+    words = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode_outer(F.array_intersect(text.tokens(F.col("text")), known)).alias("name")).where("name IS NOT NULL")
     return names.join(words.groupBy("name").agg(F.count("*").alias("documents")), "name", "left").select("family", "name", F.coalesce("documents", F.lit(0).cast("long")).alias("documents"))
 
 
