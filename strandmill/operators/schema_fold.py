@@ -15,11 +15,10 @@ from collections.abc import Callable
 from typing import Any
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
 from strandmill.functions import parsers
-from strandmill.operators.construct import NEIGHBOURS, NOTE_SCHEMA, Note
+from strandmill.operators.construct import NEIGHBOURS, Note, by_sample
 
 _TEXT, _TEXTS = {"type": "string"}, {"type": "array", "items": {"type": "string"}}
 
@@ -71,19 +70,35 @@ class Vectors:
     """The nearest of growing documents by cosine, all held against the query; ties go to the later one."""
 
     def __init__(self, encode: Encode):
-        self.encode, self.units = encode, []
+        self.encode, self.texts, self.units = encode, [], np.empty((0, 0))
 
     def _unit(self, text: str) -> np.ndarray:
         v = np.asarray(self.encode([text])[0], np.float64)
         return v / (np.linalg.norm(v) or 1.0)
 
     def add(self, text: str) -> None:
-        self.units.append(self._unit(text))
+        self._put(len(self.texts), text)
+
+    def _put(self, place: int, text: str) -> None:
+        unit = self._unit(text)
+        if place >= len(self.units):  # room for twice as many
+            grown = np.zeros((2 * place + 8, len(unit)))
+            if place:
+                grown[:place] = self.units[:place]
+            self.units = grown
+        self.units[place] = unit
+        self.texts[place : place + 1] = [text]
+
+    def again(self, texts: list[str]) -> None:
+        """All documents anew: those whose text has changed are encoded again."""
+        for place, text in enumerate(texts):
+            if place >= len(self.texts) or self.texts[place] != text:
+                self._put(place, text)
 
     def search(self, text: str, k: int) -> list[int]:
-        if k < 1 or not self.units:
+        if k < 1 or not self.texts:
             return []
-        near = np.round(np.stack(self.units) @ self._unit(text), 9)
+        near = np.round(self.units[: len(self.texts)] @ self._unit(text), 9)
         return np.argsort(near, kind="stable")[::-1][:k].tolist()
 
 
@@ -152,9 +167,7 @@ class SchemaFold:
         if evolved:
             self.evolved += 1
             if self.evolved % self.threshold == 0:
-                self.index = Vectors(self.encode)
-                for n in self.notes:
-                    self.index.add(self.document_again(n))
+                self.index.again([self.document_again(n) for n in self.notes])
         return note
 
     def rows(self, sample_id: str) -> list[tuple]:
@@ -167,21 +180,18 @@ class SchemaFold:
 
 
 def build_notes(turns: DataFrame, model: Callable[[str], Complete], encode: Callable[[], Encode], **options: Any) -> DataFrame:
-    """Notes of every sample, with the columns of `construct.build_notes`. model: makes a sample's `complete`; encode: makes the encoder, once for each group.
+    """Notes of every sample, with the columns of `construct.build_notes`. model: makes a sample's `complete`; encode: makes the encoder, once for each task.
 
     A sample that fails is one row with an error and no record_id."""
     SchemaFold(lambda prompt, schema: "", lambda texts: [[0.0] for _ in texts], **options)  # wrong options are an error of the plan
-    columns = [c.split()[0] for c in NOTE_SCHEMA.split(", ")]
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        name = rows["sample_id"].iloc[0]
-        try:
-            state = SchemaFold(model(name), encode(), **options)
-            for t in rows.sort_values("turn_pos").itertuples():
-                state.add(t.text or "", t.timestamp if isinstance(t.timestamp, str) else None, t.turn_id)
-            found = state.rows(name)
-        except Exception as e:  # noqa: BLE001  an error is a value of its sample
-            found = [(name, *[None] * (len(columns) - 2), f"{type(e).__name__}: {e}")]
-        return pd.DataFrame(found, columns=columns).astype({"pos": "Int32", "completions": "Int64", "failures": "Int64"})
-
-    return turns.select("sample_id", "turn_id", "turn_pos", "text", "timestamp").groupBy("sample_id").applyInPandas(fold, NOTE_SCHEMA)
+    made: list[Encode] = []
+
+    def fold(name: str, rows: list[dict[str, Any]]) -> list[tuple]:
+        if not made:
+            made.append(encode())
+        state = SchemaFold(model(name), made[0], **options)
+        for t in rows:
+            state.add(t["text"] or "", t["timestamp"] if isinstance(t["timestamp"], str) else None, t["turn_id"])
+        return state.rows(name)
+
+    return by_sample(turns, fold)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandmill.functions import keywords, parsers, porter, text, treebank
 from strandmill.functions import vocabulary as V
-from strandmill.operators import schema_fold
+from strandmill.operators import construct, schema_fold
 from strandmill.plans import standins
 
 
@@ -142,3 +142,43 @@ def test_a_failing_provider_is_an_error_of_its_sample(spark):
     assert found == {"a": None, "b": "RuntimeError: no model"}
     with pytest.raises(ValueError, match="pruning"):
         schema_fold.build_notes(frame, model, lambda: standins.letter_counts, mode="odd")
+
+
+def test_many_small_samples_come_in_few_batches(spark):
+    """Samples are folded one after the other within a task, not as a group each; order, errors and odd ids stay theirs."""
+    turns = [(f"s{k % 400}", f"s{k % 400}:{k // 400}", k // 400, f"word{k % 7} other{k % 5}", None) for k in range(1200)]
+    frame = spark.createDataFrame(turns, "sample_id string, turn_id string, turn_pos int, text string, timestamp string").repartition(7)
+
+    def model(sample_id):
+        if sample_id == "s7":
+            raise ValueError("none")
+        return construct.rule_model(sample_id)
+
+    found = construct.build_notes(frame, model)
+    plan = found._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+    rows = found.select("sample_id", "record_id", "pos", "error").collect()
+    assert Counter(r.sample_id for r in rows) == {f"s{k}": 1 if k == 7 else 3 for k in range(400)}
+    assert all(r.error == "ValueError: none" if r.sample_id == "s7" else r.record_id == f"{r.sample_id}:{r.pos}" for r in rows)
+
+
+def test_unchanged_documents_are_not_encoded_again():
+    asked = []
+
+    def encode(texts):
+        asked.extend(texts)
+        return [[float(len(t)), 1.0] for t in texts]
+
+    held = schema_fold.Vectors(encode)
+    for k in range(20):
+        held.add("x" * k)
+    held.again(["x" * k if k != 3 else "other" for k in range(20)])
+    assert len(asked) == 21 and held.search("x" * 19, 1) == [19]
+
+
+def test_notes_are_built_once_for_questions(spark, monkeypatch):
+    """What is read of built notes comes from a table: a plan that builds them stands nowhere in the questions' plan."""
+    from strandmill.plans import catalogue
+
+    plan = catalogue.QUERIES["graph_memory_qa"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "InArrow" not in plan and "InPandas" not in plan
