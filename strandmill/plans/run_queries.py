@@ -165,13 +165,15 @@ def guessed_keywords(spark, sf_dir):
 # ---- streams
 
 
-def _stream(spark, sf_dir) -> DataFrame:
-    """The turns as a stream of files, a few at a time."""
+def _streamed(spark, sf_dir, start) -> None:
+    """The turns as a stream of files: each conversation in two batches, in order. start(stream) starts the query, which goes on from its checkpoint for the second half."""
     turns = _turns(spark, sf_dir)[0].select("sample_id", "turn_id", "turn_pos", "text", "timestamp")
     place = artifacts.scratch(spark, "turns")
-    for k in range(2):  # each conversation in two batches, in order
-        turns.where(F.col("turn_pos") < 2 if k == 0 else F.col("turn_pos") >= 2).coalesce(1).write.mode("append").parquet(place)
-    return spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(place)
+    for half in (F.col("turn_pos") < 2, F.col("turn_pos") >= 2):
+        turns.where(half).write.mode("append").parquet(place)
+        running = start(spark.readStream.schema(turns.schema).parquet(place))
+        running.processAllAvailable()
+        running.stop()
 
 
 @query(f"WITH {S.TURNS} SELECT sample_id, turn_id, turn_pos::BIGINT AS turn_pos, text FROM turns")
@@ -180,9 +182,7 @@ def stream_batches_once(spark, sf_dir):
     from strandmill.streaming import results
 
     place = artifacts.scratch(spark, "batches")
-    running = results.write_batches(_stream(spark, sf_dir), f"{place}/rows", f"{place}/checkpoint")
-    running.processAllAvailable()
-    running.stop()
+    _streamed(spark, sf_dir, lambda stream: results.write_batches(stream, f"{place}/rows", f"{place}/checkpoint"))
     again = results.latest(spark, f"{place}/rows", ["turn_id"])
     return again.select("sample_id", "turn_id", F.col("turn_pos").cast("long").alias("turn_pos"), "text")
 
@@ -193,10 +193,9 @@ def note_stream_equals_batch(spark, sf_dir):
     from strandmill.streaming import notes, results
 
     place = artifacts.scratch(spark, "notes")
-    built = notes.build_notes_stream(_stream(spark, sf_dir), construct.rule_model)
-    running = built.writeStream.foreachBatch(lambda frame, batch: results.write_batch(frame, f"{place}/rows", batch)).outputMode("update").option("checkpointLocation", f"{place}/checkpoint").start()
-    running.processAllAvailable()
-    running.stop()
+    written = lambda frame, batch: results.write_batch(frame, f"{place}/rows", batch)
+    noted = lambda stream: notes.build_notes_stream(stream, construct.rule_model).writeStream.foreachBatch(written)
+    _streamed(spark, sf_dir, lambda stream: noted(stream).outputMode("update").option("checkpointLocation", f"{place}/checkpoint").start())
     columns = ["sample_id", "record_id", "pos", "text", "timestamp", "context", "keywords", "tags", "links"]
     streamed = results.latest(spark, f"{place}/rows", ["record_id"]).select(*columns)
     whole = construct.build_notes(_turns(spark, sf_dir)[0], construct.rule_model).select("record_id", F.struct(*columns).alias("w"))

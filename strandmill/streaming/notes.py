@@ -28,14 +28,14 @@ _COLUMNS = [c.split()[0] for c in NOTE_SCHEMA.split(", ")]
 
 
 class Shelf:
-    """A map of the state, with what a batch has read of it and written to it: an entry is read and written once in a batch."""
+    """A map of the state, with what a batch has read of it and written to it: an entry is read and written once in a batch. An empty map is not asked for its entries."""
 
-    def __init__(self, state: Any):
-        self.state, self.held, self.changed = state, {}, set()
+    def __init__(self, state: Any, empty: bool = False):
+        self.state, self.held, self.changed, self.empty = state, {}, set(), empty
 
     def get(self, key: Any, default: Any = None) -> Any:
         if key not in self.held:
-            found = self.state.getValue((str(key),)) if self.state.containsKey((str(key),)) else None
+            found = None if self.empty else self.state.getValue((str(key),))
             self.held[key] = json.loads(found[0]) if found else default
         return self.held[key]
 
@@ -45,16 +45,17 @@ class Shelf:
 
     def all(self) -> dict[str, Any]:
         """Every entry: only of maps that stay small."""
-        out = {k[0]: json.loads(v[0]) for k, v in self.state.iterator()}
+        out = {} if self.empty else {k[0]: json.loads(v[0]) for k, v in self.state.iterator()}
         return out | {str(k): v for k, v in self.held.items() if k in self.changed}
 
     def clear(self) -> None:
         self.state.clear()
-        self.held, self.changed = {}, set()
+        self.held, self.changed, self.empty = {}, set(), True
 
     def flush(self) -> None:
         for key in self.changed:
             self.state.updateValue((str(key),), (json.dumps(self.held[key]),))
+            self.empty = False
         self.held, self.changed = {}, set()
 
 
@@ -181,7 +182,8 @@ class _Notes(StatefulProcessor):
         self.states = {name: handle.getMapState(name, "key string", "value string") for name in names}
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark's names
-        fold = KeptFold(self.model(key[0]), {name: Shelf(state) for name, state in self.states.items()}, **self.options)
+        fresh = not self.states["totals"].exists()  # a sample that is met for the first time
+        fold = KeptFold(self.model(key[0]), {name: Shelf(state, fresh) for name, state in self.states.items()}, **self.options)
         for t in pd.concat(list(rows)).sort_values("turn_pos").itertuples():
             if not fold.has(t.turn_id):  # a turn that comes again changes nothing
                 fold.add(t.text or "", t.timestamp if isinstance(t.timestamp, str) else None, t.turn_id)

@@ -124,3 +124,26 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(str, held.select(*columns).collect())) == sorted(map(str, want.select(*columns).collect()))
     total = lambda frame: frame.selectExpr("sum(size(prompt_tokens))").first()[0]
     assert total(spark.read.parquet(str(tmp_path / "out"))) == total(want)
+
+
+def test_an_empty_map_is_not_asked():
+    """A new sample's entries are known to be missing; of others an entry takes one call to the state."""
+    from strandmill.streaming.notes import Shelf
+
+    class State:
+        def __init__(self, held):
+            self.held, self.calls = held, 0
+
+        def getValue(self, key):  # noqa: N802
+            self.calls += 1
+            return self.held.get(key)
+
+        def updateValue(self, key, value):  # noqa: N802
+            self.held[key] = value
+
+    state = State({})
+    shelf = Shelf(state, True)
+    assert [shelf.get("a"), shelf.get("b", 3), state.calls] == [None, 3, 0]
+    shelf.put("a", 1)
+    shelf.flush()
+    assert [shelf.get("a"), shelf.get("b"), state.calls] == [1, None, 2]
