@@ -2,7 +2,8 @@
 all runs are answered together, under keys that name their runs.
 
 Errors of samples and questions are rows, not exceptions: a sample that fails has a failed status and no store, and its questions are failed rows. A finished unit (a sample's store, a question's result) with the same
-fingerprints is kept on resume: what is left to do is an anti join. Questions are answered in buckets by their ids, some buckets at a time (a wave); a bucket's results are
+fingerprints is kept on resume: what is left to do is an anti join. Questions are answered in buckets by the slots of their samples, some buckets at a time (a wave), with all runs of questions over one store
+together; records and index are written in the order of slots, so a wave reads those of its samples only. A bucket's results are
 moved to their place when they are written whole, so a run that is lost goes on with the buckets that are not there.
 All tables are on the storage of the artifact root; what a wave needs in between is in its `work` folder, which goes with it.
 """
@@ -16,6 +17,8 @@ import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
 from datetime import UTC, datetime
+from functools import reduce
+from operator import or_
 from pathlib import Path
 from typing import Any
 
@@ -34,7 +37,7 @@ from strandmill.plans.stages import Stage, retrieve, traces
 from strandmill.sources.artifacts import STORE, VERSION, Experiment
 from strandmill.sources.conversations import records as turn_records
 from strandmill.sources.files import Place
-from strandmill.sources.indexes import TextIndex
+from strandmill.sources.indexes import SLOTS, TextIndex, slot, within
 
 QUESTIONS_A_BUCKET = 4096
 BUCKETS_A_WAVE = 32
@@ -158,7 +161,9 @@ class Runner:
                 units = selection.pending(units, self.out.read(self.spark, "status").where(F.col("construction_run").isin(kept)), ["construction_run", "sample_id"])
             units = work.put("units", units)
             todo = sorted(r["construction_run"] for r in units.select("construction_run").distinct().collect())
-            turns = self.data["turns"].join(units.select("sample_id", "construction_run"), "sample_id")
+            # Every run reads the turns; from a table, the file is parsed once.
+            turns = work.put("turns", self.data["turns"].join(units.select("sample_id").distinct(), "sample_id", "left_semi")) if todo else self.data["turns"]
+            turns = turns.join(units.select("sample_id", "construction_run"), "sample_id")
             if chosen["turn_limit"]:
                 turns = selection.first_of_each(turns.withColumn("_unit", F.struct("construction_run", "sample_id")), "_unit", "turn_pos", chosen["turn_limit"]).drop("_unit")
             built = self._notes(part, turns, work) if part["adapter"] != "turn_rag" and todo else None
@@ -178,7 +183,10 @@ class Runner:
         new = {}
         for name, frame in stores.items():
             old = before[name].join(units.select("sample_id"), "sample_id", "left_anti") if before else None
-            new[name] = work.put(name, frame.unionByName(old, allowMissingColumns=True) if before else frame)
+            frame = frame.unionByName(old, allowMissingColumns=True) if before else frame
+            if name == "records":
+                frame = frame.withColumn("slot", slot("sample_id")).repartitionByRange("slot", "record_id").sortWithinPartitions("slot", "record_id")
+            new[name] = work.put(name, frame)
         # Samples that were not there before are one more batch of the index; if any was, the run's index is made anew.
         index, added = self.index(self.out, run), new["records"].join(units.select("sample_id"), "sample_id", "left_semi")
         if before is None or not before["records"].join(units.select("sample_id"), "sample_id", "left_semi").isEmpty() or not index.batches():
@@ -280,6 +288,7 @@ class Runner:
         questions = selection.select_questions(self.data["questions"].join(samples.select("sample_id"), "sample_id", "left_semi"), chosen["question_ids"], chosen["categories"], chosen["question_limit"])
         runs = [(b, r) for b in getattr(self, "source_runs", None) or source.runs("status") for r in range(part["runs"])]
         layout, resume = self.out.root / "retrieve_qa" / "layout.json", self.tree["runtime"]["resume"] and self.out.has("results")
+        resume = resume and layout.read_json().get("by") == "slot"  # buckets by question ids were of other code, whose results are not kept
         if not resume:
             for name in ("results", "traces", "stage_timings"):
                 self.out.table(name).delete()
@@ -288,42 +297,47 @@ class Runner:
             # Every wave reads the questions; from a table, a plan does not hold the parsing of the file each time.
             questions = work.put("questions", questions)
             buckets = layout.read_json()["buckets"] if resume else max(1, -(-questions.count() // QUESTIONS_A_BUCKET))
-            layout.write_json({"buckets": buckets})
+            layout.write_json({"buckets": buckets, "by": "slot"})
             place = F.explode(F.array(*(F.struct(F.lit(b).alias("construction_run"), F.lit(r).alias("qa_run")) for b, r in runs))).alias("_run")
-            units = questions.select("*", F.pmod(F.xxhash64("question_id"), F.lit(buckets)).cast("int").alias("bucket"), place).select("*", "_run.*").drop("_run")
+            units = questions.select("*", F.floor(slot("sample_id").cast("long") * buckets / SLOTS).cast("int").alias("bucket"), place).select("*", "_run.*").drop("_run")
             units = units.withColumns({"fingerprint": F.lit(self.print), "execution_fingerprint": F.lit(self.code)})
             before = {name: self.out.buckets(self.spark, name) for name in ("results", "traces")} if resume else {}
             todo = selection.pending(units, before["results"], [*RUN, "question_id"]) if resume else units
-            todo = work.put("todo", todo, [*RUN, "bucket"])
+            todo = work.put("todo", todo.hint("rebalance", *RUN, "bucket"), [*RUN, "bucket"])
             counts = {tuple(r)[:3]: r["count"] for r in todo.groupBy(*RUN, "bucket").count().collect()}  # one row for each bucket
             seconds: dict[tuple, float] = {}
-            names = sorted(counts)
+            names = sorted(counts, key=lambda n: (n[0], n[2], n[1]))
             for at in range(0, len(names), BUCKETS_A_WAVE):
-                self._wave(part, source, todo, names[at : at + BUCKETS_A_WAVE], sum(counts[n] for n in names[at : at + BUCKETS_A_WAVE]), before, seconds)
+                self._wave(part, source, todo, names[at : at + BUCKETS_A_WAVE], sum(counts[n] for n in names[at : at + BUCKETS_A_WAVE]), before, seconds, buckets)
         return any([self._summary(*run, seconds) for run in runs])
 
-    def _wave(self, part: dict[str, Any], source: Experiment, todo: DataFrame, units: list[tuple[int, int, int]], n: int, before: dict[str, DataFrame], seconds: dict[tuple, float]) -> None:
+    def _wave(self, part: dict[str, Any], source: Experiment, todo: DataFrame, units: list[tuple[int, int, int]], n: int, before: dict[str, DataFrame], seconds: dict[tuple, float], buckets: int) -> None:
         """Answers the questions of some buckets and commits each of these: traces are moved first, results last."""
         wanted = F.broadcast(self.spark.createDataFrame(units, "construction_run int, qa_run int, bucket int"))
+        built = sorted({b for b, _, _ in units})
+        span = {b: (min(k for c, _, k in units if c == b), max(k for c, _, k in units if c == b)) for b in built}
+        slots = {b: (-(-low * SLOTS // buckets), -(-(high + 1) * SLOTS // buckets)) for b, (low, high) in span.items()}
+        # Folders of other buckets are not read: a join alone would read them all.
+        near = reduce(or_, ((F.col("construction_run") == b) & F.col("bucket").between(*span[b]) for b in built))
         with self._work() as work:
             # Keys name the runs: questions by both, samples and records by the construction run.
-            asked = todo.join(wanted, [*RUN, "bucket"]).withColumns({"asked_id": F.col("question_id"), "of_sample": F.col("sample_id")})
+            asked = todo.where(near).join(wanted, [*RUN, "bucket"]).withColumns({"asked_id": F.col("question_id"), "of_sample": F.col("sample_id")})
             asked = work.put("asked", asked.withColumns({"question_id": F.concat_ws("/", *RUN, "question_id"), "sample_id": F.concat_ws("/", "construction_run", "sample_id")}))
-            built = sorted({b for b, _, _ in units})
 
             def keyed(frame: DataFrame, run: int) -> DataFrame:
                 name = lambda x: F.concat(F.lit(f"{run}/"), x)
                 out = frame.withColumns({c: name(F.col(c)) for c in ("sample_id", "record_id") if c in frame.columns})
                 return out.withColumn("links", F.transform("links", name)) if "links" in frame.columns else out
 
-            every = [keyed(source.read(self.spark, "records", b), b) for b in built]
+            stored = {b: source.buckets(self.spark, "records", b) for b in built}
+            every = [keyed(within(x, slots[b], "slot" if "slot" in x.columns else None, "sample_id").drop("slot"), b) for b, x in stored.items()]
             records = every[0]
             for x in every[1:]:
                 records = records.unionByName(x, allowMissingColumns=True)
             indexes = {b: self.index(source, b) for b in built}
             corpus = None
             if all(x.batches() for x in indexes.values()):
-                held = [(b, x.corpus(self.spark)) for b, x in indexes.items()]
+                held = [(b, x.corpus(self.spark, slots[b])) for b, x in indexes.items()]
                 parts = {name: [keyed(getattr(c, name), b) for b, c in held] for name in ("postings", "terms", "scopes", "documents")}
                 for name, frames in parts.items():
                     for x in frames[1:]:
@@ -338,9 +352,10 @@ class Runner:
             tables = {"traces": trace.withColumn("latency_ms", each), "results": fresh}
             for name, frame in tables.items():
                 if before:
-                    old = before[name].join(wanted, [*RUN, "bucket"], "left_semi").join(asked.select(*RUN, F.col("asked_id").alias("question_id")), [*RUN, "question_id"], "left_anti")
+                    old = before[name].where(near).join(wanted, [*RUN, "bucket"], "left_semi").join(asked.select(*RUN, F.col("asked_id").alias("question_id")), [*RUN, "question_id"], "left_anti")
                     frame = frame.unionByName(old, allowMissingColumns=True)
-                frame.write.partitionBy(*RUN, "bucket").parquet(str(work.place / "done" / name))
+                # A bucket's rows come together before they are written, or each task would write a file for each bucket.
+                frame.hint("rebalance", *RUN, "bucket").write.partitionBy(*RUN, "bucket").parquet(str(work.place / "done" / name))
             figures = {tuple(r)[:3]: r for r in fresh.groupBy(*RUN, "bucket").agg(F.count("*").alias("answered"), F.count_if(F.col("status") == "failed").alias("failed")).collect()}
             for unit in units:
                 folder = "/".join(f"{c}={v}" for c, v in zip((*RUN, "bucket"), unit, strict=True))

@@ -13,6 +13,18 @@ from strandmill.operators.ranking import Corpus, corpus_of, postings
 from strandmill.sources.files import Place
 
 PARTS = ("postings", "terms", "scopes", "documents")
+SLOTS = 1 << 16
+
+
+def slot(*scope: str) -> Column:
+    """Where a scope stands among SLOTS places: tables in this order are read in ranges of it."""
+    return F.pmod(F.xxhash64(*scope), F.lit(SLOTS)).cast("int")
+
+
+def within(frame: DataFrame, slots: tuple[int, int], column: str | None, *scope: str) -> DataFrame:
+    """Rows of the slots from the first number to below the second; without a column that holds the slot it is worked out."""
+    place = F.col(column) if column else slot(*scope)
+    return frame.where((place >= slots[0]) & (place < slots[1]))
 
 
 class TextIndex:
@@ -21,7 +33,8 @@ class TextIndex:
     A batch counts once its commit file is there, which is written last; a batch that was lost on the way is written anew, and one that is
     committed is not added again. Statistics of several batches are sums of theirs, so an index that was appended to answers
     as one that was built from all records. Postings are in the order of terms, dealt by ranges of term and record, so a frequent term
-    is in several files and a file is about few terms."""
+    is in several files and a file is about few terms. With a scope they are in the order of its slots before that, as are the terms, so some
+    scopes are read without the others."""
 
     def __init__(self, place: str | Place, scope: Sequence[str] = ("sample_id",), tokenise: Callable[[Column], Column] = tokens):
         self.place, self.scope, self.tokenise = Place(place), list(scope), tokenise
@@ -39,14 +52,22 @@ class TextIndex:
         if batch in self.batches():
             return batch
         new = corpus_of(records, self.scope, self.tokenise, text)
-        keys = ["term", *self.scope, "record_id"]
-        new.postings.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(str(self._part("postings", batch)))
+        self._ordered("postings", new.postings).write.mode("overwrite").parquet(str(self._part("postings", batch)))
         written = records.sparkSession.read.parquet(str(self._part("postings", batch)))
         for name, frame in (("terms", written.groupBy(*self.scope, "term").agg(F.count("*").alias("df"))), ("scopes", new.scopes), ("documents", new.documents)):
-            frame.write.mode("overwrite").parquet(str(self._part(name, batch)))
+            self._ordered(name, frame).write.mode("overwrite").parquet(str(self._part(name, batch)))
         (self.place / "commits" / batch).write_text("")
         return batch
 
+    def _ordered(self, name: str, frame: DataFrame) -> DataFrame:
+        """A part as it is written."""
+        frame = frame.withColumn("_slot", slot(*self.scope)) if self.scope else frame
+        keys = {"postings": ["term", *self.scope, "record_id"], "terms": ["term", *self.scope] if self.scope else []}.get(name)
+        if not keys:
+            return frame
+        keys = ["_slot", *keys] if self.scope else keys
+        return frame.repartitionByRange(*keys).sortWithinPartitions(*keys)
+
     def drop(self, batch: str) -> None:
         """Takes a batch out; its commit goes first."""
         (self.place / "commits" / batch).delete()
@@ -69,19 +90,24 @@ class TextIndex:
         """All batches as one. Readers see the old ones until the new one is written whole and named, and it alone from then on."""
         self._settle()
         new, held = uuid.uuid4().hex, self.corpus(self.place.spark)
-        keys = ["term", *self.scope, "record_id"]
-        for name, frame in zip(PARTS, (held.postings.repartitionByRange(*keys).sortWithinPartitions(*keys), held.terms, held.scopes, held.documents), strict=True):
-            frame.write.parquet(str(self._part(name, new)))
+        for name in PARTS:
+            self._ordered(name, getattr(held, name)).write.parquet(str(self._part(name, new)))
         (self.place / "aside").write_text(new)
         self._settle()
         return new
 
-    def corpus(self, spark: SparkSession) -> Corpus:
+    def corpus(self, spark: SparkSession, slots: tuple[int, int] | None = None) -> Corpus:
+        """All scopes, or those whose slot is at least the first number and below the second."""
         aside = self.place / "aside"
         batches = [aside.read_text()] if aside.exists() else self.batches()
         if not batches:
             raise FileNotFoundError(f"no index at {self.place}")
         held = {name: spark.read.parquet(*(str(self._part(name, b)) for b in batches)) for name in PARTS}
+        if slots is not None:
+            # Batches of before slots were written have no such column.
+            known = all("_slot" in spark.read.parquet(str(self._part("scopes", b))).columns for b in batches)
+            held = {name: within(frame, slots, "_slot" if known else None, *self.scope) for name, frame in held.items()}
+        held = {name: frame.drop("_slot") for name, frame in held.items()}
         if len(batches) > 1:
             held["terms"] = held["terms"].groupBy(*self.scope, "term").agg(F.sum("df").alias("df"))
             held["scopes"] = held["scopes"].groupBy(*self.scope).agg(F.sum("N").alias("N"), F.sum("tokens").alias("tokens"))
