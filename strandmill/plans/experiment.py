@@ -1,5 +1,5 @@
 """Runs an experiment file: load, construct, evaluate, persist. Runs are a dimension: notes of all construction runs are built in one plan, and questions of
-all runs are answered together, under keys that name their runs.
+all runs are answered together, under keys that name their runs. Runs of questions over one store share their answers where no model is asked.
 
 Errors of samples and questions are rows, not exceptions: a sample that fails has a failed status and no store, and its questions are failed rows. A finished unit (a sample's store, a question's result) with the same
 fingerprints is kept on resume: what is left to do is an anti join. Questions are answered in buckets by the slots of their samples, some buckets at a time (a wave), with all runs of questions over one store
@@ -41,6 +41,7 @@ from strandmill.sources.indexes import SLOTS, TextIndex, slot, within
 
 QUESTIONS_A_BUCKET = 4096
 BUCKETS_A_WAVE = 32
+BUCKETS = 32  # of one run at most: plans, moves and commits of a bucket and a wave don't grow with the questions
 RUN = ["construction_run", "qa_run"]
 
 USAGE = "struct<phase:string,component:string,provider:string,model:string,prompt_tokens:bigint,completion_tokens:bigint,total_tokens:bigint,source:string,latency_ms:double>"
@@ -116,8 +117,14 @@ class Runner:
         place = Place(data["path"], self.spark)
         if not place.exists():
             raise FileNotFoundError(f"no such dataset: {data['path']}")
-        self.data = catalog()["dataset"].get(data["adapter"])(self.spark, str(place))
         (self.out.root / "work").delete()  # of a run that was lost
+        self.sha = place.sha256()
+        with self._work() as work:
+            # Every part of a run reads the dataset; from a table, it is parsed once.
+            self.data = catalog()["dataset"].get(data["adapter"])(self.spark, str(place), keep=lambda rows: work.put("dataset", rows))
+            return self._parts()
+
+    def _parts(self) -> Outcome:
         stages = self.tree["pipeline"]["stages"]
         source = self.out
         if "construction" not in stages:
@@ -134,16 +141,13 @@ class Runner:
     def _work(self) -> Work:
         return Work(self.out.root / "work")
 
-    def _data_sha(self) -> str:
-        return Place(self.tree["pipeline"]["dataset"]["path"], self.spark).sha256()
-
     def _manifest(self, status: str) -> None:
         taxonomy = {}
         for r in self.data["taxonomy"].orderBy("dimension", "ordinal").collect():  # five rows
             taxonomy.setdefault(r["dimension"], []).append(r["value"])
         self.out.manifest_path.write_json({
             "schema_version": VERSION, "experiment_id": self.tree["experiment"]["id"], "fingerprint": self.print, "execution_fingerprint": self.code, "status": status, "updated_at": datetime.now(UTC).isoformat(),
-            "dataset": self.tree["pipeline"]["dataset"] | {"sha256": self._data_sha()}, "config": self.tree, "taxonomy": {"dimensions": [{"name": k, "values": v} for k, v in taxonomy.items()]},
+            "dataset": self.tree["pipeline"]["dataset"] | {"sha256": self.sha}, "config": self.tree, "taxonomy": {"dimensions": [{"name": k, "values": v} for k, v in taxonomy.items()]},
         })
 
     # ---- construction
@@ -243,7 +247,7 @@ class Runner:
         wanted = self.tree["pipeline"]["retrieve_qa"]["memory_source"]
         other = Experiment(self.tree["runtime"]["artifact_root"], wanted["experiment_id"])
         manifest = other.manifest_path.read_json()
-        if manifest["dataset"]["sha256"] != self._data_sha():
+        if manifest["dataset"]["sha256"] != self.sha:
             raise ValueError("dataset fingerprint mismatch between this experiment and its memory source")
         if manifest["status"] != "completed":
             raise ValueError(f"memory source {wanted['experiment_id']} is not completed")
@@ -296,7 +300,7 @@ class Runner:
         with self._work() as work:
             # Every wave reads the questions; from a table, a plan does not hold the parsing of the file each time.
             questions = work.put("questions", questions)
-            buckets = layout.read_json()["buckets"] if resume else max(1, -(-questions.count() // QUESTIONS_A_BUCKET))
+            buckets = layout.read_json()["buckets"] if resume else max(1, min(BUCKETS, -(-questions.count() // QUESTIONS_A_BUCKET)))
             layout.write_json({"buckets": buckets, "by": "slot"})
             place = F.explode(F.array(*(F.struct(F.lit(b).alias("construction_run"), F.lit(r).alias("qa_run")) for b, r in runs))).alias("_run")
             units = questions.select("*", F.floor(slot("sample_id").cast("long") * buckets / SLOTS).cast("int").alias("bucket"), place).select("*", "_run.*").drop("_run")
@@ -346,7 +350,8 @@ class Runner:
             spent: list[tuple[int, str, float]] = []
             fresh, trace = self._answers(part, asked, records, work, corpus, spent, keyed=True)
             fresh = work.put("answers", fresh.withColumns({"fingerprint": F.lit(self.print), "execution_fingerprint": F.lit(self.code)}))  # the model is asked once
-            trace = trace.join(fresh.where("status = 'completed'").select(*RUN, "bucket", "question_id"), [*RUN, "question_id"])
+            # A trace that runs share is each one's.
+            trace = trace.join(fresh.where("status = 'completed'").select(*RUN, "bucket", "question_id"), [c for c in (*RUN, "question_id") if c in trace.columns])
             # A stage answers all questions of a wave at once; each has the same part of its time.
             each = F.element_at(F.create_map(*(F.lit(x) for k, _, s in spent for x in (k, 1000 * s / n))), F.col("stage_index")) if spent else F.lit(None).cast("double")
             tables = {"traces": trace.withColumn("latency_ms", each), "results": fresh}
@@ -372,8 +377,13 @@ class Runner:
     def _answers(self, part: dict[str, Any], questions: DataFrame, records: DataFrame, work: Work, corpus: Corpus | None = None, spent: list | None = None, keyed: bool = False) -> tuple[DataFrame, DataFrame]:
         """Results of the questions, and the trace of their stages.
 
-        keyed: question_id, sample_id and the ids of records name their runs, and asked_id and of_sample are the plain ones, which the rows get back. spent: gets each stage's seconds."""
+        keyed: question_id, sample_id and the ids of records name their runs, and asked_id and of_sample are the plain ones, which the rows get back. spent: gets each stage's seconds.
+        Where no model is asked, a question of several runs over one store is answered once, and its trace has no qa_run."""
         shown_id, shown_sample = ("asked_id", "of_sample") if keyed else ("question_id", "sample_id")
+        shared = keyed and part["qa"]["adapter"] != "robust" and not any(s["llm"] for s in part["retrieval"]["stages"])
+        if shared:
+            once = questions.groupBy("construction_run", "asked_id").agg(F.min("qa_run").alias("qa_run"), F.collect_list("qa_run").alias("_runs"))
+            questions = work.put("once", questions.join(once, [*RUN, "asked_id"]))
         held = records.select("sample_id").distinct()
         lost = selection.failed_rows(questions, held, shown_id, shown_sample)
         able = questions.join(held, "sample_id", "left_semi")
@@ -420,7 +430,7 @@ class Runner:
         no_ids, no_usage, no_errors = F.array().cast("array<string>"), F.array().cast(f"array<{USAGE}>"), F.array().cast(f"array<{ERROR}>")
         found = F.coalesce("item_ids", no_ids)
         plain = F.transform(found, lambda x: F.substr(x, F.instr(x, "/") + 1)) if keyed else found
-        ids = [F.col(shown_id).alias("question_id"), F.col(shown_sample).alias("sample_id"), *([*RUN, "bucket"] if keyed else [])]
+        ids = [F.col(shown_id).alias("question_id"), F.col(shown_sample).alias("sample_id"), *([*RUN, "bucket"] if keyed else []), *(["_runs"] if shared else [])]
         rows = rows.select(
             *ids, F.when(bad, "failed").otherwise("completed").alias("status"), "question", "reference", F.when(bad, "").otherwise(F.col("prediction")).alias("prediction"), "labels", F.col("question_pos").alias("pos"),
             F.when(bad, "").otherwise(F.col("context_text")).alias("context_text"), F.when(bad, no_ids).otherwise(plain).alias("item_ids"), F.when(bad, F.create_map().cast("map<string,double>")).otherwise(scored).alias("metrics"),
@@ -434,7 +444,8 @@ class Runner:
         if keyed:
             runs = F.split("question_id", "/", 3)
             trace = trace.select(runs[0].cast("int").alias("construction_run"), runs[1].cast("int").alias("qa_run"), runs[2].alias("question_id"), "stage_index", "adapter", "query", "rank", F.substr("record_id", F.instr("record_id", "/") + 1).alias("record_id"), "score")
-        return rows.unionByName(none), trace
+        rows = rows.unionByName(none)
+        return (rows.withColumn("qa_run", F.explode("_runs")).drop("_runs"), trace.drop("qa_run")) if shared else (rows, trace)
 
     def _summary(self, build_run: int, run: int, seconds: dict[tuple, float]) -> bool:
         """Writes the run's usage, errors, status and figures; whether a question failed."""

@@ -6,6 +6,8 @@ keys vary, so a sample's conversation is read as a map of JSON texts and filtere
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,10 +35,13 @@ def reference_answer(category: Column, answer: Column, adversarial: Column) -> C
     return F.when(category == 5, F.coalesce(adversarial.cast("string"), F.lit("None"))).otherwise(F.coalesce(answer.cast("string"), F.lit("")))
 
 
-def load(spark: SparkSession, path: str, dataset: str = "locomo") -> dict[str, DataFrame]:
-    """samples, turns, questions and taxonomy of a file that is an array of samples. Large files are cut into blocks for many tasks; a row holds one sample."""
-    held = elements(spark, path).select(F.col("pos").alias("sample_pos"), F.from_json("text", f"conversation map<string,string>, qa {_QA}", {"mode": "FAILFAST"}).alias("s"))
-    return parse(spark, held.select("sample_pos", "s.conversation", "s.qa"), dataset)
+def load(spark: SparkSession, path: str, dataset: str = "locomo", keep: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
+    """samples, turns, questions and taxonomy of a file that is an array of samples. Large files are cut into blocks for many tasks; a row holds one sample.
+
+    keep(rows) may write rows and read them again: then the file is cut and its samples are parsed once, not by every plan that uses a table of it."""
+    held = elements(spark, path, keep).select(F.col("pos").alias("sample_pos"), F.from_json("text", f"conversation map<string,string>, qa {_QA}", {"mode": "FAILFAST"}).alias("s"))
+    rows = held.select("sample_pos", "s.conversation", "s.qa")
+    return parse(spark, keep(rows) if keep is not None else rows, dataset)
 
 
 def parse(spark: SparkSession, rows: DataFrame, dataset: str = "locomo") -> dict[str, DataFrame]:

@@ -33,8 +33,8 @@ class TextIndex:
     A batch counts once its commit file is there, which is written last; a batch that was lost on the way is written anew, and one that is
     committed is not added again. Statistics of several batches are sums of theirs, so an index that was appended to answers
     as one that was built from all records. Postings are in the order of terms, dealt by ranges of term and record, so a frequent term
-    is in several files and a file is about few terms. With a scope they are in the order of its slots before that, as are the terms, so some
-    scopes are read without the others."""
+    is in several files and a file is about few terms. With a scope they are dealt by ranges of its slots and of records, before a text is cut into terms, and a file
+    is in the order of slots and terms; terms are in the order of slots, too: some scopes are read without the others."""
 
     def __init__(self, place: str | Place, scope: Sequence[str] = ("sample_id",), tokenise: Callable[[Column], Column] = tokens):
         self.place, self.scope, self.tokenise = Place(place), list(scope), tokenise
@@ -52,9 +52,19 @@ class TextIndex:
         if batch in self.batches():
             return batch
         new = corpus_of(records, self.scope, self.tokenise, text)
-        self._ordered("postings", new.postings).write.mode("overwrite").parquet(str(self._part("postings", batch)))
+        if self.scope:
+            # Dealing postings by ranges would make them twice, as the ranges come from a sample of them; and there are many more of them than records.
+            dealt = corpus_of(records.repartitionByRange(slot(*self.scope), *self.scope, "record_id"), self.scope, self.tokenise, text).postings
+            ordered = dealt.withColumn("_slot", slot(*self.scope)).sortWithinPartitions("_slot", "term", *self.scope, "record_id")
+        else:
+            ordered = self._ordered("postings", new.postings)
+        ordered.write.mode("overwrite").parquet(str(self._part("postings", batch)))
         written = records.sparkSession.read.parquet(str(self._part("postings", batch)))
-        for name, frame in (("terms", written.groupBy(*self.scope, "term").agg(F.count("*").alias("df"))), ("scopes", new.scopes), ("documents", new.documents)):
+        keys = ["_slot", "term", *self.scope] if self.scope else ["term"]
+        # Counted where they are written, in one shuffle.
+        terms = (written.select(*keys).repartitionByRange(*keys) if self.scope else written).groupBy(*keys).agg(F.count("*").alias("df"))
+        (terms.sortWithinPartitions(*keys) if self.scope else terms).write.mode("overwrite").parquet(str(self._part("terms", batch)))
+        for name, frame in (("scopes", new.scopes), ("documents", new.documents)):
             self._ordered(name, frame).write.mode("overwrite").parquet(str(self._part(name, batch)))
         (self.place / "commits" / batch).write_text("")
         return batch

@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 _MARK = re.compile(rb'\\.|["{}\[\]]', re.S)
 _OPEN, _CLOSE = b"{[", b"}]"
+_TOGETHER = 1 << 20  # bytes of elements that are sent at once, or one longer element
 
 
 @dataclass
@@ -30,19 +31,25 @@ class Effect:
     opened: Counter = field(default_factory=Counter)
     first: str = ""  # the first bracket outside of strings
 
-    def read(self, text: bytes) -> None:
-        for m in _MARK.finditer(text):
-            mark = m[0]
-            if mark == b'"':
-                self.inside = not self.inside
-            elif not self.inside and len(mark) == 1:
-                self.first = self.first or mark.decode()
-                if mark in _OPEN:
-                    if mark == b"{":
-                        self.opened[self.depth] += 1
-                    self.depth += 1
-                else:
-                    self.depth -= 1
+    def bracket(self, mark: bytes) -> None:
+        """A bracket outside of strings."""
+        self.first = self.first or mark.decode()
+        if mark in _OPEN:
+            if mark == b"{":
+                self.opened[self.depth] += 1
+            self.depth += 1
+        else:
+            self.depth -= 1
+
+
+def read_both(out: Effect, within: Effect, text: bytes) -> None:
+    """A piece read from either state. A quote changes both, so one of the two is inside a string and the other is not: each mark is looked at once."""
+    for m in _MARK.finditer(text):
+        mark = m[0]
+        if mark == b'"':
+            out.inside, within.inside = within.inside, out.inside
+        elif len(mark) == 1:
+            (within if out.inside else out).bracket(mark)
 
 
 def cut(pieces: Iterator[bytes], inside: bool, depth: int, base: int) -> Iterator[tuple[int, bool, bytes]]:
@@ -92,15 +99,14 @@ def _effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for path, block, pieces in _blocks(batches):
         both = [Effect(False), Effect(True)]
         for piece in pieces:
-            for x in both:
-                x.read(piece)
+            read_both(*both, piece)
         told = json.dumps([[x.inside, x.depth, list(x.opened.items()), x.first] for x in both])
         yield pa.record_batch([pa.array([path]), pa.array([block], pa.int64()), pa.array([told])], names=["path", "block", "told"])
 
 
-def elements(spark: SparkSession, path: str) -> DataFrame:
+def elements(spark: SparkSession, path: str, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(pos, text) of every object in the arrays of the files of a path, numbered from 0 in the order of the files' names and their places there. A file may be one object, too, or several one after the other.
-    A file that ends inside an element is an error; an empty one has none."""
+    A file that ends inside an element is an error; an empty one has none. keep(rows) may write the cut elements and read them again: without it each use of the result cuts the files twice."""
     read = spark.read.option("lineSep", "}").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
     starts: dict[str, dict[int, tuple[bool, int, int, int]]] = {}
     number, file, inside, depth, base = 0, None, False, 0, 1
@@ -120,12 +126,22 @@ def elements(spark: SparkSession, path: str) -> DataFrame:
     def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file, block, pieces in _blocks(batches):
             inside, depth, base, before = sent.value[file][block]
+            rows, size = [], 0
             for k, whole, text in cut(pieces, inside, depth, base):
                 # A part stands in a column of its own: whatever looks into texts, in whatever order of filters, finds whole ones.
-                both = [text.decode(), None] if whole else [None, text.decode()]
-                yield pa.record_batch([pa.array([before + k - 1], pa.int64()), pa.array([block], pa.int64()), *(pa.array([x], pa.string()) for x in both)], names=["pos", "block", "text", "part"])
+                rows.append((before + k - 1, block, *((text.decode(), None) if whole else (None, text.decode()))))
+                size += len(text)
+                if size >= _TOGETHER:
+                    yield sent_rows(rows)
+                    rows, size = [], 0
+            if rows:
+                yield sent_rows(rows)
+
+    def sent_rows(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["pos", "block", "text", "part"])
 
     found = read.mapInArrow(cuts, "pos long, block long, text string, part string")
+    found = keep(found) if keep is not None else found
     parts = found.where("part IS NOT NULL").groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("block", "part"))).alias("p"))
     return found.where("text IS NOT NULL").select("pos", "text").unionByName(parts.select("pos", F.array_join(F.transform("p", lambda x: x["part"]), "").alias("text")))
 
