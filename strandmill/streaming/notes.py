@@ -1,9 +1,10 @@
 """The note fold on a stream, on keyed state: turns arrive in any micro-batch, and a batch reads and writes only the notes, terms and figures it touches.
 
-State of a sample, each in a map of its own: notes by place, places by record id, document frequencies by term, postings by term and block of
+State of a sample, each a map of its own: notes by place, places by record id, document frequencies by term, postings by term and block of
 `BLOCK` records, and how many terms have each document frequency; and a few totals. Adding a note writes its own entry, one block for each of its terms, and the
 neighbours that it changes. A search reads the blocks of its terms, as the ranking needs all of them, and the notes it finds. Only a consolidation
-goes over all notes. The state lives in RocksDB.
+goes over all notes. The maps' entries lie in pages of about `PAGE` characters (`Pages`), as each call to the state costs many times what it brings: a short conversation is a page or two, and
+a batch reads and writes it at once. The state lives in RocksDB.
 """
 
 from __future__ import annotations
@@ -11,20 +12,113 @@ from __future__ import annotations
 import json
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import asdict
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from strandmill.operators.construct import NOTE_SCHEMA, Complete, Fold, Note
 
 BLOCK = 64
+PAGE = 1 << 14
+MAPS = ("totals", "notes", "places", "frequencies", "postings", "spread", "waiting")
+SMALL = ("totals", "spread")  # maps that are one entry
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_COLUMNS = [c.split()[0] for c in NOTE_SCHEMA.split(", ")]
+_ROW = Row(*(c.split()[0] for c in NOTE_SCHEMA.split(", ")))
+
+
+class Pages:
+    """The maps of a sample in pages of one map of the state. A page is read when one of its entries is asked for, and written, if it was changed, by flush().
+
+    An entry's page comes from the hash of its name. Pages grow in number with what they hold, one at a time: the next one takes its entries from one other (linear hashing), so
+    they stay of one size and a sample's growth never moves all of it. The first page has the number of pages and what they hold in characters, under an empty name."""
+
+    def __init__(self, state: Any, page: int = PAGE):
+        self.state, self.page, self.held, self.changed = state, page, {}, set()
+        first = self.state.getValue(("0",))
+        self.held[0] = json.loads(first[0]) if first else {}
+        self.fresh = first is None
+        self.count, self.size = self.held[0].get("", (1, 0))
+
+    def shelves(self) -> dict[str, Shelf]:
+        return {name: Shelf(Paged(self, name, name in SMALL), self.fresh) for name in MAPS}
+
+    def _place(self, name: str) -> int:
+        low = 1 << (self.count.bit_length() - 1)
+        at = zlib.crc32(name.encode("utf-8", "surrogatepass")) & (2 * low - 1)
+        return at if at < self.count else at - low
+
+    def _read(self, at: int) -> dict[str, Any]:
+        if at not in self.held:
+            found = self.state.getValue((str(at),))
+            self.held[at] = json.loads(found[0]) if found else {}
+        return self.held[at]
+
+    def get(self, name: str) -> str | None:
+        return self._read(self._place(name)).get(name)
+
+    def put(self, name: str, value: str) -> None:
+        at = self._place(name)
+        before = self._read(at).get(name)
+        self.size += len(value) - len(before) if before is not None else len(name) + len(value)
+        self.held[at][name] = value
+        self.changed.add(at)
+        while self.size > self.page * self.count:
+            self._split()
+
+    def _split(self) -> None:
+        new, old = self.count, self.count - (1 << (self.count.bit_length() - 1))
+        self.count += 1
+        held = self._read(old)
+        self.held[new] = {name: held.pop(name) for name in [x for x in held if x and self._place(x) == new]}
+        self.changed |= {old, new}
+
+    def drop(self, start: str) -> None:
+        """All entries whose name starts so: goes over all pages."""
+        for at in range(self.count):
+            held = self._read(at)
+            for name in [x for x in held if x.startswith(start)]:
+                self.size -= len(name) + len(held.pop(name))
+                self.changed.add(at)
+
+    def flush(self) -> None:
+        if self.changed:
+            self.held[0][""] = (self.count, self.size)
+        for at in sorted(self.changed | {0} if self.changed else ()):
+            self.state.updateValue((str(at),), (json.dumps(self.held[at]),))
+        self.changed = set()
+
+
+class Paged:
+    """One map of those in pages, as a `Shelf` asks the state. A small map is one entry, so all of it is read without the others."""
+
+    def __init__(self, pages: Pages, name: str, small: bool):
+        self.pages, self.name, self.small = pages, name, small
+
+    def _all(self) -> dict[str, str]:
+        return json.loads(self.pages.get(f"{self.name}/") or "{}")
+
+    def getValue(self, key: tuple) -> tuple | None:  # noqa: N802  Spark's names
+        found = self._all().get(key[0]) if self.small else self.pages.get(f"{self.name}/{key[0]}")
+        return None if found is None else (found,)
+
+    def updateValue(self, key: tuple, value: tuple) -> None:  # noqa: N802
+        if self.small:
+            self.pages.put(f"{self.name}/", json.dumps(self._all() | {key[0]: value[0]}))
+        else:
+            self.pages.put(f"{self.name}/{key[0]}", value[0])
+
+    def iterator(self) -> Iterator[tuple]:
+        if not self.small:
+            raise ValueError(f"the map {self.name} is not read as a whole")
+        return (((k,), (v,)) for k, v in self._all().items())
+
+    def clear(self) -> None:
+        self.pages.drop(f"{self.name}/")
 
 
 class Shelf:
@@ -178,18 +272,20 @@ class _Notes(StatefulProcessor):
         self.model, self.options = model, options
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        names = ("totals", "notes", "places", "frequencies", "postings", "spread", "waiting")
-        self.states = {name: handle.getMapState(name, "key string", "value string") for name in names}
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark's names
-        fresh = not self.states["totals"].exists()  # a sample that is met for the first time
-        fold = KeptFold(self.model(key[0]), {name: Shelf(state, fresh) for name, state in self.states.items()}, **self.options)
-        for t in pd.concat(list(rows)).sort_values("turn_pos").itertuples():
-            if not fold.has(t.turn_id):  # a turn that comes again changes nothing
-                fold.add(t.text or "", t.timestamp if isinstance(t.timestamp, str) else None, t.turn_id)
+        self.state, self.before = (handle.getMapState(name, "key string", "value string") for name in ("pages", "totals"))
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803  Spark's names
+        pages = Pages(self.state)
+        if pages.fresh and self.before.exists():
+            raise RuntimeError("the checkpoint has notes that are not in pages: start the stream anew")
+        fold = KeptFold(self.model(key[0]), pages.shelves(), **self.options)
+        for t in sorted(rows, key=lambda t: (t["turn_pos"] is None, t["turn_pos"])):
+            if not fold.has(t["turn_id"]):  # a turn that comes again changes nothing
+                fold.add(t["text"] or "", t["timestamp"], t["turn_id"])
         found = fold.changed_rows(key[0])
         fold.flush()
-        yield pd.DataFrame(found, columns=_COLUMNS).astype({"pos": "Int32", "completions": "Int64", "failures": "Int64"})
+        pages.flush()
+        return iter([_ROW(*x) for x in found])
 
     def close(self) -> None:
         """Nothing is open."""
@@ -200,4 +296,4 @@ def build_notes_stream(turns: DataFrame, model: Callable[[str], Complete], **opt
     over the same turns in the same order. Within a batch turns go by turn_pos. Sets the session's state store to RocksDB, which this kind of state needs."""
     turns.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
     grouped = turns.select("sample_id", "turn_id", "turn_pos", "text", "timestamp").groupBy("sample_id")
-    return grouped.transformWithStateInPandas(_Notes(model, options), NOTE_SCHEMA, "update", "None")
+    return grouped.transformWithState(_Notes(model, options), NOTE_SCHEMA, "update", "None")
